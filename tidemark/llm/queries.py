@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, sharding, token_counts, token_store
+from . import language_id, near_dup, packing, quality, sharding, token_counts, token_store
 from .pieces import read_tokenizer
 from .runtime import table
 
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, carry=["doc_id", held_out.alias("held_out")])
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = token_store.write_store(docs, read_tokenizer(public_tokenizers.path("word_bpe_49k.json")), end_id=1)
@@ -40,5 +44,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op4_token_ids, op7_packing, op8_quality, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op7_packing, op8_quality, op9_token_counts)}
 SQL: dict[str, str] = {}
