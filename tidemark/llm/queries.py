@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dup, packing, quality, sharding, token_counts, token_store
+from . import language_id, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store
 from .pieces import read_tokenizer
 from .runtime import table
 
@@ -32,6 +32,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest, docs.select("doc_id")).drop("ids")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
 
@@ -44,5 +48,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op7_packing, op8_quality, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op7_packing, op8_quality, op9_token_counts)}
 SQL: dict[str, str] = {}
