@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store
+from . import decontaminate, language_id, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store, warc
 from .pieces import read_tokenizer
 from .runtime import table
 
@@ -36,6 +36,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
 
@@ -48,5 +52,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op7_packing, op8_quality, op9_token_counts)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.write_pages(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op6_decontamination, op7_packing, op8_quality, op9_token_counts, op10_warc)}
 SQL: dict[str, str] = {}
