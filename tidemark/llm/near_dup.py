@@ -5,10 +5,13 @@ into a hashed bin with a hashed value above all values of earlier rounds, and a
 every bin has one.  The second half of the rounds goes through the bins one by one, so none stays empty.  Two sets agree in a
 bin with a probability of their Jaccard similarity, with the concentration of independent bins, at about t log t + n steps.
 
-Candidates.  Documents with equal sets become one node.  Nodes that share a band meet in its bucket, and each is paired with
-the bucket's least node; a bucket whose nodes are not all of one component afterwards is taken up again (next least node,
-finally all pairs of nodes of different components), so every pair that shares a band is compared or already connected.
-A pair of the least similarity, 0.8, shares no band with a probability of (1 - 0.8^6)^42, about 3 in a million.
+Candidates.  Documents with equal sets become one node.  Nodes that share a band meet in its bucket, and each is compared
+with the bucket's least node.  A bucket whose other nodes are not all of one component afterwards is taken up again, so that
+every pair that shares a band is judged or already connected: its nodes are dealt into blocks, and for each pair of blocks a
+matrix product of 16-bit prints of the shingles bounds all intersections from above.  Only pairs of different components
+whose bound reaches the similarity leave the task (they are then compared in full), so families of documents that are alike
+but not alike enough cost no rows.  A pair of the least similarity, 0.8, shares no band with a probability of
+(1 - 0.8^6)^42, about 3 in a million.
 
 Verification computes both full shingle sets from the texts.  Components come from alternating large-star and small-star
 rounds on the links, each round written to the shared folder.  No bucket is ever collected into one task: buckets are
@@ -27,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stored, tune
+from .runtime import partitions, stored, tune
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
 #: Bands of the sketch and its bins in each.
 BANDS, ROWS = 42, 6
-#: Pairs for each node of the open buckets up to which all pairs of different components are formed at once.
-PAIRS_PER_NODE = 20
+#: Nodes of a block of a bucket that is taken up again.
+BLOCK = 512
 
 _U = np.uint64
 
@@ -92,7 +95,8 @@ def bands(sketch: np.ndarray, count: int, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, n, f1, f2, bands): set size, a 128-bit fingerprint of the set, band keys (none for an empty set)."""
+    """(id, n, f1, f2, bands, prints): set size, a 128-bit fingerprint of the set, band keys (none for an empty set), and
+    the distinct last 16 bits of the shingles' hashes."""
 
     def sign(batches):
         for batch in batches:
@@ -106,11 +110,12 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 f1 = [int(s.sum(dtype=_U).view(np.int64)) for s in sets]
                 f2 = [int(mix(s + _U(77)).sum(dtype=_U).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "f1", "f2", "bands"]
-            )
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array([np.unique(s.astype(np.uint16)).tobytes() for s in sets], pa.binary())], ["id", "n", "f1", "f2", "bands", "prints"],
+            )
 
     kept = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return kept.mapInArrow(sign, "id long, n long, f1 long, f2 long, bands array<long>")
+    return kept.mapInArrow(sign, "id long, n long, f1 long, f2 long, bands array<long>, prints binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,6 +140,54 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def close_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of one bucket and different components (c) whose similarity may reach ``percent``.
+
+    placed: (bucket, rep, n, c, k, prints), k being the size of the bucket.  A bucket of many blocks is dealt out as pairs
+    of blocks, so a task holds two blocks at a time.
+    """
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "c", "prints")
+
+    def compare(batches):
+        held: list[tuple] = []
+
+        def judged():
+            side, rep, n, c, prints = (list(x) for x in zip(*held, strict=True))
+            side, rep, n, c = np.array(side), np.array(rep, np.int64), np.array(n, np.int64), np.array(c, np.int64)
+            grams = [np.frombuffer(p, np.uint16) for p in prints]
+            sizes = np.array([len(g) for g in grams])
+            values, column, seen = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            keep = seen[column] > 1  # what only one node has is in no intersection
+            matrix = np.zeros((len(grams), int((seen > 1).sum())), np.float32)
+            matrix[np.repeat(np.arange(len(grams)), sizes)[keep], (np.cumsum(seen > 1) - 1)[column[keep]]] = 1
+            rows, others = (np.arange(len(grams)), np.arange(len(grams))) if (side == side[0]).all() else (np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0]))
+            # Shingles that share a print with another of their own set are missed at most once each.
+            most = matrix[rows] @ matrix[others].T + np.minimum((n - sizes)[rows][:, None], (n - sizes)[others][None, :])
+            most = np.minimum(most, np.minimum(n[rows][:, None], n[others][None, :]))
+            fits = (100 * most >= percent * (n[rows][:, None] + n[others][None, :] - most)) & (c[rows][:, None] != c[others][None, :])
+            x, y = np.nonzero(fits)
+            one, two = rep[rows[x]], rep[others[y]]
+            pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            for key, row in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True), strict=True):
+                if key != last and held:
+                    yield judged()
+                    held.clear()
+                last = key
+                held.append(row)
+        if held:
+            yield judged()
+
+    spread = dealt.repartition(partitions(placed.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return spread.mapInArrow(compare, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node that it is connected with."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -170,37 +223,23 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     members = nodes.select(F.explode("bands").alias("bucket"), "rep", "n")
     buckets = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(members.join(buckets, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("m"), "size"), "buckets")
-    pairs = shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct()
+    pairs = stored(shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs")
     tested = stored(verified(pairs, texts, words, percent), "tested")
     links = tested.where("linked").select("a", "b")
     found = stored(components(links), "components")
 
-    # Buckets with nodes that are not yet all tried: the heads leave, the rest is looked at by component.
-    open_ = shared.where("size > 2 and rep <> a").select("bucket", "rep", "n").distinct()
-    while True:
-        placed = open_.join(found, open_["rep"] == found["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
-        placed = stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
-        size, most = placed.agg(F.count(F.lit(1)), F.sum("k")).first()
-        if not size:
-            break
-        at_once = most <= PAIRS_PER_NODE * size
-        if at_once:
-            other = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            tried = placed.join(other, "bucket").where((F.col("rep") < F.col("b")) & (F.col("c") != F.col("d")))
-            pairs = tried.where(_alike("n", "m", percent)).select(F.col("rep").alias("a"), "b").distinct()
-        else:
-            heads = placed.groupBy("bucket").agg(F.min(F.struct("rep", "n", "c")).alias("head"))
-            placed = placed.join(heads, "bucket")
-            tried = placed.where("rep <> head.rep and c <> head.c").withColumn("m", F.col("head.n"))
-            pairs = tried.where(_alike("n", "m", percent)).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-            open_ = placed.where("rep <> head.rep").select("bucket", "rep", "n")
-        again = stored(verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, words, percent), "tested")
-        tested = tested.union(again)
-        links = tested.where("linked").select("a", "b")
-        found = stored(components(links), "components")
-        if at_once:
-            break
+    # Buckets whose nodes, but for the head that all were compared with, are of several components.
+    open_ = shared.where("size > 2 and rep <> a").select("bucket", "rep", "n")
+    placed = open_.join(found, open_["rep"] == found["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
+    placed = stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
+    wanted = stored(placed.select(F.col("rep").alias("id")).distinct(), "open_nodes")
+    prints = signed.select("id", "prints").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    placed = placed.join(prints.withColumnRenamed("id", "rep"), "rep")
+    close = stored(close_pairs(placed, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "close")
+    again = stored(verified(close, texts, words, percent), "tested_again")
+    if again.where("linked").limit(1).count():
+        found = stored(components(links.union(again.where("linked").select("a", "b"))), "components_again")
 
     named = sets.join(found, sets["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
