@@ -100,6 +100,22 @@ def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return h[sample[first]], content, begin, size, sample[first] - begin
 
 
+def tag_of(raw: bytes) -> int:
+    """Tells the texts of one id apart, where ids repeat."""
+    return zlib.crc32(raw) & 0xFFFFF
+
+
+def packed_spot(tag: np.ndarray, pos: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A segment's place in one long: 20 bits tag, 31 bits position, 6 bits each for its size beyond ``length`` and for the
+    place of its sample."""
+    return (tag << 43) | (pos << 12) | (more << 6) | at
+
+
+def unpacked_spot(spot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tag, position, size, place of the sample)."""
+    return spot >> 43, (spot >> 12) & (2**31 - 1), ((spot >> 6) & 63) + length, spot & 63
+
+
 def emit_segments(batches, length: int, gram: int, tagged: bool):
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
@@ -114,10 +130,10 @@ def emit_segments(batches, length: int, gram: int, tagged: bool):
             raw = np.frombuffer(b"".join(t or b"" for t in texts[i:j]), np.uint8)
             sample, content, begin, size, at = segments(raw, bounds, length, gram)
             doc = np.searchsorted(bounds, begin, "right") - 1
-            tags = np.array([zlib.crc32(t or b"") if tagged else 0 for t in texts[i:j]], np.int64)
-            spot = (tags[doc] << 31) | (begin - bounds[doc])
+            tags = np.array([tag_of(t or b"") if tagged else 0 for t in texts[i:j]], np.int64)
+            spot = packed_spot(tags[doc], begin - bounds[doc], size - length, at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[i:j][doc].astype(np.int64), spot, (size * 64 + at).astype(np.int32))], ["sample", "content", "id", "spot", "shape"]
+                [pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[i:j][doc].astype(np.int64), spot)], ["sample", "content", "id", "spot"]
             )
             i = j
 
@@ -212,16 +228,16 @@ def covered(size: int, pos: np.ndarray, span: np.ndarray) -> np.ndarray:
 
 
 def removed_masks(ids, texts: list[bytes], spans, length: int, tagged: bool):
-    """The mask of removed bytes of each text, from its list of (spot, size, least): ``least`` null for a whole segment."""
+    """The mask of removed bytes of each text, from its list of (spot, least): ``least`` null for a whole segment."""
     for i, text in enumerate(texts):
         mask = np.zeros(len(text), bool)
         if spans[i].is_valid and len(text) >= length:
             found = spans[i].values
-            spot, size, least = found.field("spot").to_numpy(), found.field("size").to_numpy(), found.field("least")
+            tag, pos, size, _ = unpacked_spot(found.field("spot").to_numpy(), length)
+            least = found.field("least")
             if tagged:
-                mine = (spot >> 31) == zlib.crc32(text)
-                spot, size, least = spot[mine], size[mine], least.filter(pa.array(mine))
-            pos = spot & (2**31 - 1)
+                mine = tag == tag_of(text)
+                pos, size, least = pos[mine], size[mine], least.filter(pa.array(mine))
             whole = least.is_null().to_numpy(zero_copy_only=False)
             parts = least.drop_null()
             counts = parts.value_lengths().to_numpy() if len(parts) else np.zeros(0, np.int64)
@@ -236,6 +252,8 @@ def removed_masks(ids, texts: list[bytes], spans, length: int, tagged: bool):
 def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, rewrite: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``rewrite`` the rows of ``df`` themselves, their
     text without the removed bytes (a character of which a byte went goes whole)."""
+    if not gram <= length <= gram + 63:
+        raise ValueError("length must be at least gram and at most 63 more")
     spark = df.sparkSession
     tune(spark)
     own = "__id"
@@ -244,15 +262,17 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
         docs = docs.select(own, text)
     tagged = bool(docs.groupBy(own).count().where("count > 1").limit(1).count())
 
-    cut = docs.select(own, text).mapInArrow(lambda b: emit_segments(b, length, gram, tagged), "sample long, content long, id long, spot long, shape int")
+    cut = docs.select(own, text).mapInArrow(lambda b: emit_segments(b, length, gram, tagged), "sample long, content long, id long, spot long")
     per_sample = "PARTITION BY sample"
     seen = cut.selectExpr("*", f"min(id) OVER ({per_sample}) AS low", f"max(id) OVER ({per_sample}) AS high", f"min(content) OVER ({per_sample}) = max(content) OVER ({per_sample}) AS single")
-    seen = stored(seen.where("low < high").drop("high"), "segments")
-
-    whole = seen.where("single AND id > low").select("id", "spot", F.expr("shape div 64").cast("int").alias("size"), F.lit(None).cast("array<long>").alias("least"))
-    several = seen.where("NOT single")
-    chosen = several.groupBy("sample", "content").agg(F.min(F.struct("id", "spot", "shape")).alias("one"), F.max("id").alias("top"))
-    wanted = chosen.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot", "one.shape")).alias("parts"))
+    # Of a sample with one content only the later holders matter, and of theirs only where it is.
+    seen = seen.where("low < high AND (NOT single OR id > low)").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot")
+    seen = stored(seen, "segments")
+
+    whole = seen.where("content IS NULL").select("id", "spot", F.lit(None).cast("array<long>").alias("least"))
+    several = seen.where("content IS NOT NULL")
+    chosen = several.groupBy("sample", "content").agg(F.min(F.struct("id", "spot")).alias("one"), F.max("id").alias("top"))
+    wanted = chosen.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot")).alias("parts"))
     names = docs.columns
 
     def fetch(batches):
@@ -260,12 +280,12 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
             at_text, at_id = batch.schema.get_field_index(text), batch.schema.get_field_index(own)
             for raw, doc, parts in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), batch.column(at_id).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 raw, values = raw or b"", parts.values
-                spot, shape = values.field("spot").to_numpy(), values.field("shape").to_numpy()
-                mine = np.flatnonzero((spot >> 31) == zlib.crc32(raw)) if tagged else np.arange(len(spot))
-                pos, size = (spot & (2**31 - 1))[mine], shape[mine] // 64
+                tag, pos, size, place = unpacked_spot(values.field("spot").to_numpy(), length)
+                mine = np.flatnonzero(tag == tag_of(raw)) if tagged else np.arange(len(pos))
+                pos, size, place = pos[mine], size[mine], place[mine]
                 yield pa.RecordBatch.from_arrays(
                     [values.field("sample").take(pa.array(mine)), values.field("content").take(pa.array(mine)), pa.array(np.full(len(mine), doc, np.int64)), values.field("top").take(pa.array(mine)),
-                     pa.array([raw[p : p + s] for p, s in zip(pos.tolist(), size.tolist(), strict=True)], pa.binary()), pa.array((shape[mine] % 64).astype(np.int32))],
+                     pa.array([raw[p : p + s] for p, s in zip(pos.tolist(), size.tolist(), strict=True)], pa.binary()), pa.array(place.astype(np.int32))],
                     ["sample", "content", "id", "top", "raw", "at"],
                 )
 
@@ -274,8 +294,8 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     fetched = fetched.dropDuplicates(["sample", "content"]) if tagged else fetched
     least = fetched.repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(lambda b: sort_contents(b, length), "sample long, content long, least array<long>")
     parts = several.join(least, ["sample", "content"]).where(F.array_min("least") < F.col("id"))
-    parts = parts.select("id", "spot", F.expr("shape div 64").cast("int").alias("size"), "least")
-    spans = whole.union(parts).groupBy(F.col("id").alias("__of")).agg(F.collect_list(F.struct("spot", "size", "least")).alias("__spans"))
+    parts = parts.select("id", "spot", "least")
+    spans = whole.union(parts).groupBy(F.col("id").alias("__of")).agg(F.collect_list(F.struct("spot", "least")).alias("__spans"))
 
     joined = docs.join(spans, docs[own] == spans["__of"], "left").select(*names, "__spans")
 
