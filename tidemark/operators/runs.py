@@ -43,7 +43,7 @@ def summaries(runs: DataFrame, health: DataFrame, newest: int | None = None) ->
 
 def spans(runs: DataFrame, health: DataFrame) -> DataFrame:
     """(run_id, endpoint, start_us, end_us); a run without bounds of its own takes those of its windows."""
-    seen = health.groupBy("run_id").agg(F.min(F.col("bucket_start") * scalars.MICROS).alias("lo"), F.max((F.col("bucket_start") + F.col("bucket_width")) * scalars.MICROS).alias("hi"))
+    seen = health.groupBy("run_id").agg(F.min(F.col("bucket_start") * scalars.MICROS).alias("lo"), F.max((F.col("bucket_start") + F.col("bucket_width")) * F.lit(scalars.MICROS).cast("long")).alias("hi"))
     joined = runs.join(seen, "run_id", "left")
     return joined.select("run_id", F.col("source_endpoint").alias("endpoint"), F.coalesce("first_event_us", "lo").alias("start_us"), F.coalesce("last_event_us", "hi").alias("end_us"))
 

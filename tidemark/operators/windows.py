@@ -92,7 +92,7 @@ def eligible(flag: Column, count: Column) -> Column:
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
     """Pieces of one window (of runs that follow each other) as one: counts and durations add, the duration up to the width;
     flags unite, but ``partial`` is decided anew; of the states the worst stays."""
-    full = F.first("bucket_width") * F.lit(scalars.MICROS)
+    full = F.first("bucket_width").cast("long") * F.lit(scalars.MICROS)
     seen = F.sum("observed_duration_us")
     one = F.count(F.lit(1)) == 1
     rest = F.array_remove(F.array_distinct(F.flatten(F.collect_list("flags"))), "partial")

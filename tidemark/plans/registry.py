@@ -1,4 +1,8 @@
 """Every query of the library by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .oracle import SQL
+from .telemetry import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
