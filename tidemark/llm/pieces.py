@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import zlib
 from array import array
 from collections.abc import Callable
 
@@ -135,6 +136,22 @@ class TextEncoder:
         return len(ids) if self.counting else self._pack(ids)
 
 
+_HELD: dict[tuple, TextEncoder] = {}
+
+
+def encoder(tokenizer_json: str, counting: bool = False, hot: tuple[bytes, bytes] | None = None) -> TextEncoder:
+    """This worker's encoder, kept from task to task with what it has met; one tokenizer is held at a time.
+
+    hot: (chunks joined by a space, their numbers of ids as bytes).
+    """
+    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), counting, zlib.crc32(hot[0]) if hot else None)
+    if name not in _HELD:
+        _HELD.clear()
+        known = dict(zip(hot[0].split(b" "), hot[1], strict=False)) if hot and hot[1] else None
+        _HELD[name] = TextEncoder(tokenizer_json, counting, known)
+    return _HELD[name]
+
+
 def layout(spec: dict) -> str | None:
     """``word``, ``byte`` or None for a tokenizer file's normalizer, splits and model."""
     model, before, normal = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("normalizer")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import TextEncoder
+from .pieces import TextEncoder, encoder
 from .runtime import tune
 
 #: Rows and characters of a text from which the table of frequent chunks is fitted, and its entries.
@@ -35,8 +35,8 @@ def frequent_lengths(df: DataFrame, text: str, tokenizer_json: str, sample_rows:
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 seen.update(value.encode("utf-8").split(b" "))
-        encoder = TextEncoder(tokenizer_json, counting=True)
-        if encoder.kind == "word":
+        own = TextEncoder(tokenizer_json, counting=True)
+        if own.kind == "word":
             words: Counter = Counter()
             for chunk, n in seen.items():
                 for w in chunk.decode("utf-8", "ignore").lower().encode().split():
@@ -44,12 +44,14 @@ def frequent_lengths(df: DataFrame, text: str, tokenizer_json: str, sample_rows:
             seen = words
         kept = []
         for chunk, _ in seen.most_common(entries):
-            plain = chunk and chunk.isascii() and not any(s in chunk.decode() for s in encoder.special) and len(chunk.split()) == 1
-            if plain and chunk.split()[0] == chunk and 0 < (n := encoder.chunks[chunk]) < 256:
+            plain = chunk and chunk.isascii() and not any(s in chunk.decode() for s in own.special) and len(chunk.split()) == 1
+            if plain and chunk.split()[0] == chunk and 0 < (n := own.chunks[chunk]) < 256:
                 kept.append((chunk, n))
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int32())], ["chunk", "n"])
 
-    sample = df.where(F.col(text).isNotNull()).select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(sample_rows)
+    known = df.where(F.col(text).isNotNull())
+    share = min(1.0, 2 * sample_rows / max(1, known.count()))
+    sample = known.sample(share, seed=1).select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(sample_rows)
     rows = sample.coalesce(1).mapInArrow(count, "chunk binary, n int").collect()
     return b" ".join(bytes(r.chunk) for r in rows), bytes(r.n for r in rows)
 
@@ -62,11 +64,11 @@ def count_tokens(df: DataFrame, tokenizer_json: str, *, key: str = "doc_id", tex
     hot = df.sparkSession.sparkContext.broadcast((tokenizer_json, *frequent_lengths(df, text, tokenizer_json)))
 
     def count(batches):
-        spec, chunks, lengths = hot.value
-        encoder = TextEncoder(spec, counting=True, hot=dict(zip(chunks.split(b" "), lengths, strict=False)) if lengths else None)
+        spec, *frequent = hot.value
+        held = encoder(spec, True, tuple(frequent))
         for batch in batches:
             texts = batch.column(1)
-            n = [encoder(t) for t in texts.to_pylist()]
+            n = [held(t) for t in texts.to_pylist()]
             size = [len(b) if b else 0 for b in texts.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import TextEncoder
+from .pieces import encoder
 from .runtime import partitions, shared_dir, stored, tune
 
 MAGIC, VERSION = b"TMIX", 1
@@ -149,14 +149,14 @@ def write_store(df: DataFrame, tokenizer_json: str, *, end_id: int = 1, key: str
     kept = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def write(batches):
-        encoder, keys, sizes, crc = TextEncoder(spec.value), [], [], 0
-        end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
+        encode, keys, sizes, crc = encoder(spec.value), [], [], 0
+        end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
         files, top = fs.FileSystem.from_uri(path)
         files.create_dir(top, recursive=True)
         name, out = uuid.uuid4().hex, None
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            ids = [encoder(t) + end for t in batch.column(1).to_pylist()]
+            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
             sizes += [len(x) // width for x in ids]
             block = b"".join(ids)
             crc = zlib.crc32(block, crc)
