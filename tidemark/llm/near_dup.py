@@ -24,13 +24,15 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, stored, tune
+from .runtime import Workspace, partitions, stored, tune
 
 #: Words of a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -188,17 +190,19 @@ def close_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node that it is connected with."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    mark = None
+    run = uuid.uuid4().hex
+    edges = work.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"links-{run}")
+    mark, turn = None, 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(joined.union(small_least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        turn += 1
+        edges = work.stored(joined.union(small_least.select("u", F.col("m").alias("v"))).distinct(), f"stars-{run}-{turn}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -214,37 +218,40 @@ def _alike(n: str, m: str, percent: int):
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept): a row for each row of ``df``; kept: it has the least id of its component."""
     tune(df.sparkSession)
-    signed = stored(signatures(df, key, text, words), "signatures")
+    work = Workspace(df.sparkSession)
+    signed = work.stored(signatures(df, key, text, words), "signatures")
     sets = signed.where("id is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
-    sets = stored(sets, "sets")
+    sets = work.stored(sets, "sets")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
 
     nodes = signed.select("id", "n", "f1", "f2", "bands").join(sets, ["n", "f1", "f2"]).where("id = rep")
     members = nodes.select(F.explode("bands").alias("bucket"), "rep", "n")
     buckets = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(members.join(buckets, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("m"), "size"), "buckets")
-    pairs = stored(shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    tested = stored(verified(pairs, texts, words, percent), "tested")
+    shared = work.stored(members.join(buckets, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("m"), "size"), "buckets")
+    pairs = work.stored(shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    tested = work.stored(verified(pairs, texts, words, percent), "tested")
     links = tested.where("linked").select("a", "b")
-    found = stored(components(links), "components")
+    found = work.stored(components(links, work), "components")
 
     # Buckets whose nodes, but for the head that all were compared with, are of several components.
     open_ = shared.where("size > 2 and rep <> a").select("bucket", "rep", "n")
     placed = open_.join(found, open_["rep"] == found["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
-    placed = stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
-    wanted = stored(placed.select(F.col("rep").alias("id")).distinct(), "open_nodes")
+    placed = work.stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
+    wanted = work.stored(placed.select(F.col("rep").alias("id")).distinct(), "open_nodes")
     prints = signed.select("id", "prints").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     placed = placed.join(prints.withColumnRenamed("id", "rep"), "rep")
-    close = stored(close_pairs(placed, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "close")
-    again = stored(verified(close, texts, words, percent), "tested_again")
+    close = work.stored(close_pairs(placed, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "close")
+    again = work.stored(verified(close, texts, words, percent), "tested_again")
     if again.where("linked").limit(1).count():
-        found = stored(components(links.union(again.where("linked").select("a", "b"))), "components_again")
+        found = work.stored(components(links.union(again.where("linked").select("a", "b")), work), "components_again")
 
     named = sets.join(found, sets["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return out.select(
+    result = stored(out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
-    )
+    ), "near_duplicates")
+    work.drop()
+    return result
