@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name, and their SQL where SQL can express them."""
+"""The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store, warc
+from .oracle import SQL
 from .pieces import read_tokenizer
 from .runtime import table
 
@@ -57,4 +58,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op6_decontamination, op7_packing, op8_quality, op9_token_counts, op10_warc)}
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]

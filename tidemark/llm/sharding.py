@@ -82,18 +82,3 @@ def write_shards(df: DataFrame, shards: int, path: str, *, key: str = "doc_id")
     column = "shard" if "shard" not in df.columns else "__shard"
     df.withColumn(column, shard_of(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), shards)).write.partitionBy(column).parquet(path)
 
-
-ASSIGN_SQL = """
-WITH RECURSIVE docs AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size FROM documents
-), jump(doc_id, at, next, state) AS (
-  SELECT doc_id, CAST(-1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(doc_id AS HUGEINT) FROM documents
-  UNION ALL
-  SELECT doc_id, next, floor((next + 1.0) * (2147483648.0 / CAST(s // 8589934592 + 1 AS DOUBLE))), s
-  FROM (SELECT doc_id, next, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM jump WHERE next < 41)
-), shards AS (
-  SELECT doc_id, CAST(max(CASE WHEN at < 40 THEN at END) AS INTEGER) AS shard, CAST(max(at) AS INTEGER) AS grown_shard FROM jump GROUP BY doc_id
-)
-SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, 'key' AS law, shard, grown_shard
-FROM docs JOIN shards USING (doc_id)
-"""
