@@ -284,7 +284,7 @@ SQL: dict[str, str] = {
     "recent_states": _conditions("0, 1, 3, 6, 12, 24"),
     "persistence": f"WITH {_field()} SELECT bucket_start, elevated, runs FROM placed",
     "diurnal_swing": f"WITH {_field()} SELECT quantity, round(max(p50), 6) AS high, round(min(p50), 6) AS low, CASE WHEN min(p50) > 0 THEN round(max(p50) / min(p50), 6) END AS swing FROM cells GROUP BY quantity",
-    "intensity_heatmap": f"WITH {_field()} SELECT CAST(epoch_ms(bucket_start * 1000) AS DATE) AS day, CAST(bucket_start // 3600 % 24 AS INTEGER) AS hour, round(avg(interaction_velocity), 6) AS mean, count(*) AS windows FROM field WHERE interaction_velocity IS NOT NULL GROUP BY ALL",
+    "intensity_heatmap": f"WITH {_field()} SELECT CAST(CAST(epoch_ms(bucket_start * 1000) AS DATE) AS VARCHAR) AS day, CAST(bucket_start // 3600 % 24 AS INTEGER) AS hour, round(avg(interaction_velocity), 6) AS mean, count(*) AS windows FROM field WHERE interaction_velocity IS NOT NULL GROUP BY ALL",
     "density_portrait": f"""WITH {_field()}, k AS (SELECT emission_velocity AS x, interaction_velocity AS y FROM field WHERE eligible AND emission_velocity IS NOT NULL AND interaction_velocity IS NOT NULL), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM k)
       SELECT CAST(least(59, floor(coalesce((x - x0) * 60 / nullif(x1 - x0, 0), 0))) AS INTEGER) AS bx, CAST(least(33, floor(coalesce((y - y0) * 34 / nullif(y1 - y0, 0), 0))) AS INTEGER) AS by, count(*) AS windows FROM k, b GROUP BY ALL""",
     "radar": f"""WITH {_field()}, r AS (SELECT CAST(bucket_start // 3600 % 24 AS INTEGER) AS hour, interaction_velocity / p50 AS v FROM placed WHERE bucket_start > (SELECT max(bucket_start) FROM field) - 86400 AND p50 > 0 AND interaction_velocity IS NOT NULL)

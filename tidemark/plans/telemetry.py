@@ -372,7 +372,7 @@ def diurnal_swing(spark, sf_dir):
 
 @query
 def intensity_heatmap(spark, sf_dir):
-    return rounded(field.heat(_field(spark, sf_dir), "interaction_velocity"))
+    return rounded(field.heat(_field(spark, sf_dir), "interaction_velocity").withColumn("day", F.col("day").cast("string")))
 
 
 @query
