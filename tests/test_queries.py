@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -15,7 +16,8 @@ def plain(v):
         return None
     if isinstance(v, bool):
         return v
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
+        v = float(v)
         return round(v, 6) + 0.0
     return int(v) if hasattr(v, "__int__") and not isinstance(v, str) else v
 

@@ -5,13 +5,11 @@ Edges are (us, actor, collection, target).  Nothing here narrows or samples: coh
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
+from ..sources.store import held
 
 H_THRESHOLD, JACCARD, MIN_TARGETS, MIN_COHORT = 0.15, 0.5, 3, 3
 
@@ -65,25 +63,16 @@ def similar_pairs(sets: DataFrame, by: list[str], threshold: float = JACCARD) ->
 def components(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, actor, component): least actor reachable, by rounds of least labels with short cuts.
 
-    Each round is written to the session's checkpoint folder (or the warehouse's), so no lineage grows with the rounds.
+    Each round is written to the shared folder, so no lineage grows with the rounds.
     """
-    spark = pairs.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    top = os.path.join(base, f"components-{uuid.uuid4().hex}")
-
-    def held(df: DataFrame, i: object) -> DataFrame:
-        df.write.parquet(f"{top}/{i}")
-        return spark.read.parquet(f"{top}/{i}")
-
-    links = held(pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*by, F.col("b"), F.col("a"))).distinct(), "links")
-    labels = held(links.groupBy(*by, F.col("x").alias("actor")).agg(F.least("x", F.min("y")).alias("component")) if False else links.select(*by, F.col("x").alias("actor")).distinct().withColumn("component", F.col("actor")), 0)
-    i, mark = 0, None
+    links = held(pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*by, F.col("b"), F.col("a"))).distinct())
+    labels = held(links.groupBy(*by, F.col("x").alias("actor")).agg(F.least("x", F.min("y")).alias("component")) if False else links.select(*by, F.col("x").alias("actor")).distinct().withColumn("component", F.col("actor")))
+    mark = None
     while True:
         near = links.join(labels.withColumnsRenamed({"actor": "y"}), [*by, "y"]).groupBy(*by, F.col("x").alias("actor")).agg(F.min("component").alias("c"))
         stepped = labels.join(near, [*by, "actor"]).select(*by, "actor", F.least("component", "c").alias("component"))
         hop = labels.select(*by, F.col("actor").alias("component"), F.col("component").alias("root"))
-        i += 1
-        labels = held(stepped.join(hop, [*by, "component"]).select(*by, "actor", F.least("component", "root").alias("component")), i)
+        labels = held(stepped.join(hop, [*by, "component"]).select(*by, "actor", F.least("component", "root").alias("component")))
         now = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "actor", "component").cast("decimal(38,0)"))).first()
         if now == mark:
             return labels

@@ -99,8 +99,8 @@ def _field() -> str:
   SELECT bucket_start, bool_and(count IS NOT NULL) AS observed, bool_and(eligible) AS eligible, max(rate) FILTER (WHERE metric = 'click') AS r_click, max(rate) FILTER (WHERE metric = 'error') AS r_error,
          max(rate) FILTER (WHERE metric = 'purchase') AS r_purchase, max(rate) FILTER (WHERE metric = 'signup') AS r_signup, max(rate) FILTER (WHERE metric = 'view') AS r_view FROM pts GROUP BY bucket_start
 ), plain AS (
-  SELECT *, r_view AS emission_velocity, CASE WHEN observed THEN {inter} END AS interaction_velocity, CASE WHEN r_view > 0 THEN {inter} / r_view END AS interaction_pressure,
-         CASE WHEN {inter} > 0 THEN r_click / {inter} END AS reply_share, CASE WHEN observed THEN {_SUM("r_signup", "r_error")} END AS graph_velocity,
+  SELECT *, r_view AS emission_velocity, CASE WHEN coalesce(r_click, r_purchase, r_signup) IS NOT NULL THEN {inter} END AS interaction_velocity, CASE WHEN r_view > 0 THEN {inter} / r_view END AS interaction_pressure,
+         CASE WHEN {inter} > 0 THEN r_click / {inter} END AS reply_share, CASE WHEN coalesce(r_signup, r_error) IS NOT NULL THEN {_SUM("r_signup", "r_error")} END AS graph_velocity,
          CASE WHEN {_SUM("r_signup", "r_error")} > 0 THEN r_error / {_SUM("r_signup", "r_error")} END AS boundary_share, CASE WHEN r_error + {made} > 0 THEN r_error / (r_error + {made}) END AS withdrawal_share FROM wide
 ), own AS (
   SELECT bucket_start, list(interaction_velocity) OVER (ORDER BY bucket_start ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS own FROM plain WHERE eligible AND interaction_velocity IS NOT NULL
@@ -148,13 +148,14 @@ def _conditions(offsets: str) -> str:
     return f"""WITH {_field()}, asked AS (
   SELECT (SELECT max(bucket_start) + 3600 FROM field) - o * 3600 AS at_s FROM (SELECT unnest([{offsets}]) AS o)
 ), last AS (
-  SELECT at_s, max(bucket_start) FILTER (WHERE eligible) AS known, arg_max(runs, bucket_start) AS runs FROM asked JOIN placed ON bucket_start + 3600 <= at_s GROUP BY at_s
+  SELECT at_s, max(bucket_start) FILTER (WHERE eligible) AS known, arg_max(runs, bucket_start) AS runs FROM asked LEFT JOIN placed ON bucket_start + 3600 <= at_s GROUP BY at_s
 ), w AS (
-  SELECT l.at_s, l.runs, p.*  EXCLUDE (runs), (SELECT support FROM dist WHERE quantity = 'interaction_velocity') AS support, coalesce(p.turbulence > p.tp95, false) AND (SELECT support FROM dist WHERE quantity = 'turbulence') <> 'unsupported' AS high
-  FROM last l JOIN placed p ON p.bucket_start = l.known
+  SELECT l.at_s, l.runs, p.*  EXCLUDE (runs), coalesce((SELECT support FROM dist WHERE quantity = 'interaction_velocity'), 'unsupported') AS support,
+    coalesce(p.turbulence > p.tp95, false) AND coalesce((SELECT support FROM dist WHERE quantity = 'turbulence'), 'unsupported') <> 'unsupported' AS high
+  FROM last l LEFT JOIN placed p ON p.bucket_start = l.known
 )
 SELECT at_s, bucket_start, round(interaction_velocity / p50, 6) AS ratio, CAST(runs AS INTEGER) AS runs, support,
-  CASE WHEN (at_s - bucket_start - 3600) / 3600.0 > 15 THEN 'station_offline' WHEN interaction_velocity IS NULL OR p95 IS NULL OR support = 'unsupported' THEN 'unavailable'
+  CASE WHEN bucket_start IS NULL OR (at_s - bucket_start - 3600) / 3600.0 > 15 THEN 'station_offline' WHEN interaction_velocity IS NULL OR p95 IS NULL OR support = 'unsupported' THEN 'unavailable'
     WHEN interaction_velocity > p95 AND interaction_velocity / p50 >= 3 AND runs >= 3 THEN 'severe' WHEN interaction_velocity > p95 AND runs >= 2 THEN 'storm' WHEN (interaction_velocity > p75 OR high) AND runs >= 2 THEN 'turbulent'
     WHEN high OR interaction_velocity > p95 THEN 'unsettled' WHEN interaction_velocity > p75 THEN 'active' ELSE 'calm' END AS state FROM w"""
 
@@ -244,7 +245,7 @@ SQL: dict[str, str] = {
       r AS (SELECT metric, count(*) AS n, sum(d * d1) / sum(d * d) AS r FROM e GROUP BY metric) SELECT metric, n, round(r, 6) AS lag1_r, round(greatest(1.0, least(CAST(n AS DOUBLE), n * (1 - r) / (1 + r))), 6) AS n_eff FROM r""",
     "rate_episodes": f"""WITH {_episodes()} SELECT metric, type, direction, start_s, end_s, score, n_windows, events, round(peak_z, 6) AS peak_z, round(mean_z, 6) AS mean_z, round(extreme_rate, 6) AS extreme_rate, round(baseline_rate, 6) AS baseline_rate,
       best - 1 AS rise_windows, n_z - best AS fall_windows FROM eps""",
-    "episode_summary": f"WITH {_episodes()} SELECT count(*) AS episodes, min(score) AS low, round(median(score), 6) AS mid, max(score) AS high, min(start_s) AS first_s, max(end_s) AS last_s FROM eps",
+    "episode_summary": f"WITH {_episodes()} SELECT count(*) AS episodes, min(score) AS low, round(median(score), 6) AS mid, max(score) AS high, min(start_s) AS first_s, max(end_s) AS last_s FROM eps HAVING count(*) > 0",
     "co_occurrence": f"""WITH {_episodes()}, t AS (SELECT metric, metric || ':' || type AS type, start_s, end_s FROM eps) SELECT a.metric AS metric_a, a.type AS type_a, b.metric AS metric_b, b.type AS type_b, greatest(a.start_s, b.start_s) AS start_s, least(a.end_s, b.end_s) AS end_s,
       least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s) AS overlap_s FROM t a JOIN t b ON a.type <> b.type AND (a.start_s, a.type) < (b.start_s, b.type) AND greatest(a.start_s, b.start_s) < least(a.end_s, b.end_s)""",
     "disclosure_gate": f"""WITH {_episodes()}, n AS (SELECT e.metric, e.type, e.start_s, v.actor, count(*) AS n FROM eps e JOIN ev v ON v.metric = e.metric AND v.us >= e.start_s * 1000000 AND v.us < e.end_s * 1000000 GROUP BY ALL),
@@ -295,9 +296,9 @@ SQL: dict[str, str] = {
     "quality_histogram": f"{_P} SELECT metric, quality, count(*) AS windows, round(sum(observed_duration_us) / 1e6, 6) AS observed_s FROM pts GROUP BY ALL",
     "entity_reduction": _REDUCE,
     "compose_overlap": f"""WITH {_FACTS}, right_facts AS (SELECT start_s - 259200 AS start_s, start_s + 345600 AS end_s, start_s // 604800 % 5 = 0 AS weak, CAST(rows AS DOUBLE) AS value FROM r)
-      SELECT greatest(a.start_s, b.start_s) AS start_s, least(a.end_s, b.end_s) AS end_s, CASE WHEN a.weak OR b.weak THEN 'DEGRADED' ELSE 'PRESENT' END AS state, CASE WHEN a.weak OR b.weak THEN 0.75 ELSE 1.0 END AS coverage_fraction, a.value AS left_value, b.value AS right_value
+      SELECT greatest(a.start_s, b.start_s) AS start_s, least(a.end_s, b.end_s) AS end_s, CASE WHEN a.weak OR b.weak THEN 'DEGRADED' ELSE 'PRESENT' END AS state, CASE WHEN a.weak OR b.weak THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS coverage_fraction, a.value AS left_value, b.value AS right_value
       FROM left_facts a JOIN right_facts b ON greatest(a.start_s, b.start_s) < least(a.end_s, b.end_s)""",
-    "compose_pearson": f"WITH {_FACTS} SELECT count(*) AS aligned_windows, round(corr(l.value, r.quantity), 6) AS coefficient, 'DEGRADED' AS state, 0.75 AS coverage_fraction, 'COMPOSED' AS disposition FROM l JOIN r USING (start_s)",
+    "compose_pearson": f"WITH {_FACTS} SELECT count(*) AS aligned_windows, round(corr(l.value, r.quantity), 6) AS coefficient, 'DEGRADED' AS state, 0.75::DOUBLE AS coverage_fraction, 'COMPOSED' AS disposition FROM l JOIN r USING (start_s)",
     "archive_partition": f"""{_H}, s AS (SELECT bucket_start, bucket_start > (SELECT max(bucket_start) FROM health) - 86400 AS young FROM health)
       SELECT CASE WHEN young THEN 'recent' ELSE 'archive' END AS side, CAST(CAST(epoch_ms(bucket_start * 1000) AS DATE) AS VARCHAR) AS day, count(*) AS windows, min(bucket_start) AS first_start, max(bucket_start) AS last_start FROM s GROUP BY ALL""",
     "archive_index": f"""{_H} SELECT CAST(CAST(epoch_ms(bucket_start * 1000) AS DATE) AS VARCHAR) AS day, count(*) AS window_count, min(bucket_start) AS first_start, max(bucket_start) AS last_start FROM health

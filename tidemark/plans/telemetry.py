@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, vocab
 from ..operators import compose, derive, edges, episodes, field, health, publish, reduce, runs, windows
+from ..sources.store import held
 from ..streaming import windows as live
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
@@ -56,7 +57,8 @@ def health_rows(spark: SparkSession, sf_dir: str, width: int = HOUR, gap_s: int
 
 
 def points(spark: SparkSession, sf_dir: str, metrics: list[str] = METRICS, width: int = HOUR, gap_s: int = GAP_S) -> DataFrame:
-    return windows.series(health_rows(spark, sf_dir, width, gap_s), bucket(spark, sf_dir, width), metrics, width)
+    health = held(health_rows(spark, sf_dir, width, gap_s))
+    return windows.series(health, bucket(spark, sf_dir, width), metrics, width)
 
 
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +236,7 @@ def autocorrelation(spark, sf_dir):
 
 
 def _episodes(spark, sf_dir):
-    return episodes.episodes(_deps(spark, sf_dir, True), enter=2.0, hold=1.0, peak=2.0)
+    return episodes.episodes(held(_deps(spark, sf_dir, True)), enter=2.0, hold=1.0, peak=2.0)
 
 
 @query
@@ -249,13 +251,13 @@ def episode_summary(spark, sf_dir):
 
 @query
 def co_occurrence(spark, sf_dir):
-    found = _episodes(spark, sf_dir).withColumn("type", F.concat_ws(":", "metric", "type"))
+    found = held(_episodes(spark, sf_dir)).withColumn("type", F.concat_ws(":", "metric", "type"))
     return episodes.co_occurrence(found)
 
 
 @query
 def disclosure_gate(spark, sf_dir):
-    found = episodes.disclosable(_episodes(spark, sf_dir), events(spark, sf_dir), 5)
+    found = episodes.disclosable(held(_episodes(spark, sf_dir)), events(spark, sf_dir), 5)
     return found.select("metric", "type", "start_s", "actors", "most_by_one", "acts", "public")
 
 
@@ -310,7 +312,7 @@ def lifecycle_inbound(spark, sf_dir):
 
 
 def _field(spark, sf_dir):
-    return field.vectors(points(spark, sf_dir), ROLES)
+    return held(field.vectors(points(spark, sf_dir), ROLES))
 
 
 @query
@@ -332,31 +334,31 @@ def climatology_overall(spark, sf_dir):
 @query
 def field_candidates(spark, sf_dir):
     rows = _field(spark, sf_dir)
-    cells = field.diurnal(rows)
-    return rounded(field.candidates(rows, cells, field.overall(rows, cells)).select("bucket_start", "quantity", "value", "direction"))
+    cells = held(field.diurnal(rows))
+    return rounded(field.candidates(rows, cells, held(field.overall(rows, cells))).select("bucket_start", "quantity", "value", "direction"))
 
 
 @query
 def candidate_rate(spark, sf_dir):
     rows = _field(spark, sf_dir)
-    cells = field.diurnal(rows)
-    dist = field.overall(rows, cells)
+    cells = held(field.diurnal(rows))
+    dist = held(field.overall(rows, cells))
     return rounded(field.candidate_rate(rows, dist, field.candidates(rows, cells, dist)))
 
 
 @query
 def conditions_state(spark, sf_dir):
     rows = _field(spark, sf_dir)
-    cells = field.diurnal(rows)
-    return rounded(field.conditions(rows, cells, field.overall(rows, cells)))
+    cells = held(field.diurnal(rows))
+    return rounded(field.conditions(rows, cells, held(field.overall(rows, cells))))
 
 
 @query
 def recent_states(spark, sf_dir):
     rows = _field(spark, sf_dir)
-    cells = field.diurnal(rows)
+    cells = held(field.diurnal(rows))
     last = rows.agg(F.max(F.col("bucket_start") + F.col("bucket_width"))).first()[0]
-    return rounded(field.conditions(rows, cells, field.overall(rows, cells), [last - h * 3600 for h in (0, 1, 3, 6, 12, 24)]))
+    return rounded(field.conditions(rows, cells, held(field.overall(rows, cells)), [last - h * 3600 for h in (0, 1, 3, 6, 12, 24)]))
 
 
 @query

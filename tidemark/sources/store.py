@@ -13,6 +13,19 @@ class IntegrityError(ValueError):
     """Rows would be stored twice under one key."""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or the warehouse where that is not set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several branches of a query use is computed once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
