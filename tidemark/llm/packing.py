@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import encoder
+from .pieces import TextEncoder
 from .runtime import stored, tune
 
 WINDOW = 4096
@@ -33,7 +33,7 @@ def encoded(df: DataFrame, tokenizer_json: str, end_id: int, key: str, text: str
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def encode(batches):
-        held, part, before = encoder(spec.value), TaskContext.get().partitionId(), 0
+        held, part, before = TextEncoder(spec.value), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], held.dtype).tobytes(), held.dtype.itemsize
         for batch in batches:
             ids = [held(t) + end for t in batch.column(1).to_pylist()]

@@ -139,16 +139,12 @@ class TextEncoder:
 _HELD: dict[tuple, TextEncoder] = {}
 
 
-def encoder(tokenizer_json: str, counting: bool = False, hot: tuple[bytes, bytes] | None = None) -> TextEncoder:
-    """This worker's encoder, kept from task to task with what it has met; one tokenizer is held at a time.
-
-    hot: (chunks joined by a space, their numbers of ids as bytes).
-    """
-    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), counting, zlib.crc32(hot[0]) if hot else None)
+def encoder(tokenizer_json: str) -> TextEncoder:
+    """This worker's encoder, kept from task to task with what it has met; one tokenizer is held at a time."""
+    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json))
     if name not in _HELD:
         _HELD.clear()
-        known = dict(zip(hot[0].split(b" "), hot[1], strict=False)) if hot and hot[1] else None
-        _HELD[name] = TextEncoder(tokenizer_json, counting, known)
+        _HELD[name] = TextEncoder(tokenizer_json)
     return _HELD[name]
 
 

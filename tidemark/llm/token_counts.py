@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import TextEncoder, encoder
+from .pieces import TextEncoder
 from .runtime import tune
 
 #: Rows and characters of a text from which the table of frequent chunks is fitted, and its entries.
@@ -64,8 +64,8 @@ def count_tokens(df: DataFrame, tokenizer_json: str, *, key: str = "doc_id", tex
     hot = df.sparkSession.sparkContext.broadcast((tokenizer_json, *frequent_lengths(df, text, tokenizer_json)))
 
     def count(batches):
-        spec, *frequent = hot.value
-        held = encoder(spec, True, tuple(frequent))
+        spec, chunks, lengths = hot.value
+        held = TextEncoder(spec, counting=True, hot=dict(zip(chunks.split(b" "), lengths, strict=False)) if lengths else None)
         for batch in batches:
             texts = batch.column(1)
             n = [held(t) for t in texts.to_pylist()]
