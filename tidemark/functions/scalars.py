@@ -169,3 +169,27 @@ def age_text(seconds: Column) -> Column:
     unit = unit.when(seconds < 86400, F.struct(F.lit(3600).alias("by"), F.lit("hour").alias("of"))).otherwise(F.struct(F.lit(86400).alias("by"), F.lit("day").alias("of")))
     n = F.floor(seconds / unit["by"])
     return F.when(seconds < 90, "just now").when(seconds.isNotNull(), F.concat(n.cast("string"), F.lit(" "), unit["of"], F.when(n == 1, "").otherwise("s"), F.lit(" ago")))
+
+
+def query_commitment(sql: Column, params: Column, result: Column) -> Column:
+    """Content address of a query: its text with evened-out blanks, its parameters, its result's hash."""
+    return receipt(stable_json(sql=normalize_sql(sql), params=params, result=result))
+
+
+def event_range(start: Column, end: Column, n: Column) -> Column:
+    return receipt(stable_json(start=start, end=end, events=n))
+
+
+def set_root(values: Column, n: Column) -> Column:
+    """Content address of a set, whatever the order in which it was gathered."""
+    return receipt(stable_json(members=F.array_sort(F.array_distinct(values)), n=n))
+
+
+def fingerprint(start: Column, end: Column, window: Column, config: Column) -> Column:
+    return receipt(stable_json(start=start, end=end, window=window, config=config))
+
+
+def watermark(eligible: Column, observed: Column) -> Column:
+    """How clean the evidence is: the share of eligible windows."""
+    share = ratio(eligible, observed)
+    return F.when(share >= 0.95, "clean").when(share >= 0.6, "degraded").otherwise("sparse")

@@ -104,3 +104,25 @@ def correlation(left: DataFrame, right: DataFrame, least: int = 10) -> DataFrame
     out = found.crossJoin(F.broadcast(weak))  # one row each
     composed = F.col("state").isin(*USABLE) & (F.col("aligned_windows") >= least) & F.col("r").isNotNull()
     return out.select("aligned_windows", F.when(composed, F.col("r")).alias("coefficient"), "state", "coverage_fraction", F.when(F.coalesce(composed, F.lit(False)), "COMPOSED").otherwise("UNSATISFIED").alias("disposition"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """An installed composition: two measurements and how they may be put together."""
+
+    kind: str
+    left: str
+    right: str
+    least_pairs: int = 10
+
+
+def compose(facts: DataFrame, rule: Rule | None, known: dict[str, Contract]) -> DataFrame:
+    """Validates facts and composes them under one installed rule; arbitrary rules are refused."""
+    if rule is None or rule.kind not in ("overlap", "correlation"):
+        raise Refused("RULE_NOT_INSTALLED")
+    if bad := problems(facts, known).select("problem").first():
+        raise Refused(bad.problem)
+    if duplicates(facts).limit(1).count():
+        raise Refused("DUPLICATE_FACT")
+    left, right = (facts.where(F.col("measurement") == m) for m in (rule.left, rule.right))
+    return overlap(left, right) if rule.kind == "overlap" else correlation(left, right, rule.least_pairs)

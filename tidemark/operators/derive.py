@@ -121,3 +121,10 @@ def persistence_of_noise(points: DataFrame, by: tuple[str, ...] = ("metric",)) -
     fit = points.where("eligible")
     out = stats.autocorrelation(fit, list(by), "bucket_start", "rate")
     return out.withColumn("n_eff", scalars.effective_n(F.col("n"), F.col("lag1_r")))
+
+
+def power(points: DataFrame, target: float = 100.0) -> DataFrame:
+    """(metric, n, n_eff, days, days_to_target): how long a series must be watched, as it goes, for an effective size."""
+    noise = persistence_of_noise(points)
+    days = points.where("eligible").groupBy("metric").agg(F.count_distinct(scalars.day_of(F.col("bucket_start"))).alias("days"))
+    return noise.join(days, "metric").select("metric", "n", "n_eff", "days", F.try_divide(F.col("days") * F.lit(target), F.col("n_eff")).alias("days_to_target"))

@@ -53,6 +53,20 @@ def step(s: State, events: int, seconds: float, losses: dict[str, int], lag_s: f
     return s.state, reasons, coverage
 
 
+def checkpoint(s: State, now_s: float, binding: dict[str, str]) -> dict:
+    """What of the state outlives a run: the baseline, and what it is about."""
+    return {"version": 1, "baseline": s.baseline, "windows": s.windows, "at": now_s, "binding": binding}
+
+
+def restored(data: dict | None, now_s: float, binding: dict[str, str | None], oldest_s: float = 3600.0) -> State | None:
+    """A state with the baseline of a checkpoint; none if that is old, of another version, store or endpoint, or empty.
+    Streaks and reasons are not restored: they are about a stream that is no longer the one at hand."""
+    fit = data and data.get("version") == 1 and now_s - data.get("at", 0) <= oldest_s and data.get("binding") == binding and binding.get("store_id") and data.get("baseline", 0) > 0
+    if not fit:
+        return None
+    return State("ok" if data["windows"] >= WARMUP else "warming_up", data["windows"], data["baseline"])
+
+
 def fold(windows: DataFrame) -> DataFrame:
     """(run_id, bucket_start, state, reasons, coverage, baseline_eps): the machine run over each run's windows in order."""
 

@@ -127,3 +127,23 @@ def limits(names: list[str]) -> dict[str, str]:
 
 def qualities() -> tuple[str, ...]:
     return (*vocab.PRECEDENCE, vocab.CLEAN)
+
+
+def gate(files: DataFrame, required: list[str]) -> DataFrame:
+    """(problem, path): why a set of files (path, content) may not be published; no rows if it may.
+
+    Files that must be there and are not, empty ones, and those that name an account.
+    """
+    named = files.withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
+    wanted = files.sparkSession.createDataFrame([(r,) for r in required], "name string")
+    missing = wanted.join(named.select("name"), "name", "left_anti").select(F.lit("missing").alias("problem"), F.col("name").alias("path"))
+    bad = F.when(F.length("content") == 0, "empty").when(scalars.names_identity(F.decode("content", "utf-8")), "names an account")
+    return missing.union(named.select(bad.alias("problem"), "path").where("problem is not null"))
+
+
+def summary(points: DataFrame, summaries: DataFrame, coverage: DataFrame, conditions: DataFrame) -> DataFrame:
+    """One row of JSON: totals by metric, runs, bounds of the observed time, and the state."""
+    metrics = points.groupBy("metric").agg(F.sum("count").alias("total"), F.count_if("eligible").alias("eligible"))
+    held = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  a few rows each
+    row = held(metrics, "metrics").crossJoin(held(summaries, "runs")).crossJoin(held(coverage, "interval")).crossJoin(held(conditions, "conditions"))
+    return row.select(F.to_json(F.struct("conditions", "interval", "metrics", "runs"), {"ignoreNullFields": "false"}).alias("value"))

@@ -311,4 +311,19 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'loss', 'PRESENT', '0' FROM f UNION ALL SELECT 'schema_drift', 'PRESENT', '0' FROM f UNION ALL SELECT 'delay', 'UNKNOWN', NULL FROM f UNION ALL SELECT 'health', CASE last WHEN 'ok' THEN 'PRESENT' WHEN 'degraded' THEN 'DEGRADED' ELSE 'UNKNOWN' END, last FROM f""",
     "identity_tripwire": f"SELECT doc_id, CAST(length(regexp_replace(text, '{_MAIL}', '', 'g')) AS BIGINT) AS rest_chars FROM documents WHERE regexp_matches(text, '{_MAIL}')",
     "event_profile": "SELECT name, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS name FROM events) GROUP BY name",
+    "power_check": f"""{_P}, d AS (SELECT metric, bucket_start, rate - avg(rate) OVER (PARTITION BY metric) AS d FROM pts WHERE eligible), e AS (SELECT *, lead(d) OVER (PARTITION BY metric ORDER BY bucket_start) AS d1 FROM d),
+      r AS (SELECT metric, count(*) AS n, sum(d * d1) / sum(d * d) AS r, count(DISTINCT bucket_start // 86400) AS days FROM e GROUP BY metric), k AS (SELECT *, greatest(1.0, least(CAST(n AS DOUBLE), n * (1 - r) / (1 + r))) AS n_eff FROM r)
+      SELECT metric, n, round(n_eff, 6) AS n_eff, days, round(days * 100.0::DOUBLE / n_eff, 6) AS days_to_target FROM k""",
+    "concentrated": f"""{_H}, x AS (SELECT *, us // 21600000000 AS hour FROM ev), a AS (SELECT hour, CAST(sum(n) AS BIGINT) AS t, count(*) AS n, sum(n * n) / CAST(sum(n) * sum(n) AS DOUBLE) AS h FROM (SELECT hour, actor, count(*) AS n FROM x GROUP BY ALL) GROUP BY hour),
+      b AS (SELECT hour, count(*) AS n, sum(n * n) / CAST(sum(n) * sum(n) AS DOUBLE) AS h FROM (SELECT hour, target, count(*) AS n FROM x WHERE target IS NOT NULL GROUP BY ALL) GROUP BY hour),
+      c AS (SELECT hour, 'actor_concentration' AS type, h, n, t AS n_events FROM a UNION ALL SELECT hour, 'target_concentration', b.h, b.n, a.t FROM b JOIN a USING (hour))
+      SELECT hour, type, round(h, 6) AS h, n, n_events, round(log2(greatest(h * n_events, 1.0)), 6) AS score FROM c WHERE n_events >= 20 AND h >= 0.01""",
+    "public_episodes": f"""WITH {_episodes()}, n AS (SELECT e.metric, e.type, e.start_s, v.actor, count(*) AS n FROM eps e JOIN ev v ON v.metric = e.metric AND v.us >= e.start_s * 1000000 AND v.us < e.end_s * 1000000 GROUP BY ALL),
+      m AS (SELECT metric, type, start_s, count(*) AS actors, max(n) AS most, sum(n) AS acts FROM n GROUP BY ALL)
+      SELECT type, direction, start_s // 3600 * 3600 AS from_s, (end_s + 3599) // 3600 * 3600 AS to_s, CASE WHEN score >= 3.5 THEN 'extreme' WHEN score >= 2 THEN 'large' WHEN score >= 1 THEN 'moderate' ELSE 'small' END AS band,
+        CASE WHEN score >= 3.5 THEN 'critical' WHEN score >= 2 THEN 'high' WHEN score >= 1 THEN 'med' WHEN score >= 0.585 THEN 'low' ELSE 'info' END AS severity
+      FROM eps JOIN m USING (metric, type, start_s) WHERE actors >= 5 AND coalesce(most < acts - baseline_rate * (end_s - start_s), false)""",
+    "seismogram": f"WITH {_episodes()} SELECT type, start_s, end_s, score, round(score / nullif(max(score) OVER (), 0), 6) AS height FROM eps",
+    "observation_documents": f"""WITH {_field()}, v AS (SELECT f.bucket_start, coalesce(h.quality, 'unobserved') AS quality, f.eligible, len(list_filter([emission_velocity, interaction_velocity, interaction_pressure, reply_share, graph_velocity, boundary_share, withdrawal_share, turbulence, acceleration],
+        lambda x: x IS NOT NULL)) AS k FROM field f LEFT JOIN health h USING (bucket_start)) SELECT bucket_start, '3600s' AS window, quality, eligible, CAST(k AS INTEGER) AS measured, CAST(9 - k AS INTEGER) AS missing FROM v""",
 }

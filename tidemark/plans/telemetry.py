@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars, vocab
+from ..functions import scalars
 from ..operators import compose, derive, edges, episodes, field, health, publish, reduce, runs, windows
 from ..sources.store import held
 from ..streaming import windows as live
@@ -489,5 +489,38 @@ def event_profile(spark, sf_dir):
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def names() -> tuple[str, ...]:
-    return tuple(QUERIES) + tuple(vocab.PRECEDENCE[:0])
+@query
+def power_check(spark, sf_dir):
+    return rounded(derive.power(points(spark, sf_dir)))
+
+
+@query
+def public_episodes(spark, sf_dir):
+    found = held(_episodes(spark, sf_dir))
+    return episodes.public_view(episodes.disclosable(found, events(spark, sf_dir), 5))
+
+
+@query
+def concentrated(spark, sf_dir):
+    rows = _edges(spark, sf_dir).withColumn("hour", F.floor(F.col("us") / F.lit(6 * HOUR * scalars.MICROS)))
+    return rounded(edges.concentrated(edges.concentration(rows, ["hour"]), ["hour"], 0.01).select("hour", "type", "h", "n", "n_events", "score"))
+
+
+@query
+def seismogram(spark, sf_dir):
+    return rounded(publish.seismogram(held(_episodes(spark, sf_dir))))
+
+
+@query
+def summary_document(spark, sf_dir):
+    """The published summary as JSON text."""
+    rows = _field(spark, sf_dir)
+    cells = held(field.diurnal(rows))
+    state = field.conditions(rows, cells, held(field.overall(rows, cells)))
+    return publish.summary(points(spark, sf_dir), runs.summaries(run_rows(spark, sf_dir), health_rows(spark, sf_dir)).select("run_id", "windows", "events", "status"), windows.interval_coverage(overlapping(spark, sf_dir)), state.select("at_s", "state"))
+
+
+@query
+def observation_documents(spark, sf_dir):
+    return field.observations(_field(spark, sf_dir), "3600s").select("bucket_start", "window", "quality", "eligible", F.size("metrics").alias("measured"), F.size("unavailable").alias("missing"))
+

@@ -16,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import scalars
 from ..operators import ingest
 
-STATE = "bucket long, high long, events long, late long, pending long, first_us long, last_us long, begun boolean, counts string"
-CLOSED = "source string, bucket_start long, bucket_width int, metric string, count long, events_seen long, late_events long, first_event_us long, last_event_us long, observed_duration_us long, partial boolean"
+STATE = "bucket long, high long, events long, late long, pending long, parse_errors long, rejected long, first_us long, last_us long, begun boolean, counts string"
+CLOSED = "source string, bucket_start long, bucket_width int, metric string, count long, events_seen long, late_events long, parse_errors long, rejected_no_time_us long, first_event_us long, last_event_us long, observed_duration_us long, partial boolean"
 
 
 def json_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -31,6 +31,11 @@ def count_stream(events: DataFrame, width: int, delay: str = "0 seconds") -> Dat
     return counted.select(F.unix_seconds("window.start").alias("bucket_start"), "metric", "count")
 
 
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in CLOSED.split(", ")])
+    return out.astype({"count": "Int64"})
+
+
 class Lane:
     """The open window of one source."""
 
@@ -38,7 +43,7 @@ class Lane:
         import json
 
         self.width = width
-        bucket, high, self.events, self.late, self.pending, first, last, self.begun, counts = held or (-1, -1, 0, 0, 0, -1, -1, False, "{}")
+        bucket, high, self.events, self.late, self.pending, self.parse_errors, self.rejected, first, last, self.begun, counts = held or (-1, -1, 0, 0, 0, 0, 0, -1, -1, False, "{}")
         self.bucket, self.high, self.first, self.last = (None if x == -1 else x for x in (bucket, high, first, last))
         self.counts: dict[str, int] = json.loads(counts)
 
@@ -46,7 +51,7 @@ class Lane:
         import json
 
         bucket, high, first, last = (-1 if x is None else x for x in (self.bucket, self.high, self.first, self.last))
-        return (bucket, high, self.events, self.late, self.pending, first, last, self.begun, json.dumps(self.counts))
+        return (bucket, high, self.events, self.late, self.pending, self.parse_errors, self.rejected, first, last, self.begun, json.dumps(self.counts))
 
     def close(self, source: str, ended: bool = False) -> list[tuple]:
         """The open window's rows, one for each metric; ``ended``: the stream stops at its last event."""
@@ -55,11 +60,25 @@ class Lane:
         start, end = self.bucket * scalars.MICROS, (self.bucket + self.width) * scalars.MICROS
         begin = start if self.begun else self.first
         duration = max(0, (self.last if ended else end) - begin)
-        rows = [(source, self.bucket, self.width, m, n, self.events, self.late, self.first, self.last, duration, duration < end - start) for m, n in sorted(self.counts.items())]
+        rest = (self.events, self.late, self.parse_errors, self.rejected, self.first, self.last, duration, duration < end - start)
+        rows = [(source, self.bucket, self.width, m, n, *rest) for m, n in sorted(self.counts.items())] or [(source, self.bucket, self.width, None, None, *rest)]
         self.high, self.begun = max(self.bucket, -1 if self.high is None else self.high), True
-        self.bucket, self.events, self.late, self.counts, self.first, self.last = None, 0, 0, {}, None, None
+        self.bucket, self.events, self.late, self.counts, self.first, self.last, self.parse_errors, self.rejected = None, 0, 0, {}, None, None, 0, 0
         return rows
 
+    def lose(self, outcome: str) -> None:
+        """A line without a time counts on the open window, or on the next one."""
+        if outcome == "parse_error":
+            self.parse_errors += 1
+        else:
+            self.rejected += 1
+
+    def take(self, source: str, us: float | None, metrics: list[str], outcome: str | None) -> list[tuple]:
+        if us is None or us != us:
+            self.lose(outcome or "rejected_no_time_us")
+            return []
+        return self.observe(source, int(us), metrics)
+
     def observe(self, source: str, us: int, metrics: list[str]) -> list[tuple]:
         bucket, out = us // scalars.MICROS // self.width * self.width, []
         if (self.high is not None and bucket <= self.high) or (self.bucket is not None and bucket < self.bucket):
@@ -79,15 +98,16 @@ class Lane:
 
 
 def window_stream(events: DataFrame, width: int) -> DataFrame:
-    """Closed windows of a stream (source, arrival, us, metrics); rows of a micro-batch are taken in order of arrival."""
+    """Closed windows of a stream (source, arrival, us, metrics[, outcome]); rows of a micro-batch are taken in order of arrival."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         lane, out = Lane(width, state.get if state.exists else None), []
         rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-        for us, metrics in zip(rows.us, rows.metrics, strict=True):
-            out += lane.observe(key[0], int(us), list(metrics))
+        outcomes = rows.outcome if "outcome" in rows else [None] * len(rows)
+        for us, metrics, outcome in zip(rows.us, rows.metrics, outcomes, strict=True):
+            out += lane.take(key[0], us, list(metrics), outcome)
         state.update(lane.held())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
+        yield frame(out)
 
     return events.groupBy("source").applyInPandasWithState(fold, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -97,10 +117,12 @@ def window_batch(events: DataFrame, width: int, ended: bool = True) -> DataFrame
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         source, lane, out = group.source.iloc[0], Lane(width), []
-        for us, metrics in zip(*(group.sort_values("arrival", kind="stable")[c] for c in ("us", "metrics")), strict=True):
-            out += lane.observe(source, int(us), list(metrics))
+        rows = group.sort_values("arrival", kind="stable")
+        outcomes = rows.outcome if "outcome" in rows else [None] * len(rows)
+        for us, metrics, outcome in zip(rows.us, rows.metrics, outcomes, strict=True):
+            out += lane.take(source, us, list(metrics), outcome)
         out += lane.close(source, ended=True) if ended else []
-        return pd.DataFrame(out, columns=[c.split()[0] for c in CLOSED.split(", ")])
+        return frame(out)
 
     return events.groupBy("source").applyInPandas(fold, CLOSED)
 
