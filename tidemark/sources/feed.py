@@ -54,4 +54,8 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+    """(value, arrival) of the lines of files as they appear; files are small (a feed closes one every few seconds), and
+    the order of arrival is that of the files' times and of the lines within a file."""
+    whole = spark.readStream.option("maxFilesPerTrigger", files).option("wholetext", True).text(folder)
+    placed = whole.select(F.unix_millis("_metadata.file_modification_time").alias("at"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    return placed.where("value <> ''").select("value", (F.col("at") * 1_000_000 + F.col("pos")).alias("arrival"))

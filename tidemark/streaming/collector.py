@@ -17,7 +17,7 @@ from . import windows
 def lane(lines: DataFrame, source: str) -> DataFrame:
     """(source, arrival, us, metrics, outcome) of raw lines; lines without a time keep their place in the order of arrival."""
     rows = ingest.classified(lines)
-    return rows.select(F.lit(source).alias("source"), F.monotonically_increasing_id().alias("arrival"), F.col("time_us").alias("us"), F.coalesce("metrics", F.array().cast("array<string>")).alias("metrics"), "outcome")
+    return rows.select(F.lit(source).alias("source"), "arrival", F.col("time_us").alias("us"), F.coalesce("metrics", F.array().cast("array<string>")).alias("metrics"), "outcome")
 
 
 def collect(spark: SparkSession, config: feed.Feed, root: str, *, edges: bool = True) -> None:
