@@ -32,12 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of a query go when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read back: its lineage ends there, and the shuffle files that it took are given up."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written into a new folder of the shared one and read back."""
+    return write(df, f"{shared_dir(df.sparkSession)}/{name}")
 
 
 class Workspace:
@@ -47,8 +60,7 @@ class Workspace:
         self.spark, self.path = spark, shared_dir(spark)
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return write(df, f"{self.path}/{name}")
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
