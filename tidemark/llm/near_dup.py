@@ -29,7 +29,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .runtime import Workspace, partitions, stored, tune
@@ -198,12 +198,14 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turn += 1
-        edges = work.stored(joined.union(small_least.select("u", F.col("m").alias("v"))).distinct(), f"stars-{run}-{turn}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        turn, seen = turn + 1, Observation()
+        stars = joined.union(small_least.select("u", F.col("m").alias("v"))).distinct()
+        stars = stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = work.stored(stars, f"stars-{run}-{turn}")
+        now = seen.get
         if now == mark:
             break
         mark = now
