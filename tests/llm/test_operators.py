@@ -244,6 +244,7 @@ def test_suffix_dedup_random(spark):
         want[i] = int(mask.sum()), hashlib.sha256("".join(c for c, m in zip(t, mask, strict=True) if not m).encode()).hexdigest()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()} == want
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, hot_rows=5).collect()} == want
     cut = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df, rewrite=True).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in cut.items()} == {i: h for i, (_, h) in want.items()}
 

@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch.  Texts are whole, so a batch is kept to few rows.
-BATCH_ROWS = 400
+#: Rows and bytes of an Arrow batch.  Texts are whole, so a batch is kept to few rows, and to fewer where they are long.
+BATCH_ROWS, BATCH_BYTES = 400, 32 << 20
 
 
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: the memory of a Python worker follows the batch, and texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

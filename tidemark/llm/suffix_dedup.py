@@ -14,7 +14,8 @@ samples in order, in blocks, and sorts the suffixes that begin at the samples, w
 From their order the order of the suffixes that begin one byte earlier is induced, by a stable sort on that byte alone, and
 so are their common prefixes: one more than the least between two that come to stand side by side.  This is repeated back to
 the first byte of the segments.  Neighbours with at least ``length`` common bytes are equal strings, and their least id is
-what decides.
+what decides.  A sample of more rows than ``HOT_ROWS`` (the edge of a passage that very many documents share) is not sorted
+in one task: its strings are aggregated as they are.
 
 Suffix tuples (sample, content, id, position) and the spans that result travel through Spark's disk-backed shuffle and sort;
 no task holds more than a block of samples, and no list is longer than a document.
@@ -41,6 +42,8 @@ from .runtime import partitions, stored, tune
 LENGTH, GRAM = 50, 16
 #: Bytes of text and contents that are worked on at once.
 TEXT_BLOCK, CONTENT_BLOCK = 1 << 18, 100_000
+#: Rows of a sample beyond which its contents are not brought into one task.
+HOT_ROWS = 200_000
 NO_ID = 2**63 - 1
 
 _U = np.uint64
@@ -249,7 +252,17 @@ def removed_masks(ids, texts: list[bytes], spans, length: int, tagged: bool):
         yield mask
 
 
-def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, rewrite: bool = False) -> DataFrame:
+def least_by_string(contents: DataFrame, length: int) -> DataFrame:
+    """(sample, content, least) as ``sort_contents`` gives it, by aggregating the strings themselves: for samples with more
+    contents than a task should hold.  Strings are aggregated before they are shuffled."""
+    offsets = F.sequence(F.lit(0), F.length("raw") - length)
+    strings = contents.select("sample", "content", "id", F.posexplode(F.transform(offsets, lambda o: F.substring(F.col("raw"), o + 1, F.lit(length)))).alias("offset", "string"))
+    first = strings.groupBy("string").agg(F.min("id").alias("first"))
+    rows = strings.join(first, "string").groupBy("sample", "content").agg(F.sort_array(F.collect_list(F.struct("offset", "first"))).alias("least"))
+    return rows.select("sample", "content", F.col("least.first").alias("least"))
+
+
+def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, rewrite: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``rewrite`` the rows of ``df`` themselves, their
     text without the removed bytes (a character of which a byte went goes whole)."""
     if not gram <= length <= gram + 63:
@@ -292,7 +305,13 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     fetched = docs.join(wanted, docs[own] == wanted["id"]).select(*names, "parts").mapInArrow(fetch, "sample long, content long, id long, top long, raw binary, at int")
     # A row that shares its id with others gives the content once more.
     fetched = fetched.dropDuplicates(["sample", "content"]) if tagged else fetched
-    least = fetched.repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(lambda b: sort_contents(b, length), "sample long, content long, least array<long>")
+    hot = stored(several.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("sample"), "hot")
+    any_hot = bool(hot.limit(1).count())
+    fetched = stored(fetched, "contents") if any_hot else fetched
+    plain = fetched.join(hot, "sample", "left_anti") if any_hot else fetched
+    least = plain.repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(lambda b: sort_contents(b, length), "sample long, content long, least array<long>")
+    if any_hot:
+        least = least.union(least_by_string(fetched.join(hot, "sample", "left_semi"), length))
     parts = several.join(least, ["sample", "content"]).where(F.array_min("least") < F.col("id"))
     parts = parts.select("id", "spot", "least")
     spans = whole.union(parts).groupBy(F.col("id").alias("__of")).agg(F.collect_list(F.struct("spot", "least")).alias("__spans"))
