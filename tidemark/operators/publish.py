@@ -74,9 +74,9 @@ def continuity(published: DataFrame, candidate: DataFrame, *, store_changed: boo
 
 
 def tripwire(rows: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows whose text names an account or a mail address; publication is refused while there is one."""
+    """Rows whose text names an account or a mail address (not shown), and how much text is left without them."""
     pattern = r"(did:(plc|web):)|(at://)|([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,})"
-    return rows.where(F.coalesce(F.col(text).rlike(pattern), F.lit(False))).select(key, F.regexp_extract(text, r"^(.{0,0})", 1).alias("shown"), F.length(F.regexp_replace(text, pattern, "")).cast("long").alias("rest_chars"))
+    return rows.where(F.coalesce(F.col(text).rlike(pattern), F.lit(False))).select(key, F.length(F.regexp_replace(text, pattern, "")).cast("long").alias("rest_chars"))
 
 
 def status(windows: DataFrame, now_s: int, width: int) -> DataFrame:
