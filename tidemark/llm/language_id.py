@@ -102,7 +102,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str, per_language: int = PE
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     counts = known.groupBy("l").count()
     mix = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
-    thin = known.join(F.broadcast(counts), "l").where(mix * F.col("count") < F.lit(2_000_000 * per_language))
+    thin = known.join(counts, "l").where(mix * F.col("count") < F.lit(2_000_000 * per_language))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(mix, "k"))
     picked = thin.select("l", "k", F.substring("t", 1, FIT_CHARS).alias("t"), rank.alias("r")).where(F.col("r") <= per_language)
     return [(r.t, r.l) for r in picked.orderBy("l", "r").collect()]
