@@ -24,7 +24,7 @@ def autocorrelation(df: DataFrame, by: list[str], order: str, value: str, name:
     """(by, n, name): correlation of neighbours, by order, of the known values; null for fewer than 3 or constant ones."""
     known = df.where(F.col(value).isNotNull())
     mean = known.groupBy(*by).agg(F.avg(value).alias("__m"))
-    paired = known.withColumn("__next", F.lead(value).over(Window.partitionBy(*by).orderBy(order))).join(F.broadcast(mean), by)
+    paired = known.withColumn("__next", F.lead(value).over(Window.partitionBy(*by).orderBy(order))).join(mean, by)
     d, e = F.col(value) - F.col("__m"), F.col("__next") - F.col("__m")
     out = paired.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("__den"), F.sum(d * e).alias("__num"))
     return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__den") > 0), F.col("__num") / F.col("__den")).alias(name))

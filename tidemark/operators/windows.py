@@ -199,7 +199,7 @@ def sum_series(points: DataFrame, parts: list[str], name: str) -> DataFrame:
 def collapse(points: DataFrame, columns: int) -> DataFrame:
     """Points of a metric in at most so many columns: least, greatest, worst quality, whether any was not observed."""
     order = Window.partitionBy("metric").orderBy("bucket_start")
-    sized = points.join(F.broadcast(points.groupBy("metric").agg(F.count(F.lit(1)).alias("__n"))), "metric")
+    sized = points.join(points.groupBy("metric").agg(F.count(F.lit(1)).alias("__n")), "metric")
     placed = sized.withColumn("column", F.floor((F.row_number().over(order) - 1) / F.greatest(F.lit(1), F.ceil(F.col("__n") / columns))).cast("int"))
     rank = F.create_map(*[x for i, q in enumerate((*vocab.PRECEDENCE, vocab.CLEAN)) for x in (F.lit(q), F.lit(i))])
     return placed.groupBy("metric", "column").agg(
