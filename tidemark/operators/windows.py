@@ -119,17 +119,16 @@ def grid(points: DataFrame, width: int, max_points: int = MAX_POINTS, since: int
 def series(health: DataFrame, bucket: DataFrame, metrics: list[str], width: int, *, densify: bool = True, since: int | None = None, until: int | None = None, max_points: int = MAX_POINTS) -> DataFrame:
     """Points of one or more metrics on one grid: (metric, bucket_start, bucket_width, count, events_seen,
     observed_duration_us, flags, coverage_state, run_id, gap_us, lag_ewma_s, lag_max_s, quality, eligible, rate)."""
-    spark = health.sparkSession
     if since is not None:
         health = health.where(F.col("bucket_start") >= since)
     if until is not None:
         health = health.where(F.col("bucket_start") < until)
-    names = F.broadcast(spark.createDataFrame([(m,) for m in metrics], "metric string"))
-    wide = health.withColumn("flags", flags()).crossJoin(names)  # a row of names for each asked metric
+    each = F.explode(F.array(*map(F.lit, metrics)))  # a row of every window for each asked metric
+    wide = health.withColumn("flags", flags()).withColumn("metric", each)
     counted = wide.join(bucket.select("run_id", "bucket_start", "metric", "count"), ["run_id", "bucket_start", "metric"], "left")
     points = merged(counted.withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), ["metric"]).drop("pieces")
     if densify:
-        empty = grid(health, width, max_points, since, until).crossJoin(names)
+        empty = grid(health, width, max_points, since, until).withColumn("metric", each)
         points = empty.join(points, ["metric", "bucket_start"], "left").withColumns({
             "bucket_width": F.lit(width), "observed_duration_us": F.coalesce("observed_duration_us", F.lit(0).cast("long")),
             "flags": F.coalesce("flags", F.array(F.lit(vocab.UNOBSERVED))), "coverage_state": F.coalesce("coverage_state", F.lit(vocab.UNOBSERVED)),
