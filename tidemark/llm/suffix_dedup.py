@@ -5,8 +5,8 @@ input texts.
 
 Sampling.  Of each string of ``length`` bytes the least hashed k-gram is its sample; the strings that share a sample position
 form one segment of the text.  The sample depends on nothing but the string, so equal strings have equal samples, and all
-suffixes that could share ``length`` bytes meet at their sample.  Segments are shuffled as hashes, by sample, and Spark's
-external sort brings those of a sample together; samples that only one document has end there.  A sample with a single
+suffixes that could share ``length`` bytes meet at their sample.  Segments travel as hashes: they are aggregated by sample,
+samples that only one document has end there, and the others are joined with their segments by Spark's external sort.  A sample with a single
 content is decided at once: its least id is that of all its strings.
 
 Induced sorting.  For samples with several contents the bytes are fetched once for each content.  A task walks through its
@@ -276,10 +276,11 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     tagged = bool(docs.groupBy(own).count().where("count > 1").limit(1).count())
 
     cut = docs.select(own, text).mapInArrow(lambda b: emit_segments(b, length, gram, tagged), "sample long, content long, id long, spot long")
-    per_sample = "PARTITION BY sample"
-    seen = cut.selectExpr("*", f"min(id) OVER ({per_sample}) AS low", f"max(id) OVER ({per_sample}) AS high", f"min(content) OVER ({per_sample}) = max(content) OVER ({per_sample}) AS single")
+    # Aggregated before they are shuffled, and joined: a sample that very many documents have is no single task's.
+    per_sample = cut.groupBy("sample").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("first"), F.max("content").alias("last"))
+    per_sample = stored(per_sample.where("low < high").selectExpr("sample", "low", "first = last AS single"), "samples")
     # Of a sample with one content only the later holders matter, and of theirs only where it is.
-    seen = seen.where("low < high AND (NOT single OR id > low)").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot")
+    seen = cut.join(per_sample, "sample").where("NOT single OR id > low").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot")
     seen = stored(seen, "segments")
 
     whole = seen.where("content IS NULL").select("id", "spot", F.lit(None).cast("array<long>").alias("least"))
