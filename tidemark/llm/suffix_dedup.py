@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import mix
-from .runtime import partitions, stored, tune
+from .runtime import Workspace, partitions, stored, tune
 
 #: Bytes of a string that counts as repeated, and of the k-grams that samples are chosen from.
 LENGTH, GRAM = 50, 16
@@ -278,10 +278,12 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     cut = docs.select(own, text).mapInArrow(lambda b: emit_segments(b, length, gram, tagged), "sample long, content long, id long, spot long")
     # Aggregated before they are shuffled, and joined: a sample that very many documents have is no single task's.
     per_sample = cut.groupBy("sample").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("first"), F.max("content").alias("last"))
-    per_sample = stored(per_sample.where("low < high").selectExpr("sample", "low", "first = last AS single"), "samples")
+    work = Workspace(spark)
+    per_sample = work.stored(per_sample.where("low < high").selectExpr("sample", "low", "first = last AS single"), "samples")
     # Of a sample with one content only the later holders matter, and of theirs only where it is.
     seen = cut.join(per_sample, "sample").where("NOT single OR id > low").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot")
     seen = stored(seen, "segments")
+    work.drop()
 
     whole = seen.where("content IS NULL").select("id", "spot", F.lit(None).cast("array<long>").alias("least"))
     several = seen.where("content IS NOT NULL")
