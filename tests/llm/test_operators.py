@@ -288,6 +288,14 @@ def test_decontamination(spark, limit):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_decontamination_carries_columns_without_the_key(spark, limit):
+    bench, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame(CASES, "doc_id long, text string")
+    got = decontaminate.decontaminate(docs.withColumn("__row", F.struct(*docs.columns)), bench, block_bytes=limit, carry=["__row"])
+    assert got.columns[0] == "__row" and "doc_id" not in got.columns
+    assert Counter(tuple(r) for r in got.select("__row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == hits_by_hand()
+
+
 def test_packing(docs, empty, texts, word_json):
     rows = packing.pack(docs, word_json, end_id=2, window=256, with_ids=True).collect()
     want = Counter(tuple([*ids, 2]) for ids in ids_by_hand(word_json, [t for _, t in texts]))

@@ -8,7 +8,7 @@ window, and all lanes of a batch step at once.
 
 The tables are broadcast; items are dealt into blocks of at most ``BLOCK_BYTES`` of text, each with tables of its own, so a
 broadcast has a bound whatever the benchmark's size.  With several blocks each searches all documents and their hits are
-merged by document.
+merged by document: by its id and two hashes of its text, whatever columns are carried.
 
 Nulls: null texts and items without words have no windows; an item without an id is item ``null``; a null document id passes
 through.  Rows that repeat, also with the same id, keep a row each.  Items that repeat count once by id.  Empty tables give
@@ -18,7 +18,6 @@ empty results or no hits.  Other columns are not read unless carried.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -178,28 +177,29 @@ def decontaminate(
 
         return kept.mapInArrow(judge, f"{own}, {OUT}")
 
+    marks = ["__id", "__hash", "__crc"]
+
     def spans_of(tables):
         def find(batches):
             for batch in batches:
-                texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                found = hits(texts, *tables.value)
+                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], *tables.value)
                 full = [i for i, f in enumerate(found) if f[1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(full, pa.int64())), pa.array([zlib.crc32(texts[i]) for i in full], pa.int64()), pa.array([[x for s in found[i][1] for x in s] for i in full], pa.list_(pa.int64())),
-                     pa.array([sorted(found[i][2]) for i in full], pa.list_(pa.string()))], ["id", "crc", "spans", "items"],
+                    [*(c.take(pa.array(full, pa.int64())) for c in batch.columns[1:]), pa.array([[x for s in found[i][1] for x in s] for i in full], pa.list_(pa.int64())),
+                     pa.array([sorted(found[i][2]) for i in full], pa.list_(pa.string()))], [*marks, "spans", "items"],
                 )
 
         return find
 
-    ids = df.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), F.col(text).alias("text"))
-    found = [ids.mapInArrow(spans_of(sent(p)), "id string, crc long, spans array<long>, items array<string>") for p in parts]
+    raw = F.col(text).cast("string").cast("binary")
+    marked = df.select(F.col(text).alias("__text"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(raw).alias("__hash"), F.crc32(raw).alias("__crc"), *carried)
+    found = [marked.select("__text", *marks).mapInArrow(spans_of(sent(p)), "__id string, __hash long, __crc long, spans array<long>, items array<string>") for p in parts]
     union = found[0]
     for f in found[1:]:
         union = union.union(f)
-    merged = union.groupBy("id", "crc").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_set("items")).alias("__items"))
-    crc = F.crc32(F.coalesce(F.col("__text").cast("binary"), F.lit(b"").cast("binary")))
-    with_id = kept.withColumn("__id", F.coalesce(df[key].cast("string"), F.lit("null"))) if key not in carried else kept.withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    joined = with_id.withColumn("__crc", crc).join(merged.withColumnsRenamed({"id": "__id", "crc": "__crc"}), ["__id", "__crc"], "left").select("__text", "__spans", "__items", *carried)
+    # Sets: rows that repeat give the same spans again.
+    merged = union.groupBy(*marks).agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.flatten(F.collect_set("items")).alias("__items"))
+    joined = marked.join(merged, marks, "left").select("__text", "__spans", "__items", *carried)
 
     def merge(batches):
         for batch in batches:
