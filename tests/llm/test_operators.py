@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, near_dup, packing, pieces, quality, sharding, suffix_dedup, token_counts, token_store, warc
@@ -337,6 +338,29 @@ def test_bands_reject_both_ends_and_keep_prose(spark, sf):
     assert good.where("kept").count() >= 0.98 * good.count() > 0
 
 
+@pytest.mark.parametrize("size", [1_200, 2_000, 4_005, 6_000, 8_004])
+def test_bands_find_repetitive_and_incompressible_parts_that_cancel_out(size):
+    """Nothing in these is text, yet the ratio of the whole may lie in its band: 40 percent one sentence, 60 percent random."""
+    rng = random.Random(size)
+    sentence = "the quick brown fox jumps over the lazy dog and runs away again. "
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(4, 8))) for _ in range(size))
+    k = 2 * size // 5
+    raw = ((sentence * size)[:k] + noise[: size - k]).encode()
+    bands = quality.Bands()
+    ratio, bad, kept = quality.in_band(raw, bands, zstandard.ZstdCompressor(level=bands.level))
+    lo, hi = quality.band_of(size, bands.whole)
+    assert lo <= ratio <= hi and bad > 0.5 and not kept
+
+
+def test_chunks_hold_every_byte_and_have_a_band():
+    bands = quality.Bands()
+    for size in [*range(300, 2_400, 7), 8_191, 8_192, 20_001]:
+        chunks = quality.chunks_of(bytes(i % 251 for i in range(size)), bands)
+        assert b"".join(chunks) == bytes(i % 251 for i in range(size)) and len(chunks) > 1
+        assert all(quality.band_of(len(c), bands.chunk) for c in chunks)
+
+
 def test_token_counts(docs, empty, texts):
     spec = pieces.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter((i, len((t or "").encode()), len(ids), len(ids) > 50) for (i, t), ids in zip(texts, ids_by_hand(spec, [t for _, t in texts]), strict=True))

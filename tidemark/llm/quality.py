@@ -3,7 +3,9 @@
 The verdict of the method: the zstandard ratio (compressed over raw bytes) of the whole text, and of its fixed chunks, must
 lie in a band that depends on the length.  Below the band a text is repetitive, above it incompressible.  Short texts
 compress badly whatever they say, so the bands narrow with the length; a text too short for any band is left to the base
-rules.  A text is also rejected when at least ``bad_chunks`` of its chunks lie outside the band of chunks.
+rules.  A text is also rejected when at least ``bad_chunks`` of its bytes are in chunks outside the band of their length.  Every
+text that has a band has two chunks at least, and every byte of it is in one: parts of which some are repetitive and some
+incompressible do not cancel out.
 
 Nulls: a null text has no words (all counts 0) and fails the base rules; a null id passes through.  Empty tables give empty
 results.  Repeated rows stay.  Very long texts are compressed whole.
@@ -29,7 +31,10 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 @dataclass(frozen=True)
 class Bands:
-    """(from this many bytes on, least ratio, greatest ratio), by length; the chunk's size, band and tolerated share.
+    """(from this many bytes on, least ratio, greatest ratio), by length, of texts and of chunks; the chunks' size and tolerated share.
+
+    Texts of fewer than two chunks are cut into halves, quarters and so on of ``chunk_bytes``; an end shorter than the first
+    of the chunks' bands belongs to the chunk before it.
 
     The defaults are set a little outside what labelled good documents show at each length; the tables of another corpus
     want limits of their own.
@@ -40,9 +45,11 @@ class Bands:
         (3_400, 0.433, 0.58), (4_800, 0.427, 0.56), (6_800, 0.418, 0.55), (9_600, 0.410, 0.54), (14_000, 0.404, 0.53),
         (19_000, 0.398, 0.52), (27_000, 0.388, 0.52), (54_000, 0.380, 0.52),
     )
-    chunk_bytes: int = 4_096
-    chunk: tuple[float, float] = (0.42, 0.56)
-    bad_chunks: float = 0.5
+    chunk_bytes: int = 1_024
+    chunk: tuple[tuple[int, float, float], ...] = (
+        (128, 0.595, 0.96), (192, 0.580, 0.85), (256, 0.565, 0.82), (384, 0.535, 0.76), (512, 0.515, 0.72), (768, 0.500, 0.65), (1_024, 0.485, 0.607),
+    )
+    bad_chunks: float = 0.3
     level: int = 3
 
 
@@ -76,17 +83,32 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def band_of(size: int, bands: tuple[tuple[int, float, float], ...]) -> tuple[float, float] | None:
+    return next(((lo, hi) for at, lo, hi in reversed(bands) if size >= at), None)
+
+
+def chunks_of(raw: bytes, bands: Bands) -> list[bytes]:
+    """All of a text in chunks that have a band each."""
+    least = bands.chunk[0][0]
+    step = bands.chunk_bytes
+    while step >= 2 * least and len(raw) < 2 * step:
+        step //= 2
+    starts = [i for i in range(0, len(raw), step) if not i or len(raw) - i >= least]
+    return [raw[i:j] for i, j in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
 def in_band(raw: bytes, bands: Bands, compressor) -> tuple[float | None, float, bool]:
-    """(whole ratio, share of chunks out of their band, verdict)."""
+    """(whole ratio, share of bytes in chunks out of their band, verdict)."""
     size = len(raw)
-    band = next(((lo, hi) for at, lo, hi in reversed(bands.whole) if size >= at), None)
+    band = band_of(size, bands.whole)
     if band is None:
         return None, 0.0, True
     ratio = len(compressor.compress(raw)) / size
-    chunks = [raw[i : i + bands.chunk_bytes] for i in range(0, size - bands.chunk_bytes + 1, bands.chunk_bytes)] if size >= 2 * bands.chunk_bytes else []
-    lo, hi = bands.chunk
-    out = sum(not lo <= len(compressor.compress(c)) / len(c) <= hi for c in chunks) / len(chunks) if chunks else 0.0
-    return ratio, out, band[0] <= ratio <= band[1] and out < bands.bad_chunks
+    bad = 0
+    for c in chunks_of(raw, bands):
+        lo, hi = band_of(len(c), bands.chunk) or (0.0, float("inf"))
+        bad += 0 if lo <= len(compressor.compress(c)) / len(c) <= hi else len(c)
+    return ratio, bad / size, band[0] <= ratio <= band[1] and bad < bands.bad_chunks * size
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
