@@ -250,6 +250,25 @@ def test_suffix_dedup_random(spark):
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in cut.items()} == {i: h for i, (_, h) in want.items()}
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    """Rows without an id whose texts share the low 20 bits of their crc32: each loses its own bytes."""
+    rng = random.Random(8)
+    passage = "a passage that the document with the least id has too, of more than fifty bytes"
+    held, pair = {}, None
+    while not pair:
+        t = word_salad(rng, 30)
+        t = t + passage if len(held) % 2 else passage + t + " and a longer end " * 5
+        other = held.setdefault(zlib.crc32(t.encode()) & 0xFFFFF, t)
+        pair = (other, t) if other.startswith(passage) != t.startswith(passage) else None
+    for ids in ((None, None), (7, 7)):
+        df = spark.createDataFrame([(1, passage), (ids[0], pair[0]), (ids[1], pair[1])], "doc_id long, text string")
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect())
+        left = [(i, len(t), len(passage), hashlib.sha256(t.replace(passage, "").encode()).hexdigest()) for i, t in zip(ids, pair, strict=True)]
+        assert got == Counter([(1, len(passage), 0, hashlib.sha256(passage.encode()).hexdigest()), *left])
+        cut = suffix_dedup.remove_repeats(df, rewrite=True)
+        assert cut.columns == df.columns and Counter(r.text for r in cut.collect()) == Counter([passage, *(t.replace(passage, "") for t in pair)])
+
+
 def test_rewrite_keeps_columns_and_whole_characters(docs, texts):
     rows = suffix_dedup.remove_repeats(docs, rewrite=True)
     assert rows.columns == docs.columns and rows.count() == len(texts)

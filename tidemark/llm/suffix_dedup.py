@@ -21,14 +21,14 @@ Suffix tuples (sample, content, id, position) and the spans that result travel t
 no task holds more than a block of samples, and no list is longer than a document.
 
 Nulls: a null text is the empty one; rows with a null id count as larger than all others and not as smaller than each other.
-Rows that share an id are not smaller than each other.  Texts shorter than ``length`` lose nothing.  Empty tables give empty
+Rows that share an id are not smaller than each other.  Where ids repeat, the rows are written with a number each, and what is
+found for a row goes by that; the id then only says which row is smaller.  Texts shorter than ``length`` lose nothing.  Empty tables give empty
 results.  Columns of the input called like an output column are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -103,23 +103,19 @@ def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
     return h[sample[first]], content, begin, size, sample[first] - begin
 
 
-def tag_of(raw: bytes) -> int:
-    """Tells the texts of one id apart, where ids repeat."""
-    return zlib.crc32(raw) & 0xFFFFF
+def packed_spot(pos: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A segment's place in one long: the position, 6 bits each for its size beyond ``length`` and for the place of its
+    sample."""
+    return (pos << 12) | (more << 6) | at
 
 
-def packed_spot(tag: np.ndarray, pos: np.ndarray, more: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A segment's place in one long: 20 bits tag, 31 bits position, 6 bits each for its size beyond ``length`` and for the
-    place of its sample."""
-    return (tag << 43) | (pos << 12) | (more << 6) | at
+def unpacked_spot(spot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, size, place of the sample)."""
+    return spot >> 12, ((spot >> 6) & 63) + length, spot & 63
 
 
-def unpacked_spot(spot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tag, position, size, place of the sample)."""
-    return spot >> 43, (spot >> 12) & (2**31 - 1), ((spot >> 6) & 63) + length, spot & 63
-
-
-def emit_segments(batches, length: int, gram: int, tagged: bool):
+def emit_segments(batches, length: int, gram: int):
+    """(sample, content, id, spot) of the segments of (id, text), and the row's number where the batches have one more column."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
         i = 0
@@ -133,10 +129,10 @@ def emit_segments(batches, length: int, gram: int, tagged: bool):
             raw = np.frombuffer(b"".join(t or b"" for t in texts[i:j]), np.uint8)
             sample, content, begin, size, at = segments(raw, bounds, length, gram)
             doc = np.searchsorted(bounds, begin, "right") - 1
-            tags = np.array([tag_of(t or b"") if tagged else 0 for t in texts[i:j]], np.int64)
-            spot = packed_spot(tags[doc], begin - bounds[doc], size - length, at)
+            spot = packed_spot(begin - bounds[doc], size - length, at)
+            numbers = [c.slice(i, j - i).take(pa.array(doc)) for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[i:j][doc].astype(np.int64), spot)], ["sample", "content", "id", "spot"]
+                [*(pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[i:j][doc].astype(np.int64), spot)), *numbers], ["sample", "content", "id", "spot", *batch.schema.names[2:]]
             )
             i = j
 
@@ -230,17 +226,14 @@ def covered(size: int, pos: np.ndarray, span: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:size]) > 0
 
 
-def removed_masks(ids, texts: list[bytes], spans, length: int, tagged: bool):
+def removed_masks(ids, texts: list[bytes], spans, length: int):
     """The mask of removed bytes of each text, from its list of (spot, least): ``least`` null for a whole segment."""
     for i, text in enumerate(texts):
         mask = np.zeros(len(text), bool)
         if spans[i].is_valid and len(text) >= length:
             found = spans[i].values
-            tag, pos, size, _ = unpacked_spot(found.field("spot").to_numpy(), length)
+            pos, size, _ = unpacked_spot(found.field("spot").to_numpy(), length)
             least = found.field("least")
-            if tagged:
-                mine = tag == tag_of(text)
-                pos, size, least = pos[mine], size[mine], least.filter(pa.array(mine))
             whole = least.is_null().to_numpy(zero_copy_only=False)
             parts = least.drop_null()
             counts = parts.value_lengths().to_numpy() if len(parts) else np.zeros(0, np.int64)
@@ -269,26 +262,30 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
         raise ValueError("length must be at least gram and at most 63 more")
     spark = df.sparkSession
     tune(spark)
-    own = "__id"
+    own, number = "__id", "__number"
     docs = df.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
     if not rewrite:
         docs = docs.select(own, text)
-    tagged = bool(docs.groupBy(own).count().where("count > 1").limit(1).count())
+    repeated = bool(docs.groupBy(own).count().where("count > 1").limit(1).count())
+    # The column that tells rows apart, in the rows and in what is found for them: the id, or a number that is written down.
+    row, of, more = (number, number, [number]) if repeated else (own, "id", [])
+    if repeated:
+        docs = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
 
-    cut = docs.select(own, text).mapInArrow(lambda b: emit_segments(b, length, gram, tagged), "sample long, content long, id long, spot long")
+    cut = docs.select(own, text, *more).mapInArrow(lambda b: emit_segments(b, length, gram), "sample long, content long, id long, spot long" + (f", {number} long" if repeated else ""))
     # Aggregated before they are shuffled, and joined: a sample that very many documents have is no single task's.
     per_sample = cut.groupBy("sample").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("first"), F.max("content").alias("last"))
     work = Workspace(spark)
     per_sample = work.stored(per_sample.where("low < high").selectExpr("sample", "low", "first = last AS single"), "samples")
     # Of a sample with one content only the later holders matter, and of theirs only where it is.
-    seen = cut.join(per_sample, "sample").where("NOT single OR id > low").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot")
+    seen = cut.join(per_sample, "sample").where("NOT single OR id > low").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot", *more)
     seen = stored(seen, "segments")
     work.drop()
 
-    whole = seen.where("content IS NULL").select("id", "spot", F.lit(None).cast("array<long>").alias("least"))
+    whole = seen.where("content IS NULL").select(of, "spot", F.lit(None).cast("array<long>").alias("least"))
     several = seen.where("content IS NOT NULL")
-    chosen = several.groupBy("sample", "content").agg(F.min(F.struct("id", "spot")).alias("one"), F.max("id").alias("top"))
-    wanted = chosen.groupBy(F.col("one.id").alias("id")).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot")).alias("parts"))
+    chosen = several.groupBy("sample", "content").agg(F.min(F.struct("id", *more, "spot")).alias("one"), F.max("id").alias("top"))
+    wanted = chosen.groupBy(F.col(f"one.{of}").alias("__of")).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot")).alias("parts"))
     names = docs.columns
 
     def fetch(batches):
@@ -296,18 +293,14 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
             at_text, at_id = batch.schema.get_field_index(text), batch.schema.get_field_index(own)
             for raw, doc, parts in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), batch.column(at_id).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
                 raw, values = raw or b"", parts.values
-                tag, pos, size, place = unpacked_spot(values.field("spot").to_numpy(), length)
-                mine = np.flatnonzero(tag == tag_of(raw)) if tagged else np.arange(len(pos))
-                pos, size, place = pos[mine], size[mine], place[mine]
+                pos, size, place = unpacked_spot(values.field("spot").to_numpy(), length)
                 yield pa.RecordBatch.from_arrays(
-                    [values.field("sample").take(pa.array(mine)), values.field("content").take(pa.array(mine)), pa.array(np.full(len(mine), doc, np.int64)), values.field("top").take(pa.array(mine)),
+                    [values.field("sample"), values.field("content"), pa.array(np.full(len(pos), doc, np.int64)), values.field("top"),
                      pa.array([raw[p : p + s] for p, s in zip(pos.tolist(), size.tolist(), strict=True)], pa.binary()), pa.array(place.astype(np.int32))],
                     ["sample", "content", "id", "top", "raw", "at"],
                 )
 
-    fetched = docs.join(wanted, docs[own] == wanted["id"]).select(*names, "parts").mapInArrow(fetch, "sample long, content long, id long, top long, raw binary, at int")
-    # A row that shares its id with others gives the content once more.
-    fetched = fetched.dropDuplicates(["sample", "content"]) if tagged else fetched
+    fetched = docs.join(wanted, docs[row] == wanted["__of"]).select(*names, "parts").mapInArrow(fetch, "sample long, content long, id long, top long, raw binary, at int")
     hot = stored(several.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("sample"), "hot")
     any_hot = bool(hot.limit(1).count())
     fetched = stored(fetched, "contents") if any_hot else fetched
@@ -316,17 +309,17 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     if any_hot:
         least = least.union(least_by_string(fetched.join(hot, "sample", "left_semi"), length))
     parts = several.join(least, ["sample", "content"]).where(F.array_min("least") < F.col("id"))
-    parts = parts.select("id", "spot", "least")
-    spans = whole.union(parts).groupBy(F.col("id").alias("__of")).agg(F.collect_list(F.struct("spot", "least")).alias("__spans"))
+    parts = parts.select(of, "spot", "least")
+    spans = whole.union(parts).groupBy(F.col(of).alias("__of")).agg(F.collect_list(F.struct("spot", "least")).alias("__spans"))
 
-    joined = docs.join(spans, docs[own] == spans["__of"], "left").select(*names, "__spans")
+    joined = docs.join(spans, docs[row] == spans["__of"], "left").select(*names, "__spans")
 
     def digest(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows = []
-            for raw, mask in zip(texts, removed_masks(ids, texts, batch.column(2), length, tagged), strict=True):
+            for raw, mask in zip(texts, removed_masks(ids, texts, batch.column(batch.num_columns - 1), length), strict=True):
                 kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
                 runs = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (len(mask) > 0 and mask[0]))
                 rows.append((len(raw), int(mask.sum()), runs, hashlib.sha256(kept).hexdigest()))
@@ -342,13 +335,13 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
             at_text = batch.schema.get_field_index(text)
             ids, held = batch.column(batch.schema.get_field_index(own)).to_pylist(), batch.column(at_text)
             texts = [t or b"" for t in held.cast(pa.binary()).to_pylist()]
-            masks = removed_masks(ids, texts, batch.column(batch.num_columns - 1), length, tagged)
+            masks = removed_masks(ids, texts, batch.column(batch.num_columns - 1), length)
             new = [whole_characters(raw, mask) if mask.any() else raw.decode("utf-8", "ignore") for raw, mask in zip(texts, masks, strict=True)]
             new = [None if not held[i].is_valid else t for i, t in enumerate(new)]
             columns = [pa.array(new, pa.string()) if i == at_text else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return joined.mapInArrow(cut_out, docs.schema).drop(own)
+    return joined.mapInArrow(cut_out, docs.schema).drop(own, number)
 
 
 def whole_characters(raw: bytes, mask: np.ndarray) -> str:
