@@ -57,6 +57,46 @@ def test_lane_counts_late_events_but_does_not_apply_them(spark):
     assert got == by_hand(events, 60)
 
 
+def folded(rows, width, ended):
+    """The closed windows of (source, arrival, us, metrics, outcome), by the lane's fold."""
+    out = []
+    for source in sorted({r[0] for r in rows}):
+        lane = live.Lane(width)
+        for _, _, us, metrics, outcome in sorted((r for r in rows if r[0] == source), key=lambda r: r[1]):
+            out += lane.take(source, us, metrics, outcome)
+        out += lane.close(source, ended=True) if ended else []
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_batch_is_the_fold_of_every_source(spark, ended):
+    rng, rows = random.Random(9), []
+    for source in ("a", "b", "only lost"):
+        for i in range(300):
+            us = (i + 3) * 7_000_000 - rng.choice([0, 0, 0, 45_000_000, 130_000_000]) + rng.randrange(1000)
+            lost = source == "only lost" or i < 2 or rng.random() < 0.05
+            rows.append((source, i, None if lost else us, [] if lost else rng.sample(["m", "n", "o"], rng.randint(0, 2)), rng.choice(["parse_error", "rejected_no_time_us"]) if lost else None))
+    mixed = rng.sample(rows, len(rows))
+    df = spark.createDataFrame(mixed, "source string, arrival long, us long, metrics array<string>, outcome string")
+    got = live.window_batch(df, 60, ended=ended)
+    assert got.columns == [c.split()[0] for c in live.CLOSED.split(", ")]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == folded(rows, 60, ended)
+
+
+def test_batch_deals_one_source_into_ranges(spark, monkeypatch):
+    written, held = [], live.held
+    monkeypatch.setattr(live, "held", lambda df: written.append(held(df)) or written[-1])
+    # The number is the session's; on small tables adaptive execution would put the ranges together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4_000).selectExpr("'s' AS source", "id AS arrival", "id * 1000000 AS us", "array('m') AS metrics")
+        got = live.window_batch(df, 60).agg(F.sum("count"), F.sum("late_events")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in written[0].groupBy("range").count().collect()]
+    assert tuple(got) == (4_000, 0) and len(sizes) == 4 and max(sizes) < 2_000
+
+
 def test_stream_equals_batch(spark, tmp_path):
     schema = "source string, arrival long, us long, metrics array<string>"
     rows = [("s", i, i * 9_000_000, ["m"]) for i in range(60)]

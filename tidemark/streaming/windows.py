@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars
 from ..operators import ingest
+from ..sources.store import held
 
 STATE = "bucket long, high long, events long, late long, pending long, parse_errors long, rejected long, first_us long, last_us long, begun boolean, counts string"
 CLOSED = "source string, bucket_start long, bucket_width int, metric string, count long, events_seen long, late_events long, parse_errors long, rejected_no_time_us long, first_event_us long, last_event_us long, observed_duration_us long, partial boolean"
@@ -113,18 +114,48 @@ def window_stream(events: DataFrame, width: int) -> DataFrame:
 
 
 def window_batch(events: DataFrame, width: int, ended: bool = True) -> DataFrame:
-    """The same windows of a whole table, for replays: one fold for each source."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        source, lane, out = group.source.iloc[0], Lane(width), []
-        rows = group.sort_values("arrival", kind="stable")
-        outcomes = rows.outcome if "outcome" in rows else [None] * len(rows)
-        for us, metrics, outcome in zip(rows.us, rows.metrics, outcomes, strict=True):
-            out += lane.take(source, us, list(metrics), outcome)
-        out += lane.close(source, ended=True) if ended else []
-        return frame(out)
-
-    return events.groupBy("source").applyInPandas(fold, CLOSED)
+    """The same windows of a whole table, for replays, without a fold: the open window is the highest bucket that has arrived.
+
+    The rows are dealt by arrival into ranges that are written; each range takes over the highest bucket of those before it
+    and is walked on its own.  Rows of one source that arrive at once are taken in order of their time.
+    """
+    by_source = Window.partitionBy("source")
+    span = width * scalars.MICROS
+    lines = events.select("source", "arrival", F.col("us").cast("long").alias("us"), "metrics", (F.col("outcome") if "outcome" in events.columns else F.lit(None).cast("string")).alias("outcome"))
+    order = [F.col("source").asc_nulls_first(), F.col("arrival").asc_nulls_last(), F.col("us").asc_nulls_last()]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    dealt = held(dealt.withColumn("bucket", F.expr(f"(us - pmod(us, {span}L)) div {scalars.MICROS}L")))
+
+    # A row for each range of a source: what was highest when it began.
+    tops = dealt.groupBy("source", "range").agg(F.max("bucket").alias("top"))
+    earlier = by_source.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = tops.select(F.col("source").alias("of"), F.col("range").alias("in"), F.max("top").over(earlier).alias("before"))
+    within = Window.partitionBy("source", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("highest", F.max("bucket").over(within)).join(begun, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")))
+    rows = rows.withColumn("open", F.greatest("highest", "before"))
+    late = F.coalesce(F.col("bucket") < F.col("open"), F.lit(False))
+    rows = held(rows.select("source", "at", "us", "metrics", "outcome", late.alias("late"), F.when(~late & F.col("bucket").isNotNull(), F.col("bucket")).otherwise(F.col("open")).alias("bucket")))
+
+    on_time, lost = F.col("us").isNotNull() & ~F.col("late"), F.col("us").isNull()
+    unread = F.coalesce(F.col("outcome") == "parse_error", F.lit(False))
+    timed = lambda c: F.when(on_time, F.col(c))
+    cells = rows.groupBy("source", "bucket").agg(
+        F.count_if(on_time).alias("events_seen"), F.count_if("late").alias("late_events"), F.count_if(lost & unread).alias("parse_errors"), F.count_if(lost & ~unread).alias("rejected_no_time_us"),
+        F.min_by(timed("us"), timed("at")).alias("first_event_us"), F.max_by(timed("us"), timed("at")).alias("last_event_us"),
+    )
+    # Lines without a time that come before a source's first event count on its first window; a source without events has none.
+    cells = cells.withColumns({"first": F.min("bucket").over(by_source), "last": F.max("bucket").over(by_source)}).withColumn("bucket", F.coalesce("bucket", "first")).where("bucket is not null")
+    sums, ends = ["events_seen", "late_events", "parse_errors", "rejected_no_time_us"], ["first_event_us", "last_event_us"]
+    cells = cells.groupBy("source", "bucket", "first", "last").agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in ends])
+    cells = cells if ended else cells.where("bucket < last")
+    start = F.col("bucket") * scalars.MICROS
+    begin = F.when(F.col("bucket") > F.col("first"), start).otherwise(F.col("first_event_us"))
+    end = F.when(F.col("bucket") < F.col("last"), start + span).otherwise(F.col("last_event_us"))
+    cells = cells.withColumn("observed_duration_us", F.greatest(F.lit(0).cast("long"), end - begin)).withColumn("partial", F.col("observed_duration_us") < span)
+
+    counts = rows.where(on_time).select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.explode("metrics").alias("metric")).groupBy("of", "in", "metric").agg(F.count(F.lit(1)).alias("count"))
+    out = cells.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")), "left")
+    return out.select("source", F.col("bucket").alias("bucket_start"), F.lit(width).cast("int").alias("bucket_width"), "metric", "count", *sums, *ends, "observed_duration_us", "partial")
 
 
 def classified_stream(lines: DataFrame) -> DataFrame:
