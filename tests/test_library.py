@@ -179,6 +179,24 @@ def test_range_join_finds_each_pair_once(spark):
     assert got == sorted((i, j) for i, (s, e) in enumerate(a) for j, (t, u) in enumerate(b) if max(s, t) < min(e, u))
 
 
+def test_cohorts_of_every_collection(spark, sf):
+    """Pairs as by comparing all actors of a collection, and those of ``view`` are what the queries with SQL find."""
+    from tidemark.plans import telemetry
+    from tidemark.plans.registry import QUERIES
+
+    sets = {}
+    for r in telemetry._edges(spark, sf).where("target is not null and target <> ''").select("collection", "actor", "target").distinct().collect():
+        sets.setdefault((r.collection, r.actor), set()).add(r.target)
+    big = sorted((k, v) for k, v in sets.items() if len(v) >= 3)
+    alike = {(c, x, y) for i, ((c, x), v) in enumerate(big) for (d, y), w in big[i + 1 :] if c == d and len(v & w) >= 0.2 * len(v | w)}
+    pairs = QUERIES["collection_cohort_pairs"](spark, sf).collect()
+    assert {(r.collection, r.a, r.b) for r in pairs} == alike and len({c for c, _, _ in alike}) > 1
+    assert sorted((r.a, r.b, r.jaccard) for r in pairs if r.collection == "view") == sorted(map(tuple, QUERIES["cohort_pairs"](spark, sf).select("a", "b", "jaccard").collect()))
+    found = QUERIES["collection_cohort_components"](spark, sf).collect()
+    assert {(r.collection, r.actor) for r in found} == {(r.collection, x) for r in pairs for x in (r.a, r.b)}
+    assert {r.collection for r in QUERIES["collection_cohorts"](spark, sf).collect()} <= {r.collection for r in pairs}
+
+
 def test_cohorts_share_targets(spark):
     rows = [(1, a, t) for a in "abc" for t in ("x", "y", "z", "v" + a)] + [(1, "d", t) for t in ("p", "q", "r")]
     df = spark.createDataFrame([("k", us, a, t) for us, a, t in rows], "collection string, us long, actor string, target string")

@@ -280,12 +280,14 @@ def concentration(spark, sf_dir):
 
 @query
 def cohort_pairs(spark, sf_dir):
+    """Of the collection ``view`` alone, as the query's SQL has it; ``collection_cohort_pairs`` has all."""
     rows = _edges(spark, sf_dir).where("collection = 'view'")
     return rounded(edges.similar_pairs(edges.target_sets(rows, ["collection"]), ["collection"], 0.2).select("a", "b", "jaccard"))
 
 
 @query
 def cohort_components(spark, sf_dir):
+    """Of the collection ``view`` alone, as the query's SQL has it; ``collection_cohort_components`` has all."""
     rows = _edges(spark, sf_dir).where("collection = 'view'")
     pairs = edges.similar_pairs(edges.target_sets(rows, ["collection"]), ["collection"], 0.2)
     return edges.components(pairs, ["collection"]).select("actor", "component")
@@ -293,10 +295,30 @@ def cohort_components(spark, sf_dir):
 
 @query
 def cohorts(spark, sf_dir):
+    """Of the collection ``view`` alone, as the query's SQL has it; ``collection_cohorts`` has all."""
     rows = _edges(spark, sf_dir).where("collection = 'view'")
     return rounded(edges.cohorts(rows, ["collection"], threshold=0.2))
 
 
+def _similar(spark, sf_dir):
+    return edges.similar_pairs(edges.target_sets(_edges(spark, sf_dir), ["collection"]), ["collection"], 0.2)
+
+
+@query
+def collection_cohort_pairs(spark, sf_dir):
+    return rounded(_similar(spark, sf_dir).select("collection", "a", "b", "jaccard"))
+
+
+@query
+def collection_cohort_components(spark, sf_dir):
+    return edges.components(_similar(spark, sf_dir), ["collection"]).select("collection", "actor", "component")
+
+
+@query
+def collection_cohorts(spark, sf_dir):
+    return rounded(edges.cohorts(_edges(spark, sf_dir), ["collection"], threshold=0.2))
+
+
 @query
 def synchronisation(spark, sf_dir):
     found = edges.synchronisation(_edges(spark, sf_dir), ["collection", "day"], 86_400.0, within_s=80_000.0, least_compression=1.0)
