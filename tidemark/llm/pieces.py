@@ -1,7 +1,8 @@
 """Encoding of whole texts through a cache of white-space-free chunks.
 
 The BPE vocabularies used here never merge across pre-tokens, so the ids of a text are the ids of its pre-tokens one after
-the other.  A worker keeps the ids of the chunks that it has met; only chunks it has not met go to the tokenizers library.
+the other.  A text is cut at spaces and ahead of marks; most chunks are a pre-token then.  A worker keeps the ids of the
+chunks that it has met; only pre-tokens that it has not met go to the tokenizers library.
 Texts for which the split by chunks is not provably the library's (special strings, characters from U+0180 on) go to the
 library whole.
 """
@@ -20,7 +21,7 @@ import numpy as np
 #: Code points below this are split here; texts with others are encoded whole by the library.
 SAFE_BELOW = 0x180
 #: Entries of a generation of a worker's cache; two generations are alive at most.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 # White space below U+0180 as the vocabularies' patterns mean it, and their contractions.
 SPACE = "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -36,23 +37,41 @@ WORD_PATTERN = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{SPACE}{LE
 BYTE_PATTERN = re.compile(
     f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Marks that, after letters and before white space, are a pre-token of their own.
-PUNCTUATION = frozenset(b".,;:!?")
+#: The byte level's letter of each byte: itself where it is printed, else the next free one from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {c: 256 + i for i, c in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+#: Marks before which a pre-token ends where a letter or a number precedes them.
+MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Bytes by what they are to that rule: mark, space, letter or number, other.
+_KINDS = bytes(ord("m") if bytes([c]) in MARKS else 32 if c == 32 else ord("a") if bytes([c]).isalnum() or c >= 128 else ord("o") for c in range(256))
 #: A space that does not begin a pre-token: more white space, or the end, follows it.
 LOOSE_SPACE = re.compile(rb" (?:[\x09-\x0d\x20]|\xc2[\x85\xa0]|\Z)")
+#: Begins a chunk that has no space ahead of it, where spaces are part of pre-tokens.
+JOINT = b"\0"
+
+
+def marks_apart(raw: bytes, joint: bytes) -> bytes:
+    """``raw``, text below U+0180, with a space and ``joint`` ahead of each mark; unchanged where a mark may follow something
+    other than a letter or a number."""
+    kinds = raw.translate(_KINDS)
+    if b"mm" in kinds or b"om" in kinds or b" m" in kinds or kinds[:1] == b"m" or joint and joint in raw:
+        return raw
+    if b"\xc2" in raw or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:  # the characters from U+0080 on that are neither
+        return raw
+    for mark in MARKS:
+        raw = raw.replace(mark, b" " + joint + mark)
+    return raw
 
 
 class Generations(dict):
-    """A cache with two generations: what was used since the last turn-over survives the next one."""
+    """A cache with two generations: what was used since the last turn-over survives the next one.  ``fixed`` entries stay."""
 
     def __init__(self, compute: Callable, entries: int, fixed: dict | None = None):
-        super().__init__()
-        self.compute, self.entries, self.fixed, self.old, self.misses = compute, entries, fixed or {}, {}, 0
+        super().__init__(fixed or {})
+        self.compute, self.fixed, self.old, self.misses = compute, fixed or {}, {}, 0
+        self.entries = entries + len(self.fixed)
 
     def __missing__(self, key):
-        value = self.fixed.get(key)
-        if value is not None:
-            return value
         value = self.old.pop(key, None)
         if value is None:
             value = self.compute(key)
@@ -60,6 +79,7 @@ class Generations(dict):
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
+            self.update(self.fixed)
         self[key] = value
         return value
 
@@ -69,11 +89,11 @@ class TextEncoder:
 
     tokenizer_json: the content of a ``tokenizers`` file.  ``kind`` is ``word`` (lower case, white space dropped, word
     ends) or ``byte`` (byte level, the space belongs to the next word); for any other layout each text goes to the library.
-    hot: numbers of ids of frequent chunks, looked up before the cache (counting only).
+    hot: numbers of ids of frequent pre-tokens (in UTF-8), which the caches hold from the start on (counting only).
     """
 
     def __init__(self, tokenizer_json: str, counting: bool = False, hot: dict | None = None, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
@@ -83,33 +103,46 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.kind = layout(json.loads(tokenizer_json))
         self.special = sorted(str(t.content) for t in self.library.get_added_tokens_decoder().values())
-        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._space = "Ġ" if self.kind == "byte" else ""
         self._tokenize = self.library.model.tokenize
-        self.tokens = Generations(self._token, entries)
-        self.chunks = Generations(self._chunk, entries, hot)
+        self.tokens = Generations(self._token, entries, {p.decode(): n for p, n in (hot or {}).items()})
+        self.chunks = Generations(self._chunk, entries, {self._as_chunk(p): n for p, n in (hot or {}).items() if p.split() == [p.strip()]})
 
-    def _pack(self, ids: list[int]):
-        return array(self._code, ids).tobytes()
+    def _as_chunk(self, token: bytes) -> bytes:
+        """The chunk that a pre-token is where it stands alone."""
+        if self.kind == "byte":
+            return token[1:] if token.startswith(b" ") else JOINT + token
+        return token
 
     def _token(self, token: str):
-        if not token.isascii() or not token.isalnum():
-            token = self._bytes.pre_tokenize_str(token)[0][0]
+        return self._looked_up(token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(BYTE_LEVEL))
+
+    def _looked_up(self, token: str):
+        """What the library says of a pre-token in the byte level's letters."""
         found = self._tokenize(token)
-        return len(found) if self.counting else self._pack([t.id for t in found])
+        return len(found) if self.counting else array(self._code, [t.id for t in found]).tobytes()
 
     def _joined(self, parts):
         return sum(parts) if self.counting else b"".join(parts)
 
     def _chunk(self, chunk: bytes):
-        """Of what stands between two spaces; for ``byte`` the first of them belongs to it."""
-        if chunk[:-1].isalpha() and chunk[-1] in PUNCTUATION:  # a word and a mark, each a pre-token
-            return self.chunks[chunk[:-1]] + self.tokens[chr(chunk[-1])]
-        text = chunk.decode() if self.kind == "word" else " " + chunk.decode()
+        """Of what stands between two spaces; for ``byte`` the first of them belongs to it unless ``JOINT`` takes its place."""
+        if chunk.isalpha():  # ASCII letters are one pre-token
+            return self._looked_up(self._space + chunk.decode())
+        text = chunk.decode()
+        if text.isalpha():
+            return self._looked_up(self._space + chunk.decode("latin-1").translate(BYTE_LEVEL))
+        if self.kind == "byte":
+            text = text[1:] if chunk[:1] == JOINT else " " + text
         found = (WORD_PATTERN if self.kind == "word" else BYTE_PATTERN).findall(text)
-        if len(found) == 1:
-            return self._token(found[0])
         return self._joined(map(self.tokens.__getitem__, found))
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text; none where its pre-tokens are the library's alone to tell."""
+        if not text or not self.kind or not self._plain(text):
+            return []
+        return WORD_PATTERN.findall(text.lower()) if self.kind == "word" else BYTE_PATTERN.findall(text)
+
     def _plain(self, text: str) -> bool:
         if any(s in text for s in self.special):
             return False
@@ -124,43 +157,46 @@ class TextEncoder:
             return 0 if self.counting else b""
         if self.kind and self._plain(text):
             if self.kind == "word":
-                return self._joined(map(self.chunks.__getitem__, text.lower().encode().split()))
+                return self._joined(map(self.chunks.__getitem__, marks_apart(text.lower().encode(), b"").split()))
             raw = text.encode()
-            if LOOSE_SPACE.search(raw) is None:
-                first, *rest = raw.split(b" ")
+            if LOOSE_SPACE.search(raw) is None and JOINT not in raw:
+                first, *rest = marks_apart(raw, JOINT).split(b" ")
                 parts = list(map(self.tokens.__getitem__, BYTE_PATTERN.findall(first.decode())))
                 parts += map(self.chunks.__getitem__, rest)
                 return self._joined(parts)
             return self._joined(map(self.tokens.__getitem__, BYTE_PATTERN.findall(text)))
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return len(ids) if self.counting else self._pack(ids)
+        return len(ids) if self.counting else array(self._code, ids).tobytes()
 
 
 _HELD: dict[tuple, TextEncoder] = {}
 
 
-def encoder(tokenizer_json: str) -> TextEncoder:
-    """This worker's encoder, kept from task to task with what it has met; one tokenizer is held at a time."""
-    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json))
+def encoder(tokenizer_json: str, counting: bool = False, hot: list[tuple[bytes, int]] | None = None) -> TextEncoder:
+    """This worker's encoder, kept from task to task with what it has met; one is held at a time."""
+    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), counting)
     if name not in _HELD:
         _HELD.clear()
-        _HELD[name] = TextEncoder(tokenizer_json)
+        _HELD[name] = TextEncoder(tokenizer_json, counting, dict(hot or ()))
     return _HELD[name]
 
 
 def layout(spec: dict) -> str | None:
     """``word``, ``byte`` or None for a tokenizer file's normalizer, splits and model."""
     model, before, normal = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix"):
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk")):
+        return None
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens") or []):
         return None
     if normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
         return "byte" if not model.get("end_of_word_suffix") else None
     steps, parts = (normal or {}).get("normalizers", []), before.get("pretokenizers", [])
-    if [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]:
-        split = parts[0]
-        expected = CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        if split["pattern"] == {"Regex": expected} and split["invert"] and not parts[1]["use_regex"]:
-            return "word"
+    # Text below U+0180 without joining marks is in NFC as it is.
+    if steps != [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}] or len(parts) != 2:
+        return None
+    split = {"type": "Split", "pattern": {"Regex": CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    if parts[0] == split and parts[1].get("type") == "ByteLevel" and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space"):
+        return "word"
     return None
 
 

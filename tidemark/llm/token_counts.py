@@ -1,8 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the lengths (in tokens) of frequent chunks, fitted on a bounded sample and broadcast: its size
-is a parameter.  Tier two is a cache in each Python worker, which asks the tokenizers library for chunks met for the first
-time.  No chunk is ever shuffled; the sample only changes the speed, never a count.
+Tier one is a compact table of the lengths (in tokens) of frequent pre-tokens, fitted on a bounded sample and broadcast: its
+size is a parameter.  It stands in each worker's look-up table from the start on.  Tier two is a cache in each Python worker,
+which asks the tokenizers library for pre-tokens met for the first time.  No pre-token is ever shuffled; the sample only
+changes the speed, never a count.
 
 Nulls: a null text counts as the empty one (0 bytes, 0 tokens); a null id passes through.  Empty tables give empty results.
 Repeated rows stay.  Columns of the input called like an output column are replaced.
@@ -16,44 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import TextEncoder
+from .pieces import TextEncoder, encoder
 from .runtime import tune
 
-#: Rows and characters of a text from which the table of frequent chunks is fitted, and its entries.
+#: Rows and characters of a text from which the table of frequent pre-tokens is fitted, and its entries.
 SAMPLE_ROWS, SAMPLE_CHARS, HOT_ENTRIES = 2_000, 20_000, 50_000
 
 
-def frequent_lengths(df: DataFrame, text: str, tokenizer_json: str, sample_rows: int = SAMPLE_ROWS, entries: int = HOT_ENTRIES) -> tuple[bytes, bytes]:
-    """(chunks joined by a space, their lengths as bytes) of the most frequent chunks of a bounded sample.
+def frequent_lengths(df: DataFrame, text: str, tokenizer_json: str, sample_rows: int = SAMPLE_ROWS, entries: int = HOT_ENTRIES) -> list[tuple[bytes, int]]:
+    """(pre-token, its number of tokens) of the most frequent pre-tokens of a bounded sample, met at least twice.
 
-    The sample is one task of ``sample_rows`` rows, so nothing is shuffled but them.  A chunk of over 255 tokens has no place
-    in the table.
+    The sample is one task of ``sample_rows`` rows, so nothing is shuffled but them.
     """
 
     def count(batches):
         seen: Counter = Counter()
+        own = TextEncoder(tokenizer_json, counting=True)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                seen.update(value.encode("utf-8").split(b" "))
-        own = TextEncoder(tokenizer_json, counting=True)
-        if own.kind == "word":
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in chunk.decode("utf-8", "ignore").lower().encode().split():
-                    words[w] += n
-            seen = words
-        kept = []
-        for chunk, _ in seen.most_common(entries):
-            plain = chunk and chunk.isascii() and not any(s in chunk.decode() for s in own.special) and len(chunk.split()) == 1
-            if plain and chunk.split()[0] == chunk and 0 < (n := own.chunks[chunk]) < 256:
-                kept.append((chunk, n))
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int32())], ["chunk", "n"])
-
-    known = df.where(F.col(text).isNotNull())
-    share = min(1.0, 2 * sample_rows / max(1, known.count()))
-    sample = known.sample(share, seed=1).select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(sample_rows)
-    rows = sample.coalesce(1).mapInArrow(count, "chunk binary, n int").collect()
-    return b" ".join(bytes(r.chunk) for r in rows), bytes(r.n for r in rows)
+                seen.update(own.split(value))
+        kept = [t for t, n in seen.most_common(entries) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([t.encode() for t in kept], pa.binary()), pa.array([own.tokens[t] for t in kept], pa.int32())], ["token", "n"])
+
+    share = min(1.0, 2 * sample_rows / max(1, df.count()))
+    sample = df.sample(share, seed=1).where(F.col(text).isNotNull()).select(F.substring(text, 1, SAMPLE_CHARS).alias("text")).limit(sample_rows)
+    return [(bytes(r.token), r.n) for r in sample.coalesce(1).mapInArrow(count, "token binary, n int").collect()]
 
 
 def count_tokens(df: DataFrame, tokenizer_json: str, *, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
@@ -61,11 +49,11 @@ def count_tokens(df: DataFrame, tokenizer_json: str, *, key: str = "doc_id", tex
     tune(df.sparkSession)
     kept = df.select(F.col(key).alias(key), F.col(text).alias("__text"))
     kind = kept.schema[key].dataType.simpleString()
-    hot = df.sparkSession.sparkContext.broadcast((tokenizer_json, *frequent_lengths(df, text, tokenizer_json)))
+    hot = df.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_lengths(df, text, tokenizer_json)))
 
     def count(batches):
-        spec, chunks, lengths = hot.value
-        held = TextEncoder(spec, counting=True, hot=dict(zip(chunks.split(b" "), lengths, strict=False)) if lengths else None)
+        spec, lengths = hot.value
+        held = encoder(spec, counting=True, hot=lengths)
         for batch in batches:
             texts = batch.column(1)
             n = [held(t) for t in texts.to_pylist()]
