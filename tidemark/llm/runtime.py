@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch.  Texts are whole, so a batch is kept to few rows, and to fewer where they are long.
@@ -20,13 +21,15 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Where the setting is absent (tests, one machine) the session's own checkpoint folder is used, set to a temporary one
-    if it has none.
+    Where the setting is absent the session's own checkpoint folder is used; on one machine it is set to a temporary one if
+    it has none, on a cluster that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
@@ -63,11 +66,22 @@ class Workspace:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         return write(df, f"{self.path}/{name}")
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def drop(self, name: str | None = None) -> None:
+        """Removes all of it, or the table of that name."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Names by which Spark knows stores that pyarrow knows by others.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def opened_store(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a folder by the URI that Spark uses for it."""
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{mark}{rest}" if mark else path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
