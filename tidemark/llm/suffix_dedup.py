@@ -6,8 +6,9 @@ input texts.
 Sampling.  Of each string of ``length`` bytes the least hashed k-gram is its sample; the strings that share a sample position
 form one segment of the text.  The sample depends on nothing but the string, so equal strings have equal samples, and all
 suffixes that could share ``length`` bytes meet at their sample.  Segments travel as hashes: they are aggregated by sample,
-samples that only one document has end there, and the others are joined with their segments by Spark's external sort.  A sample with a single
-content is decided at once: its least id is that of all its strings.
+samples that only one document has end there, and the others are joined with their segments by Spark's external sort, one part
+of the samples after the other.  A sample with a single content is decided at once: its least id is that of all its strings.
+Contents are equal if 128 bits of hashes (64 of the sample, 64 of the segment) are.
 
 Induced sorting.  For samples with several contents the bytes are fetched once for each content.  A task walks through its
 samples in order, in blocks, and sorts the suffixes that begin at the samples, with the common prefixes of neighbours.
@@ -22,8 +23,9 @@ no task holds more than a block of samples, and no list is longer than a documen
 
 Nulls: a null text is the empty one; rows with a null id count as larger than all others and not as smaller than each other.
 Rows that share an id are not smaller than each other.  Where ids repeat, the rows are written with a number each, and what is
-found for a row goes by that; the id then only says which row is smaller.  Texts shorter than ``length`` lose nothing.  Empty tables give empty
-results.  Columns of the input called like an output column are replaced.
+found for a row goes by that; the id then only says which row is smaller.  Texts shorter than ``length`` lose nothing; very long
+ones are cut in pieces that overlap.  Empty tables give empty results.  With ``rewrite`` all columns of the input stay, whatever
+they are called; without, only key and text are read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from .runtime import Workspace, partitions, stored, tune
 LENGTH, GRAM = 50, 16
 #: Bytes of text and contents that are worked on at once.
 TEXT_BLOCK, CONTENT_BLOCK = 1 << 18, 100_000
+#: Parts of the samples whose segments are brought together one after the other: what is shuffled at once is divided by it.
+ROUNDS = 2
 #: Rows of a sample beyond which its contents are not brought into one task.
 HOT_ROWS = 200_000
 NO_ID = 2**63 - 1
@@ -67,7 +71,7 @@ def powers(base: int, n: int) -> np.ndarray:
 def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(sample hash, content hash, start, size, sample's place in it) of the segments of joined texts.
 
-    raw: the texts' bytes, fewer than 2 to the power 20 of them unless there is one text; bounds: their ends, from 0 on.
+    raw: the texts' bytes, at most 2 to the power 20 of them; bounds: their ends, from 0 on.
     """
     n, reach = len(raw), length - gram + 1
     none = (np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -80,8 +84,7 @@ def segments(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
             h = h[: len(h) - step] * _U(0x9E3779B97F4A7C15 + 2 * width) + h[step:]
             width += step
         h = mix(h)
-    place_bits = _U(max(20, int(n).bit_length()))
-    at_mask = (_U(1) << place_bits) - _U(1)
+    at_mask = _U((1 << 20) - 1)
     least = (h & ~at_mask) | np.arange(len(h), dtype=_U)
     width = 1
     while width < reach:
@@ -114,27 +117,42 @@ def unpacked_spot(spot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     return spot >> 12, ((spot >> 6) & 63) + length, spot & 63
 
 
-def emit_segments(batches, length: int, gram: int):
-    """(sample, content, id, spot) of the segments of (id, text), and the row's number where the batches have one more column."""
+def pieces_of(texts: list[bytes], length: int):
+    """(numbers of texts, where each piece begins in its text, the pieces) in blocks of about ``TEXT_BLOCK`` bytes.  A longer
+    text is cut into pieces that share ``length`` - 1 bytes, so every string of ``length`` bytes begins in exactly one."""
+    owner, begin, raw, total = [], [], [], 0
+    for i, text in enumerate(texts):
+        for lo in range(0, max(1, len(text) - length + 1), TEXT_BLOCK):
+            piece = text if len(text) <= TEXT_BLOCK else text[lo : lo + TEXT_BLOCK + length - 1]
+            if raw and total + len(piece) > TEXT_BLOCK:
+                yield owner, begin, raw
+                owner, begin, raw, total = [], [], [], 0
+            owner, begin, raw, total = [*owner, i], [*begin, lo], [*raw, piece], total + len(piece)
+            if piece is text:
+                break
+    if raw:
+        yield owner, begin, raw
+
+
+def emit_segments(batches, length: int, gram: int, part: int = 0, rounds: int = 1):
+    """(sample, content, id, spot) of the segments of (id, text), and the row's number where the batches have one more column;
+    only of samples of one part of ``rounds``."""
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.binary()).to_pylist()
-        i = 0
-        while i < len(texts):
-            j, total = i, 0
-            while j < len(texts) and (j == i or total + len(texts[j] or b"") <= TEXT_BLOCK):
-                total += len(texts[j] or b"")
-                j += 1
-            sizes = np.array([len(t or b"") for t in texts[i:j]])
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            raw = np.frombuffer(b"".join(t or b"" for t in texts[i:j]), np.uint8)
-            sample, content, begin, size, at = segments(raw, bounds, length, gram)
-            doc = np.searchsorted(bounds, begin, "right") - 1
-            spot = packed_spot(begin - bounds[doc], size - length, at)
-            numbers = [c.slice(i, j - i).take(pa.array(doc)) for c in batch.columns[2:]]
+        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for owner, offsets, raws in pieces_of(texts, length):
+            bounds = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+            found = segments(np.frombuffer(b"".join(raws), np.uint8), bounds, length, gram)
+            if rounds > 1:
+                mine = np.flatnonzero(found[0] % _U(rounds) == part)
+                found = tuple(x[mine] for x in found)
+            sample, content, begin, size, at = found
+            piece = np.searchsorted(bounds, begin, "right") - 1
+            doc = np.array(owner)[piece]
+            spot = packed_spot(begin - bounds[piece] + np.array(offsets)[piece], size - length, at)
+            numbers = [c.take(pa.array(doc)) for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[i:j][doc].astype(np.int64), spot)), *numbers], ["sample", "content", "id", "spot", *batch.schema.names[2:]]
+                [*(pa.array(x) for x in (sample.view(np.int64), content.view(np.int64), ids[doc].astype(np.int64), spot)), *numbers], ["sample", "content", "id", "spot", *batch.schema.names[2:]]
             )
-            i = j
 
 
 def induced_least(group: np.ndarray, raw: list[bytes], at: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -255,14 +273,15 @@ def least_by_string(contents: DataFrame, length: int) -> DataFrame:
     return rows.select("sample", "content", F.col("least.first").alias("least"))
 
 
-def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, rewrite: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, rewrite: bool = False, hot_rows: int = HOT_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``rewrite`` the rows of ``df`` themselves, their
     text without the removed bytes (a character of which a byte went goes whole)."""
     if not gram <= length <= gram + 63:
         raise ValueError("length must be at least gram and at most 63 more")
     spark = df.sparkSession
     tune(spark)
-    own, number = "__id", "__number"
+    work = Workspace(spark)
+    own, number, of_, parts_, spans_ = free_names(df, "__id", "__number", "__of", "__parts", "__spans")
     docs = df.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
     if not rewrite:
         docs = docs.select(own, text)
@@ -271,27 +290,31 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     row, of, more = (number, number, [number]) if repeated else (own, "id", [])
     if repeated:
         docs = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    texts = docs.select(own, text, *more)
+    kind = "sample long, content long, id long, spot long" + (f", `{number}` long" if repeated else "")
 
-    cut = docs.select(own, text, *more).mapInArrow(lambda b: emit_segments(b, length, gram), "sample long, content long, id long, spot long" + (f", {number} long" if repeated else ""))
     # Aggregated before they are shuffled, and joined: a sample that very many documents have is no single task's.
+    cut = texts.mapInArrow(lambda b: emit_segments(b, length, gram), kind)
     per_sample = cut.groupBy("sample").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("content").alias("first"), F.max("content").alias("last"))
-    work = Workspace(spark)
     per_sample = work.stored(per_sample.where("low < high").selectExpr("sample", "low", "first = last AS single"), "samples")
-    # Of a sample with one content only the later holders matter, and of theirs only where it is.
-    seen = cut.join(per_sample, "sample").where("NOT single OR id > low").selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot", *more)
-    seen = stored(seen, "segments")
-    work.drop()
+    seen = None
+    for i in range(rounds):
+        # Of a sample with one content only the later holders matter, and of theirs only where it is.
+        cut = texts.mapInArrow(lambda b, i=i: emit_segments(b, length, gram, i, rounds), kind)
+        part = cut.join(per_sample, "sample").where("NOT single OR id > low")
+        part = work.stored(part.selectExpr("sample", "CASE WHEN NOT single THEN content END AS content", "id", "spot", *[f"`{m}`" for m in more]), f"segments-{i}")
+        seen = part if seen is None else seen.union(part)
+    work.drop("samples")
 
     whole = seen.where("content IS NULL").select(of, "spot", F.lit(None).cast("array<long>").alias("least"))
     several = seen.where("content IS NOT NULL")
     chosen = several.groupBy("sample", "content").agg(F.min(F.struct("id", *more, "spot")).alias("one"), F.max("id").alias("top"))
-    wanted = chosen.groupBy(F.col(f"one.{of}").alias("__of")).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot")).alias("parts"))
-    names = docs.columns
+    wanted = chosen.groupBy(F.col(f"one.{of}").alias(of_)).agg(F.collect_list(F.struct("sample", "content", "top", "one.spot")).alias(parts_))
+    wanted = work.stored(wanted, "wanted")
 
     def fetch(batches):
         for batch in batches:
-            at_text, at_id = batch.schema.get_field_index(text), batch.schema.get_field_index(own)
-            for raw, doc, parts in zip(batch.column(at_text).cast(pa.binary()).to_pylist(), batch.column(at_id).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+            for doc, raw, parts in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
                 raw, values = raw or b"", parts.values
                 pos, size, place = unpacked_spot(values.field("spot").to_numpy(), length)
                 yield pa.RecordBatch.from_arrays(
@@ -300,19 +323,23 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
                     ["sample", "content", "id", "top", "raw", "at"],
                 )
 
-    fetched = docs.join(wanted, docs[row] == wanted["__of"]).select(*names, "parts").mapInArrow(fetch, "sample long, content long, id long, top long, raw binary, at int")
-    hot = stored(several.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("sample"), "hot")
+    fetched = texts.join(wanted, texts[row] == wanted[of_]).select(own, text, parts_).mapInArrow(fetch, "sample long, content long, id long, top long, raw binary, at int")
+    hot = work.stored(several.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("sample"), "hot")
     any_hot = bool(hot.limit(1).count())
-    fetched = stored(fetched, "contents") if any_hot else fetched
+    fetched = work.stored(fetched, "contents") if any_hot else fetched
     plain = fetched.join(hot, "sample", "left_anti") if any_hot else fetched
     least = plain.repartition(partitions(spark), "sample").sortWithinPartitions("sample").mapInArrow(lambda b: sort_contents(b, length), "sample long, content long, least array<long>")
     if any_hot:
         least = least.union(least_by_string(fetched.join(hot, "sample", "left_semi"), length))
+    least = work.stored(least, "least")
+    work.drop("wanted")
+    work.drop("contents")
     parts = several.join(least, ["sample", "content"]).where(F.array_min("least") < F.col("id"))
     parts = parts.select(of, "spot", "least")
-    spans = whole.union(parts).groupBy(F.col(of).alias("__of")).agg(F.collect_list(F.struct("spot", "least")).alias("__spans"))
-
-    joined = docs.join(spans, docs[row] == spans["__of"], "left").select(*names, "__spans")
+    spans = stored(whole.union(parts).groupBy(F.col(of).alias(of_)).agg(F.collect_list(F.struct("spot", "least")).alias(spans_)), "spans")
+    work.drop()
+    names = docs.columns
+    joined = docs.join(spans, docs[row] == spans[of_], "left").select(*[docs[c] for c in names], spans_)
 
     def digest(batches):
         for batch in batches:
@@ -344,6 +371,12 @@ def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     return joined.mapInArrow(cut_out, docs.schema).drop(own, number)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores ahead that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in ("_" * i + n for i in range(len(taken) + 1)) if x.lower() not in taken) for n in names]
+
+
 def whole_characters(raw: bytes, mask: np.ndarray) -> str:
     """The text without the masked bytes and without the characters that they are part of."""
     x = np.frombuffer(raw, np.uint8)
