@@ -193,3 +193,24 @@ def watermark(eligible: Column, observed: Column) -> Column:
     """How clean the evidence is: the share of eligible windows."""
     share = ratio(eligible, observed)
     return F.when(share >= 0.95, "clean").when(share >= 0.6, "degraded").otherwise("sparse")
+
+
+def compact_rate(per_second: Column) -> Column:
+    """A rate a minute, short: one digit behind the point, none from 100 on, thousands as k and millions as m."""
+    n = per_second * 60
+    size = F.abs(n)
+    short = (
+        F.when(size >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("m"))).when(size >= 1_000, F.concat(F.format_string("%.1f", n / 1_000), F.lit("k")))
+        .when(size >= 100, F.format_string("%.0f", n)).otherwise(F.format_string("%.1f", n))
+    )
+    return F.when(n.isNull(), "-").otherwise(short)
+
+
+def switch(text: str | None, default: bool = False) -> bool:
+    """A setting that is on or off; what could mean either is refused."""
+    if text is None or not text.strip():
+        return default
+    known = {"1": True, "true": True, "yes": True, "on": True, "0": False, "false": False, "no": False, "off": False}
+    if text.strip().lower() not in known:
+        raise ValueError(f"neither on nor off: {text!r}")
+    return known[text.strip().lower()]

@@ -6,7 +6,7 @@ integer time, is rejected.  (Unlike some parsers, VARIANT refuses duplicate keys
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vocab
@@ -134,3 +134,30 @@ def shape(raw: Column) -> Column:
 
 def event_receipt(edges: DataFrame) -> Column:
     return scalars.receipt(scalars.stable_json(**{c: F.col(c) for c in ("actor", "collection", "op", "rkey", "rev", "cid", "subject_kind", "subject_ref", "observed_us")}))
+
+
+def rates(rows: DataFrame, width: int) -> DataFrame:
+    """One row on events (us) by window: how many windows and events, rates at p50, p95 and most.  The first and the last
+    window are seen in part only and do not count."""
+    per = rows.groupBy(scalars.bucket_start(F.col("us"), width).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ends = per.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    inner = per.crossJoin(F.broadcast(ends)).where("at > lo and at < hi")  # one row of bounds
+    rate = F.col("n") / F.lit(float(width))
+    return inner.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("events"), F.percentile(rate, 0.5).alias("rate_p50"), F.percentile(rate, 0.95).alias("rate_p95"), F.max(rate).alias("rate_max"))
+
+
+def monotonicity(rows: DataFrame, cells: int = 4096) -> DataFrame:
+    """One row on (arrival, us): steps from each row to the next in order of arrival that go up, stay, go down.
+
+    Steps inside ranges of arrival are found range by range; those between ranges from a row for each range, so no task walks
+    the whole table.
+    """
+    bounds = rows.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi"))
+    at = F.floor((F.col("arrival") - F.col("lo")) * cells / (F.col("hi") - F.col("lo") + 1))
+    placed = rows.crossJoin(F.broadcast(bounds)).select("arrival", "us", at.alias("cell"))  # one row of bounds
+    before = F.lag("us").over(Window.partitionBy("cell").orderBy("arrival", "us"))
+    inside = placed.select("us", before.alias("before"))
+    ends = placed.groupBy("cell").agg(F.min_by("us", F.struct("arrival", "us")).alias("us"), F.max_by("us", F.struct("arrival", "us")).alias("last"))
+    between = ends.select("us", F.lag("last").over(Window.orderBy("cell")).alias("before"))  # a bounded number of cells
+    step = F.col("us") - F.col("before")
+    return inside.union(between).agg(F.count_if(step > 0).alias("up"), F.count_if(step == 0).alias("ties"), F.count_if(step < 0).alias("down"))

@@ -147,3 +147,54 @@ def summary(points: DataFrame, summaries: DataFrame, coverage: DataFrame, condit
     held = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  a few rows each
     row = held(metrics, "metrics").crossJoin(held(summaries, "runs")).crossJoin(held(coverage, "interval")).crossJoin(held(conditions, "conditions"))
     return row.select(F.to_json(F.struct("conditions", "interval", "metrics", "runs"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def windows_between(recent: DataFrame, archive: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Windows that start in [lo, hi]: the recent ones, and of the archived days (column ``day``) in that range, which are all
+    that is read, those that are older than every recent window."""
+    first = recent.agg(F.min("bucket_start").alias("__first"))
+    inside = F.col("bucket_start").between(lo, hi)
+    days = archive.where(F.col("day").between(scalars.day_of(F.lit(lo)), scalars.day_of(F.lit(hi))))
+    older = days.where(inside).crossJoin(F.broadcast(first)).where(F.col("__first").isNull() | (F.col("bucket_start") < F.col("__first"))).drop("__first")  # one row
+    return recent.where(inside).unionByName(older.select(*recent.columns))
+
+
+def noticed(index: DataFrame, notices: DataFrame) -> DataFrame:
+    """The discontinuities (notice_id, at_s, message) of an index with some more; each is there once however often it is
+    written, and one that is written again with other words has those."""
+    return index.withColumn("__new", F.lit(0)).unionByName(notices.withColumn("__new", F.lit(1))).groupBy("notice_id").agg(F.max_by(F.struct("at_s", "message"), "__new").alias("x")).select("notice_id", "x.*")
+
+
+def loss_notice(verdict: DataFrame) -> DataFrame:
+    """The words of a notice about lost time, from the row of ``continuity``; null where nothing was lost."""
+    lost = F.col("published_s") - F.col("candidate_s")
+    said = F.when(~F.col("recent_lost"), F.lit(None)).when(F.col("candidate_s") == 0, "all that was published is lost").otherwise(F.concat(F.round(lost).cast("long").cast("string"), F.lit(" s of what was published are lost")))
+    return verdict.withColumn("notice", said)
+
+
+# The limits that public episodes keep to, whether or not there are any.
+POLICY = (("minimum_distinct_actors", "10"), ("excess_dominance_suppression", "true"), ("time_bucket_seconds", "3600"), ("exact_statistics_published", "false"), ("stable_episode_identifiers_published", "false"))
+
+
+def disclosure_policy(spark) -> DataFrame:
+    """(rule, value): what public episodes keep to, stated even where there is no episode to apply it to."""
+    return spark.createDataFrame(list(POLICY), "rule string, value string")
+
+
+def criteria(spark) -> DataFrame:
+    """(place, state, rule): the named states in the order in which they are tried."""
+    rules = (
+        ("station_offline", "no eligible window, or only an old one"), ("unavailable", "nothing to compare the hour with"), ("severe", "above p95, three times the median, three windows long"),
+        ("storm", "above p95, two windows long"), ("turbulent", "above p75 or turbulent, two windows long"), ("unsettled", "turbulent or above p95"), ("active", "above p75"), ("calm", "all else"),
+    )
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "place int, state string, rule string")
+
+
+def trailing(found: DataFrame, now_s: int, window_s: int = 48 * 3600) -> DataFrame:
+    """Disclosable episodes that end within the last so many seconds."""
+    return found.where(F.col("public") & (F.col("end_s") > now_s - window_s) & (F.col("start_s") < now_s))
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A document of one row (column ``value``) as one text file."""
+    document.select("value").coalesce(1).write.mode("overwrite").text(path)

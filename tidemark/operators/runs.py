@@ -87,3 +87,31 @@ def coverage(health: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("windows"), F.sum("events_seen").alias("events"), F.sum("observed_duration_us").alias("observed_us"), F.sum("gap_us").alias("gap_us"), F.count_if("partial").alias("partial_windows"),
         F.min("bucket_start").alias("first_start"), F.max("bucket_start").alias("last_start"),
     )
+
+
+def merged_markers(markers: DataFrame) -> DataFrame:
+    """Runs from markers that are only ever appended: a run's ``start`` (what it is to do) and, once it closes, its ``end``.
+
+    markers: (run_id, mark, source_endpoint, bucket_width, started_at, resume_cursor_at_start, ended_at, stop_reason,
+    first_event_us, last_event_us), with nulls for what the other marker says.  A run without an end is open; one whose end
+    is there twice has the later; one without a start is not a run.
+    """
+    begun = ["source_endpoint", "bucket_width", "started_at", "resume_cursor_at_start"]
+    closed = ["ended_at", "stop_reason", "first_event_us", "last_event_us"]
+    start, end = F.col("mark") == "start", F.col("mark") == "end"
+    found = markers.groupBy("run_id").agg(
+        F.max_by(F.struct(*begun), F.when(start, F.col("started_at"))).alias("s"), F.max_by(F.struct(*closed), F.when(end, F.col("ended_at"))).alias("e"), F.count_if(start).alias("starts")
+    )
+    return found.where("starts > 0").select("run_id", "s.*", "e.*")
+
+
+def narrowest_width(runs: DataFrame, default: int = 60) -> DataFrame:
+    """One row: the least width of the runs' windows."""
+    return runs.agg(F.coalesce(F.min("bucket_width"), F.lit(default)).alias("bucket_width"))
+
+
+def aligned_bounds(since_us: int | None, until_us: int | None, width: int) -> tuple[int | None, int | None]:
+    """Bounds in microseconds as starts of windows in seconds, the end excluded: the last window is the one that holds the last
+    microsecond asked for."""
+    low = lambda us: us // scalars.MICROS // width * width
+    return None if since_us is None else low(since_us), None if until_us is None else low(until_us - 1) + width

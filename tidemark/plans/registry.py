@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .oracle import SQL
+from . import archive, messages  # noqa: F401  they add their queries
+from .more_oracle import SQL as MORE
+from .oracle import SQL as FIRST
 from .telemetry import QUERIES
 
+SQL = FIRST | MORE
+
 __all__ = ["QUERIES", "SQL"]

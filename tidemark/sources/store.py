@@ -95,3 +95,13 @@ def read_document(path: str) -> tuple[dict | None, str | None]:
 def merge_on_read(batches: DataFrame) -> DataFrame:
     """The batches of a table without their batch numbers."""
     return batches.drop("batch_id")
+
+
+def sealed_or_none(spark: SparkSession, root: str, name: str) -> tuple[DataFrame | None, str | None]:
+    """A sealed table, or why it cannot be read: readers go on without it (their state is then offline)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read(spark, root, name), None
+    except AnalysisException as e:
+        return None, e.getCondition() or "unreadable"
