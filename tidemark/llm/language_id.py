@@ -4,11 +4,13 @@ Each language has a codeword; each bit of the code is a binary classifier (logis
 the whole text).  A text is given the language whose codeword has the least loss, weighted by the margins of the classifiers;
 its score is the softmax of the losses, and it is flagged ambiguous if the second codeword is almost as near.
 
-The classifiers are fitted on a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each language, chosen by a hash of
-the key), of which at most ``FIT_CHARS`` characters each are read; predictions read whole texts and nothing but the text.
+The classifiers are fitted on a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each language and ``IN_ALL`` rows of
+all, chosen by a hash of key and text), whole texts; predictions read whole texts and nothing but the text.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.  Null languages are not learned from.  With no labelled
-row every text is ``und``; with a single language every text with a letter is that one.  Empty tables give empty results.
+row every text is ``und``; with a single language every text with a letter is that one.  Rows that repeat in key and text count
+once in the sample.  Very long texts are read whole, in one task each.  More than ``MAX_LANGUAGES`` languages are refused.
+Empty tables give empty results.  Columns that are not carried are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .runtime import tune
 
-#: The sample that the classifiers are fitted on, for each language, and the characters read of each of its texts.
-PER_LANGUAGE, FIT_CHARS = 600, 4_000
+#: Rows of the sample that the classifiers are fitted on, of each language and in all, and the most languages.
+PER_LANGUAGE, IN_ALL, MAX_LANGUAGES = 600, 6_000, 200
 #: Hashed features, rounds of the fit, and the softmax margin below which a prediction is ambiguous.
 FEATURES, ROUNDS, AMBIGUOUS = 1 << 13, 200, 0.2
 UNKNOWN = "und"
@@ -62,6 +64,18 @@ def features(raw: bytes) -> np.ndarray:
     return np.sqrt(counts / max(1, len(x)))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The features of a text without the zeros."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n, x = len(raw) // 6, np.zeros(FEATURES, np.float32)
+    x[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return x
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -76,13 +90,13 @@ class Model:
         return np.stack([(weight * np.logaddexp(0, -margins * word)).sum(axis=1) for word in self.code], axis=1)
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """Fits the classifiers of all bits at once, by gradient steps with momentum, on (text, language)."""
+def fit(rows: list[tuple[str | bytes, str]]) -> Model:
+    """Fits the classifiers of all bits at once, by gradient steps with momentum, on (text or its packed features, language)."""
     languages = tuple(sorted({lang for _, lang in rows}))
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((FEATURES, code.shape[1])), np.zeros(code.shape[1]))
-    x = np.stack([features(text.encode("utf-8", "ignore")) for text, _ in rows]).astype(np.float32)
+    x = np.stack([unpacked(v) if isinstance(v, bytes) else features(v.encode("utf-8", "ignore")) for v, _ in rows]).astype(np.float32)
     at = np.array([languages.index(lang) for _, lang in rows])
     y, share = code[at].astype(np.float32), np.bincount(at, minlength=len(languages))
     rows_weight = (len(at) / len(languages) / share[at]).astype(np.float32)[:, None] / len(at)
@@ -96,16 +110,33 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return Model(languages, code, weights, bias)
 
 
-def sample(df: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows.  The rows of each language are thinned by a hash of the key to about twice the
-    bound before they are ranked, so that no task ranks a language."""
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = known.groupBy("l").count()
-    mix = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
-    thin = known.join(counts, "l").where(mix * F.col("count") < F.lit(2_000_000 * per_language))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(mix, "k"))
-    picked = thin.select("l", "k", F.substring("t", 1, FIT_CHARS).alias("t"), rank.alias("r")).where(F.col("r") <= per_language)
-    return [(r.t, r.l) for r in picked.orderBy("l", "r").collect()]
+def sample(df: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
+    """A bounded sample of labelled rows: (packed features, language).
+
+    The rows of each language are thinned by a hash to about twice the bound where they are read; features are made of what
+    is left, and only these are shuffled and ranked.
+    """
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = known.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return []
+    most = max(1, min(per_language, IN_ALL // len(counts)))
+    limits = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, -(-2_000_000 * most // max(1, n)))])
+    thin = known.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(limits, F.col("l")))
+
+    def vectors(batches):
+        for batch in batches:
+            raws = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packed(features(r)) for r in raws], pa.binary())], ["l", "h", "v"])
+
+    tune(df.sparkSession)
+    found = thin.select("l", "h", "t").mapInArrow(vectors, "l string, h long, v binary").groupBy("l", "h").agg(F.min("v").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
+    picked = found.withColumn("r", rank).where(F.col("r") <= most).collect()
+    return [(bytes(r.v), r.l) for r in sorted(picked, key=lambda r: (r.l, r.r))]
 
 
 def identify(df: DataFrame, model: Model, *, text: str = "text", carry: list[Column | str] = ("doc_id",)) -> DataFrame:
