@@ -4,11 +4,14 @@ The hash needs no table of shards: a linear congruential sequence seeded by the
 which the key would move, and the key is in the last of them below the number of shards.  So with one more shard a key stays
 or goes into the new one.  The law of the shards is ``key``: the key and the number of shards decide, nothing else.
 
-Slots count the rows of a shard from 0 on in the order of (key, size, crc).  They come from counts of small buckets of keys:
-a prefix sum over the buckets of a shard and a row number within a bucket, so no task ever holds a shard.
+Slots count the rows of a shard from 0 on.  Rows that are equal in key, size and crc are counted where they are read and
+travel as one; the others are dealt into small buckets by a hash of all three.  A prefix sum over the buckets of a shard and
+one within a bucket give the slots, so no task ever holds a shard, whatever the keys; equal rows are told apart again at the
+end, in chunks of bounded size.
 
 Nulls: a null text has no bytes (crc of the empty string); a null key hashes as key 0.  Repeated rows get slots of their own.
-Empty tables give empty results.  Other columns are not read, whatever they are called.
+Very long texts only count by their bytes.  Empty tables give empty results.  Other columns are not read, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the published algorithm: the generator's factor, and 2 to the power 31.
 FACTOR, SPAN = 2862933555777941757, 2147483648.0
-#: Rows of a bucket in which slots are numbered.
-BUCKET_ROWS = 50_000
+#: Rows of a bucket in which slots are numbered, and of a chunk of equal rows.
+BUCKET_ROWS, CHUNK_ROWS = 50_000, 100_000
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
 
@@ -62,18 +65,19 @@ def assign(df: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text
         "key", "seed", "size", "text_crc32", F.element_at("jumps", -1).alias("grown_shard"),
         F.element_at(F.filter("jumps", lambda j: j < shards), -1).alias("shard"),
     )
-    # Buckets are ranges of keys within a shard; how many follows from the table's own number of rows and range of keys.
-    n, low, high = df.select(F.count(F.lit(1)), F.min(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))), F.max(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")))).first()
-    buckets = max(1, -(-n // (shards * BUCKET_ROWS)))
-    span = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    rows = rows.withColumn("bucket", F.floor((F.col("seed").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(span).cast("decimal(20,0)")).cast("long"))
-    before = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows"))
+    buckets = max(1, -(-df.count() // (shards * BUCKET_ROWS)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("seed", "size", "text_crc32"), F.lit(buckets)))
+    before = rows.groupBy("shard", "bucket").agg(F.sum("rows").alias("all"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("shard", "bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0).cast("long")).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy(F.col("seed"), F.col("key").asc_nulls_first(), "size", "text_crc32")
-    placed = rows.withColumn("row", F.row_number().over(inside)).join(before, ["shard", "bucket"])
-    return placed.select(
-        F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("row") - 1).alias("slot"), "grown_shard"
+    before = before.select("shard", "bucket", F.coalesce(F.sum("all").over(earlier), F.lit(0).cast("long")).alias("base"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("seed", F.col("key").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("inner", F.coalesce(F.sum("rows").over(inside), F.lit(0).cast("long"))).join(before, ["shard", "bucket"])
+    chunks = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(CHUNK_ROWS).cast("long"))))
+    chunks = chunks.repartition("shard", "bucket", "chunk")
+    slot = F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + CHUNK_ROWS, F.col("rows")) - 1))
+    return chunks.withColumn("own", slot).select(
+        F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("inner") + F.col("own")).alias("slot"), "grown_shard"
     )
 
 
