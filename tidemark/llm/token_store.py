@@ -1,7 +1,7 @@
 """Token ids in shards of raw binary with a minimal perfect hash index by document key.
 
 Format.  ``<shard>.ids`` is the payload: the documents' ids one after the other, little-endian, 2 or 4 bytes an id, in
-ascending key order.  ``<shard>.idx`` is the index: magic, version, width, documents, keys, levels of bit arrays of the
+ascending key order; a shard ends after about ``SHARD_BYTES`` of it.  ``<shard>.idx`` is the index: magic, version, width, documents, keys, levels of bit arrays of the
 hash, then per slot the key's fingerprint (32 bits) and the ordinal of its first document, then the documents' offsets.
 A key is hashed level by level until it meets a bit of its own; the number of bits set before it is its slot, so the slots
 are exactly 0 to keys - 1 and a lookup costs a constant number of steps.  The stored fingerprint turns away keys that the
@@ -12,8 +12,8 @@ Tasks write files under names of their own attempt, and only the attempts that S
 executors and repeated tasks do no harm.
 
 Nulls: a null text is the empty one; a null key is written first and has no place in the hash (it is found by ordinal 0 on).
-Repeated keys stay: all their documents are in a row behind the slot.  Empty tables give no shards.  Other columns are not
-read.
+Repeated keys stay: all their documents are in a row behind the slot, in as many shards as they take.  A very long text is
+encoded whole, in one task.  Empty tables give no shards.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +25,17 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pieces import encoder
-from .runtime import partitions, shared_dir, stored, tune
+from .runtime import opened_store, partitions, shared_dir, stored, tune
 
 MAGIC, VERSION = b"TMIX", 1
 #: Bits a key of the first level of the hash, and the most levels (keys left then, if any, stand in a sorted rest).
 GAMMA, LEVELS = 2, 40
+#: Bytes of payload after which a shard ends, and bytes that are read at once.
+SHARD_BYTES, READ_BYTES = 256 << 20, 4 << 20
 
 
 def mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -136,11 +137,11 @@ class Index:
         return self.bounds[np.searchsorted(self.bounds, first, "right")]
 
 
-def write_store(df: DataFrame, tokenizer_json: str, *, end_id: int = 1, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def write_store(df: DataFrame, tokenizer_json: str, *, end_id: int = 1, key: str = "doc_id", text: str = "text", path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every whole text, writes the shards and returns the manifest (a table in the shared folder).
 
-    Texts are dealt by ranges of the key, so a shard takes a bounded share of the documents; a task streams its documents
-    into the payload and keeps only their keys and sizes.
+    Texts are dealt by ranges of the key; a task streams its documents into payloads of about ``shard_bytes``, one after the
+    other, and keeps only the keys and sizes of the one that it is at.
     """
     spark = df.sparkSession
     tune(spark)
@@ -149,29 +150,23 @@ def write_store(df: DataFrame, tokenizer_json: str, *, end_id: int = 1, key: str
     kept = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def write(batches):
-        encode, keys, sizes, crc = encoder(spec.value), [], [], 0
+        encode = encoder(spec.value)
         end, width = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened_store(path)
         files.create_dir(top, recursive=True)
-        name, out = uuid.uuid4().hex, None
+        shard: Shard | None = None
         for batch in batches:
-            keys += batch.column(0).to_pylist()
-            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
-            sizes += [len(x) // width for x in ids]
-            block = b"".join(ids)
-            crc = zlib.crc32(block, crc)
-            out = out or files.open_output_stream(f"{top}/{name}.ids")
-            out.write(block)
-        if out is None:
-            return
-        out.close()
-        with files.open_output_stream(f"{top}/{name}.idx") as f:
-            f.write(index_bytes(keys, sizes, width))
-        yield pa.RecordBatch.from_pydict(
-            {"shard": [name], "first_key": pa.array([keys[0]], pa.int64()), "last_key": pa.array([keys[-1]], pa.int64()), "documents": [len(keys)], "tokens": [sum(sizes)], "payload_crc32": [crc]}
-        )
-
-    dealt = kept.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "text")
+            keys, ids = batch.column(0).to_pylist(), [encode(t) + end for t in batch.column(1).to_pylist()]
+            if shard and shard.written >= shard_bytes:
+                yield shard.close()
+                shard = None
+            shard = shard or Shard(files, top, width)
+            shard.add(keys, ids)
+        if shard:
+            yield shard.close()
+
+    kept = kept.withColumn("h", F.xxhash64("text"))
+    dealt = kept.repartitionByRange(partitions(spark), "key", "h").sortWithinPartitions("key", "h").select("key", "text")
     done = stored(dealt.mapInArrow(write, "shard string, first_key long, last_key long, documents long, tokens long, payload_crc32 long"), "manifest")
     # A row for each shard, whatever the rows.
     rows = sorted(done.collect(), key=lambda r: (r.first_key is not None, r.first_key or 0, r.last_key is not None, r.last_key or 0))
@@ -182,16 +177,47 @@ def write_store(df: DataFrame, tokenizer_json: str, *, end_id: int = 1, key: str
     )
 
 
+class Shard:
+    """A shard that is being written."""
+
+    def __init__(self, files, top: str, width: int):
+        self.files, self.width, self.name = files, width, uuid.uuid4().hex
+        self.base, self.keys, self.sizes, self.crc, self.written = f"{top}/{self.name}", [], [], 0, 0
+        self.out = files.open_output_stream(f"{self.base}.ids")
+
+    def add(self, keys: list, ids: list[bytes]) -> None:
+        self.keys += keys
+        self.sizes += [len(x) // self.width for x in ids]
+        block = b"".join(ids)
+        self.crc, self.written = zlib.crc32(block, self.crc), self.written + len(block)
+        self.out.write(block)
+
+    def close(self) -> pa.RecordBatch:
+        """Writes the index; the shard's row of the manifest."""
+        self.out.close()
+        with self.files.open_output_stream(f"{self.base}.idx") as f:
+            f.write(index_bytes(self.keys, self.sizes, self.width))
+        ends = pa.array([self.keys[0]], pa.int64()), pa.array([self.keys[-1]], pa.int64())
+        return pa.RecordBatch.from_pydict(
+            {"shard": [self.name], "first_key": ends[0], "last_key": ends[1], "documents": [len(self.keys)], "tokens": [sum(self.sizes)], "payload_crc32": [self.crc]}
+        )
+
+
 def documents_of(index: Index, payload, ordinals: list[int], keys: list, start: int):
-    """Record batches of the documents at ``ordinals``, read from an open payload."""
-    for lo in range(0, len(ordinals), 500):
-        columns: list[list] = [[] for _ in SCHEMA]
-        for o, key in zip(ordinals[lo : lo + 500], keys[lo : lo + 500], strict=True):
-            a, b = int(index.offsets[o]), int(index.offsets[o + 1])
-            ids = np.frombuffer(payload.read_at((b - a) * index.width, a * index.width), f"<u{index.width}").astype("<u4").tobytes()
-            for column, value in zip(columns, (key, start + a, b - a, zlib.crc32(ids), ids), strict=True):
-                column.append(value)
+    """Record batches of the documents at ``ordinals``, read from an open payload: neighbours that follow each other are read
+    at once, up to ``READ_BYTES``."""
+    i = 0
+    while i < len(ordinals):
+        a = int(index.offsets[ordinals[i]])
+        j = i + 1
+        while j < len(ordinals) and j < i + 500 and ordinals[j] == ordinals[j - 1] + 1 and (int(index.offsets[ordinals[j] + 1]) - a) * index.width <= READ_BYTES:
+            j += 1
+        bounds = [int(x) for x in index.offsets[ordinals[i] : ordinals[j - 1] + 2]]
+        raw = np.frombuffer(payload.read_at((bounds[-1] - a) * index.width, a * index.width), f"<u{index.width}").astype("<u4")
+        ids = [raw[x - a : y - a].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
+        columns = keys[i:j], [start + x for x in bounds[:-1]], [y - x for x, y in zip(bounds, bounds[1:], strict=False)], [zlib.crc32(x) for x in ids], ids
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+        i = j
 
 
 SCHEMA = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -210,14 +236,18 @@ def read_store(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> D
     shards = [(r.path, r.shard, r.start, r.first_key, r.last_key) for r in manifest.orderBy("ordinal").collect()]
     ranged = [s for s in shards if s[4] is not None]
     firsts = np.array([np.iinfo(np.int64).min if s[3] is None else s[3] for s in ranged], np.int64)
+    lasts = np.array([s[4] for s in ranged], np.int64)
 
     def route(batches):
         for batch in batches:
-            at = np.searchsorted(firsts, batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32())], ["key", "at"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(lasts, keys, "left"), np.searchsorted(firsts, keys, "right")
+            n = np.maximum(0, high - low)  # a key that very many documents have may be in several shards
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n), pa.int64()), pa.array(at, pa.int32())], ["key", "at"])
 
     def opened(path, shard):
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened_store(path)
         with files.open_input_stream(f"{top}/{shard}.idx") as f:
             return Index(f.read()), files.open_input_file(f"{top}/{shard}.ids")
 
@@ -242,7 +272,7 @@ def read_store(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> D
                 yield from documents_of(index, payload, list(range(index.nulls)), [None] * index.nulls, start)
 
     keys = wanted.select(F.col(key).cast("long").alias("key")).distinct()
-    routed = keys.where("key is not null").mapInArrow(route, "key long, at int").where("at >= 0")
+    routed = keys.where("key is not null").mapInArrow(route, "key long, at int")
     found = routed.repartition(2 * partitions(spark), "at").sortWithinPartitions("at", "key").mapInArrow(look_up, COLUMNS)
     nulls = manifest.where("first_key is null").join(keys.where("key is null").limit(1), how="left_semi").select("path", "shard", "start")
     return found.union(nulls.mapInArrow(without_key, COLUMNS)).withColumnRenamed("key", key)
