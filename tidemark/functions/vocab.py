@@ -26,15 +26,18 @@ EMBEDS = {
 }
 EMBED_OTHER = "other"
 QUOTES = ("app.bsky.embed.record", "app.bsky.embed.recordWithMedia")
+# Operations, those of them that carry a record's shape, statuses of accounts, and the metrics of what is outside.
 OPERATIONS, SHAPED = ("create", "update", "delete"), ("create", "update")
 STATUSES, STATUS_OTHER = ("deleted", "deactivated", "takendown", "suspended"), "other"
 CANARIES = ("unclassified.kind", "untracked.collection", "malformed.collection", "unclassified.operation", "malformed.commit")
+# Aliases of the collections whose records point at another account.
 EDGE_COLLECTIONS = ("like", "repost", "follow", "block", "listitem")
 
 # Flags of a window, worst first, and those that keep it out of a baseline.
 UNOBSERVED, CLEAN = "unobserved", "clean"
 PRECEDENCE = ("unobserved", "gap", "loss", "degraded", "partial", "warming_up", "lagged", "recovering", "seam")
 INELIGIBLE = ("partial", "gap", "degraded", "warming_up", "loss")
+# Flags of a defect, reasons that are about lateness alone, and ends of a run that are no interruption.
 DEFECTS = ("partial", "gap", "loss")
 LATENCY_REASONS = ("lag_high",)
 NORMAL_STOPS = ("duration_reached", "completed", "signal_sigint", "signal_sigterm")

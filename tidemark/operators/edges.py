@@ -66,7 +66,7 @@ def components(pairs: DataFrame, by: list[str]) -> DataFrame:
     Each round is written to the shared folder, so no lineage grows with the rounds.
     """
     links = held(pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*by, F.col("b"), F.col("a"))).distinct())
-    labels = held(links.groupBy(*by, F.col("x").alias("actor")).agg(F.least("x", F.min("y")).alias("component")) if False else links.select(*by, F.col("x").alias("actor")).distinct().withColumn("component", F.col("actor")))
+    labels = held(links.select(*by, F.col("x").alias("actor")).distinct().withColumn("component", F.col("actor")))
     mark = None
     while True:
         near = links.join(labels.withColumnsRenamed({"actor": "y"}), [*by, "y"]).groupBy(*by, F.col("x").alias("actor")).agg(F.min("component").alias("c"))

@@ -143,18 +143,18 @@ def cooled(found: DataFrame, seconds: int) -> DataFrame:
     return found.groupBy("metric", "type").applyInPandas(keep, found.schema)
 
 
-def disclosable(found: DataFrame, events: DataFrame, least_actors: int = 10) -> DataFrame:
+def disclosable(found: DataFrame, events: DataFrame, least_actors: int = 10, cell_s: int = 3600) -> DataFrame:
     """Adds what decides whether an episode may be shown: distinct actors, the most active one's share, and ``public``.
 
     events: (metric, us, actor).  An episode is public if it has at least ``least_actors`` actors and no single one made up
-    all that exceeds the baseline; without a baseline it is not.
+    all that exceeds the baseline; without a baseline it is not.  Events meet episodes in cells of ``cell_s`` seconds, in
+    which an actor's events of one second travel as one row.
     """
-    start, end = F.col("start_s") * scalars.MICROS, F.col("end_s") * scalars.MICROS
-    day = 86_400
-    cells = found.select("metric", "type", "start_s", "end_s", "baseline_rate", "events", F.explode(F.sequence(F.floor(F.col("start_s") / day), F.floor((F.col("end_s") - 1) / day))).alias("cell"))
-    placed = events.select("metric", "us", "actor", F.floor(F.col("us") / F.lit(day * scalars.MICROS)).alias("cell"))
-    inside = placed.join(cells, ["metric", "cell"]).where((F.col("us") >= start) & (F.col("us") < end))
-    per = inside.groupBy("metric", "type", "start_s", "actor").agg(F.count(F.lit(1)).alias("n"))
+    cells = found.select("metric", "type", "start_s", "end_s", F.explode(F.sequence(F.floor(F.col("start_s") / cell_s), F.floor((F.col("end_s") - 1) / cell_s))).alias("cell"))
+    second = F.floor(F.col("us") / F.lit(scalars.MICROS))
+    acts = events.groupBy("metric", "actor", second.alias("s")).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("s") / cell_s))
+    inside = acts.join(cells, ["metric", "cell"]).where((F.col("s") >= F.col("start_s")) & (F.col("s") < F.col("end_s")))
+    per = inside.groupBy("metric", "type", "start_s", "actor").agg(F.sum("n").alias("n"))
     per = per.groupBy("metric", "type", "start_s").agg(F.count(F.lit(1)).alias("actors"), F.max("n").alias("most_by_one"), F.sum("n").alias("acts"))
     joined = found.join(per, ["metric", "type", "start_s"], "left").fillna(0, ["actors", "most_by_one", "acts"])
     spread = F.col("most_by_one") < F.col("acts") - F.col("baseline_rate") * (F.col("end_s") - F.col("start_s"))

@@ -29,9 +29,14 @@ def count_windows(events: DataFrame, width: int) -> DataFrame:
 
 
 def located_gaps(events: DataFrame, longest_us: int) -> DataFrame:
-    """(run_id, gap_from, gap_to): stretches without an event longer than ``longest_us``."""
-    before = F.lag("us").over(Window.partitionBy("run_id").orderBy("us"))
-    return events.select("run_id", before.alias("gap_from"), F.col("us").alias("gap_to")).where(F.col("gap_to") - F.col("gap_from") > longest_us)
+    """(run_id, gap_from, gap_to): stretches without an event longer than ``longest_us``.
+
+    No such stretch lies within a cell of time that is no longer than that, so the first and last event of each cell decide:
+    events are only aggregated, and what is put in order is a row for each cell.
+    """
+    cells = events.groupBy("run_id", F.floor(F.col("us") / F.lit(longest_us)).alias("cell")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("run_id").orderBy("cell"))
+    return cells.select("run_id", before.alias("gap_from"), F.col("first").alias("gap_to")).where(F.col("gap_to") - F.col("gap_from") > longest_us)
 
 
 def health_of(events: DataFrame, width: int, gap_us: int, *, lossy: Column | None = None, loss_share: float = 0.02, warmup: int = 3) -> DataFrame:
@@ -166,8 +171,8 @@ def interval_coverage(health: DataFrame) -> DataFrame:
     bad_grid = (width <= 0) | (F.pmod(start, F.when(width > 0, width)) != 0)
     d = F.col("observed_duration_us")
     checked = health.select(
-        start, width, F.when(bad_grid, F.raise_error(F.lit("incompatible physical bucket grid")).cast("long"))
-        .when((d < 0) | (d > full), F.raise_error(F.lit("invalid observed duration in bucket evidence")).cast("long")).otherwise(d).alias("d"),
+        start, width, F.when(bad_grid, F.raise_error(F.lit("windows of more than one grid")).cast("long"))
+        .when((d < 0) | (d > full), F.raise_error(F.lit("an observed duration that its window cannot hold")).cast("long")).otherwise(d).alias("d"),
     )
     per = checked.groupBy("bucket_start", "bucket_width").agg(F.max("d").alias("largest"), F.sum("d").alias("sum"), F.count(F.lit(1)).alias("pieces"))
     upper = F.least("sum", F.col("bucket_width").cast("long") * scalars.MICROS)
@@ -176,7 +181,7 @@ def interval_coverage(health: DataFrame) -> DataFrame:
         (F.sum("sum") / 1e6).alias("recorded_s"), F.count_if(F.col("pieces") > 1).alias("split_windows"), F.count_if(F.col("largest") != upper).alias("uncertain_windows"),
         F.count_distinct("bucket_width").alias("widths"),
     )
-    out = out.withColumn("lower_s", F.when(F.col("widths") > 1, F.raise_error(F.lit("incompatible physical bucket grid")).cast("double")).otherwise(F.col("lower_s")))
+    out = out.withColumn("lower_s", F.when(F.col("widths") > 1, F.raise_error(F.lit("windows of more than one grid")).cast("double")).otherwise(F.col("lower_s")))
     span, lo, hi = F.col("last_end") - F.col("first_start"), F.col("lower_s"), F.col("upper_s")
     status = F.when(lo.isNull(), "unavailable").when(lo == hi, "exact").otherwise("bounded")
     return out.drop("widths").withColumns({"lower_ratio": F.try_divide(lo, span), "upper_ratio": F.try_divide(hi, span), "observed_s": F.when(lo == hi, lo), "status": status})

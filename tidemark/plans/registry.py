@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archive, messages  # noqa: F401  they add their queries
+from . import archive, messages, stores  # noqa: F401  they add their queries
 from .more_oracle import SQL as MORE
 from .oracle import SQL as FIRST
 from .telemetry import QUERIES
