@@ -13,7 +13,8 @@ one join on their (id, digest) and are never gathered by digest.
 Tasks write files under names of their own attempt into the shared folder, and only accepted attempts are in the manifest.
 
 Nulls: a null payload is the empty one; a null URL becomes ``urn:page:<id>``; a null id is smaller than every other.  Rows that
-share both id and payload are all of one kind.  Empty tables give no archives.  Other columns are not read.
+share both id and payload are all of one kind.  A URL that begins with ``filedesc://`` gets a ``urn:`` ahead of it.  Very long
+payloads go through whole, in one task each.  Empty tables give no archives.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, shared_dir, stored, tune
+from .runtime import opened_store, partitions, shared_dir, stored, tune
 
 # The fields of the header lines by version, as the format has them.
 ARC_FIELDS = {
@@ -72,22 +72,37 @@ def arc_file_head(name: str, date: str, version: int = 1) -> bytes:
     return arc_bytes(f"filedesc://{name}", date, "text/plain", body, version)
 
 
-def parse_arc(stream, version: int | None = None) -> Iterator[ArcRecord]:
-    """The records of a stream.  The version comes from the file's first record unless it is given; a header line with the
-    fields of another version, or a length that the stream falls short of, is refused."""
+def parse_arc(stream, version: int | None = None, refused: list[str] | None = None) -> Iterator[ArcRecord]:
+    """The records of a stream.  The version comes from the file's first record unless it is given.
+
+    A header line with the fields of another version, or a length that the stream falls short of, is refused: it raises, or
+    goes to the list ``refused``, one entry for each stretch of bytes without a header, and reading goes on at the next line
+    that is a header with a date.
+    """
+    lost = False
     while line := stream.readline():
         if not line.strip():
             continue
         parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         shape = version or next((v for v, f in ARC_FIELDS.items() if len(f) == len(parts)), None)
-        if shape is None or len(parts) != len(ARC_FIELDS[shape]) or not parts[-1].isdigit():
-            raise ValueError(f"not a header line of an ARC record: {line[:80]!r}")
-        fields = dict(zip(ARC_FIELDS[shape], parts, strict=True))
+        fields = dict(zip(ARC_FIELDS.get(shape, ()), parts, strict=False))
+        if shape is None or len(parts) != len(ARC_FIELDS[shape]) or not parts[-1].isdigit() or lost and not re.fullmatch(r"\d{8,14}", fields["date"]):
+            if refused is None:
+                raise ValueError(f"not a header line of an ARC record: {line[:80]!r}")
+            if not lost:
+                refused.append(f"no header: {line[:80]!r}")
+            lost = True
+            continue
+        lost = False
         content = stream.read(int(fields["length"]))
         if len(content) < int(fields["length"]):
-            raise ValueError(f"{fields['url']}: {len(content)} of {fields['length']} bytes")
+            why = f"{fields['url']}: {len(content)} of {fields['length']} bytes"
+            if refused is None:
+                raise ValueError(why)
+            refused.append(why)
+            return
         if fields["url"].startswith("filedesc://"):
-            version = int(content[:1]) if content[:1].isdigit() else shape
+            version = int(content[:1]) if content[:1].isdigit() and int(content[:1]) in ARC_FIELDS else shape
             continue
         yield ArcRecord(shape, fields, content)
 
@@ -152,27 +167,55 @@ def packed(record: bytes) -> bytes:
 
 def convert_arc(df: DataFrame, path: str, *, content: str = "content") -> DataFrame:
     """Converts whole ARC files (a binary column, as of Spark's ``binaryFile`` source; gzip or plain) to WARC files below
-    ``path``, one for each; returns the manifest (file, records)."""
+    ``path``, one for each; returns the manifest (file, records, refused): what cannot be read is counted, not fatal."""
 
     def convert(batches):
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened_store(path)
         files.create_dir(top, recursive=True)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                name, n = f"{uuid.uuid4().hex}.warc.gz", 0
+                name, n, refused = f"{uuid.uuid4().hex}.warc.gz", 0, []
                 stream = io.BytesIO(raw or b"")
                 with files.open_output_stream(f"{top}/{name}", compression=None) as out:
-                    for record in parse_arc(gzip.GzipFile(fileobj=stream) if (raw or b"")[:2] == b"\x1f\x8b" else stream):
-                        out.write(packed(to_warc(record)))
-                        n += 1
-                yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64())})
+                    try:
+                        for record in parse_arc(gzip.GzipFile(fileobj=stream) if (raw or b"")[:2] == b"\x1f\x8b" else stream, refused=refused):
+                            out.write(packed(to_warc(record)))
+                            n += 1
+                    except (EOFError, zlib.error, gzip.BadGzipFile) as e:
+                        refused.append(str(e))
+                yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([n], pa.int64()), "refused": pa.array([len(refused)], pa.int64())})
+
+    return stored(df.select(content).mapInArrow(convert, "file string, records long, refused long"), "manifest")
+
+
+#: Compressed bytes after which an archive file ends.
+ARCHIVE_BYTES = 256 << 20
 
-    return stored(df.select(content).mapInArrow(convert, "file string, records long"), "manifest")
 
+class Archive:
+    """A file of WARC records that is being written."""
 
-def write_pages(df: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "20240101000000", path: str | None = None) -> DataFrame:
-    """Writes a WARC record for each row, by way of its ARC record, and returns the manifest (path, file, records).
+    def __init__(self, files, path: str, top: str):
+        self.path, self.name, self.records, self.written = path, f"{uuid.uuid4().hex}.warc.gz", 0, 0
+        self.out = files.open_output_stream(f"{top}/{self.name}", compression=None)
 
+    def add(self, record: bytes) -> None:
+        member = packed(record)
+        self.out.write(member)
+        self.records, self.written = self.records + 1, self.written + len(member)
+
+    def close(self) -> pa.RecordBatch:
+        """The file's row of the manifest."""
+        self.out.close()
+        return pa.RecordBatch.from_pydict({"path": [self.path], "file": [self.name], "records": pa.array([self.records], pa.int64())})
+
+
+def write_pages(
+    df: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = "20240101000000", path: str | None = None, archive_bytes: int = ARCHIVE_BYTES,
+) -> DataFrame:
+    """Writes a WARC record for each row and returns the manifest (path, file, records).
+
+    The rows of a batch are laid down as an ARC file, of version 1 and 2 in turn, and that file is converted.
     least_bytes: records with smaller payloads are never revisits.
     """
     spark = df.sparkSession
@@ -187,22 +230,28 @@ def write_pages(df: DataFrame, *, key: str = "page_id", url: str = "url", payloa
     joined = pages.join(refers, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha1")) & (F.length("payload") >= least_bytes), "left").select("id", "url", "payload", "of")
 
     def write(batches):
-        files, top = fs.FileSystem.from_uri(path)
+        files, top = opened_store(path)
         files.create_dir(top, recursive=True)
-        name, out, n = f"{uuid.uuid4().hex}.warc.gz", None, 0
-        for batch in batches:
-            for page, address, body, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        archive: Archive | None = None
+        for k, batch in enumerate(batches):
+            pages, addresses, bodies, of = (c.to_pylist() for c in batch.columns)
+            version = 1 + k % 2
+            legacy = [arc_file_head(f"pages-{k}.arc", date, version)]
+            for page, address, body in zip(pages, addresses, bodies, strict=True):
                 address = re.sub(r"[\s\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", address) if address else f"urn:page:{page}"
+                address = f"urn:{address}" if address.startswith("filedesc://") else address
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                legacy = arc_bytes(address, date, "text/html", head + body)
-                (record,) = parse_arc(io.BytesIO(legacy), 1)
-                extra = ({} if page is None else {"X-Page-Id": str(page)}) | ({} if of is None else {"X-Refers-To-Page-Id": str(of)})
-                out = out or files.open_output_stream(f"{top}/{name}", compression=None)
-                out.write(packed(to_warc(record, name=f"page {page}", refers_to=None if of is None else f"page {of}", extra=extra)))
-                n += 1
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "file": [name], "records": pa.array([n], pa.int64())})
+                legacy.append(arc_bytes(address, date, "text/html", head + body, version))
+            del bodies
+            for page, refers, record in zip(pages, of, parse_arc(io.BytesIO(b"".join(legacy))), strict=True):
+                if archive and archive.written >= archive_bytes:
+                    yield archive.close()
+                    archive = None
+                archive = archive or Archive(files, path, top)
+                extra = ({} if page is None else {"X-Page-Id": str(page)}) | ({} if refers is None else {"X-Refers-To-Page-Id": str(refers)})
+                archive.add(to_warc(record, name=f"page {page}", refers_to=None if refers is None else f"page {refers}", extra=extra))
+        if archive:
+            yield archive.close()
 
     return stored(joined.mapInArrow(write, "path string, file string, records long"), "manifest")
 
@@ -215,7 +264,7 @@ def read_pages(manifest: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for path, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files, top = fs.FileSystem.from_uri(path)
+                files, top = opened_store(path)
                 rows: list[tuple] = []
                 with files.open_input_stream(f"{top}/{name}", compression=None) as f:
                     for fields, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=f))):
