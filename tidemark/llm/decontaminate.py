@@ -2,17 +2,18 @@
 
 Patterns are the windows of the benchmark's items: every ``window`` consecutive words, or the whole item if it has fewer.
 Texts and items become word numbers of the benchmark's vocabulary (0: a word that no item has).  For each pattern length a
-shift table by the hash of a block of two words tells how far the search may jump; where the shift is 0, the block's hash
-bucket selects the patterns that end in it and all their words are compared.  Documents are cut into lanes that overlap by a
-window, and all lanes of a batch step at once.
+shift table by the hash of a block of two words, sized by the number of patterns, tells how far the search may jump; where the
+shift is 0, the block's hash bucket selects the patterns that end in it and all their words are compared.  Documents are cut
+into lanes that overlap by a window, and all lanes of a batch step at once.
 
-The tables are broadcast; items are dealt into blocks of at most ``BLOCK_BYTES`` of text, each with tables of its own, so a
-broadcast has a bound whatever the benchmark's size.  With several blocks each searches all documents and their hits are
+The tables are flat arrays, broadcast; items are dealt into blocks of about ``BLOCK_BYTES`` of text, each with tables of its
+own, so a broadcast has a bound whatever the benchmark's size.  With several blocks each searches all documents and their hits are
 merged by document: by its id and two hashes of its text, whatever columns are carried.
 
 Nulls: null texts and items without words have no windows; an item without an id is item ``null``; a null document id passes
-through.  Rows that repeat, also with the same id, keep a row each.  Items that repeat count once by id.  Empty tables give
-empty results or no hits.  Other columns are not read unless carried.
+through.  Rows that repeat, also with the same id, keep a row each.  Items that repeat count once by id.  A very long text is
+searched whole, in one task, as the lanes of one batch.  Empty tables give empty results or no hits.  Other columns are not
+read unless carried.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from .runtime import tune
 
 WINDOW = 10
 #: Bytes of item texts in a block of the benchmark, and window starts of a lane.
-BLOCK_BYTES, LANE = 32 << 20, 256
-_HASH_BITS = 18
+BLOCK_BYTES, LANE = 8 << 20, 256
+#: Bits of the block hash: by the number of patterns, within these.
+_HASH_BITS = (10, 24)
 
 # Separators become spaces, A to Z lower case; all else is part of a word.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,48 +44,91 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 @dataclass
 class Patterns:
-    """All patterns of one length: their words, their items, shifts by block hash, and buckets by the last block's hash."""
+    """All patterns of one length: where each begins among the words of the items, which items have it (from ``first[i]`` to
+    ``first[i + 1]``), the hash of its last block (ascending), and the shifts by block hash."""
 
     length: int
     block: int
-    words: np.ndarray
-    items: list[tuple[str, ...]]
+    bits: int
+    starts: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    last: np.ndarray
     shift: np.ndarray
-    bucket: np.ndarray
 
 
-def _block_hash(words: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
+@dataclass
+class Tables:
+    """The tables of some items: their words in the order of their numbers, their texts in word numbers, and the patterns."""
+
+    names: list[str]
+    vocabulary: bytes
+    words: np.ndarray
+    patterns: list[Patterns]
+
+    def numbers(self) -> dict[bytes, int]:
+        """The number of each word, from 1 on; made once in each worker."""
+        if not hasattr(self, "_numbers"):
+            self._numbers = {w: i for i, w in enumerate(self.vocabulary.split(b" ") if self.vocabulary else (), 1)}
+        return self._numbers
+
+
+def _block_hash(words: np.ndarray, at: np.ndarray, block: int, bits: int) -> np.ndarray:
     last = words[at].astype(np.uint64)
-    both = last if block == 1 else words[at - 1].astype(np.uint64) * np.uint64(0x9E3779B1) + last
     with np.errstate(over="ignore"):
-        return ((both * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
+        both = last if block == 1 else words[at - 1].astype(np.uint64) * np.uint64(0x9E3779B1) + last
+        return ((both * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def compiled(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int], list[Patterns]]:
-    """The vocabulary and the tables of some items (id, text)."""
+def _patterns(words: np.ndarray, starts: np.ndarray, owner: np.ndarray, size: int) -> Patterns:
+    """The table of the windows of ``size`` words that begin at ``starts``; equal windows become one pattern."""
+    mixed = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(size):
+            mixed = (mixed ^ words[starts + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed, kind="stable")
+    starts, owner = starts[order], owner[order]
+    same = np.concatenate([[False], mixed[order][1:] == mixed[order][:-1]])
+    for j in range(size):
+        same[1:] &= words[starts[1:] + j] == words[starts[:-1] + j]
+    group = np.cumsum(~same) - 1
+    heads = starts[~same]
+    block = min(2, size)
+    bits = int(np.clip(np.ceil(np.log2(8 * len(heads) + 1)), *_HASH_BITS))
+    last = _block_hash(words, heads + size - 1, block, bits)
+    by_last = np.argsort(last, kind="stable")
+    place = np.empty(len(heads), np.int64)
+    place[by_last] = np.arange(len(heads))
+    by_pattern = np.argsort(place[group], kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(place[group], minlength=len(heads)))])
+    shift = np.full(1 << bits, min(255, size - block + 1), np.uint8)
+    for j in range(block - 1, size):
+        np.minimum.at(shift, _block_hash(words, heads + j, block, bits), min(255, size - 1 - j))
+    return Patterns(size, block, bits, heads[by_last].astype(np.uint32), first.astype(np.uint32), owner[by_pattern].astype(np.uint32), last[by_last].astype(np.uint32), shift)
+
+
+def compiled(items: list[tuple[str, bytes]], window: int) -> Tables:
+    """The tables of some items (id, text)."""
     vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-    for item, raw in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)]
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(item)
-    tables = []
-    for size, found in sorted(by_length.items()):
-        block = min(2, size)
-        words = np.array(list(found), np.int64).reshape(len(found), size)
-        flat, ends = words.reshape(-1), np.arange(len(found)) * size
-        shift = np.full(1 << _HASH_BITS, size - block + 1, np.int64)
-        for j in range(block - 1, size):
-            np.minimum.at(shift, _block_hash(flat, ends + j, block), size - 1 - j)
-        last = _block_hash(flat, ends + size - 1, block)
-        order = np.argsort(last, kind="stable")
-        bucket = np.searchsorted(last[order], np.arange((1 << _HASH_BITS) + 1))
-        tables.append(Patterns(size, block, words[order], [tuple(sorted(v)) for v in np.array(list(found.values()), object)[order]], shift, bucket))
-    return vocabulary, tables
-
-
-def search(words: np.ndarray, bounds: np.ndarray, p: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    known: dict[str, int] = {}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)], np.uint32) for _, raw in items]
+    owner = np.array([known.setdefault(item, len(known)) for item, _ in items], np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    words = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    found = []
+    for size in np.unique(np.minimum(lengths, window)).tolist():
+        mine = np.flatnonzero(np.minimum(lengths, window) == size)
+        if not size:
+            continue
+        n = lengths[mine] - size + 1
+        at = np.repeat(begin[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append(_patterns(words, at, np.repeat(owner[mine], n), size))
+    return Tables(list(known), b" ".join(vocabulary), words, found)
+
+
+def search(words: np.ndarray, bounds: np.ndarray, p: Patterns, item_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, pattern) of every occurrence in joined texts of word numbers; none crosses a bound."""
     lo, hi = bounds[:-1], bounds[1:] - p.length + 1
     counts = np.maximum(0, -(-(hi - lo) // LANE))
@@ -92,25 +137,28 @@ def search(words: np.ndarray, bounds: np.ndarray, p: Patterns) -> tuple[np.ndarr
     end = np.minimum(at + LANE, hi[owner])
     places, patterns = [], []
     while len(at):
-        h = _block_hash(words, at + p.length - 1, p.block)
-        shift = p.shift[h]
+        h = _block_hash(words, at + p.length - 1, p.block, p.bits)
+        shift = p.shift[h].astype(np.int64)
         stop = np.flatnonzero(shift == 0)
         if len(stop):
-            first, n = p.bucket[h[stop]], p.bucket[h[stop] + 1] - p.bucket[h[stop]]
+            first, n = np.searchsorted(p.last, h[stop], "left"), np.searchsorted(p.last, h[stop], "right")
+            n = n - first
             place = np.repeat(at[stop], n)
             candidate = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            same = (words[place[:, None] + np.arange(p.length)] == p.words[candidate]).all(axis=1)
-            places.append(place[same])
-            patterns.append(candidate[same])
+            for j in range(p.length):  # from the front on, what differs goes
+                same = words[place + j] == item_words[p.starts[candidate].astype(np.int64) + j]
+                place, candidate = place[same], candidate[same]
+            places.append(place)
+            patterns.append(candidate)
         at = at + np.maximum(1, shift)
         going = at < end
         at, end = at[going], end[going]
     return (np.concatenate(places), np.concatenate(patterns)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def hits(texts: list[bytes], vocabulary: dict[bytes, int], tables: list[Patterns]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+def hits(texts: list[bytes], tables: Tables) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
     """(number of words, hit spans [from, to) in words, items) of each text."""
-    get, sizes, flat = vocabulary.get, [], []
+    get, sizes, flat = tables.numbers().get, [], []
     for raw in texts:
         found = words_of(raw)
         sizes.append(len(found))
@@ -118,11 +166,11 @@ def hits(texts: list[bytes], vocabulary: dict[bytes, int], tables: list[Patterns
     words, bounds = np.array(flat, np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
-    for p in tables:
-        at, which = search(words, bounds, p)
+    for p in tables.patterns:
+        at, which = search(words, bounds, p, tables.words)
         for a, w, d in zip(at.tolist(), which.tolist(), (np.searchsorted(bounds, at, "right") - 1).tolist(), strict=True):
             spans[d].append((a - int(bounds[d]), a - int(bounds[d]) + p.length))
-            items[d].update(p.items[w])
+            items[d].update(tables.names[i] for i in p.items[p.first[w] : p.first[w + 1]])
     return list(zip(sizes, spans, items, strict=True))
 
 
@@ -148,7 +196,6 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, limit: int) -> list[Da
     rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // limit) or 1
-    n = n if n == 1 else 2 * n
     return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) for i in range(n)]
 
 
@@ -172,7 +219,7 @@ def decontaminate(
 
         def judge(batches):
             for batch in batches:
-                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], *tables.value)
+                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], tables.value)
                 yield _batch(batch.columns[1:], [verdict(*f) for f in found], carried)
 
         return kept.mapInArrow(judge, f"{own}, {OUT}")
@@ -182,7 +229,7 @@ def decontaminate(
     def spans_of(tables):
         def find(batches):
             for batch in batches:
-                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], *tables.value)
+                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], tables.value)
                 full = [i for i, f in enumerate(found) if f[1]]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(pa.array(full, pa.int64())) for c in batch.columns[1:]), pa.array([[x for s in found[i][1] for x in s] for i in full], pa.list_(pa.int64())),
