@@ -18,8 +18,9 @@ rounds on the links, each round written to the shared folder.  No bucket is ever
 aggregated and joined, and joins with hot keys are Spark's to split.
 
 Nulls: a null text, or one without words, has an empty set (n_shingles 0) and no links; a null id takes no part, gets a null
-component and is kept.  Rows that share an id are one node.  Repeated texts are one node.  Empty tables give empty results.
-Other columns are not read.
+component and is kept.  Rows that share an id are one document with several sets: all get the component of all their links,
+also a row without words.  Repeated texts are one node.  A very long text is sketched whole, in one task.  Empty tables give
+empty results.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -221,10 +222,34 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     """(key, n_shingles, component_id, kept): a row for each row of ``df``; kept: it has the least id of its component."""
     tune(df.sparkSession)
     work = Workspace(df.sparkSession)
-    signed = work.stored(signatures(df, key, text, words), "signatures")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    if not rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
+        out = _grouped(rows, work, words, percent).select("id", "n", "component")
+    else:
+        # Rows go by numbers; rows of one id are linked by their numbers, and the least id of a component is sought at the end.
+        numbered = work.stored(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+        known = numbered.where("id is not null")
+        first = known.groupBy("id").agg(F.min("number").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        same = work.stored(known.select("id", "number").join(first, "id").select("a", F.col("number").alias("b")), "same")
+        found = _grouped(known.select(F.col("number").alias("id"), "text"), work, words, percent, same)
+        found = work.stored(known.select("id", "number").join(found.withColumnRenamed("id", "number"), "number"), "numbered_components")
+        least = found.groupBy("component").agg(F.min("id").alias("least"))
+        out = found.join(least, "component").select("id", "n", F.col("least").alias("component"))
+        unknown = signatures(numbered.where("id is null"), "id", "text", words)
+        out = out.union(unknown.select("id", "n", F.lit(None).cast("long").alias("component")))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
+    result = stored(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept), "near_duplicates")
+    work.drop()
+    return result
+
+
+def _grouped(texts: DataFrame, work: Workspace, words: int, percent: int, same: DataFrame | None = None) -> DataFrame:
+    """(id, n, component) of (id, text), ids distinct but for nulls.  same: (a, b), pairs of ids that are one document, each id
+    of such a pair being once in ``b``."""
+    signed = work.stored(signatures(texts, "id", "text", words), "signatures")
     sets = signed.where("id is not null and n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     sets = work.stored(sets, "sets")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    texts = texts.where("id is not null and text is not null")
 
     nodes = signed.select("id", "n", "f1", "f2", "bands").join(sets, ["n", "f1", "f2"]).where("id = rep")
     members = nodes.select(F.explode("bands").alias("bucket"), "rep", "n")
@@ -233,6 +258,9 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     pairs = work.stored(shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs")
     tested = work.stored(verified(pairs, texts, words, percent), "tested")
     links = tested.where("linked").select("a", "b")
+    if same is not None:
+        own = signed.select("id", "n", "f1", "f2").join(same.select(F.col("b").alias("id")), "id").join(sets, ["n", "f1", "f2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        links = links.union(same).union(own)
     found = work.stored(components(links, work), "components")
 
     # Buckets whose nodes, but for the head that all were compared with, are of several components.
@@ -241,7 +269,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
     placed = work.stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
     wanted = work.stored(placed.select(F.col("rep").alias("id")).distinct(), "open_nodes")
-    prints = signed.select("id", "prints").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    prints = signed.select("id", "prints").join(wanted, "id", "left_semi")
     placed = placed.join(prints.withColumnRenamed("id", "rep"), "rep")
     close = work.stored(close_pairs(placed, percent).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "close")
     again = work.stored(verified(close, texts, words, percent), "tested_again")
@@ -251,9 +279,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     named = sets.join(found, sets["rep"] == found["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    result = stored(out.select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
-    ), "near_duplicates")
-    work.drop()
-    return result
+    if same is not None:
+        out = out.join(found.select(F.col("node").alias("id"), F.col("component").alias("own")), "id", "left")
+        component = F.coalesce(F.col("own"), component)
+    return out.select("id", "n", F.when(F.col("id").isNotNull(), component).alias("component"))
