@@ -422,3 +422,213 @@ def test_arc_files_convert(spark, tmp_path, version):
         list(warc.parse_arc(io.BytesIO(raw[:-20])))
     with pytest.raises(ValueError):
         list(warc.parse_arc(io.BytesIO(b"not a header\n")))
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """(3, B), (5, A), (5, B): all three are one component; so is a row of the id without words."""
+    a, b = word_salad(random.Random(1), 30), word_salad(random.Random(2), 30)
+    rows = [(3, b), (5, a), (5, b), (5, None), (7, a), (None, a), (9, "other words that nobody else has at all in here")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter({(3, 3, True): 1, (5, 3, False): 3, (7, 3, False): 1, (None, None, True): 1, (9, 9, True): 1})
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85: nearly all are found (each is missed with a probability of 3 in a million or less)."""
+    rng, rows, want = random.Random(12), [], 0
+    for i in range(150):
+        words = word_salad(rng, 120).split()
+        other = [*words[: 120 - rng.choice((9, 10, 11, 12))], *word_salad(rng, 10).split()]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets, _ = components_by_hand(rows, 5, 80)
+    near = [i for i in range(150) if 80 <= 100 * len(sets[2 * i][0] & sets[2 * i + 1][0]) / len(sets[2 * i][0] | sets[2 * i + 1][0]) <= 85]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 30 and sum(got[2 * i] == got[2 * i + 1] for i in near) == len(near)
+
+
+def test_slots_of_equal_and_outlying_rows(spark):
+    rows = [(None, "same")] * 500 + [(7, "same")] * 300 + [(2**62, "far"), (-5, None)] + [(i, "t") for i in range(100)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+
+
+def test_language_decoding_by_hand(docs, spark, sf):
+    """The codeword of the least weighted loss, bit by bit."""
+    table_ = table(spark, sf, "documents")
+    model = language_id.fit(language_id.sample(table_, "doc_id", "text", "lang"))
+    texts_ = [r.text for r in table_.limit(40).collect()] + ["123 ...", None, ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(frame, model).collect()}
+    for i, t in enumerate(texts_):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        x = language_id.features(t.encode())
+        margins = [min(30.0, max(-30.0, float(sum(a * w for a, w in zip(x, model.weights[:, b]) if a)) + float(model.bias[b]))) for b in range(model.code.shape[1])]
+        total = sum(map(abs, margins))
+        losses = [sum(abs(m) / total * np.log1p(np.exp(-m * bit)) for m, bit in zip(margins, word)) for word in model.code]
+        assert got[i].lang_pred == model.languages[int(np.argmin(losses))]
+        soft = np.exp(min(losses) - np.array(losses))
+        assert abs(got[i].score - max(soft) / sum(soft)) < 1e-3
+
+
+def test_language_sample_is_bounded_and_thins_copies(spark):
+    rows = [(None, "le même texte", "fr")] * 3000 + [(i, f"text number {i} of some words", "en") for i in range(1500)] + [(9, None, "xx"), (9, "x", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 100)
+    assert Counter(lang for _, lang in got) == {"fr": 1, "en": 100}
+    assert np.allclose(language_id.unpacked(got[0][0]), language_id.features(b"le m\xc3\xaame texte")) or got[0][1] == "en"
+    many = spark.createDataFrame([(i, "t", f"l{i}") for i in range(language_id.MAX_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.sample(many, "doc_id", "text", "lang")
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_cuts_ahead_of_marks_as_the_library_does(name):
+    spec = pieces.read_tokenizer(public_tokenizers.path(name))
+    rng, parts = random.Random(5), ["word", "été", "it's", "12", "a1", " ", " ", " ", "  ", "\n", ".", ",", "!", "?", ";", ":", '."', "...", "-", "«", "×", "\x00", "Über", "don't."]
+    samples = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    ids, counts = pieces.TextEncoder(spec, entries=40), pieces.TextEncoder(spec, counting=True, hot={b" word": 1, b".": 1})
+    for text, want in zip(samples, ids_by_hand(spec, samples), strict=True):
+        assert np.frombuffer(ids(text), ids.dtype).tolist() == want and counts(text) == len(want)
+
+
+def test_another_layout_goes_to_the_library_whole(word_json):
+    import json
+
+    assert pieces.layout(json.loads(word_json)) == "word"
+    for change in (lambda s: s["model"].update(unk_token="x"), lambda s: s["normalizer"]["normalizers"].pop(0), lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(invert=False), lambda s: s["added_tokens"][0].update(lstrip=True)):
+        spec = json.loads(word_json)
+        change(spec)
+        assert pieces.layout(spec) is None
+
+
+def test_token_shards_end_by_bytes(spark, word_json, monkeypatch):
+    rows = [(i // 40, f"text {i} of a shard") for i in range(400)] + [(None, f"n{i}") for i in range(60)] + [(3, "hot")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(token_store, "tune", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50"))
+    manifest = token_store.write_store(df, word_json, end_id=1, shard_bytes=200)
+    assert manifest.count() > 8
+    got = token_store.read_store(manifest, df.select("doc_id")).collect()
+    want = Counter((i, tuple([*ids, 1])) for (i, _), ids in zip(rows, ids_by_hand(word_json, [t for _, t in rows]), strict=True))
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    line = sorted((r.start, r.n_tokens) for r in got)
+    assert [s for s, _ in line] == list(itertools.accumulate((n for _, n in line), initial=0))[:-1]
+
+
+def removed_by_hand(rows, length=50):
+    """(id, kept sha) of rows (id or None, text): bytes of strings that a smaller id has go."""
+    first = {}
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        raw = (t or "").encode()
+        for p in range(len(raw) - length + 1):
+            first.setdefault(raw[p : p + length], i)
+    out = Counter()
+    for i, t in rows:
+        raw = (t or "").encode()
+        mask = np.zeros(len(raw), bool)
+        for p in range(len(raw) - length + 1):
+            f = first[raw[p : p + length]]
+            mask[p : p + length] |= f is not None and (i is None or f < i)
+        out[(i, int(mask.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~mask].tobytes()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("shared_id", [None, 7])
+def test_suffix_dedup_of_very_many_rows_of_one_id(spark, shared_id):
+    """2,000 texts without an id, or of one id, some with a passage of an earlier document."""
+    rng, passage = random.Random(3), word_salad(random.Random(4), 25)
+    rows = [(1, passage)] + [(shared_id, word_salad(rng, 15) + (" " + passage if i % 5 == 0 else "")) for i in range(2000)]
+    df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, id long, parts long, __of string")
+    got = suffix_dedup.remove_repeats(df)
+    assert Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()) == removed_by_hand(rows)
+
+
+def test_rewrite_takes_clashing_columns_and_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    long = word_salad(rng, 6000)
+    rows = [(1, long), (2, "start " + long[3000:9000] + " end"), (3, long), (4, None), (5, "")]
+    names = ["doc_id", "text", "id", "parts", "__of", "__parts", "__spans", "__number", "__id", "spot"]
+    df = spark.createDataFrame([(i, t, *range(8)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names[2:]))
+    cut = suffix_dedup.remove_repeats(df, rewrite=True)
+    assert cut.columns == names and cut.dtypes == df.dtypes
+    found = {r.doc_id: r for r in cut.collect()}
+    assert found[3].text == "" and found[2].text.startswith("start") and len(found[2].text) < 200 and found[4].text is None and found[1]["__of"] == 2
+    monkeypatch.setattr(suffix_dedup, "TEXT_BLOCK", 700)
+    batches = [suffix_dedup.pieces_of([t.encode() for _, t in rows if t], 50)]
+    starts = sorted((o, b + p) for owner, begin, raw in batches[0] for o, b, r in zip(owner, begin, raw) for p in range(len(r) - 49))
+    assert starts == sorted((o, p) for o, (_, t) in enumerate([r for r in rows if r[1]]) for p in range(len(t.encode()) - 49))
+
+
+def test_patterns_of_many_items_and_long_windows(spark):
+    """Windows that very many items share, items of every length, and a window as long as a document."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(60)] + [(100 + i, "a common window of ten words that all items share here") for i in range(50)]
+    texts_ = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) + (" a common window of ten words that all items share here" if i % 4 == 0 else "")) for i in range(80)]
+    tables = decontaminate.compiled([(str(i), t.encode()) for i, t in items], 10)
+    for (n, spans, found), (_, t) in zip(decontaminate.hits([t.encode() for _, t in texts_], tables), texts_, strict=True):
+        w, hit, names = t.split(), set(), set()
+        for i, item in items:
+            v = item.split()
+            m = min(10, len(v))
+            for k in range(len(v) - m + 1):
+                for p in range(len(w) - m + 1):
+                    if w[p : p + m] == v[k : k + m]:
+                        hit |= set(range(p, p + m))
+                        names.add(str(i))
+        assert n == len(w) and found == names and {p for a, b in spans for p in range(a, b)} == hit
+
+
+def test_quality_verdict_by_hand(docs, texts):
+    """Ratios, chunks and the verdict, written out once more."""
+    bands, z = quality.Bands(), zstandard.ZstdCompressor(level=3)
+    limits = lambda n, table_: [(lo, hi) for at, lo, hi in table_ if n >= at][-1:]
+    got = {(r.doc_id, r.n_words, r.word_chars): r for r in quality.quality(docs).collect()}
+    seen = 0
+    for i, t in texts:
+        raw = (t or "").encode()
+        r = got[(i, len(BLANK.findall(t or "")), sum(map(len, BLANK.findall(t or ""))))]
+        whole = limits(len(raw), bands.whole)
+        if not whole:
+            assert r.zstd_ratio is None and r.kept == (not r.base_failed)
+            continue
+        step = 1024
+        while step >= 256 and len(raw) < 2 * step:
+            step //= 2
+        cuts = [k for k in range(0, len(raw), step) if k == 0 or len(raw) - k >= 128] + [len(raw)]
+        bad = 0
+        for a, b in itertools.pairwise(cuts):
+            (lo, hi), ratio = limits(b - a, bands.chunk)[0], len(z.compress(raw[a:b])) / (b - a)
+            bad += 0 if lo <= ratio <= hi else b - a
+        ratio = len(z.compress(raw)) / len(raw)
+        assert abs(r.zstd_ratio - ratio) < 1e-12 and abs(r.bad_chunks - bad / len(raw)) < 1e-12
+        assert r.kept == (not r.base_failed and whole[0][0] <= ratio <= whole[0][1] and bad < 0.3 * len(raw))
+        seen += 1
+    assert seen > 5
+
+
+def test_fitted_bands_keep_what_they_were_not_fitted_on(spark, sf):
+    docs_, good = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality = 1")
+    bands = quality.fitted_bands(docs_, good.where("doc_id % 2 = 0"), sample_rows=500)
+    assert [b[0] for b in bands.whole] == sorted(b[0] for b in bands.whole) and all(lo < hi for _, lo, hi in (*bands.whole, *bands.chunk))
+    rest = quality.quality(docs_.join(good.where("doc_id % 2 = 1"), "doc_id", "left_semi"), bands=bands).where("not base_failed")
+    assert rest.where("kept").count() >= 0.95 * rest.count() > 0
+    assert quality.fitted_bands(docs_, good.limit(0)) == quality.Bands()
+
+
+def test_archives_end_by_bytes(spark):
+    pages = spark.range(0, 300).selectExpr("id as page_id", "concat('http://h/', id) as url", "repeat(sha2(cast(id as string), 256), 5) as html").coalesce(1)
+    manifest = warc.write_pages(pages, archive_bytes=20_000)
+    assert manifest.count() > 2 and manifest.selectExpr("sum(records)").first()[0] == 300
+    assert {r.page_id for r in warc.read_pages(manifest).collect()} == set(range(300))
+
+
+def test_bad_arc_records_are_counted(spark, tmp_path):
+    good = [warc.arc_bytes(f"http://h/{i}", "19990102030405", "text/html", b"body %d" % i) for i in range(4)]
+    raw = warc.arc_file_head("f.arc", "19990101") + good[0] + b"rubbish here\nmore rubbish 5\n" + good[1] + b"http://h/x 0.0.0.0 nodate text/html 3\nabc\n" + good[2] + good[3][:-4]
+    files = spark.createDataFrame([(bytearray(raw),), (bytearray(gzip.compress(raw)[:-20]),), (None,), (bytearray(b""),)], "content binary")
+    rows = sorted((r.records, r.refused) for r in warc.convert_arc(files, f"file://{tmp_path}/out").collect())
+    assert rows[:2] == [(0, 0), (0, 0)] and rows[2][1] >= 1 and rows[3][1] == 2 and rows[3][0] >= 2

@@ -8,7 +8,8 @@ text that has a band has two chunks at least, and every byte of it is in one: pa
 incompressible do not cancel out.
 
 Nulls: a null text has no words (all counts 0) and fails the base rules; a null id passes through.  Empty tables give empty
-results.  Repeated rows stay.  Very long texts are compressed whole.
+results.  Repeated rows stay.  Very long texts are compressed whole, in one task each.  Columns that are not carried are not
+read.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ class Bands:
     Texts of fewer than two chunks are cut into halves, quarters and so on of ``chunk_bytes``; an end shorter than the first
     of the chunks' bands belongs to the chunk before it.
 
-    The defaults are set a little outside what labelled good documents show at each length; the tables of another corpus
-    want limits of their own.
+    The defaults are set a little outside what labelled good documents show at each length; ``fitted_bands`` makes the limits
+    of another corpus.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -111,6 +112,63 @@ def in_band(raw: bytes, bands: Bands, compressor) -> tuple[float | None, float,
     return ratio, bad / size, band[0] <= ratio <= band[1] and bad < bands.bad_chunks * size
 
 
+#: Good documents that bands are fitted on at most, the lengths at which bands begin, and the documents or chunks that a band
+#: must have seen.
+SAMPLE_ROWS, LEAST_SEEN = 4_000, 30
+WHOLE_FROM = (300, 424, 600, 850, 1_200, 1_700, 2_400, 3_400, 4_800, 6_800, 9_600, 13_600, 19_200, 27_200, 54_400)
+CHUNK_FROM = (128, 192, 256, 384, 512, 768, 1_024)
+
+
+def fitted_bands(df: DataFrame, good: DataFrame, *, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, spread: float = 4.0) -> Bands:
+    """Bands from labelled good documents (``good``: their keys): mean and deviation of the ratios at each length, and limits
+    ``spread`` deviations away.
+
+    At most ``sample_rows`` keys are taken, those with the least hashes.  Tasks send sums for each length, never ratios.  A
+    length that was hardly seen has the limits of the one before it; without any good document the defaults stay.
+    """
+    base = Bands()
+    keys = good.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(sample_rows)
+    picked = df.join(F.broadcast(keys), key, "left_semi").where(F.col(text).isNotNull()).select(text)
+
+    def measure(batches):
+        compressor = zstandard.ZstdCompressor(level=base.level)
+        sums: dict[tuple[bool, int], np.ndarray] = {}
+        for batch in batches:
+            for raw in batch.column(0).cast(pa.binary()).to_pylist():
+                words = raw.split()
+                if len(raw) < WHOLE_FROM[0] or len(words) < 50 or 100 * repeated_words(words) > 50 * len(words):
+                    continue
+                for whole, part in ((True, raw), *((False, c) for c in chunks_of(raw, base))):
+                    ratio = len(compressor.compress(part)) / len(part)
+                    place = sum(at <= len(part) for at in (WHOLE_FROM if whole else CHUNK_FROM)) - 1
+                    sums[whole, place] = sums.get((whole, place), np.zeros(3)) + (1, ratio, ratio * ratio)
+        rows = [(*k, *v.tolist()) for k, v in sums.items()]
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(5)]
+        kinds = [pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["whole", "place", "n", "x", "xx"])
+
+    tune(df.sparkSession)
+    found = picked.mapInArrow(measure, "whole boolean, place int, n double, x double, xx double").groupBy("whole", "place").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx")])
+    seen = {(r.whole, r.place): r for r in found.collect()}  # a row for each length
+
+    def limits(whole: bool, lengths: tuple[int, ...]) -> tuple[tuple[int, float, float], ...]:
+        out: list[tuple[int, float, float]] = []
+        for place, at in enumerate(lengths):
+            r = seen.get((whole, place))
+            if r and r.n >= LEAST_SEEN:
+                mean = r.x / r.n
+                away = spread * max(0.0, r.xx / r.n - mean * mean) ** 0.5
+                out.append((at, round(mean - away, 4), round(mean + away, 4)))
+            elif out:
+                out.append((at, *out[-1][1:]))
+        return tuple(out)
+
+    whole, chunk = limits(True, WHOLE_FROM), limits(False, CHUNK_FROM)
+    if not whole or not chunk or chunk[0][0] > CHUNK_FROM[0]:
+        return base
+    return Bands(whole=whole, chunk=chunk)
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
