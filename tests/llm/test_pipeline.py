@@ -35,3 +35,16 @@ def test_stages_take_odd_rows(spark, sf):
     docs = spark.createDataFrame(rows, schema)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs, sf).count() >= 0
+
+
+def test_stages_take_columns_under_any_names(spark, sf):
+    """Columns called like the stages' own, beside those of the documents."""
+    docs = table(spark, sf, "documents").limit(60)
+    names = ["__row", "__ROW_", "kept", "contaminated", "id", "parts", "__of", "__id", "n_words", "component_id", "spot", "shard"]
+    docs = stored(docs.selectExpr("*", *[f"'{n}' as `{n}`" for n in names]), "wide")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf), name)
+        if name != "packing":
+            assert docs.columns == columns and docs.where("`__row` <> '__row' or `__of` <> '__of'").count() == 0
+    assert docs.count() > 0
