@@ -115,3 +115,17 @@ def aligned_bounds(since_us: int | None, until_us: int | None, width: int) -> tu
     microsecond asked for."""
     low = lambda us: us // scalars.MICROS // width * width
     return None if since_us is None else low(since_us), None if until_us is None else low(until_us - 1) + width
+
+
+def lookup(runs: DataFrame, run_id: str) -> DataFrame:
+    """The run of that name: one row, or none."""
+    return runs.where(F.col("run_id") == run_id)
+
+
+def history(runs: DataFrame, assigned_s: int | None = None) -> DataFrame:
+    """One row (begins_s, origin): where a store's history begins.  It is ``created`` with the first run; a beginning that was
+    assigned later than that is the one that counts."""
+    first = F.unix_seconds(F.min("started_at"))
+    given = F.lit(assigned_s).cast("long")
+    later = F.coalesce(given > first, given.isNotNull())
+    return runs.agg(F.when(later, given).otherwise(first).alias("begins_s"), F.when(later, "assigned").when(first.isNotNull(), "created").alias("origin"))

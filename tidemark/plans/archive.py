@@ -173,6 +173,21 @@ def narrowest_width(spark, sf_dir):
     return runs.narrowest_width(run_rows(spark, sf_dir))
 
 
+@query
+def run_lookup(spark, sf_dir):
+    rows = run_rows(spark, sf_dir)
+    return runs.lookup(rows, rows.agg(F.min("run_id")).first()[0]).select("run_id", "bucket_width", "first_event_us", "last_event_us")
+
+
+@query
+def store_history(spark, sf_dir):
+    """Where the history begins: with the first run, then with a beginning that was assigned a day later, and one a day before."""
+    rows = run_rows(spark, sf_dir)
+    first = rows.agg(F.unix_seconds(F.min("started_at"))).first()[0]
+    cases = [runs.history(rows, None if days is None else first + days * 86_400).withColumn("days", F.lit(days).cast("int")) for days in (None, 1, -1)]
+    return cases[0].union(cases[1]).union(cases[2])
+
+
 @query
 def sink_totals(spark, sf_dir):
     """Totals of a sink that reports its counters so far after each day."""

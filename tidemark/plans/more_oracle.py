@@ -179,6 +179,9 @@ SQL: dict[str, str] = {
       SELECT run_id, 3600 AS bucket_width, CASE WHEN run_id <> last THEN 'completed' END AS stop_reason, CASE WHEN run_id <> last THEN a END AS first_event_us, CASE WHEN run_id <> last THEN b END AS last_event_us,
       round(CASE WHEN run_id <> last THEN (b - a) / 1e6 END, 6) AS wall_duration_s, windows, CASE WHEN run_id <> last THEN 'closed' ELSE 'open' END AS status FROM r JOIN w USING (run_id), l""",
     "narrowest_width": "SELECT 3600 AS bucket_width",
+    "run_lookup": f"{_H} SELECT run_id, 3600 AS bucket_width, min(us) AS first_event_us, max(us) AS last_event_us FROM ev WHERE run_id = (SELECT min(run_id) FROM ev) GROUP BY run_id",
+    "store_history": f"""{_H}, f AS (SELECT min(us) // 1000000 AS s FROM ev) SELECT CASE WHEN days = 1 THEN s + 86400 ELSE s END AS begins_s, CASE WHEN days = 1 THEN 'assigned' ELSE 'created' END AS origin, days
+      FROM f, (VALUES (NULL::INTEGER), (1), (-1)) d(days)""",
     "sink_totals": f"""{_H} SELECT run_id, max(us // {_DAY}) AS flush_seq, count(*) AS seen, count(*) FILTER (WHERE metric = 'view') AS stored_edges, 0::BIGINT AS stored_status, count(*) FILTER (WHERE metric <> 'view') AS dropped,
       min(us) AS first_event_us, max(us) AS last_event_us FROM ev GROUP BY run_id""",
     "trailing_episodes": f"""WITH {_episodes()}, n AS (SELECT e.metric, e.type, e.start_s, v.actor, count(*) AS n FROM eps e JOIN ev v ON v.metric = e.metric AND v.us >= e.start_s * 1000000 AND v.us < e.end_s * 1000000 GROUP BY ALL),
