@@ -116,3 +116,20 @@ def test_catalog_names_missing_tables(spark):
 def test_documents_are_one_file(spark, tmp_path):
     publish.write_document(spark.createDataFrame([("{}",)], "value string"), str(tmp_path / "d"))
     assert spark.read.text(str(tmp_path / "d")).collect()[0].value == "{}"
+
+
+def test_only_changed_days_are_written(spark, tmp_path):
+    columns = "bucket_start long, quality string, flags string, events_seen long, observed_duration_us long"
+    rows = [(d * 86_400 + h * 3600, "clean", "", d + h, 60) for d in range(3) for h in range(2)]
+    make = lambda rows: spark.createDataFrame(rows, columns).withColumn("day", scalars.day_of(F.col("bucket_start")))
+    path = str(tmp_path / "archive")
+    first = make(rows)
+    publish.write_archive(first, path)
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "archive").rglob("*.json")}
+    index = spark.createDataFrame(publish.day_index(first).collect())
+    later = make([*rows[:-1], (*rows[-1][:3], 99, 60)])
+    assert [str(r.day) for r in publish.days_to_write(publish.day_index(later), index).collect()] == ["1970-01-03"]
+    publish.write_changed(later, index, path)
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "archive").rglob("*.json")}
+    assert len(set(before.items()) & set(after.items())) == 2 and spark.read.json(path).where("events_seen = 99").count() == 1
+    assert publish.days_to_write(publish.day_index(first), index).count() == 0

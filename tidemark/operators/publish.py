@@ -40,6 +40,19 @@ def write_archive(windows: DataFrame, path: str) -> None:
     windows.repartition("day").sortWithinPartitions("day", "bucket_start").write.mode("overwrite").partitionBy("day").json(path)
 
 
+def days_to_write(index: DataFrame, published: DataFrame) -> DataFrame:
+    """(day): days of an index that are not published yet, or with another digest."""
+    was = published.select("day", F.col("digest").alias("__was"))
+    return index.join(was, "day", "left").where("__was is null or __was <> digest").select("day")
+
+
+def write_changed(windows: DataFrame, published: DataFrame, path: str) -> None:
+    """Writes the folders of the days that differ from the published index; all other days stay as they are."""
+    days = days_to_write(day_index(windows), published)
+    changed = windows.join(days, "day", "left_semi")
+    changed.repartition("day").sortWithinPartitions("day", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
+
+
 def extent(index: DataFrame) -> DataFrame:
     return index.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"), F.sum("window_count").alias("windows"))
 
