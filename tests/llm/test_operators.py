@@ -149,6 +149,22 @@ def test_families_of_almost_near_duplicates(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_large_buckets_by_size_classes(spark, monkeypatch, block):
+    """A passage that texts of all sizes share, with links inside and between size classes: all of them, however it is dealt."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng, rows = random.Random(21), []
+    shared = word_salad(rng, 40)
+    for i in range(60):
+        own = word_salad(rng, rng.choice((5, 20, 60, 90, 110, 140))).split()
+        rows.append((3 * i, shared + " " + " ".join(own)))
+        rows.append((3 * i + 1, shared + " " + " ".join(own[: len(own) - rng.randint(0, max(1, len(own) // 5))])))
+        rows.append((3 * i + 2, shared + " " + " ".join([*own, *word_salad(rng, rng.randint(1, 12)).split()])))
+    _, find = components_by_hand(rows, 5, 80)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i, _ in rows}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size, shared in ((40, 30), (2000, 1500)):
@@ -562,6 +578,14 @@ def test_rewrite_takes_clashing_columns_and_long_texts(spark, monkeypatch):
     assert starts == sorted((o, p) for o, (_, t) in enumerate([r for r in rows if r[1]]) for p in range(len(t.encode()) - 49))
 
 
+@pytest.mark.parametrize("limit", [60, 15])
+def test_blocks_in_one_pass_and_in_several(spark, limit):
+    bench, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame(CASES, "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, block_bytes=limit)
+    assert (len(decontaminate.blocks_of(bench, "item_id", "text", limit)) > decontaminate.AT_ONCE) == (limit == 15)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == hits_by_hand()
+
+
 def test_patterns_of_many_items_and_long_windows(spark):
     """Windows that very many items share, items of every length, and a window as long as a document."""
     rng = random.Random(7)

@@ -7,8 +7,8 @@ bin with a probability of their Jaccard similarity, with the concentration of in
 
 Candidates.  Documents with equal sets become one node.  Nodes that share a band meet in its bucket, and each is compared
 with the bucket's least node.  A bucket whose other nodes are not all of one component afterwards is taken up again, so that
-every pair that shares a band is judged or already connected: its nodes are dealt into blocks, and for each pair of blocks a
-matrix product of 16-bit prints of the shingles bounds all intersections from above.  Only pairs of different components
+every pair that shares a band is judged or already connected: its nodes are dealt into blocks by their sizes, and for each pair
+of blocks of sizes that can be alike a matrix product of 16-bit prints of the shingles bounds all intersections from above.  Only pairs of different components
 whose bound reaches the similarity leave the task (they are then compared in full), so families of documents that are alike
 but not alike enough cost no rows.  A pair of the least similarity, 0.8, shares no band with a probability of
 (1 - 0.8^6)^42, about 3 in a million.
@@ -143,23 +143,39 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def size_class(n: str, percent: int):
+    """Numbers by which sets that may be alike are in the same class or in neighbouring ones."""
+    return F.floor(F.log(100.0 / percent, F.col(n)) + 1e-9).cast("int")
+
+
 def close_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of one bucket and different components (c) whose similarity may reach ``percent``.
 
-    placed: (bucket, rep, n, c, k, prints), k being the size of the bucket.  A bucket of many blocks is dealt out as pairs
-    of blocks, so a task holds two blocks at a time.
+    placed: (bucket, rep, n, c, s, ks, prints): the node's size class and the number of nodes in each class of its bucket.  A
+    bucket of up to a block is one cell.  A larger one is dealt out by size classes, and each class and each two neighbouring
+    ones as pairs of blocks, so a task holds two blocks at a time and nodes of unlike sizes never meet.
     """
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "n", "c", "prints")
+    blocks = lambda s: F.ceil(F.coalesce(F.element_at("ks", s), F.lit(0)) / BLOCK).cast("int")
+    s, n, mine = F.col("s"), blocks(F.col("s")), F.col("mine")
+    cell = lambda a, b, i, j, side: F.struct(a.alias("a"), b.alias("b"), i.alias("i"), j.alias("j"), side.alias("side"))
+    none = F.array().cast("array<struct<a:int,b:int,i:int,j:int,side:int>>")
+    each = lambda count, make: F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), make)).otherwise(none)
+    own = each(n, lambda o: cell(s, s, F.least(mine, o), F.greatest(mine, o), mine))
+    up = each(blocks(s + 1), lambda o: cell(s, s + 1, mine, o, F.lit(0)))
+    down = each(blocks(s - 1), lambda o: cell(s - 1, s, o, mine, F.lit(1)))
+    zero, all_ = F.lit(0), F.aggregate(F.map_values("ks"), F.lit(0).cast("long"), lambda x, k: x + k)
+    cells = F.when(all_ <= BLOCK, F.array(cell(zero, zero, zero, zero, zero))).otherwise(F.concat(own, up, down))
+    dealt = placed.withColumn("mine", F.pmod(F.xxhash64("rep"), n).cast("int")).withColumn("x", F.explode(cells))
+    dealt = dealt.select("bucket", "x.a", "x.b", "x.i", "x.j", "x.side", "rep", "n", "c", "prints")
 
     def compare(batches):
         held: list[tuple] = []
 
-        def judged():
+        def judged(two_classes: bool):
             side, rep, n, c, prints = (list(x) for x in zip(*held, strict=True))
             side, rep, n, c = np.array(side), np.array(rep, np.int64), np.array(n, np.int64), np.array(c, np.int64)
+            if two_classes and (side == side[0]).all():  # the other block is empty, and these meet in a cell of their own
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             grams = [np.frombuffer(p, np.uint16) for p in prints]
             sizes = np.array([len(g) for g in grams])
             values, column, seen = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
@@ -178,16 +194,17 @@ def close_pairs(placed: DataFrame, percent: int) -> DataFrame:
 
         last = None
         for batch in batches:
-            for key, row in zip(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), zip(*(batch.column(i).to_pylist() for i in range(3, 8)), strict=True), strict=True):
+            for key, row in zip(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True), zip(*(batch.column(i).to_pylist() for i in range(5, 10)), strict=True), strict=True):
                 if key != last and held:
-                    yield judged()
+                    yield judged(last[1] != last[2])
                     held.clear()
                 last = key
                 held.append(row)
         if held:
-            yield judged()
+            yield judged(last[1] != last[2])
 
-    spread = dealt.repartition(partitions(placed.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    place = ["bucket", "a", "b", "i", "j"]
+    spread = dealt.repartition(partitions(placed.sparkSession), *place).sortWithinPartitions(*place)
     return spread.mapInArrow(compare, "a long, b long")
 
 
@@ -198,14 +215,17 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
     mark, turn = None, 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written before they are joined, so that Spark can deal out the links of a node that has very many.
+        least = work.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least-{run}-{turn}")
+        large = work.stored(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), f"large-{run}-{turn}")
+        small_least = work.stored(large.groupBy("u").agg(F.min("v").alias("m")), f"small-{run}-{turn}")
         joined = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         turn, seen = turn + 1, Observation()
         stars = joined.union(small_least.select("u", F.col("m").alias("v"))).distinct()
         stars = stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         edges = work.stored(stars, f"stars-{run}-{turn}")
+        for name in ("least", "large", "small"):
+            work.drop(f"{name}-{run}-{turn - 1}")
         now = seen.get
         if now == mark:
             break
@@ -252,8 +272,10 @@ def _grouped(texts: DataFrame, work: Workspace, words: int, percent: int, same:
     texts = texts.where("id is not null and text is not null")
 
     nodes = signed.select("id", "n", "f1", "f2", "bands").join(sets, ["n", "f1", "f2"]).where("id = rep")
-    members = nodes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    members = work.stored(nodes.select("rep", "n", "bands"), "nodes").select(F.explode("bands").alias("bucket"), "rep", "n")
+    # Aggregates are written before they are joined: Spark can then deal out what one bucket holds.
     buckets = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = work.stored(buckets, "heads")
     shared = work.stored(members.join(buckets, "bucket").select("bucket", "rep", "n", F.col("head.rep").alias("a"), F.col("head.n").alias("m"), "size"), "buckets")
     pairs = work.stored(shared.where("rep <> a").where(_alike("n", "m", percent)).select("a", F.col("rep").alias("b")).distinct(), "pairs")
     tested = work.stored(verified(pairs, texts, words, percent), "tested")
@@ -266,8 +288,10 @@ def _grouped(texts: DataFrame, work: Workspace, words: int, percent: int, same:
     # Buckets whose nodes, but for the head that all were compared with, are of several components.
     open_ = shared.where("size > 2 and rep <> a").select("bucket", "rep", "n")
     placed = open_.join(found, open_["rep"] == found["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi")
-    placed = work.stored(placed.join(mixed.select("bucket", "k"), "bucket"), "open")
+    placed = placed.withColumn("s", size_class("n", percent))
+    sizes = placed.groupBy("bucket", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("s", "k"))).alias("ks")).where("lo < hi")
+    placed = work.stored(placed.join(work.stored(mixed.select("bucket", "ks"), "mixed"), "bucket"), "open")
     wanted = work.stored(placed.select(F.col("rep").alias("id")).distinct(), "open_nodes")
     prints = signed.select("id", "prints").join(wanted, "id", "left_semi")
     placed = placed.join(prints.withColumnRenamed("id", "rep"), "rep")
