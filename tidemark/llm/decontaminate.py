@@ -7,8 +7,8 @@ shift is 0, the block's hash bucket selects the patterns that end in it and all
 into lanes that overlap by a window, and all lanes of a batch step at once.
 
 The tables are flat arrays, broadcast; items are dealt into blocks of about ``BLOCK_BYTES`` of text, each with tables of its
-own, so a broadcast has a bound whatever the benchmark's size.  With several blocks each searches all documents and their hits are
-merged by document: by its id and two hashes of its text, whatever columns are carried.
+own, so a broadcast has a bound whatever the benchmark's size.  One pass over the documents searches ``AT_ONCE`` blocks; the
+hits of several passes are merged by document: by its id and two hashes of its text, whatever columns are carried.
 
 Nulls: null texts and items without words have no windows; an item without an id is item ``null``; a null document id passes
 through.  Rows that repeat, also with the same id, keep a row each.  Items that repeat count once by id.  A very long text is
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .runtime import tune
 
 WINDOW = 10
-#: Bytes of item texts in a block of the benchmark, and window starts of a lane.
-BLOCK_BYTES, LANE = 8 << 20, 256
+#: Bytes of item texts in a block of the benchmark, blocks that one pass over the documents searches, and window starts of a lane.
+BLOCK_BYTES, AT_ONCE, LANE = 8 << 20, 4, 256
 #: Bits of the block hash: by the number of patterns, within these.
 _HASH_BITS = (10, 24)
 
@@ -174,6 +174,14 @@ def hits(texts: list[bytes], tables: Tables) -> list[tuple[int, list[tuple[int,
     return list(zip(sizes, spans, items, strict=True))
 
 
+def hits_of_all(texts: list[bytes], blocks: list[Tables]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """``hits`` of several blocks together."""
+    found = hits(texts, blocks[0])
+    for tables in blocks[1:]:
+        found = [(n, spans + more, items | others) for (n, spans, items), (_, more, others) in zip(found, hits(texts, tables), strict=True)]
+    return found
+
+
 def verdict(n_words: int, spans, items) -> tuple[int, int, int, str, bool]:
     mask = np.zeros(n_words, bool)
     for a, b in spans:
@@ -214,22 +222,22 @@ def decontaminate(
     def sent(part: DataFrame):
         return spark.sparkContext.broadcast(compiled([(r.item, r.text.encode("utf-8", "ignore")) for r in part.collect()], window))
 
-    if len(parts) == 1:
-        tables = sent(parts[0])
+    passes = [[sent(p) for p in parts[i : i + AT_ONCE]] for i in range(0, len(parts), AT_ONCE)]
+    if len(passes) == 1:
 
         def judge(batches):
             for batch in batches:
-                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], tables.value)
+                found = hits_of_all([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], [t.value for t in passes[0]])
                 yield _batch(batch.columns[1:], [verdict(*f) for f in found], carried)
 
         return kept.mapInArrow(judge, f"{own}, {OUT}")
 
     marks = ["__id", "__hash", "__crc"]
 
-    def spans_of(tables):
+    def spans_of(blocks):
         def find(batches):
             for batch in batches:
-                found = hits([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], tables.value)
+                found = hits_of_all([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], [t.value for t in blocks])
                 full = [i for i, f in enumerate(found) if f[1]]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.take(pa.array(full, pa.int64())) for c in batch.columns[1:]), pa.array([[x for s in found[i][1] for x in s] for i in full], pa.list_(pa.int64())),
@@ -240,7 +248,7 @@ def decontaminate(
 
     raw = F.col(text).cast("string").cast("binary")
     marked = df.select(F.col(text).alias("__text"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(raw).alias("__hash"), F.crc32(raw).alias("__crc"), *carried)
-    found = [marked.select("__text", *marks).mapInArrow(spans_of(sent(p)), "__id string, __hash long, __crc long, spans array<long>, items array<string>") for p in parts]
+    found = [marked.select("__text", *marks).mapInArrow(spans_of(p), "__id string, __hash long, __crc long, spans array<long>, items array<string>") for p in passes]
     union = found[0]
     for f in found[1:]:
         union = union.union(f)
