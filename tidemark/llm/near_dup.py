@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 def size_class(n: str, percent: int):
     """Numbers by which sets that may be alike are in the same class or in neighbouring ones."""
-    return F.floor(F.log(100.0 / percent, F.col(n)) + 1e-9).cast("int")
+    return F.floor(F.log(max(100.0 / percent, 1.01), F.col(n)) + 1e-9).cast("int")
 
 
 def close_pairs(placed: DataFrame, percent: int) -> DataFrame:
