@@ -165,6 +165,13 @@ def test_large_buckets_by_size_classes(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i, _ in rows}
 
 
+def test_equal_sets_only(spark):
+    a = word_salad(random.Random(1), 40)
+    rows = [(0, a), (1, a.upper()), (2, a + " more"), (3, a + " more"), (4, "x " + a)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size, shared in ((40, 30), (2000, 1500)):
