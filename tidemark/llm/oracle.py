@@ -102,4 +102,61 @@ SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, dig
   coalesce(url, 'urn:page:' || page_id) AS uri, '2024-01-01T00:00:00Z' AS date FROM b
 """
 
-SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op5_suffix_dedup": SUFFIX_DEDUP, "op6_decontamination": DECONTAMINATION, "op10_warc": WARC}
+MIXING = """
+WITH RECURSIVE seeds(k, h, l) AS (
+  SELECT 0, CAST(48271 AS BIGINT), CAST(48271 AS BIGINT) * 48271 % 2147483647 UNION ALL SELECT k + 1, l * 48271 % 2147483647, l * 48271 % 2147483647 * 48271 % 2147483647 FROM seeds WHERE k < 63
+), d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) AS g FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS z, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER up AS i, sum(z) OVER () - coalesce(sum(3 * z) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (up ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s WINDOW up AS (ORDER BY CAST(z AS DOUBLE) / w, source)
+), level AS (
+  SELECT CAST(rest AS DOUBLE) AS rest, CAST(free AS DOUBLE) AS free FROM o WHERE 3 * z * free >= rest * w ORDER BY i LIMIT 1
+), t AS (
+  SELECT source, z, least(CAST(3 * z AS DOUBLE), CAST(w AS DOUBLE) * rest / free) AS target FROM s, level
+), r AS (
+  SELECT d.*, z, target, CASE WHEN z > 0 THEN target / z ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), drawn AS (
+  SELECT r.*, k, CAST(floor(rate) AS BIGINT) + CASE WHEN CAST((h * (g // 67108864) + l * (g % 67108864)) % 2147483647 AS DOUBLE) < (rate - floor(rate)) * 2147483647 THEN 1 ELSE 0 END AS copies FROM r, seeds
+), best AS (
+  SELECT source, k FROM drawn GROUP BY source, k, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies) - target), k) = 1
+)
+SELECT doc_id, size, z AS source_size, target, rate, size * copies AS taken FROM drawn JOIN best ON drawn.k = best.k AND drawn.source IS NOT DISTINCT FROM best.source
+"""
+
+CONVERSATION_TRIE = """
+WITH RECURSIVE tab(i, k, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM tab WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8
+), c AS (
+  SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT)), lambda a, x: xor(a >> 8, t[1 + xor(a, x) % 256])), 4294967295::BIGINT) % 6 AS h FROM c, crc
+), t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS chars FROM conversations
+), r AS (
+  SELECT h.conv_id, p AS d, g, chars FROM h JOIN t ON t.conv_id = b AND p <= h.h
+  UNION ALL SELECT h.conv_id, p - h.h + least(h.h, coalesce(bc.n, 0)), g, chars FROM h JOIN t ON t.conv_id = h.conv_id AND p > h.h LEFT JOIN c bc ON bc.conv_id = b
+), p AS (
+  SELECT conv_id, d, chars, md5(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), n AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM p GROUP BY d, k
+), f AS (
+  SELECT n.*, q.k AS above, m.conv_id AS parent FROM n LEFT JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1 LEFT JOIN n m ON m.d = q.d AND m.k = q.k
+), kids AS (
+  SELECT d - 1 AS d, above AS k, count(*) AS kids FROM f WHERE d > 0 GROUP BY ALL
+), x AS (
+  SELECT f.*, coalesce(kids, 0) AS kids FROM f LEFT JOIN kids ON kids.d = f.d AND kids.k = f.k
+), under AS (
+  SELECT p.d, p.k, count(*) FILTER (x.kids = 0) AS leaves, CAST(sum((x.n - 1) * x.chars) AS BIGINT) AS saved FROM p JOIN x ON x.conv_id = p.conv_id AND x.d >= p.d GROUP BY p.d, p.k
+), ends AS (
+  SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM p) WHERE d = last GROUP BY d, k
+)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, parent AS parent_conv_id, x.n AS n_convs, kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN under ON under.d = x.d AND under.k = x.k LEFT JOIN ends ON ends.d = x.d AND ends.k = x.k
+"""
+
+SQL = {"op1_sharding": SHARDING, "op3_near_duplicates": NEAR_DUPLICATES, "op5_suffix_dedup": SUFFIX_DEDUP, "op6_decontamination": DECONTAMINATION, "op10_warc": WARC, "op11_mixing": MIXING, "op12_conversation_trie": CONVERSATION_TRIE}

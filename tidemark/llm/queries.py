@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store, warc
+from . import alignment, conversation_trie, decontaminate, language_id, mixing, near_dup, packing, quality, sharding, suffix_dedup, token_counts, token_store, warc
 from .oracle import SQL
 from .pieces import read_tokenizer
-from .runtime import table
+from .runtime import Workspace, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.write_pages(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op6_decontamination, op7_packing, op8_quality, op9_token_counts, op10_warc)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "rate", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = Workspace(spark)
+    turns = space.stored(conversation_trie.compact(table(spark, sf_dir, "conversations"), space), "turns")
+    turns, convs = conversation_trie.crossed(turns, space.stored(conversation_trie.lengths(turns), "lengths"))
+    return conversation_trie.trie(turns, convs, space)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return alignment.align(table(spark, sf_dir, "documents"), read_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_near_duplicates, op4_token_ids, op5_suffix_dedup, op6_decontamination, op7_packing, op8_quality, op9_token_counts, op10_warc, op11_mixing, op12_conversation_trie, op13_alignment)}
 
 __all__ = ["QUERIES", "SQL"]
