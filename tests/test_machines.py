@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import episodes, health
+from tidemark.operators import episodes, health, recurrences
 from tidemark.streaming import windows as live
 
 
@@ -111,6 +111,112 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == whole and len(got) == 8
 
 
+def seamed_rows(seed, sources=("a", "b", "lost", "calm")):
+    """Lines with lags, drops of the connection, replays from before them, gaps here, there and nowhere."""
+    rng, rows = random.Random(seed), []
+    for source in sources:
+        arrival, us = 0, 50_000_000
+        for _ in range(260):
+            arrival += rng.randint(1, 3)
+            kind = rng.random()
+            if source == "lost" or kind < 0.05:
+                rows.append((source, arrival, None, None, rng.choice(["parse_error", "rejected_no_time_us"]), None, None, None, None, None, None))
+            elif kind < 0.13 and source != "calm":
+                rows.append((source, arrival, None, None, None, None, "dropped", None, None, None, None))
+                us -= rng.choice([0, 20_000_000, 100_000_000])
+                if rng.random() < 0.8:
+                    arrival += 1
+                    gap = rng.choice([0, 0, 5_000_000, 40_000_000, 90_000_000])
+                    rows.append((source, arrival, None, None, None, None, "resumed", gap, rng.choice([None, us + rng.randint(-30, 60) * 1_000_000]) if gap else None, True, rng.random() < 0.7))
+            else:
+                us += rng.randint(0, 15_000_000)
+                at = us - rng.choice([0, 0, 0, 45_000_000, 130_000_000])
+                wall = None if source == "calm" else at + rng.choice([-2_000, 0, 300_000, 5_000_000, 2_000_000_000])
+                rows.append((source, arrival, at, rng.sample(["m", "n", "malformed.commit"], rng.randint(0, 2)), None, wall, None, None, None, None, None))
+    return rows
+
+
+SEAMED = "source string, arrival long, us long, metrics array<string>, outcome string, wall_us long, signal string, gap_us long, gap_end_us long, seam boolean, reconnect boolean"
+
+
+def lane_of(rows, width, ended):
+    out = []
+    for source in sorted({r[0] for r in rows}):
+        lane = live.Lane(width)
+        for _, _, us, metrics, outcome, wall, signal, gap, gap_end, seam, reconnect in sorted((r for r in rows if r[0] == source), key=lambda r: r[1]):
+            if signal:
+                lane.signal(signal, gap or 0, gap_end, bool(seam), bool(reconnect))
+            else:
+                out += lane.take(source, us, metrics or [], outcome, wall)
+        out += lane.close(source, ended=True) if ended else []
+    return out
+
+
+def alike(got, want):
+    got, want = (sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str) for rows in (got, want))
+    assert got == want
+
+
+@pytest.mark.parametrize("ended, seed", [(True, 1), (False, 2), (True, 3), (False, 4)])
+def test_batch_is_the_fold_with_gaps_and_drops(spark, ended, seed):
+    rows = seamed_rows(seed)
+    want = lane_of(rows, 60, ended)
+    assert any(r[13] for r in want) and any(r[14] for r in want) and any(r[12] > 1 for r in want)
+    df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), SEAMED)
+    alike(map(tuple, live.window_batch(df, 60, ended=ended).collect()), want)
+
+
+def test_stream_is_the_fold_with_gaps_and_drops(spark, tmp_path):
+    """Keyed state over many micro-batches; the query is stopped and started again in between."""
+    rows = seamed_rows(7)
+    folder = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(SEAMED).option("maxFilesPerTrigger", 1).parquet(folder)
+    out, step = [], max(r[1] for r in rows) // 5 + 1
+    for part in range(5):
+        spark.createDataFrame([r for r in rows if r[1] // step == part], SEAMED).coalesce(1).sortWithinPartitions("source", "arrival").write.mode("append").parquet(folder)
+        closed = live.window_stream(stream, 60).writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect())))
+        closed.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    want = lane_of(rows, 60, False)
+    alike(out, want)
+    alike(map(tuple, live.window_batch(spark.createDataFrame(rows, SEAMED), 60, ended=False).collect()), want)
+
+
+BASE = 1_700_000_040
+
+
+@pytest.mark.parametrize("gaps, observed, ledger", [([(-10, 5)], 50, 15), ([(-10, 20)], 40, 30), ([(20, 30)], 40, 10), ([(50, 80)], 40, 30), ([(20, 35), (30, 40)], 30, 25), ([(20, 25), (40, 45)], 40, 10), ([(20, 30), (None, 5)], 35, 15)])
+def test_only_the_union_of_gaps_in_the_span_counts(spark, gaps, observed, ledger):
+    def line(second):
+        return [(BASE + second) * 1_000_000, ["m"], None, None, None, None, None, None, None]
+
+    def resumed(a, b):
+        return [None, None, None, None, "resumed", (b if a is None else b - a) * 1_000_000, None if a is None else (BASE + b) * 1_000_000, True, True]
+
+    rows = [line(10), *[resumed(*g) for g in gaps], line(max(61, *(b for _, b in gaps)))]
+    df = spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], SEAMED)
+    got = live.window_batch(df, 60, ended=False).first()
+    assert (got.observed_duration_us, got.gap_us, got.reconnects, got.resume_seam, got.partial) == (observed * 1_000_000, ledger * 1_000_000, len(gaps), True, True)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_mean_over_an_order_is_a_loop(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(s, i, rng.choice([None, 0.0, rng.random() * 9]) if i > 30 else rng.choice([None, 0.0])) for s in ("a", "b", None) for i in range(700)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "s string, i long, v double").repartition(partitions)
+        got = {(r.s, r.i): r.mean for r in recurrences.exponential_mean(df, "s", [F.col("i")], F.col("v"), 0.2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in ("a", "b", None):
+        x = 0.0
+        for t, i, v in rows:
+            if t == s:
+                x = x if v is None else v if x == 0 else 0.2 * v + 0.8 * x
+                assert abs(got[s, i] - x) < 1e-12
+
+
 def test_cooldown():
     rows = pd.DataFrame({"det_id": "x", "cycle": range(8), "severity_rank": [1, 1, 1, 2, 2, 2, 2, 2], "score": [1, 1.1, 1.2, 1.2, 1.2, 1.8, 1.8, 1.8]})
     assert health.cooldown(rows) == [True, False, False, True, False, True, False, False]

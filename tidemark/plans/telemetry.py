@@ -501,7 +501,8 @@ def replayed_windows(spark, sf_dir):
     """The live lane's windows over the whole table, every hundredth event arriving an hour late."""
     rows = events(spark, sf_dir)
     arrival = F.when(F.col("event_id") % 100 == 0, F.col("us") + 3600 * scalars.MICROS).otherwise(F.col("us"))
-    return live.window_batch(rows.select(F.lit("events").alias("source"), arrival.alias("arrival"), "us", F.array("metric").alias("metrics")), HOUR)
+    found = live.window_batch(rows.select(F.lit("events").alias("source"), arrival.alias("arrival"), "us", F.array("metric").alias("metrics")), HOUR)
+    return found.drop("unclassified", "reconnects", "gap_us", "resume_seam", "lag_ewma_s", "lag_max_s")
 
 
 @query
