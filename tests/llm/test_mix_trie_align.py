@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -266,11 +267,9 @@ def test_groups_cover_the_texts(spark, pair, monkeypatch):
     assert len([k for k in got if k[1] in (3, None)]) == 3  # " " twice and again
 
 
-def test_long_texts_in_parts(pair, monkeypatch):
-    monkeypatch.setattr(alignment, "PART", 50)
+def test_chunks_are_the_library(pair, monkeypatch):
     held = alignment.Tokenizers(*pair)
     rng = random.Random(3)
-    for _ in range(40):
-        text = "".join(rng.choice(["word", " ", " ", "  ", "é", "中", "\n", "x" * 60]) for _ in range(80))
-        if text.strip():
-            assert held._pieces(text) == held.b.encode(text)
+    for _ in range(400):
+        text = "".join(rng.choice(["word", " ", " ", "  ", "é", "中", "\n", "\t", "x" * 60, ".", "\u00a0"]) for _ in range(rng.randint(1, 30)))
+        assert np.frombuffer(held.pieces(text), held.types[1]).tolist() == held.b.encode(text)

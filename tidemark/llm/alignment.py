@@ -14,8 +14,9 @@ what each document has of them.  No pair's rows are ever a group, so a pair that
 
 A document has no tokens if its text is null or empty, or if either side's bytes put together are not a space and the text
 (a U+2581 in a text is one case): it has zeros and an empty digest.  Rows that share an id are documents of their own, a null id
-passes through.  Empty tables give empty results.  A long text is encoded in parts cut ahead of a space, where the piece model
-never merges.  Other columns are not read.
+passes through.  Empty tables give empty results.  Texts go to the piece model in chunks cut ahead of a space that follows
+something else, where it never merges; a worker keeps what it has met, so a long text needs little more than its ids.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import _PRINTED, BYTE_LEVEL, TextEncoder
+from .pieces import _PRINTED, BYTE_LEVEL, CACHE_ENTRIES, Generations, TextEncoder
 from .runtime import Workspace, partitions, tune
 
 #: Bytes of a stretch; tokens and documents that are worked off at once; buckets of B ids, and parts of a bucket.
 STRETCH, FLUSH, FLUSH_DOCS, BUCKETS, SALTS = 1 << 16, 1_000_000, 1 << 17, 256, 4
-#: Characters of a text that the piece model encodes at once.
-PART = 1 << 20
 #: Bits of an id in a pair.
 BITS = 20
 
@@ -46,8 +46,19 @@ SPACE_LETTER, BYTE_PIECE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 _i8 = np.int64
 
 
+#: From a space on that follows something else (or from the start), up to the next such space.
+CHUNK = re.compile(r" +[^ ]+| +$")
+
+class Differs(Exception):
+    """The pieces' bytes are not the text's."""
+
+
 class Tokenizers:
-    """Both tokenizers in a worker, and the bytes of their tokens."""
+    """Both tokenizers in a worker, and the bytes of their tokens.
+
+    A's tokens always give the text's bytes: it has a token for every byte, and merges join bytes.  B's are compared chunk by
+    chunk, where a chunk is met for the first time.
+    """
 
     def __init__(self, a_json: str, b_model: bytes):
         import sentencepiece
@@ -61,7 +72,10 @@ class Tokenizers:
         for token, i in self.a.library.get_vocab().items():
             if all(ord(c) in letters for c in token):
                 self.a_bytes[i] = bytes(letters[ord(c)] for c in token)
+        if {bytes([c]) for c in range(256)} - set(self.a_bytes):
+            raise ValueError("the first tokenizer lacks tokens of single bytes")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        self.space = [self.b.piece_to_id(SPACE_LETTER)]
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -69,36 +83,38 @@ class Tokenizers:
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << BITS:
             raise ValueError(f"ids beyond {BITS} bits")
         # Where no piece has a space after another letter, none is merged across a space that follows one.
-        self.cuts = all(" " not in p.lstrip(b" ").decode("utf-8", "replace") for p in self.b_bytes)
+        self.cuts = all(b" " not in p.lstrip(b" ") for p in self.b_bytes)
         self.types = [np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in (self.a_bytes, self.b_bytes)]
+        self._code = "H" if self.types[1].itemsize == 2 else "I"
+        self.chunks = Generations(self._chunk, CACHE_ENTRIES)
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(x) for x in held], _i8) for held in (self.a_bytes, self.b_bytes))
 
-    def _pieces(self, text: str) -> list[int]:
-        if len(text) <= PART or not self.cuts:
-            return self.b.encode(text, num_threads=1)
-        ids, at = [], 0
-        while at < len(text):
-            cut = text.rfind(" ", at, at + PART) if at + PART < len(text) else len(text)
-            while cut > at and cut < len(text) and text[cut - 1] == " ":
-                cut -= 1
-            cut = cut if cut > at else len(text)
-            ids += self.b.encode(text[at:cut], num_threads=1)
-            at = cut + 1  # the model sets a space ahead of each part itself
-        return ids
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or None where there are no tokens."""
+    def _chunk(self, chunk: str) -> bytes:
+        """B ids of a space and a chunk, checked against its bytes."""
+        ids = self.b.encode(chunk, num_threads=1) if chunk else self.space  # the library gives nothing for an empty one
+        if b"".join(map(self.b_bytes.__getitem__, ids)) != (" " + chunk).encode():
+            raise Differs
+        return array(self._code, ids).tobytes()
+
+    def pieces(self, text: str) -> bytes:
+        """B ids of a space and the text: chunk by chunk, each from a space on that follows something else."""
+        parts = text.split(" ") if self.cuts else [text]
+        if "" in parts:
+            parts = [found[1:] for found in CHUNK.findall(" " + text)]
+        return b"".join(map(self.chunks.__getitem__, parts))
+
+    def __call__(self, text: str | None) -> tuple[bytes, bytes] | None:
+        """Packed ids of both sides, or None where there are no tokens."""
         if not text:
             return None
-        whole = " " + text
-        a = np.frombuffer(self.a(whole), self.a.dtype)
-        b = self._pieces(text)
-        raw = whole.encode()
-        if b"".join(map(self.b_bytes.__getitem__, b)) != raw or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw:
+        try:
+            b = self.pieces(text)
+        except Differs:
             return None
-        return a.astype(self.types[0], copy=False), np.array(b, self.types[1])
+        a = self.a(" " + text)
+        return a if self.a.dtype == self.types[0] else np.frombuffer(a, self.a.dtype).astype(self.types[0]).tobytes(), b
 
 
 _HELD: dict[tuple, Tokenizers] = {}
@@ -142,16 +158,20 @@ def events(df: DataFrame, a_json: str, b_model: bytes, *, key: str, text: str) -
         lengths = held.sizes()
         for batch in batches:
             out, schema = [], pa.schema([("doc", pa.int64()), ("stretch", pa.int64()), ("side", pa.int32()), ("ids", pa.binary()), ("id", batch.schema.field(1).type), ("n_a", pa.int64()), ("n_b", pa.int64())])
-            size = 0
+            size, widths = 0, [t.itemsize for t in held.types]
             for doc, name, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = held(body)
-                out.append((doc, -1, 0, None, name, *(len(x) for x in found or ((), ()))))
-                for side, ids in enumerate(found or ()):
+                found = held(body) or (b"", b"")
+                out.append((doc, -1, 0, None, name, *(len(x) // w for x, w in zip(found, widths, strict=True))))
+                for side, raw in enumerate(found if found[0] else ()):
+                    size += len(raw)
+                    if 4 * len(body) < STRETCH:
+                        out.append((doc, 0, side, raw, None, None, None))
+                        continue
+                    ids = np.frombuffer(raw, held.types[side])
                     at = (np.cumsum(lengths[side][ids]) - 1) // STRETCH
                     cuts = np.flatnonzero(np.diff(at)) + 1
                     for stretch, part in zip(at[np.r_[0, cuts]].tolist(), np.split(ids, cuts), strict=True):
                         out.append((doc, stretch, side, part.tobytes(), None, None, None))
-                    size += ids.nbytes
                 if size > 8 << 20:
                     yield _batch(out, schema)
                     out, size = [], 0
