@@ -30,19 +30,12 @@ def autocorrelation(df: DataFrame, by: list[str], order: str, value: str, name:
     return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__den") > 0), F.col("__num") / F.col("__den")).alias(name))
 
 
-def percentiles(value: str, names: dict[str, float]) -> list[Column]:
-    """Exact percentiles with linear interpolation."""
-    return [F.percentile(value, q).alias(name) for name, q in names.items()]
-
-
-SPREAD = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-
-
 def nearest_rank(values: Column, q: float) -> Column:
-    """Percentile of an array by the rounded index (halves to even)."""
+    """Percentile of a short array by the rounded index (halves to even)."""
     ordered = F.array_sort(values)
     return F.when(F.size(values) > 0, F.element_at(ordered, F.bround(F.lit(q) * (F.size(values) - 1), 0).cast("int") + 1))
 
 
 def upper_median(values: Column) -> Column:
+    """The one after the lower half of a short array."""
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int")))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
-from . import derive
+from ..sources.store import held
+from . import derive, ranks
 
 QUANTITIES = (
     "emission_velocity", "interaction_velocity", "interaction_pressure", "reply_share", "graph_velocity", "boundary_share", "withdrawal_share", "turbulence", "acceleration",
@@ -23,6 +24,8 @@ ROLES = {
     "creates": ["post.create", "like.create", "repost.create", "follow.create", "block.create", "listitem.create"],
     "deletes": ["post.delete", "like.delete", "repost.delete", "follow.delete", "block.delete", "listitem.delete"],
 }
+#: The percentiles that describe what is usual.
+SPREAD = {f"p{q:02d}": ranks.between(q / 100) for q in (5, 25, 50, 75, 95)}
 CONTEXT, DEGENERATE, EXCEEDANCE, NOMINAL = 10, 0.01, 0.05, 0.10
 
 
@@ -59,14 +62,17 @@ def long(field: DataFrame) -> DataFrame:
 
 def diurnal(field: DataFrame) -> DataFrame:
     """(quantity, hour, n, n_days, p05 … p95): what is usual at each hour of day."""
-    return long(field).groupBy("quantity", "hour").agg(F.count("value").alias("n"), F.count_distinct("day").alias("n_days"), *stats.percentiles("value", stats.SPREAD))
+    rows = held(long(field))
+    days = rows.groupBy("quantity", "hour").agg(F.count("value").alias("n"), F.count_distinct("day").alias("n_days"))
+    return days.join(ranks.order_statistics(rows, ["quantity", "hour"], "value", SPREAD).drop("n"), ["quantity", "hour"], "left")
 
 
 def overall(field: DataFrame, cells: DataFrame) -> DataFrame:
     """The distribution of each quantity, its effective size (raw, and with the hour's median taken off), and how far the
     comparison is supported."""
-    rows = long(field).where("value is not null")
-    dist = rows.groupBy("quantity").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *stats.percentiles("value", stats.SPREAD), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    rows = held(long(field).where("value is not null"))
+    dist = rows.groupBy("quantity").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    dist = dist.join(ranks.order_statistics(rows, ["quantity"], "value", SPREAD).drop("n"), "quantity").select("quantity", "n", "mean", "sd", *SPREAD, "minimum", "maximum")
     residual = rows.join(F.broadcast(cells.select("quantity", "hour", "p50")), ["quantity", "hour"]).withColumn("residual", F.col("value") - F.col("p50"))
     raw = stats.autocorrelation(rows, ["quantity"], "bucket_start", "value").drop("n")
     rest = stats.autocorrelation(residual, ["quantity"], "bucket_start", "residual", "residual_r").drop("n")
@@ -178,7 +184,8 @@ def radar(field: DataFrame, cells: DataFrame, quantity: str = "interaction_veloc
     recent = field.crossJoin(F.broadcast(last)).where(F.col("bucket_start") > F.col("last") - hours * 3600)  # one row
     rows = recent.withColumn("hour", scalars.hour_of(F.col("bucket_start"))).join(F.broadcast(cells.where(F.col("quantity") == quantity).select("hour", "p50")), "hour")
     ratio = scalars.positive_ratio(F.col(quantity), F.col("p50"))
-    return rows.where(ratio.isNotNull()).groupBy("hour").agg(stats.upper_median(F.collect_list(ratio)).alias("ratio"), F.count(F.lit(1)).alias("windows"))
+    found = ranks.order_statistics(rows.withColumn("over", ratio), ["hour"], "over", {"ratio": ranks.UPPER_MEDIAN})
+    return found.select("hour", "ratio", F.col("n").alias("windows"))
 
 
 def observations(field: DataFrame, window: str) -> DataFrame:

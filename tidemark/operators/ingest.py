@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vocab
+from ..sources.store import held
+from . import ranks, recurrences
 
 LONGEST = 32_768
 
@@ -143,21 +145,21 @@ def rates(rows: DataFrame, width: int) -> DataFrame:
     ends = per.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     inner = per.crossJoin(F.broadcast(ends)).where("at > lo and at < hi")  # one row of bounds
     rate = F.col("n") / F.lit(float(width))
-    return inner.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("events"), F.percentile(rate, 0.5).alias("rate_p50"), F.percentile(rate, 0.95).alias("rate_p95"), F.max(rate).alias("rate_max"))
+    inner = held(inner.select("n", rate.alias("rate")))
+    spread = ranks.order_statistics(inner, [], "rate", {"rate_p50": ranks.between(0.5), "rate_p95": ranks.between(0.95)}).drop("n")
+    sums = inner.agg(F.count(F.lit(1)).alias("windows"), F.sum("n").alias("events"), F.max("rate").alias("rate_max"))
+    return sums.join(spread, F.lit(True), "left").select("windows", "events", "rate_p50", "rate_p95", "rate_max")  # one row each
 
 
-def monotonicity(rows: DataFrame, cells: int = 4096) -> DataFrame:
+def monotonicity(rows: DataFrame) -> DataFrame:
     """One row on (arrival, us): steps from each row to the next in order of arrival that go up, stay, go down.
 
     Steps inside ranges of arrival are found range by range; those between ranges from a row for each range, so no task walks
-    the whole table.
+    the whole table, however unevenly the rows arrive.
     """
-    bounds = rows.agg(F.min("arrival").alias("lo"), F.max("arrival").alias("hi"))
-    at = F.floor((F.col("arrival") - F.col("lo")) * cells / (F.col("hi") - F.col("lo") + 1))
-    placed = rows.crossJoin(F.broadcast(bounds)).select("arrival", "us", at.alias("cell"))  # one row of bounds
-    before = F.lag("us").over(Window.partitionBy("cell").orderBy("arrival", "us"))
-    inside = placed.select("us", before.alias("before"))
-    ends = placed.groupBy("cell").agg(F.min_by("us", F.struct("arrival", "us")).alias("us"), F.max_by("us", F.struct("arrival", "us")).alias("last"))
-    between = ends.select("us", F.lag("last").over(Window.orderBy("cell")).alias("before"))  # a bounded number of cells
+    dealt = held(recurrences.ranged(rows.select("arrival", "us"), [F.col("arrival"), F.col("us")]))
+    inside = dealt.select("us", F.lag("us").over(Window.partitionBy("range").orderBy("at")).alias("before"))
+    ends = dealt.groupBy("range").agg(F.min_by("us", "at").alias("us"), F.max_by("us", "at").alias("last"))
+    between = ends.select("us", F.lag("last").over(Window.orderBy("range")).alias("before"))  # a row for each range
     step = F.col("us") - F.col("before")
     return inside.union(between).agg(F.count_if(step > 0).alias("up"), F.count_if(step == 0).alias("ties"), F.count_if(step < 0).alias("down"))

@@ -1,71 +1,114 @@
-"""Scrubbing of recorded messages: what no list allows goes, key by key, so a new field is dropped until someone allows it."""
+"""Scrubbing of recorded messages, and the check that nothing survived it.
 
-from __future__ import annotations
+One table says what becomes of a key by the shape of its value; what it does not name is dropped until someone adds it.  Both
+the scrubber and the check read that table, as expressions over the whole tree of a message.
+"""
 
-import hashlib
-import json
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are kept: containers are walked, lists kept up to a bound, plain values kept, names replaced by tokens.
-CONTAINERS = frozenset({"commit", "record", "account", "identity", "embed", "media", "reply", "subject"})
-LISTS, LIST_MOST = frozenset({"langs"}), 8
-PLAIN = frozenset({"kind", "operation", "collection", "active", "status", "$type", "createdAt", "seq", "time_us"})
-NAMES = frozenset({"did", "rkey", "rev", "cid", "uri"})
+from ..functions import scalars, trees
+
+#: What becomes of a key's value, by its shape: an object is entered, a list cut to its scalars, a scalar kept or replaced by a
+#: token of it.
+ENTER, CUT, KEEP, TOKEN = "enter", "cut", "keep", "token"
+RULES = {
+    "object": {ENTER: ("account", "commit", "embed", "identity", "media", "record", "reply", "subject")},
+    "array": {CUT: ("langs",)},
+    "scalar": {KEEP: ("$type", "active", "collection", "createdAt", "kind", "operation", "seq", "status", "time_us"), TOKEN: ("cid", "did", "rev", "rkey", "subject", "uri")},
+}
+#: Items of a list that are kept.
+ITEMS = 8
+
+# Top-level domains that no one can register, keys whose values are names of the protocol, and the longest text
+# that is not taken for someone's words.
+RESERVED, PROTOCOL, LONGEST = ("example", "invalid", "localhost", "test"), ("$type", "collection"), 96
+
+
+def rule(key: Column, shape: Column) -> Column:
+    """What the table says of a key with a value of that shape; null where it says nothing."""
+    known = F.create_map(*[F.lit(x) for s, acts in RULES.items() for act, keys in acts.items() for k in keys for x in (f"{s} {k}", act)])
+    return F.try_element_at(known, F.concat(shape, F.lit(" "), key))
+
+
+def token(value: Column, salt: str) -> Column:
+    """A name that stands for a value (its text), the same for the same value and salt."""
+    return F.concat(F.lit("x:"), F.substring(F.sha2(F.concat(F.lit(salt), value).cast("binary"), 256), 1, 12))
+
+
+def _plain(v: Column) -> Column:
+    """Scalars as text: strings as they are."""
+    return F.coalesce(F.when(trees.kind(v) == "STRING", F.try_variant_get(v, "$", "string")), F.to_json(v))
 
 
-def token(value: object, salt: str) -> str:
-    return "x:" + hashlib.sha256(f"{salt}{value}".encode()).hexdigest()[:12]
+def scrubbed(v: Column, salt: str, depth: int = trees.DEPTH) -> Column:
+    """The JSON of an object with nothing but what the table allows, keys sorted.  Objects below ``depth`` are dropped."""
 
+    def member(c: Column, left: int) -> Column:
+        value, act = c["value"], rule(c["key"], trees.shape(c["value"]))
+        items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: ~trees.kind(x).isin("OBJECT", "ARRAY", "VOID"))
+        text = F.when(act == CUT, F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, 1, ITEMS), lambda x: F.to_json(x)), ","), F.lit("]")))
+        text = text.when((act == KEEP), F.to_json(value)).when(act == TOKEN, trees.quoted(token(_plain(value), salt)))
+        return text.when(act == ENTER, trees.rendered(value, member, left)) if left > 0 else text
 
-def scrubbed(node: dict, salt: str, dropped: Counter) -> dict:
-    """A message with nothing but what the lists allow; ``dropped`` counts the rest by key."""
-    out = {}
-    for k, v in node.items():
-        if isinstance(v, dict) and k in CONTAINERS:
-            out[k] = scrubbed(v, salt, dropped)
-        elif isinstance(v, list) and k in LISTS:
-            out[k] = [x for x in v if isinstance(x, (str, int, float))][:LIST_MOST]
-        elif isinstance(v, (dict, list)):
-            dropped[k] += 1
-        elif k in PLAIN:
-            out[k] = v
-        elif k in NAMES or k == "subject":
-            out[k] = token(v, salt)
-        else:
-            dropped[k] += 1
-    return out
+    return trees.rendered(v, member, depth)
+
+
+def dropped(v: Column, depth: int = trees.DEPTH) -> Column:
+    """How many members scrubbing drops; what is inside a dropped one is not counted."""
+
+    def gone(c: Column, left: int) -> Column:
+        act = rule(c["key"], trees.shape(c["value"]))
+        if left == 0:
+            return F.when(act.isNull() | (act == ENTER), 1).otherwise(0)
+        return F.when(act.isNull(), 1).when(act == ENTER, count(c["value"], left)).otherwise(0)
+
+    def count(node: Column, left: int) -> Column:
+        return F.aggregate(F.transform(trees.children(node), lambda c: gone(c, left - 1)), F.lit(0), lambda a, b: a + b)
+
+    return count(v, depth).cast("long")
 
 
 def scrub(lines: DataFrame, salt: str, raw: str = "value", key: str = "event_id") -> DataFrame:
-    """(key, value, dropped): each JSON object scrubbed, as text, and how many fields went; null for what is no object."""
+    """(key, value, dropped): each JSON object scrubbed, as text, and how many members went; null for what is no object."""
+    rows = lines.select(F.col(key), F.try_parse_json(F.col(raw)).alias("v"))
+    whole = trees.kind(F.col("v")) == "OBJECT"
+    return rows.select(key, F.when(whole, scrubbed(F.col("v"), salt)).alias("value"), F.when(whole, dropped(F.col("v"))).otherwise(F.lit(0)).cast("long").alias("dropped"))
 
-    def each(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts = [], []
-            for text in batch.column(1).to_pylist():
-                try:
-                    node = json.loads(text) if text is not None else None
-                except ValueError:
-                    node = None
-                gone: Counter = Counter()
-                out.append(json.dumps(scrubbed(node, salt, gone), sort_keys=True, separators=(",", ":")) if isinstance(node, dict) else None)
-                counts.append(gone.total())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int64())], [key, "value", "dropped"])
 
-    kept = lines.select(key, F.col(raw).alias("raw"))
-    return kept.mapInArrow(each, f"`{key}` {kept.schema[key].dataType.simpleString()}, value string, dropped long")
+NAMES, LONG, HOST, ADDRESS, KEY, DEEP, UNREAD = "names an account", "a long text", "a host that can be real", "an address that can be real", "a key that is not allowed", "deeper than the check goes", "not JSON"
 
 
-def leaks(rows: DataFrame, raw: str = "value", key: str = "event_id") -> DataFrame:
-    """(key, problem) of scrubbed messages that still hold an account's name or a key that is not allowed."""
-    from ..functions import scalars
+def findings(lines: DataFrame, raw: str = "value", key: str = "event_id", depth: int = trees.DEPTH) -> DataFrame:
+    """(key, path, name, problem): whatever at any depth of a message no scrubbed one may have.
+
+    A member whose key and shape the table does not name; a text that names an account or an address or host outside the
+    reserved domains, or that is long.  Texts of keys that hold names of the protocol are not taken for hosts.  A tree that is
+    deeper than ``depth`` is a finding itself, and so is a line that is no JSON.
+    """
+    rows = lines.select(F.col(key), F.try_parse_json(F.col(raw)).alias("v"), F.col(raw).isNotNull().alias("there"))
+    node = rows.where("v IS NOT NULL").select(F.col(key).alias("of"), F.explode(trees.walk(F.col("v"), depth)).alias("n")).select("of", "n.*")
+    text, host = F.col("text"), F.lower(F.regexp_extract("text", "(?i)^https?://([^/\\s:]+)", 1))
+    real = lambda name: ~F.element_at(F.split(name, "\\."), -1).isin(*RESERVED)
+    protocol = F.coalesce(F.col("key").isin(*PROTOCOL), F.lit(False))
+    named = scalars.names_identity(text) | text.rlike("(?i)\\b[a-z0-9][a-z0-9.-]*\\.bsky\\.(social|app|team)\\b")
+    hostlike = text.rlike("(?i)^[a-z0-9][a-z0-9-]*(\\.[a-z0-9][a-z0-9-]*)+$")
+    member = ~F.col("path").endswith("]") & (F.col("path") != "$")
+    problems = F.array(
+        F.when(F.col("kind") == "DEEP", DEEP), F.when(member & rule(F.col("key"), F.col("shape")).isNull(), KEY), F.when(named, NAMES), F.when((host != "") & real(host) & ~protocol, ADDRESS),
+        F.when(hostlike & real(F.lower(text)) & ~protocol, HOST), F.when((F.length(text) > LONGEST) & ~protocol, LONG),
+    )
+    found = node.select(F.col("of").alias(key), "path", F.col("key").alias("name"), F.explode(F.array_compact(problems)).alias("problem"))
+    unread = rows.where("v IS NULL AND there").select(F.col(key), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), F.lit(UNREAD).alias("problem"))
+    return found.unionByName(unread)
 
+
+def leaks(rows: DataFrame, raw: str = "value", key: str = "event_id") -> DataFrame:
+    """(key, problem) of messages whose text names an account anywhere, or whose top level has a key that is not allowed; a
+    message each.  ``findings`` says where, at every depth."""
     keys = F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))
-    allowed = F.array(*map(F.lit, sorted(CONTAINERS | LISTS | PLAIN | NAMES)))
-    named = rows.where(scalars.names_identity(F.col(raw))).select(key, F.lit("names an account").alias("problem"))
-    return named.union(rows.where(F.size(F.array_except(keys, allowed)) > 0).select(key, F.lit("a key that is not allowed").alias("problem")))
+    allowed = F.array(*map(F.lit, sorted({k for acts in RULES.values() for ks in acts.values() for k in ks})))
+    named = rows.where(scalars.names_identity(F.col(raw))).select(key, F.lit(NAMES).alias("problem"))
+    return named.union(rows.where(F.size(F.array_except(keys, allowed)) > 0).select(key, F.lit(KEY).alias("problem")))

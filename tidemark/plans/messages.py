@@ -11,8 +11,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars, stats
-from ..operators import custody, ingest
+from ..functions import scalars
+from ..operators import custody, ingest, ranks
 from .telemetry import HOUR, events, query, rounded, table
 
 POST, LIKE, FOLLOW = "app.bsky.feed.post", "app.bsky.feed.like", "app.bsky.graph.follow"
@@ -145,5 +145,7 @@ def rate_profile(spark, sf_dir):
 @query
 def lag_profile(spark, sf_dir):
     """Nearest-rank percentiles of the values of each type's numbers."""
-    rows = events(spark, sf_dir).groupBy("metric").agg(F.collect_list("target").alias("v"))
-    return rows.select("metric", *[stats.nearest_rank(F.col("v"), q).alias(f"p{int(100 * q)}") for q in (0.5, 0.95, 0.99)], stats.upper_median(F.col("v")).alias("upper_median"))
+    wanted = {f"p{int(100 * q)}": ranks.nearest(q) for q in (0.5, 0.95, 0.99)} | {"upper_median": ranks.UPPER_MEDIAN}
+    rows = events(spark, sf_dir)
+    found = ranks.order_statistics(rows, ["metric"], "target", wanted).drop("n")
+    return rows.select("metric").distinct().join(found, "metric", "left")
