@@ -25,6 +25,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .pieces import _PRINTED, BYTE_LEVEL, CACHE_ENTRIES, Generations, TextEncoder
 from .runtime import Workspace, partitions, tune
 
-#: Bytes of a stretch; tokens and documents that are worked off at once; buckets of B ids, and parts of a bucket.
-STRETCH, FLUSH, FLUSH_DOCS, BUCKETS, SALTS = 1 << 16, 1_000_000, 1 << 17, 256, 4
+#: Bytes of a stretch; tokens, and bits of the number of documents, that are worked off at once; buckets of B ids, and parts of a bucket.
+STRETCH, FLUSH, DOC_BITS, BUCKETS, SALTS = 1 << 16, 1_000_000, 17, 256, 4
 #: Bits of an id in a pair.
 BITS = 20
 
@@ -129,12 +130,17 @@ def tokenizers(a_json: str, b_model: bytes) -> Tokenizers:
     return _HELD[name]
 
 
+@lru_cache
+def _coders() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return _coders()[0].compress(np.ascontiguousarray(x).tobytes())
 
 
 def _opened(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(_coders()[1].decompress(x), kind)
 
 
 def _rows(batches):
@@ -195,23 +201,24 @@ class Machine:
         self.doc, self.open = None, [np.zeros(0, t) for t in types]
 
     def take(self, doc: int, stretch: int, side: int, ids: bytes) -> None:
-        if doc != self.doc or side == 0 or stretch != self.at:
-            self._close()
         if doc != self.doc:
+            self._close(ended=True)
             self.doc, self.open = doc, [np.zeros(0, t) for t in self.types]
+        elif side == 0 or stretch != self.at:
+            self._close()
         self.at = stretch
         more = np.frombuffer(ids, self.types[side])
         self.open[side] = np.concatenate([self.open[side], more]) if len(self.open[side]) else more
 
-    def _close(self) -> None:
-        """What is closed of the open document's tokens goes to the waiting ones."""
+    def _close(self, ended: bool = False) -> None:
+        """What is closed of the open document's tokens goes to the waiting ones; all of them where it has ended, since both
+        sides of a whole document end together."""
         a, b = self.open
         if not (len(a) and len(b)):
             return
-        ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b), strict=True)]
-        if ends[0][-1] == ends[1][-1]:
-            n_a, n_b = len(a), len(b)
-        else:
+        n_a, n_b = len(a), len(b)
+        if not ended:
+            ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, (a, b), strict=True)]
             both = np.intersect1d(*ends, assume_unique=True)
             if not len(both):
                 return
@@ -221,11 +228,11 @@ class Machine:
         self.open = [a[n_a:], b[n_b:]]
 
     def ready(self) -> bool:
-        return self.tokens >= 2 * FLUSH or len(self.waiting) >= FLUSH_DOCS
+        return self.tokens >= 2 * FLUSH or len(self.waiting) >= 1 << DOC_BITS
 
     def handed(self, last: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
         if last:
-            self._close()
+            self._close(ended=True)
         out, self.waiting, self.tokens = self.waiting, [], 0
         return out
 
@@ -288,6 +295,7 @@ def swept(found: DataFrame, a_json: str, b_model: bytes, id_type: str) -> DataFr
         held = tokenizers(*files.value)
         machine, texts, out, sizes, flushes = Machine(held.sizes(), held.types), Texts(max(map(len, (held.a_bytes, held.b_bytes)))), [], held.sizes(), 0
         digest, current, schema, stage = None, None, None, TaskContext.get().partitionId()
+        per_bucket = -(-len(held.b_bytes) // BUCKETS)
 
         def flushed(parts):
             """Appends a flush's rows."""
@@ -308,16 +316,16 @@ def swept(found: DataFrame, a_json: str, b_model: bytes, id_type: str) -> DataFr
             for doc, g, k in zip(docs.tolist(), groups.tolist(), links.tolist(), strict=True):
                 out.append(("doc", doc, None, None, None, g, k, f"{flushes:010d}{shas[doc]}", *[None] * 7))
             out.append(("docs", None, None, None, None, None, None, None, name, None, None, None, None, _packed(docs.astype("<i8")), None))
-            pairs = got["b"][got["link_b"]] << BITS | got["a"][got["link_a"]]
-            bucket = (got["b"][got["link_b"]] * 40503) % BUCKETS
-            links = bucket << 2 * BITS | pairs
-            order = np.argsort(links, kind="stable")  # links come in the order of documents
-            links, doc = links[order], of_part[got["link_part"]][order]
-            starts = np.flatnonzero(np.r_[True, (links[1:] != links[:-1]) | (doc[1:] != doc[:-1])])
-            times, links, doc = np.diff(np.r_[starts, len(links)]), links[starts], doc[starts]
+            # One sort by bucket, B id, A id and document; in a bucket B ids stand by their place in it.
+            b = got["b"][got["link_b"]]
+            pairs = ((b % BUCKETS) * per_bucket + b // BUCKETS) << BITS | got["a"][got["link_a"]]
+            links = np.sort(pairs << DOC_BITS | of_part[got["link_part"]])
+            starts = np.flatnonzero(np.r_[True, links[1:] != links[:-1]])
+            times, links = np.diff(np.r_[starts, len(links)]), links[starts]
+            doc, links = links & ((1 << DOC_BITS) - 1), links >> DOC_BITS
             heads = np.flatnonzero(np.r_[True, links[1:] != links[:-1]])
-            runs, pairs, sums = np.diff(np.r_[heads, len(links)]), links[heads] & ((1 << 2 * BITS) - 1), np.add.reduceat(times, heads)
-            bucket = links[heads] >> 2 * BITS
+            runs, pairs, sums = np.diff(np.r_[heads, len(links)]), links[heads], np.add.reduceat(times, heads)
+            bucket = (pairs >> BITS) // per_bucket
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(heads)].tolist(), strict=True):
                 rows = slice(heads[lo], heads[hi] if hi < len(heads) else len(links))
