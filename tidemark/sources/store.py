@@ -14,14 +14,36 @@ class IntegrityError(ValueError):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or the warehouse where that is not set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``, which all executors see; it goes when the driver ends.
+
+    Where that is not set, on one machine, it is below the warehouse; on a cluster that is refused, since the warehouse's
+    default is a folder of the driver's own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) as Spark's own storage layer has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
 
 
-def held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: what several branches of a query use is computed once."""
-    path = shared_folder(df.sparkSession)
+    path = path or shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
