@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import trees
-from tidemark.operators import commitments, ingest, ranks
+from tidemark.operators import commitments, heavy, ingest, ranks
 
 
 def canonical_of(value):
@@ -137,3 +137,31 @@ def test_order_of_times_where_one_row_is_far_off(spark):
     steps = [b - a for a, b in zip(us, us[1:], strict=False)]
     got = ingest.monotonicity(df).first()
     assert tuple(got) == (sum(s > 0 for s in steps), sum(s == 0 for s in steps), sum(s < 0 for s in steps))
+
+
+@pytest.mark.parametrize("size", [2, 8, 64])
+def test_most_frequent_names_are_exact_however_small_the_summaries(spark, size):
+    """Few counters, a long tail, ties at the k-th place, a group smaller than k."""
+    from collections import Counter
+
+    rng = random.Random(size)
+    rows = [("a", f"n{min(int(rng.paretovariate(0.9)), 400)}") for _ in range(4000)] + [("b", f"n{i % 37}") for i in range(370)] + [(None, "x"), (None, "y"), ("c", None)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "g string, x string").repartition(5)
+    got = sorted(map(tuple, heavy.most_frequent(df, "g", "x", 5, size=size).collect()))
+    want = []
+    for g in ("a", "b", None):
+        counts = Counter(x for h, x in rows if h == g and x is not None)
+        want += [(g or "", x, n) for x, n in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:5]]
+    assert got == sorted(want)
+
+
+def test_summaries_are_bounded_and_their_errors_known(spark):
+    rng = random.Random(1)
+    names = [f"n{rng.randrange(3000)}" for _ in range(20_000)] + ["often"] * 4000
+    df = spark.createDataFrame([("g", x) for x in rng.sample(names, len(names))], "g string, x string").repartition(4)
+    rows = heavy.summaries(df, "g", "x", 50).collect()
+    counters, error = {r.x: r.n for r in rows if r.x}, sum(r.n for r in rows if r.x is None)
+    assert len(counters) <= 4 * 50 and 0 < error <= len(names) / 50
+    for x in {*names}:
+        n = names.count(x) if x == "often" else None
+        assert n is None or counters[x] <= n <= counters[x] + error

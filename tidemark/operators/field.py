@@ -138,14 +138,16 @@ def conditions(field: DataFrame, cells: DataFrame, dist: DataFrame, at: list[int
     rows = placed(field, cells)
     if at is None:
         at = [r[0] for r in field.agg(F.max(F.col("bucket_start") + F.col("bucket_width"))).collect() if r[0] is not None]
-    times = F.broadcast(spark.createDataFrame([(t,) for t in at], "at_s long"))  # a row for each asked time
+    times = spark.createDataFrame([(t,) for t in at], "at_s long")  # a row for each asked time
+    # Each window goes to the first asked time that it is over by; what is last before a time is a running maximum over those.
     end = F.col("bucket_start") + F.col("bucket_width")
-    upto = rows.join(times, end <= F.col("at_s"))
-    picked = upto.groupBy("at_s").agg(
-        F.max_by(F.struct("bucket_start", "bucket_width", "interaction_velocity", "turbulence", "p50", "p75", "p95", "turbulence_p95"), F.when(F.col("eligible"), F.col("bucket_start"))).alias("w"),
-        F.max_by("runs", "bucket_start").alias("runs"), F.max(F.when(F.col("eligible"), F.col("bucket_start"))).alias("known"),
+    asked = F.filter(F.array(*[F.lit(t).cast("long") for t in sorted(set(at))]), lambda t: t >= end)
+    last = rows.withColumn("slot", F.try_element_at(asked, F.lit(1))).where("slot IS NOT NULL").groupBy("slot").agg(
+        F.max(F.when(F.col("eligible"), F.struct("bucket_start", "bucket_width", "interaction_velocity", "turbulence", "p50", "p75", "p95", "turbulence_p95"))).alias("w"), F.max(F.struct("bucket_start", "runs")).alias("r")
     )
-    out = times.join(picked, "at_s", "left").select("at_s", "runs", "known", "w.*")
+    upto = Window.orderBy("at_s").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as times
+    out = times.distinct().join(last, F.col("at_s") == F.col("slot"), "left").select("at_s", F.max("r").over(upto)["runs"].alias("runs"), F.max("w").over(upto).alias("w"))
+    out = times.join(out, "at_s").select("at_s", "runs", F.col("w.bucket_start").alias("known"), "w.*")
     high = F.coalesce(F.col("turbulence") > F.col("turbulence_p95"), F.lit(False)) & F.lit(support.get("turbulence", "unsupported") != "unsupported")
     behind = (F.col("at_s") - F.col("bucket_start") - F.col("bucket_width")) / F.col("bucket_width")
     comparable = F.col("interaction_velocity").isNotNull() & F.col("p95").isNotNull() & F.lit(support.get("interaction_velocity", "unsupported") != "unsupported")
@@ -178,6 +180,16 @@ def portrait(field: DataFrame, x: str, y: str, columns: int = 60, rows: int = 34
     return put.groupBy(place(F.col(x), F.col("x0"), F.col("x1"), columns).alias("bx"), place(F.col(y), F.col("y0"), F.col("y1"), rows).alias("by")).agg(F.count(F.lit(1)).alias("windows"))
 
 
+def marked(field: DataFrame, cells: DataFrame, x: str, y: str, most: int = 60) -> DataFrame:
+    """(bucket_start, x, y, distance): the windows of the portrait that are farthest outside the 5th to 95th percentile of x at
+    their hour, ``most`` at most (the earlier among equals).  Every task keeps no more than that many."""
+    band = cells.where((F.col("quantity") == x) & F.col("p95").isNotNull()).select(F.col("hour").alias("of"), "p05", "p95")
+    known = field.where(F.col("eligible") & F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = known.join(F.broadcast(band), scalars.hour_of(F.col("bucket_start")) == F.col("of"))  # a row for each hour of day
+    distance = F.greatest(F.col(x) - F.col("p95"), F.col("p05") - F.col(x))
+    return rows.withColumn("distance", distance).where("distance > 0").orderBy(F.desc("distance"), "bucket_start").limit(most).select("bucket_start", x, y, "distance")
+
+
 def radar(field: DataFrame, cells: DataFrame, quantity: str = "interaction_velocity", hours: int = 24) -> DataFrame:
     """Upper median, for each hour of the last day, of the value over the hour's median."""
     last = field.agg(F.max("bucket_start").alias("last"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vocab
@@ -193,7 +194,8 @@ def sink_totals(spark, sf_dir):
     """Totals of a sink that reports its counters so far after each day."""
     day = F.floor(F.col("us") / F.lit(86_400 * M))
     per = events(spark, sf_dir).groupBy("run_id", day.alias("day")).agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("metric") == "view").alias("kept"), F.min("us").alias("first_event_us"), F.max("us").alias("last_event_us"))
-    sofar = per.alias("a").join(per.alias("b"), F.expr("a.run_id = b.run_id and b.day <= a.day")).groupBy("a.run_id", "a.day").agg(F.sum("b.seen").alias("seen"), F.sum("b.kept").alias("stored_edges"), F.min("b.first_event_us").alias("first_event_us"), F.max("b.last_event_us").alias("last_event_us"))
+    upto = Window.partitionBy("run_id").orderBy("day")
+    sofar = per.select("run_id", "day", F.sum("seen").over(upto).alias("seen"), F.sum("kept").over(upto).alias("stored_edges"), F.min("first_event_us").over(upto).alias("first_event_us"), F.max("last_event_us").over(upto).alias("last_event_us"))
     health = sofar.select("run_id", F.col("day").alias("flush_seq"), "seen", "stored_edges", F.lit(0).cast("long").alias("stored_status"), (F.col("seen") - F.col("stored_edges")).alias("dropped"), "first_event_us", "last_event_us")
     return custody.flush_totals(health)
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import health, recurrences
+from ..sources import commits, feed, store
+from ..streaming import collector
 from ..streaming import windows as live
+from . import messages
 from .telemetry import HOUR, events, query, rounded
 
 #: Every hundredth event comes an hour late; after another one of a hundred the connection drops, and what resumes it tells of
@@ -62,6 +65,40 @@ def lag_means(spark, sf_dir):
     return rounded(found.select("run_id", "event_id", "lag", "mean"))
 
 
+@query
+def committed_runs(spark, sf_dir):
+    """Each week as a run of its own, its windows committed as one batch; every other run ends, and what the last one wrote
+    has no marker."""
+    root, rows = store.shared_folder(spark), events(spark, sf_dir)
+    names = sorted(r.run_id for r in rows.select("run_id").distinct().collect())  # a week each
+    for k, name in enumerate(names):
+        commits.start_run(spark, root, name, "events", HOUR, k)
+        own = rows.where(F.col("run_id") == name).select(F.lit(name).alias("source"), F.col("us").alias("arrival"), "us", F.array("metric").alias("metrics"))
+        closed = live.window_batch(own, HOUR)
+        if k + 1 < len(names):
+            commits.commit(closed, root, k, name, "events")
+        else:
+            store.append_batch(closed.where("metric IS NOT NULL"), root, "bucket", k, ["bucket_start", "metric"])
+        if k % 2 == 0:
+            commits.end_run(spark, root, name, k, "completed")
+    counted = commits.committed(spark, root, "bucket").groupBy("run_id").agg(F.sum("count").alias("events"))
+    found = commits.runs(spark, root).join(counted, "run_id", "left")
+    return found.select("run_id", "state", "reason", "windows", "events", "first_event_us", "last_event_us", "resume_cursor_us")
+
+
+@query
+def framed_windows(spark, sf_dir):
+    """The messages recorded as frames and collected from them by two runs, the first of which stops in the middle."""
+    root, lines = store.shared_folder(spark), messages.lines(spark, sf_dir)
+    feed.write_frames(lines, f"{root}/frames", order=["us", "event_id"])
+    middle = lines.where("event_id % 30 < 20").agg(F.percentile_approx("us", 0.4)).first()[0]
+    config = feed.Feed("events", f"{root}/frames", width=HOUR)
+    for until in (middle, None):
+        collector.collect(spark, config, f"{root}/out", lines=feed.frames(spark, config.folder, "events", until_us=until))
+    health = commits.committed(spark, f"{root}/out", "window_health")
+    return health.select("bucket_start", "events_seen", "late_events", "parse_errors", "rejected_no_time_us", "unclassified", "first_event_us", "last_event_us", "observed_duration_us", "partial")
+
+
 _EVENTS = """ev AS (
     SELECT event_id, event_type AS metric, 'w' || CAST((epoch_us(ts) // 1000000 - 345600) // 604800 * 604800 + 345600 AS VARCHAR) AS run_id, epoch_us(ts) AS us, CASE WHEN event_id % 100 = 0 THEN epoch_us(ts) + 3600000000 ELSE epoch_us(ts) END AS arrival FROM events
   ), timed AS (
@@ -112,6 +149,15 @@ _WALK = f"""WITH RECURSIVE {_EVENTS}, lines AS (
   )"""
 
 SQL = {
+    "committed_runs": f"""WITH {_EVENTS}, r AS (SELECT run_id, count(*) AS events, count(DISTINCT us // 3600000000) AS windows, min(us) AS a, max(us) AS b, row_number() OVER (ORDER BY run_id) - 1 AS k, count(*) OVER () AS runs FROM ev GROUP BY run_id)
+      SELECT run_id, CASE WHEN k % 2 = 0 THEN 'ended' WHEN k + 1 < runs THEN 'interrupted' ELSE 'open' END AS state, CASE WHEN k % 2 = 0 THEN 'completed' END AS reason, CASE WHEN k + 1 < runs THEN windows ELSE 0 END AS windows,
+        CASE WHEN k + 1 < runs THEN events END AS events, CASE WHEN k + 1 < runs THEN a END AS first_event_us, CASE WHEN k + 1 < runs THEN b END AS last_event_us, max(b) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS resume_cursor_us FROM r""",
+    "framed_windows": """WITH ev AS (SELECT event_id % 30 AS i, epoch_us(ts) AS us, row_number() OVER (ORDER BY epoch_us(ts), event_id) AS n FROM events),
+      p AS (SELECT *, us // 3600000000 * 3600 AS b, i NOT IN (22, 23, 24) AS timed FROM ev),
+      o AS (SELECT *, coalesce(max(CASE WHEN timed THEN b END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), (SELECT min(b) FROM p WHERE timed)) AS at_b FROM p),
+      w AS (SELECT at_b, count(*) FILTER (timed) AS events_seen, count(*) FILTER (i = 23) AS parse_errors, count(*) FILTER (i IN (22, 24)) AS rejected, count(*) FILTER (i IN (13, 14, 15, 16, 21)) AS odd, min(us) FILTER (timed) AS a, max(us) FILTER (timed) AS z FROM o GROUP BY at_b)
+      SELECT at_b AS bucket_start, events_seen, 0::BIGINT AS late_events, parse_errors, rejected AS rejected_no_time_us, odd AS unclassified, a AS first_event_us, z AS last_event_us,
+        CASE WHEN at_b = min(at_b) OVER () THEN (at_b + 3600) * 1000000 - a ELSE 3600000000 END AS observed_duration_us, at_b = min(at_b) OVER () AS partial FROM w QUALIFY at_b < max(at_b) OVER ()""",
     "seamed_windows": f"""{_WALK}, n AS (SELECT inst, metric, count(*) AS count FROM counted WHERE on_time GROUP BY ALL)
       SELECT 'events' AS source, bucket AS bucket_start, 3600 AS bucket_width, metric, count, events_seen, late_events, 0::BIGINT AS parse_errors, 0::BIGINT AS rejected_no_time_us, 0::BIGINT AS unclassified, first_us AS first_event_us, last_us AS last_event_us,
         reconnects, CAST(gap_us AS BIGINT) AS gap_us, seam AS resume_seam, round(closed_mean, 6) AS lag_ewma_s, round(closed_top, 6) AS lag_max_s, observed_duration_us, observed_duration_us < 3600000000 AS partial FROM closed JOIN n USING (inst)""",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars, trees
-from ..operators import commitments, ingest, privacy
+from ..operators import commitments, heavy, ingest, privacy
 from . import messages
-from .telemetry import query, table
+from .telemetry import events, query, table
 
 
 def order_documents(spark, sf_dir):
@@ -53,6 +53,16 @@ def edge_commitments(spark, sf_dir):
     return checked
 
 
+@query
+def heavy_names(spark, sf_dir):
+    """The fifty most frequent actors and targets, and the parts and suppliers of most lines, by summaries of 256 counters."""
+    rows = events(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    named = [rows.select(F.lit(w).alias("what"), F.col(c).cast("string").alias("name")) for w, c in (("actor", "actor"), ("target", "target"))]
+    named += [lines.select(F.lit(w).alias("what"), F.col(c).cast("string").alias("name")) for w, c in (("part", "l_partkey"), ("supplier", "l_suppkey"))]
+    return heavy.most_frequent(named[0].union(named[1]).union(named[2]).union(named[3]), "what", "name", 50, size=256)
+
+
 _NUMBER = "CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) || '.0' ELSE regexp_replace(CAST(CAST({x} AS DECIMAL(38, 6)) AS VARCHAR), '0+$', '') END"
 
 
@@ -106,6 +116,7 @@ def _token(value: str) -> str:
 
 def _sql() -> dict[str, str]:
     from .more_oracle import _EDGES, _MSG
+    from .oracle import _field
 
     left = ", ".join(f"({i}, {repr(t) if t else 'NULL'}, {n})" for i, (t, n) in enumerate(_LEFT))
     text = "value"
@@ -121,6 +132,11 @@ def _sql() -> dict[str, str]:
           o_orderkey % 13 + 1 > 10 OR length({_NOTE}) > 200 AS cut FROM orders""",
         "message_findings": f"""{_MSG}, {_FOUND} SELECT 'raw' AS side, path, problem, count(*) AS n FROM msg JOIN found ON found.i = msg.i GROUP BY path, problem""",
         "scrubbed_messages": f"""{_MSG}, kept(number, value, dropped) AS (VALUES {left}) SELECT event_id, {text} AS value, CAST(dropped AS BIGINT) AS dropped FROM msg JOIN kept ON number = i""",
+        "marked_outliers": f"""WITH {_field()}, c AS (SELECT hour AS of, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM lng WHERE quantity = 'emission_velocity' AND value IS NOT NULL GROUP BY hour),
+          d AS (SELECT bucket_start, emission_velocity AS x, interaction_velocity AS y, greatest(emission_velocity - hi, lo - emission_velocity) AS distance FROM field JOIN c ON of = bucket_start // 3600 % 24 WHERE eligible AND interaction_velocity IS NOT NULL AND emission_velocity IS NOT NULL)
+          SELECT bucket_start, round(x, 6) AS x, round(y, 6) AS y, round(distance, 6) AS distance FROM d WHERE distance > 0 ORDER BY d.distance DESC, bucket_start LIMIT 60""",
+        "heavy_names": """WITH n AS (SELECT 'actor' AS what, CAST(user_id AS VARCHAR) AS name FROM events UNION ALL SELECT 'target', json_extract_string(props, '$.k') FROM events UNION ALL SELECT 'part', CAST(l_partkey AS VARCHAR) FROM lineitem UNION ALL SELECT 'supplier', CAST(l_suppkey AS VARCHAR) FROM lineitem)
+          SELECT what, name, count(*) AS n FROM n WHERE name IS NOT NULL GROUP BY what, name QUALIFY row_number() OVER (PARTITION BY what ORDER BY count(*) DESC, name) <= 50""",
         "edge_commitments": f"""{_EDGES}, l0 AS (SELECT collection, row_number() OVER (PARTITION BY collection ORDER BY receipt) - 1 AS r, sha256('leaf:' || receipt) AS h FROM (SELECT DISTINCT collection, receipt FROM edges_)) {ups},
           sizes AS (SELECT collection, count(*) AS n FROM l0 GROUP BY collection)
           SELECT l5.collection, n, substr(sha256('{{"n":' || n || ',"root":"' || h || '"}}'), 1, 16) AS root, true AS proven,

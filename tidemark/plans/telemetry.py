@@ -404,6 +404,14 @@ def density_portrait(spark, sf_dir):
     return field.portrait(_field(spark, sf_dir), "emission_velocity", "interaction_velocity")
 
 
+@query
+def marked_outliers(spark, sf_dir):
+    """The windows of the portrait that are farthest outside their hour's band."""
+    rows = _field(spark, sf_dir)
+    found = field.marked(rows, field.diurnal(rows), "emission_velocity", "interaction_velocity")
+    return rounded(found.select("bucket_start", F.col("emission_velocity").alias("x"), F.col("interaction_velocity").alias("y"), "distance"))
+
+
 @query
 def radar(spark, sf_dir):
     rows = _field(spark, sf_dir)
@@ -507,7 +515,7 @@ def replayed_windows(spark, sf_dir):
 
 @query
 def event_profile(spark, sf_dir):
-    """Counts of the keys and values in the events' properties."""
+    """Counts of the keys in the events' properties."""
     rows = table(spark, sf_dir, "events").select(F.explode(F.json_object_keys("props")).alias("name"))
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 

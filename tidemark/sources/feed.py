@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -72,6 +73,31 @@ def written(frames: list[tuple[int | None, str]], position: int = -1) -> list[tu
     return out
 
 
+def write_frames(lines: DataFrame, folder: str, *, order: list[str], value: str = "value") -> int:
+    """Records lines as files that ``frames`` reads, and gives the number of files; ``order``: columns, the first the position.
+
+    Each range of positions is a file, written where it is sorted; a task that runs again writes the same file anew.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        out = None
+        for batch in batches:
+            for position, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    store, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+                    store.create_dir(path, recursive=True)
+                    out = store.open_output_stream(f"{path}/{position:020d}.jsonl")
+                out.write(line.encode() + b"\n")
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([1])], ["files"])
+
+    dealt = lines.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    return dealt.select(order[0], value).mapInArrow(write, "files long").count()
+
+
 @dataclass
 class Stretch(InputPartition):
     """Lines of one file with positions after ``start`` up to ``end``."""
