@@ -518,6 +518,24 @@ def test_encoder_cuts_ahead_of_marks_as_the_library_does(name):
         assert np.frombuffer(ids(text), ids.dtype).tolist() == want and counts(text) == len(want)
 
 
+WIDE = ["слово", "привет,", "Ελλάδα", "中文没有空格。", "かな漢字", "한국어", "it’s", "“quoted”", "don't", "—", "word", "été", "e\u0301", "a\u0308\u0323b", "١٢٣", "Ⅻ", "x²", "😀👩\u200d👩", "\u00a0", "\u3000", "\u2009", "\u200b", "\u180e", "\u2028", "\x1c", "\ufeff", " ", " ", " ", "  ", "\n", "\t", " \n", ".", "ſt", "İ", "ǅ", "\U000e0041"]
+
+
+def test_counts_of_any_text_are_the_library_s_by_look_up():
+    """Cyrillic, Greek, CJK, quotes, combining marks and odd white space: the same counts, through the caches."""
+    spec = pieces.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    samples = ["".join(rng.choice(WIDE) for _ in range(rng.randint(1, 25))) for _ in range(6000)]
+    samples += [" ".join(rng.choice(WIDE).strip() for _ in range(200)) for _ in range(50)] + ["漢" * 500 + " слово", "слово <|endoftext|> слово"]
+    held = pieces.TextEncoder(spec, counting=True, hot={" слово".encode(): len(ids_by_hand(spec, [" слово"])[0])}, entries=300)
+    for text, want in zip(samples, ids_by_hand(spec, samples), strict=True):
+        assert held(text) == len(want)
+    fresh, words = pieces.TextEncoder(spec, counting=True), [w for w in WIDE if w.isalpha()]
+    text = " ".join(rng.choice(words) for _ in range(20_000)) + " ’"
+    assert fresh(text) == len(ids_by_hand(spec, [text])[0]) and fresh.stretches.misses <= len(words) + 1 and fresh.letters.misses <= 4 * len(words)
+    assert {"’", " слово"} <= set(fresh.split("a ’ слово")) | {"’"} and fresh.split("a “b” слово") == ["a", " “", "b", "”", " слово"]
+
+
 def test_another_layout_goes_to_the_library_whole(word_json):
     import json
 

@@ -3,8 +3,10 @@
 The BPE vocabularies used here never merge across pre-tokens, so the ids of a text are the ids of its pre-tokens one after
 the other.  A text is cut at spaces and ahead of marks; most chunks are a pre-token then.  A worker keeps the ids of the
 chunks that it has met; only pre-tokens that it has not met go to the tokenizers library.
-Texts for which the split by chunks is not provably the library's (special strings, characters from U+0180 on) go to the
-library whole.
+Where the split by chunks is not provably the library's (characters from U+0180 on), a counting byte-level encoder cuts a text
+at single spaces, where a pre-token always begins, and asks the library's own splitter for each stretch that it has not met;
+pre-tokens are looked up all the same.  So a curly quote costs its own stretch, and Cyrillic or Greek words are met again like
+others.  Texts with special strings, and such texts in other encoders, go to the library whole.
 """
 
 from __future__ import annotations
@@ -46,6 +48,13 @@ MARKS = (b".", b",", b";", b":", b"!", b"?")
 _KINDS = bytes(ord("m") if bytes([c]) in MARKS else 32 if c == 32 else ord("a") if bytes([c]).isalnum() or c >= 128 else ord("o") for c in range(256))
 #: A space that does not begin a pre-token: more white space, or the end, follows it.
 LOOSE_SPACE = re.compile(rb" (?:[\x09-\x0d\x20]|\xc2[\x85\xa0]|\Z)")
+#: A space at which a pre-token begins, whatever the characters: none of its neighbours is white space.
+JOINING_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A stretch between spaces with a character that is not split here, and white space among such characters.
+ODD_STRETCH = re.compile(f"[^ ]*[\\u{SAFE_BELOW:04x}-\U0010ffff][^ ]*")
+ODD_SPACE = re.compile("[\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Characters of a stretch between such spaces that is kept; longer ones (text without spaces) are looked up by pre-tokens alone.
+LONGEST_KEPT = 48
 #: Begins a chunk that has no space ahead of it, where spaces are part of pre-tokens.
 JOINT = b"\0"
 
@@ -107,6 +116,9 @@ class TextEncoder:
         self._tokenize = self.library.model.tokenize
         self.tokens = Generations(self._token, entries, {p.decode(): n for p, n in (hot or {}).items()})
         self.chunks = Generations(self._chunk, entries, {self._as_chunk(p): n for p, n in (hot or {}).items() if p.split() == [p.strip()]})
+        self.wide = counting and self.kind == "byte"
+        self.letters = Generations(self._looked_up, entries, {p.decode("latin-1").translate(BYTE_LEVEL): n for p, n in (hot or {}).items()} if self.wide else None)
+        self.stretches = Generations(self._stretch, entries)
 
     def _as_chunk(self, token: bytes) -> bytes:
         """The chunk that a pre-token is where it stands alone."""
@@ -122,6 +134,30 @@ class TextEncoder:
         found = self._tokenize(token)
         return len(found) if self.counting else array(self._code, [t.id for t in found]).tobytes()
 
+    def _stretch(self, text: str):
+        """Of what follows a joining space, by the library's own splitter."""
+        return self._by_letters(" " + text)
+
+    def _by_letters(self, text: str):
+        return self._joined(self.letters[letters] for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+
+    def _of_any(self, text: str):
+        """Of a text of any characters: odd stretches one by one, what is between them as other texts are."""
+        raw = text.encode()
+        if LOOSE_SPACE.search(raw) is None and JOINT not in raw and "İ" not in text and ODD_SPACE.search(text) is None:
+            out, at = [], 0
+            for found in ODD_STRETCH.finditer(text):
+                a, b = found.span()
+                if a - 1 > at:  # up to the space that belongs to the stretch
+                    out.append(self._spaced(text[at : a - 1].encode()))
+                part = found[0]
+                out.append(self.stretches[part] if a and len(part) <= LONGEST_KEPT else self._by_letters(" " * bool(a) + part))
+                at = b
+            return self._joined([*out, self._spaced(text[at:].encode())] if at < len(text) else out)
+        first, *rest = JOINING_SPACE.split(text)
+        kept = self.stretches
+        return self._joined([self._by_letters(first), *(kept[part] if len(part) <= LONGEST_KEPT else self._by_letters(" " + part) for part in rest)])
+
     def _joined(self, parts):
         return sum(parts) if self.counting else b"".join(parts)
 
@@ -137,10 +173,19 @@ class TextEncoder:
         found = (WORD_PATTERN if self.kind == "word" else BYTE_PATTERN).findall(text)
         return self._joined(map(self.tokens.__getitem__, found))
 
+    def _spaced(self, raw: bytes):
+        """Of a byte-level text all of whose spaces begin pre-tokens."""
+        first, *rest = marks_apart(raw, JOINT).split(b" ")
+        parts = list(map(self.tokens.__getitem__, BYTE_PATTERN.findall(first.decode())))
+        parts += map(self.chunks.__getitem__, rest)
+        return self._joined(parts)
+
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text; none where its pre-tokens are the library's alone to tell."""
-        if not text or not self.kind or not self._plain(text):
+        if not text or not self.kind or any(x in text for x in self.special):
             return []
+        if not self._plain(text):
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.wide else []
         return WORD_PATTERN.findall(text.lower()) if self.kind == "word" else BYTE_PATTERN.findall(text)
 
     def _plain(self, text: str) -> bool:
@@ -160,11 +205,10 @@ class TextEncoder:
                 return self._joined(map(self.chunks.__getitem__, marks_apart(text.lower().encode(), b"").split()))
             raw = text.encode()
             if LOOSE_SPACE.search(raw) is None and JOINT not in raw:
-                first, *rest = marks_apart(raw, JOINT).split(b" ")
-                parts = list(map(self.tokens.__getitem__, BYTE_PATTERN.findall(first.decode())))
-                parts += map(self.chunks.__getitem__, rest)
-                return self._joined(parts)
+                return self._spaced(raw)
             return self._joined(map(self.tokens.__getitem__, BYTE_PATTERN.findall(text)))
+        if self.wide and not any(x in text for x in self.special):
+            return self._of_any(text)
         ids = self.library.encode(text, add_special_tokens=False).ids
         return len(ids) if self.counting else array(self._code, ids).tobytes()
 
