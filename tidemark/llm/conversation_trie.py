@@ -9,8 +9,9 @@ turns with their depths, so it needs no order of evaluation: sums run inside blo
 conversation of any length is dealt over many tasks.  Two prefixes count as equal if 126 bits of their digests are.
 
 First owned depth.  One aggregation has the least conversation of each (depth, digest).  Each conversation then searches its
-first owned depth by halving: a round joins one depth of each with the minima, and keeps only the rows that can still matter,
-so all rounds together shuffle about twice the prefixes.  The last depth that was not its own names its parent.
+first owned depth by halving.  A round is two steps of that: it joins the middle depth and the middles of both halves with the
+minima, and keeps only the rows that can still matter, a quarter of them, so all rounds together shuffle little more than the
+prefixes.  The last depth that was not its own names its parent.
 
 Chains form a tree, a row for each.  Levels come from pointer doubling; from the deepest level up, each chain's totals go to
 its parent.  What a subtree saves is linear in the counts below it, so chains need no rows of their nodes for that; the nodes
@@ -116,16 +117,18 @@ def first_owned(rows: DataFrame, convs: DataFrame, space: Workspace) -> DataFram
     minima = space.stored(rows.groupBy("depth", "high", "low").agg(F.min("conv").alias("least")), "minima")
     longest = convs.agg(F.max("turns")).first()[0] or 0
     live = rows.drop("chars").join(convs, "conv").select("*", F.lit(1).cast("long").alias("lo"), (F.col("turns") + 1).alias("hi")).drop("turns")
-    middle, found, last = F.floor((F.col("lo") + F.col("hi")) / 2).cast("long"), [], None
-    for k in range(longest.bit_length()):
-        asked = live.where(F.col("depth") == middle).join(minima, ["depth", "high", "low"])
+    half = lambda a, b: F.floor((a + b) / 2).cast("long")
+    middle = half(F.col("lo"), F.col("hi"))
+    asked_at = F.col("depth").isin(middle, half(F.col("lo"), middle), half(middle + 1, F.col("hi")))
+    found, last, rounds = [], None, -(-longest.bit_length() // 2)
+    for k in range(rounds):
+        asked = live.where(asked_at).join(minima, ["depth", "high", "low"])
         asked = space.stored(asked.select("conv", "lo", "hi", F.col("depth").alias("at"), "least", "all_chars"), f"asked{k}")
-        found.append(asked.where("least <> conv").select("conv", F.struct("at", "least", "all_chars").alias("miss")))
         owns = F.col("least") == F.col("conv")
-        told = asked.select("conv", F.when(owns, F.col("lo")).otherwise(F.col("at") + 1).alias("lo"), F.when(owns, F.col("at")).otherwise(F.col("hi")).alias("hi")).where("lo < hi")
-        live = live.drop("lo", "hi").join(told, "conv").where("depth >= lo AND depth < hi")
-        if k + 1 < longest.bit_length():
-            live = space.stored(live, f"live{k}")
+        found.append(asked.where(~owns).select("conv", F.struct("at", "least", "all_chars").alias("miss")))
+        if k + 1 < rounds:
+            told = asked.groupBy("conv").agg(F.max(F.when(owns, F.col("lo")).otherwise(F.col("at") + 1)).alias("lo"), F.min(F.when(owns, F.col("at")).otherwise(F.col("hi"))).alias("hi")).where("lo < hi")
+            live = space.stored(live.drop("lo", "hi").join(told, "conv").where("depth >= lo AND depth < hi"), f"live{k}")
             if last:
                 space.drop(last)
             last = f"live{k}"
