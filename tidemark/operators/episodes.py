@@ -15,23 +15,22 @@ def segments(deps: DataFrame, *, enter: float = ENTER, hold: float = HOLD, gap:
 
     Set-based hysteresis.  Holding windows no more than ``gap`` windows apart form an island; an island counts from its
     first window at ``enter`` on, and only if it has one.  Its end is stretched to the last of the ``gap`` windows behind
-    its last holding one that is over ``hold`` in z, though not eligible.
+    its last holding one that is over ``hold`` in z, though not eligible.  Every row carries the number of the last island
+    that began before it, so the islands' bounds are windows over what is dealt by metric already: one shuffle, no join.
     """
-    order = Window.partitionBy("metric").orderBy("bucket_start")
-    numbered = deps.withColumn("i", F.row_number().over(order))
-    signs = F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")
-    signed = numbered.select("*", signs).withColumn("sz", F.col("sign") * F.col("z"))
-    held = signed.where(F.col("eligible") & (F.col("sz") >= hold))
-    each = Window.partitionBy("metric", "sign").orderBy("i")
-    broken = F.coalesce((F.col("i") - F.lag("i").over(each) > gap + 1).cast("int"), F.lit(1))
-    held = held.withColumn("island", F.sum(broken).over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = held.groupBy("metric", "sign", "island").agg(F.min(F.when(F.col("sz") >= enter, F.col("i"))).alias("first"), F.max("i").alias("last")).where("first is not null")
-    # At most ``gap`` windows behind each island may stretch it.
-    after = islands.select("metric", "sign", "island", F.explode(F.sequence(F.col("last") + 1, F.col("last") + gap)).alias("i"))
-    strong = after.join(signed.where(F.col("sz") >= hold).select("metric", "sign", "i"), ["metric", "sign", "i"]).groupBy("metric", "sign", "island").agg(F.max("i").alias("more"))
-    bounds = islands.join(strong, ["metric", "sign", "island"], "left").select("metric", "sign", F.col("island").alias("segment"), "first", F.coalesce("more", "last").alias("last"))
-    spread = bounds.select("metric", "sign", "segment", F.explode(F.sequence("first", "last")).alias("i"))
-    return spread.join(signed, ["metric", "sign", "i"])
+    numbered = deps.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("bucket_start")))
+    signed = numbered.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")).withColumn("sz", F.col("sign") * F.col("z"))
+    holds = F.coalesce(F.col("eligible") & (F.col("sz") >= hold), F.lit(False))
+    upto = Window.partitionBy("metric", "sign").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("metric", "sign").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    marked = signed.withColumn("__holds", holds).withColumn("__before", F.max(F.when(F.col("__holds"), F.col("i"))).over(before))
+    begins = F.col("__holds") & (F.col("__before").isNull() | (F.col("i") - F.col("__before") > gap + 1))
+    rows = marked.withColumn("segment", F.sum(begins.cast("int")).over(upto))
+    island = Window.partitionBy("metric", "sign", "segment")
+    rows = rows.withColumns({"__first": F.min(F.when(F.col("__holds") & (F.col("sz") >= enter), F.col("i"))).over(island), "__last": F.max(F.when(F.col("__holds"), F.col("i"))).over(island)})
+    # At most ``gap`` windows behind an island may stretch it; the next one begins later than that.
+    end = F.max(F.when((F.col("sz") >= hold) & (F.col("i") <= F.col("__last") + gap), F.col("i"))).over(island)
+    return rows.withColumn("__end", end).where("segment > 0 AND i BETWEEN __first AND __end").drop("__holds", "__before", "__first", "__last", "__end")
 
 
 def episodes(deps: DataFrame, *, min_windows: int = MIN_WINDOWS, peak: float = PEAK, **kw) -> DataFrame:
