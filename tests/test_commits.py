@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import health, publish
 from tidemark.sources import commits, feed, store
 from tidemark.streaming import collector
 from tidemark.streaming import windows as live
@@ -152,3 +153,38 @@ def test_frames_from_a_cursor_feed_a_collection(spark, tmp_path):
     assert health.count() > 1 and health.agg(F.sum(F.col("events_seen") + F.col("late_events"))).first()[0] <= len(kept)
     assert commits.cursor(spark, root, "e") == health.agg(F.max("last_event_us")).first()[0] <= kept[-1][0]
     assert health.groupBy("run_source", "bucket_start").count().where("count > 1").count() == 0
+
+
+def test_a_baseline_is_kept_for_its_store_and_endpoint(spark, tmp_path):
+    root, binding = str(tmp_path), {"endpoint": "e", "store_id": "s"}
+    assert health.kept(spark, root, 10.0, binding) == health.State()
+    state = health.State("degraded", 9, 123.5, low=3, good=2)
+    health.keep(spark, root, state, 100.0, binding)
+    health.keep(spark, root, health.State("ok", 12, 140.25), 200.0, binding)  # takes the place of the first
+    assert health.kept(spark, root, 300.0, binding) == health.State("ok", 12, 140.25)
+    for other in ({"endpoint": "f", "store_id": "s"}, {"endpoint": "e", "store_id": "t"}, {"endpoint": "e", "store_id": None}):
+        assert health.kept(spark, root, 300.0, other) == health.State()
+    assert health.kept(spark, root, 200.0 + 3601, binding) == health.State()
+    (tmp_path / "health.json").write_text("{half")
+    (tmp_path / ".health.json.crc").unlink(missing_ok=True)
+    assert store.stored_document(spark, f"{root}/health.json") == (None, "not JSON") and health.kept(spark, root, 300.0, binding) == health.State()
+
+
+def test_an_archive_is_read_back_before_it_is_promised(spark, tmp_path):
+    schema = "bucket_start long, quality string, flags array<string>, events_seen long, observed_duration_us long"
+    rows = spark.createDataFrame([(i * 3600, "clean", ["seam"] if i % 5 == 0 else [], i, 3_600_000_000) for i in range(120)], schema)
+    split = publish.split(rows, cap=10).where("side = 'archive'")
+    path = str(tmp_path / "days")
+    assert {r.problem for r in publish.read_back(split, path).collect()} == {publish.MISSING}
+    publish.write_archive(split, path)
+    assert [r.problem for r in publish.read_back(split, path).collect()] == [None] * 5
+    days = sorted(d for d in (tmp_path / "days").iterdir() if d.name.startswith("day="))
+    for f in days[1].glob("*.json"):
+        f.write_text(f.read_text().replace('"events_seen":30', '"events_seen":31'))
+    for f in days[2].glob("*.json"):
+        f.write_text(f.read_text()[:-9])
+    for f in (*days[1].glob(".*.crc"), *days[2].glob(".*.crc")):
+        f.unlink()
+    days[3].rename(tmp_path / "days" / "day=1999-01-01")
+    got = {str(r.day): r.problem for r in publish.read_back(split, path).collect()}
+    assert got == {"1970-01-01": None, "1970-01-02": publish.OTHER, "1970-01-03": publish.OTHER, "1970-01-04": publish.MISSING, "1970-01-05": None, "1999-01-01": publish.STRANGER}

@@ -10,7 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources import store
 
 # Lengths of streaks and thresholds.
 WARMUP, ALPHA, BAD, GOOD = 5, 2 / 31, 3, 5
@@ -67,6 +69,17 @@ def restored(data: dict | None, now_s: float, binding: dict[str, str | None], ol
     return State("ok" if data["windows"] >= WARMUP else "warming_up", data["windows"], data["baseline"])
 
 
+def keep(spark: SparkSession, root: str, s: State, now_s: float, binding: dict[str, str]) -> None:
+    """Writes the checkpoint of a state into a store, in the place of the one before."""
+    store.write_document(spark, f"{root}/health.json", checkpoint(s, now_s, binding))
+
+
+def kept(spark: SparkSession, root: str, now_s: float, binding: dict[str, str | None]) -> State:
+    """The state that a run begins with: that of the store's checkpoint if it fits, else a new one."""
+    data, _ = store.stored_document(spark, f"{root}/health.json")
+    return restored(data, now_s, binding) or State()
+
+
 def fold(windows: DataFrame) -> DataFrame:
     """(run_id, bucket_start, state, reasons, coverage, baseline_eps): the machine run over each run's windows in order."""
 

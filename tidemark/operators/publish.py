@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,31 @@ def write_changed(windows: DataFrame, published: DataFrame, path: str) -> None:
     changed.repartition("day").sortWithinPartitions("day", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
 
 
+MISSING, OTHER, STRANGER = "missing", "other content", "not in the index"
+
+
+def read_back(windows: DataFrame, path: str) -> DataFrame:
+    """(day, window_count, digest, problem) of an archive after it was written: what an index may promise, and what it may not.
+
+    windows: what should be there.  Each day's files are read again and made into an entry of their own; a day without files is
+    ``missing``, one that does not read as the same windows has ``other content``, one that no window is of is ``not in the
+    index``.  Days without a problem are those to list.
+    """
+    columns = ["bucket_start", "quality", "flags", "events_seen", "observed_duration_us"]
+    schema = ", ".join(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in columns) + ", day date"
+    try:
+        there = windows.sparkSession.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = windows.sparkSession.createDataFrame([], schema)
+    promised = day_index(windows).select("day", "window_count", "digest")
+    found = day_index(there).select(F.col("day").alias("there"), F.col("digest").alias("found"))
+    both = promised.join(found, F.col("day") == F.col("there"), "full")
+    problem = F.when(F.col("there").isNull(), MISSING).when(F.col("day").isNull(), STRANGER).when(F.col("digest") != F.col("found"), OTHER)
+    return both.select(F.coalesce("day", "there").alias("day"), "window_count", "digest", problem.alias("problem"))
+
+
 def extent(index: DataFrame) -> DataFrame:
     return index.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"), F.sum("window_count").alias("windows"))
 

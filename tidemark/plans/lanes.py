@@ -14,6 +14,7 @@ from ..sources import commits, feed, store
 from ..streaming import collector
 from ..streaming import windows as live
 from . import messages
+from .oracle import _health
 from .telemetry import HOUR, events, query, rounded
 
 #: Every hundredth event comes an hour late; after another one of a hundred the connection drops, and what resumes it tells of
@@ -149,6 +150,9 @@ _WALK = f"""WITH RECURSIVE {_EVENTS}, lines AS (
   )"""
 
 SQL = {
+    "archive_readback": f"""WITH {_health()}, d AS (SELECT bucket_start // 86400 AS d, count(*) AS n FROM health WHERE bucket_start <= (SELECT max(bucket_start) FROM health) - 86400 GROUP BY 1)
+      SELECT CAST(DATE '1970-01-01' + CAST(d AS INTEGER) AS VARCHAR) AS day, n AS window_count, CASE WHEN d % 7 = 0 OR d % 8 = 0 AND n = 1 THEN 'missing' WHEN d % 8 = 0 THEN 'other content' END AS problem FROM d
+      UNION ALL SELECT '1969-12-31', NULL, 'not in the index' WHERE EXISTS (SELECT 1 FROM d WHERE d % 7 = 1)""",
     "committed_runs": f"""WITH {_EVENTS}, r AS (SELECT run_id, count(*) AS events, count(DISTINCT us // 3600000000) AS windows, min(us) AS a, max(us) AS b, row_number() OVER (ORDER BY run_id) - 1 AS k, count(*) OVER () AS runs FROM ev GROUP BY run_id)
       SELECT run_id, CASE WHEN k % 2 = 0 THEN 'ended' WHEN k + 1 < runs THEN 'interrupted' ELSE 'open' END AS state, CASE WHEN k % 2 = 0 THEN 'completed' END AS reason, CASE WHEN k + 1 < runs THEN windows ELSE 0 END AS windows,
         CASE WHEN k + 1 < runs THEN events END AS events, CASE WHEN k + 1 < runs THEN a END AS first_event_us, CASE WHEN k + 1 < runs THEN b END AS last_event_us, max(b) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS resume_cursor_us FROM r""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import compose, derive, edges, episodes, field, health, publish, reduce, runs, windows
-from ..sources.store import held
+from ..sources.store import held, shared_folder
 from ..streaming import windows as live
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
@@ -478,6 +478,19 @@ def archive_index(spark, sf_dir):
     return publish.day_index(publish.split(_published(spark, sf_dir)).where("side = 'archive'")).select(F.col("day").cast("string").alias("day"), "window_count", "first_start", "last_start")
 
 
+@query
+def archive_readback(spark, sf_dir):
+    """The archive read back after every seventh day was left out, every eighth lost its first window, and a strange day came."""
+    rows = publish.split(_published(spark, sf_dir)).where("side = 'archive'")
+    path, number = shared_folder(spark), F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
+    rows = held(rows.withColumn("begins", F.col("bucket_start") == F.min("bucket_start").over(Window.partitionBy("day"))))
+    left = rows.where((number % 7 != 0) & ((number % 8 != 0) | ~F.col("begins")))
+    strange = rows.where((number % 7 == 1) & F.col("begins")).withColumn("day", F.lit("1969-12-31").cast("date"))
+    publish.write_archive(left.unionByName(strange), path)
+    found = publish.read_back(rows, path)
+    return found.select(F.col("day").cast("string").alias("day"), "window_count", "problem")
+
+
 @query
 def publish_continuity(spark, sf_dir):
     """The archive as published against one that has lost every hour divisible by 50."""

@@ -114,6 +114,34 @@ def read_document(path: str) -> tuple[dict | None, str | None]:
     return (found, None) if isinstance(found, dict) else (None, "not an object")
 
 
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """Writes a small JSON document wherever Spark can write, in the place of the one before: readers see one or the other."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = at.getFileSystem(conf)
+    out = files.create(new, True)
+    try:
+        out.write(bytearray(json.dumps(document, sort_keys=True).encode()))
+    finally:
+        out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(option, 1)
+    how[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(new), files.makeQualified(at), how)
+
+
+def stored_document(spark: SparkSession, path: str) -> tuple[dict | None, str | None]:
+    """A small JSON document from wherever Spark can read, or why there is none."""
+    files, at = _file_system(spark, path)
+    if not files.exists(at):
+        return None, "not there"
+    try:
+        found = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    except ValueError:
+        return None, "not JSON"
+    return (found, None) if isinstance(found, dict) else (None, "not an object")
+
+
 def merge_on_read(batches: DataFrame) -> DataFrame:
     """The batches of a table without their batch numbers."""
     return batches.drop("batch_id")
