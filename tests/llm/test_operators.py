@@ -681,3 +681,39 @@ def test_bad_arc_records_are_counted(spark, tmp_path):
     files = spark.createDataFrame([(bytearray(raw),), (bytearray(gzip.compress(raw)[:-20]),), (None,), (bytearray(b""),)], "content binary")
     rows = sorted((r.records, r.refused) for r in warc.convert_arc(files, f"file://{tmp_path}/out").collect())
     assert rows[:2] == [(0, 0), (0, 0)] and rows[2][1] >= 1 and rows[3][1] == 2 and rows[3][0] >= 2
+
+
+def test_every_record_has_an_identifier_of_its_own(spark):
+    """Rows that repeat an id, with one payload or several; a revisit refers to a response with its payload."""
+    pages = [(4, "u", "a" * 40), (4, "u", "a" * 40), (4, "v", "b" * 40), (3, "u", "a" * 40), (3, "w", "b" * 40), (2, "u", "a" * 40), (None, "u", "b" * 40), (9, "u", "a" * 40), (9, "x", "a" * 40)]
+    manifest = warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    fields = []
+    for r in manifest.collect():
+        files, top = warc.opened_store(r.path)
+        with files.open_input_stream(f"{top}/{r.file}", compression=None) as f:
+            fields += [dict(x) for x, _ in warc.parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=f)))]
+    held = {x["WARC-Record-ID"]: x for x in fields}
+    assert len(held) == len(fields) == len(pages)
+    revisits = [x for x in fields if x["WARC-Type"] == "revisit"]
+    for x in revisits:
+        of = held[x["WARC-Refers-To"]]
+        assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == x["WARC-Payload-Digest"] and of["X-Page-Id"] == x["X-Refers-To-Page-Id"]
+    assert Counter(x.get("X-Page-Id") for x in revisits) == Counter({"4": 2, "3": 2, "2": 1, None: 1})
+
+
+def test_damaged_shards_are_told(spark, word_json, monkeypatch):
+    docs_ = spark.createDataFrame([(i, f"some words {i} of a text") for i in range(60)], "doc_id long, text string").repartition(3)
+    manifest = token_store.write_store(docs_, word_json, end_id=1)
+    assert token_store.damaged(manifest).count() == 0
+    shards = sorted(manifest.select("path", "shard", "tokens").collect())
+    assert len(shards) >= 3
+    base = [f"{token_store.opened_store(s.path)[1]}/{s.shard}" for s in shards]
+    with open(f"{base[0]}.ids", "r+b") as f:
+        f.seek(4)
+        f.write(b"\xff")
+    with open(f"{base[1]}.ids", "ab") as f:
+        f.write(b"\0\0")
+    with open(f"{base[2]}.idx", "r+b") as f:
+        f.write(b"????")
+    monkeypatch.setattr(token_store, "READ_BYTES", 16)
+    assert {r.shard: r.problem for r in token_store.damaged(manifest).collect()} == {shards[0].shard: "checksum", shards[1].shard: "size", shards[2].shard: "index"}

@@ -276,3 +276,34 @@ def read_store(manifest: DataFrame, wanted: DataFrame, key: str = "doc_id") -> D
     found = routed.repartition(2 * partitions(spark), "at").sortWithinPartitions("at", "key").mapInArrow(look_up, COLUMNS)
     nulls = manifest.where("first_key is null").join(keys.where("key is null").limit(1), how="left_semi").select("path", "shard", "start")
     return found.union(nulls.mapInArrow(without_key, COLUMNS)).withColumnRenamed("key", key)
+
+
+def damaged(manifest: DataFrame) -> DataFrame:
+    """(shard, problem) of shards that are not what was written: payloads by their checksums and sizes, read in parts; none if
+    all is well.  A shard is a task's, and no more of it is in memory than a part."""
+    tune(manifest.sparkSession)
+
+    def check(batches):
+        for batch in batches:
+            out = []
+            for path, shard, tokens, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files, top = opened_store(path)
+                try:
+                    with files.open_input_stream(f"{top}/{shard}.idx") as f:
+                        width = Index(f.read()).width
+                    found, size = 0, 0
+                    with files.open_input_stream(f"{top}/{shard}.ids") as f:
+                        while part := f.read(READ_BYTES):
+                            found, size = zlib.crc32(part, found), size + len(part)
+                    problem = "size" if size != tokens * width else "checksum" if found != crc else None
+                except OSError:
+                    problem = "missing"
+                except (ValueError, IndexError, struct.error):
+                    problem = "index"
+                if problem:
+                    out.append((shard, problem))
+            if out:
+                yield pa.RecordBatch.from_pydict({"shard": [a for a, _ in out], "problem": [b for _, b in out]})
+
+    dealt = manifest.select("path", "shard", "tokens", "payload_crc32").repartition(2 * partitions(manifest.sparkSession), "shard")
+    return dealt.mapInArrow(check, "shard string, problem string")

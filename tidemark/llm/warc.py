@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import opened_store, partitions, shared_dir, stored, tune
+from .runtime import Workspace, opened_store, partitions, shared_dir, stored, tune
 
 # The fields of the header lines by version, as the format has them.
 ARC_FIELDS = {
@@ -222,19 +222,22 @@ def write_pages(
     tune(spark)
     path = path or f"{shared_dir(spark)}/warc"
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b"").cast("binary"))
-    pages = df.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
+    pages = df.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), raw.alias("payload"), F.monotonically_increasing_id().alias("row"))
     pages = pages.withColumn("sha1", F.sha1("payload"))
-    known = pages.where(F.length("payload") >= least_bytes).groupBy("sha1", "id").agg(F.lit(1).alias("one")).drop("one")
-    kept = known.groupBy("sha1").agg(F.max("id").alias("of"))
-    refers = known.join(kept, "sha1").where("id is null or id < of").where("of is not null").select(F.col("id").alias("rid"), F.col("sha1").alias("rsha1"), "of")
-    joined = pages.join(refers, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha1")) & (F.length("payload") >= least_bytes), "left").select("id", "url", "payload", "of")
+    known = pages.where(F.length("payload") >= least_bytes).groupBy("sha1", "id").agg(F.min("row").alias("row"))
+    # Written, so that the join has a shuffle of its own on either side and Spark can split a payload that very many pages have.
+    space = Workspace(spark)
+    known = space.stored(known, "known")
+    kept = space.stored(known.where("id is not null").groupBy("sha1").agg(F.max("id").alias("of"), F.max_by("row", "id").alias("of_row")), "kept")
+    refers = known.drop("row").join(kept, "sha1").where("id is null or id < of").select(F.col("id").alias("rid"), F.col("sha1").alias("rsha1"), "of", "of_row")
+    joined = pages.join(refers, F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha1") == F.col("rsha1")) & (F.length("payload") >= least_bytes), "left").select("id", "url", "payload", "of", "row", "of_row")
 
     def write(batches):
         files, top = opened_store(path)
         files.create_dir(top, recursive=True)
         archive: Archive | None = None
         for k, batch in enumerate(batches):
-            pages, addresses, bodies, of = (c.to_pylist() for c in batch.columns)
+            pages, addresses, bodies, of, rows, of_rows = (c.to_pylist() for c in batch.columns)
             version = 1 + k % 2
             legacy = [arc_file_head(f"pages-{k}.arc", date, version)]
             for page, address, body in zip(pages, addresses, bodies, strict=True):
@@ -243,17 +246,19 @@ def write_pages(
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 legacy.append(arc_bytes(address, date, "text/html", head + body, version))
             del bodies
-            for page, refers, record in zip(pages, of, parse_arc(io.BytesIO(b"".join(legacy))), strict=True):
+            for page, refers, row, of_row, record in zip(pages, of, rows, of_rows, parse_arc(io.BytesIO(b"".join(legacy))), strict=True):
                 if archive and archive.written >= archive_bytes:
                     yield archive.close()
                     archive = None
                 archive = archive or Archive(files, path, top)
                 extra = ({} if page is None else {"X-Page-Id": str(page)}) | ({} if refers is None else {"X-Refers-To-Page-Id": str(refers)})
-                archive.add(to_warc(record, name=f"page {page}", refers_to=None if refers is None else f"page {refers}", extra=extra))
+                archive.add(to_warc(record, name=f"row {row}", refers_to=None if refers is None else f"row {of_row}", extra=extra))
         if archive:
             yield archive.close()
 
-    return stored(joined.mapInArrow(write, "path string, file string, records long"), "manifest")
+    manifest = stored(joined.mapInArrow(write, "path string, file string, records long"), "manifest")
+    space.drop()
+    return manifest
 
 
 def read_pages(manifest: DataFrame) -> DataFrame:
