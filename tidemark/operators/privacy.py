@@ -22,9 +22,9 @@ RULES = {
 #: Items of a list that are kept.
 ITEMS = 8
 
-# Top-level domains that no one can register, keys whose values are names of the protocol, and the longest text
-# that is not taken for someone's words.
-RESERVED, PROTOCOL, LONGEST = ("example", "invalid", "localhost", "test"), ("$type", "collection"), 96
+# Top-level domains that no one can register, keys whose values are names of the protocol, domains under which
+# accounts have names, and the longest text that is not taken for someone's words.
+RESERVED, PROTOCOL, HANDLES, LONGEST = ("example", "invalid", "localhost", "test"), ("$type", "collection"), ("bsky.app", "bsky.social", "bsky.team"), 96
 
 
 def rule(key: Column, shape: Column) -> Column:
@@ -93,7 +93,7 @@ def findings(lines: DataFrame, raw: str = "value", key: str = "event_id", depth:
     text, host = F.col("text"), F.lower(F.regexp_extract("text", "(?i)^https?://([^/\\s:]+)", 1))
     real = lambda name: ~F.element_at(F.split(name, "\\."), -1).isin(*RESERVED)
     protocol = F.coalesce(F.col("key").isin(*PROTOCOL), F.lit(False))
-    named = scalars.names_identity(text) | text.rlike("(?i)\\b[a-z0-9][a-z0-9.-]*\\.bsky\\.(social|app|team)\\b")
+    named = scalars.names_identity(text) | text.rlike("(?i)\\b[a-z0-9][a-z0-9.-]*\\.(" + "|".join(h.replace(".", "\\.") for h in HANDLES) + ")\\b")
     hostlike = text.rlike("(?i)^[a-z0-9][a-z0-9-]*(\\.[a-z0-9][a-z0-9-]*)+$")
     member = ~F.col("path").endswith("]") & (F.col("path") != "$")
     problems = F.array(
