@@ -165,3 +165,20 @@ def test_summaries_are_bounded_and_their_errors_known(spark):
     for x in {*names}:
         n = names.count(x) if x == "often" else None
         assert n is None or counters[x] <= n <= counters[x] + error
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
+def test_similar_actors_are_all_pairs_at_the_threshold(spark, threshold):
+    """Sets of very different sizes around one popular target, copies, near copies, and pairs just at the threshold."""
+    from itertools import combinations
+
+    from tidemark.operators import edges
+
+    rng = random.Random(3)
+    sets = {f"a{i}": {"popular", *(f"t{rng.randrange(40)}" for _ in range(rng.choice([2, 3, 8, 30])))} for i in range(70)}
+    sets |= {f"b{i}": {f"u{k}" for k in range(10 - i % 3)} for i in range(9)} | {"c1": {f"v{k}" for k in range(5)}, "c2": {f"v{k}" for k in range(4)}, "c3": {"v0"}}
+    rows = [("g", a, t, len(v)) for a, v in sets.items() for t in v]
+    got = {(r.a, r.b): r.jaccard for r in edges.similar_pairs(spark.createDataFrame(rows, "g string, actor string, target string, size long"), ["g"], threshold).collect()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+    want = {k: v for k, v in want.items() if v >= threshold}
+    assert want and got.keys() == want.keys() and all(math.isclose(got[k], v) for k, v in want.items())

@@ -5,6 +5,8 @@ Edges are (us, actor, collection, target).  Nothing here narrows or samples: coh
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,26 @@ def similar_pairs(sets: DataFrame, by: list[str], threshold: float = JACCARD) ->
     """(by, a, b, jaccard) of actors whose target sets are alike.
 
     Only the rarest targets of an actor can be the ones that a similar actor shares first: with |A| targets, a partner at
-    the threshold shares one of the ``|A| - ceil(threshold |A|) + 1`` rarest.  Candidates come from a join on those, and are
-    then counted on full sets.
+    the threshold shares one of the ``|A| - ceil(threshold |A|) + 1`` rarest.  Candidates come from a join on those and on
+    classes of set sizes, a set meeting only those of its own class and the next larger one, so that a target that very many
+    actors have among their rarest is dealt over the classes.  A candidate whose places of the shared target leave too little
+    behind them goes at once; the others are counted on full sets.
     """
     rarity = sets.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy(*by, "actor").orderBy("df", "target")
     ranked = sets.join(rarity, [*by, "target"]).withColumn("rank", F.row_number().over(order))
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).select(*by, "target", "actor", "size")
-    a, b = prefix.withColumnsRenamed({"actor": "a", "size": "na"}), prefix.withColumnsRenamed({"actor": "b", "size": "nb"})
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    candidates = a.join(b, [*by, "target"]).where(fits).select(*by, "a", "b", "na", "nb").distinct()
+    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
+    # Sizes of a class are within 1 / threshold of each other; a half keeps rounding away from its ends.
+    step = max(1.0 / threshold, 1.0 + 1e-6)
+    prefix = prefix.select(*by, "target", "actor", "size", "rank", F.floor(F.log(F.col("size") + F.lit(0.5)) / math.log(step)).alias("class"))
+    small = prefix.select(*by, "target", F.col("actor").alias("s"), F.col("size").alias("ns"), F.col("rank").alias("i"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    large = prefix.withColumnsRenamed({"actor": "l", "size": "nl", "rank": "j"})
+    ordered = (F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))
+    left = 1 + F.least(F.col("ns") - F.col("i"), F.col("nl") - F.col("j"))
+    fits = ordered & (F.col("ns") >= F.lit(threshold) * F.col("nl") - 1e-9) & (left * (1 + threshold) >= F.lit(threshold) * (F.col("ns") + F.col("nl")) - 1e-9)
+    smaller = F.col("s") < F.col("l")
+    pick = lambda x, y: F.when(smaller, F.col(x)).otherwise(F.col(y))
+    candidates = small.join(large, [*by, "target", "class"]).where(fits).select(*by, pick("s", "l").alias("a"), pick("l", "s").alias("b"), pick("ns", "nl").alias("na"), pick("nl", "ns").alias("nb")).distinct()
     full_a = sets.select(*by, F.col("actor").alias("a"), "target")
     full_b = sets.select(*by, F.col("actor").alias("b"), "target")
     shared = candidates.join(full_a, [*by, "a"]).join(full_b, [*by, "b", "target"]).groupBy(*by, "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
