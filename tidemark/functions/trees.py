@@ -28,8 +28,9 @@ def shape(v: Column) -> Column:
 
 def children(v: Column) -> Column:
     """(label, key, value) of the members of an object, in order of their keys, or of the items of a list; none of a scalar."""
-    fields = F.try_variant_get(v, "$", "map<string,variant>")
-    of_object = F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.struct(F.concat(F.lit("."), k).alias("label"), k.alias("key"), F.element_at(fields, k).alias("value")))
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    fields = F.array_sort(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), by_key)
+    of_object = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("label"), e["key"].alias("key"), e["value"].alias("value")))
     of_list = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("label"), F.lit(None).cast("string").alias("key"), x.alias("value")))
     return F.when(kind(v) == "OBJECT", of_object).when(kind(v) == "ARRAY", of_list)
 
@@ -74,26 +75,27 @@ def _number(x: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("NaN and infinity have no canonical form")).cast("double")).otherwise(F.round(x, DIGITS) + F.lit(0.0))
 
 
-def canonical(value: Column, kind_: T.DataType, bounded: bool = False) -> Column:
+def canonical(value: Column, kind_: T.DataType, bounded: bool = False, depth: int = DEPTH) -> Column:
     """The canonical JSON of a column of any type: keys sorted at every depth, doubles to six digits, nulls kept, NaN refused.
 
     The type is walked and one expression comes out.  Maps are objects; their keys must be strings.  bounded: lists keep their
-    first items and texts their first characters.  Variants are walked to ``DEPTH``; a deeper one fails.
+    first items and texts their first characters.  Variants are walked to ``depth``; a deeper one fails.  (Planning a query takes
+    longer with every level.)
     """
     null = lambda text: F.when(value.isNull(), F.lit("null")).otherwise(text)
     joined = lambda parts, a, b: F.concat(F.lit(a), F.array_join(parts, ","), F.lit(b))
     if isinstance(kind_, T.StructType):
-        parts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType, bounded)) for f in sorted(kind_.fields, key=lambda f: f.name.encode())]
+        parts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType, bounded, depth)) for f in sorted(kind_.fields, key=lambda f: f.name.encode())]
         return null(joined(F.array(*parts) if parts else F.array().cast("array<string>"), "{", "}"))
     if isinstance(kind_, T.ArrayType):
         held = F.slice(value, 1, ITEMS) if bounded else value
-        return null(joined(F.transform(held, lambda x: canonical(x, kind_.elementType, bounded)), "[", "]"))
+        return null(joined(F.transform(held, lambda x: canonical(x, kind_.elementType, bounded, depth)), "[", "]"))
     if isinstance(kind_, T.MapType):
         if not isinstance(kind_.keyType, T.StringType):
             raise TypeError("keys of a map must be strings")
-        return null(joined(F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(quoted(k), F.lit(":"), canonical(F.element_at(value, k), kind_.valueType, bounded))), "{", "}"))
+        return null(joined(F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(quoted(k), F.lit(":"), canonical(F.element_at(value, k), kind_.valueType, bounded, depth))), "{", "}"))
     if isinstance(kind_, T.VariantType):
-        return null(_canonical_variant(value, bounded, DEPTH))
+        return null(_canonical_variant(value, bounded, depth))
     if isinstance(kind_, (T.DoubleType, T.FloatType)):
         return null(_written(_number(value.cast("double"))))
     if isinstance(kind_, T.StringType):
@@ -118,7 +120,7 @@ def _canonical_variant(v: Column, bounded: bool, depth: int) -> Column:
     if depth == 0:
         return F.when(what.isin("OBJECT", "ARRAY"), F.raise_error(F.lit("a document is deeper than its canonical form goes")).cast("string")).otherwise(scalar)
     members_ = children(v)
-    members_ = F.slice(members_, 1, F.when(what == "ARRAY", ITEMS).otherwise(F.greatest(F.size(members_), F.lit(1)))) if bounded else members_
+    members_ = F.slice(members_, 1, F.when(what == "ARRAY", ITEMS).otherwise((1 << 31) - 1)) if bounded else members_
     parts = F.transform(members_, lambda c: F.concat(F.when(c["key"].isNotNull(), F.concat(quoted(c["key"]), F.lit(":"))).otherwise(F.lit("")), _canonical_variant(c["value"], bounded, depth - 1)))
     # The parts stand once in the expression: it would double with every level otherwise.
     return F.coalesce(F.concat(F.when(what == "OBJECT", "{").otherwise("["), F.array_join(parts, ","), F.when(what == "OBJECT", "}").otherwise("]")), scalar)

@@ -29,7 +29,7 @@ def canonical_documents(spark, sf_dir):
     """The content address of each order's document, whole and bounded, and whether bounding leaves anything out."""
     rows = order_documents(spark, sf_dir)
     kind, document = rows.schema["document"].dataType, F.col("document")
-    return rows.select("o_orderkey", scalars.receipt(trees.canonical(document, kind)).alias("whole"), scalars.receipt(trees.canonical(document, kind, bounded=True)).alias("bounded"), trees.truncated(document, kind).alias("cut"))
+    return rows.select("o_orderkey", scalars.receipt(trees.canonical(document, kind, depth=3)).alias("whole"), scalars.receipt(trees.canonical(document, kind, bounded=True, depth=3)).alias("bounded"), trees.truncated(document, kind).alias("cut"))
 
 
 @query
