@@ -170,8 +170,7 @@ def test_facts_are_checked(spark, bad, problem):
 
 
 def test_range_join_finds_each_pair_once(spark):
-    import random
-
+    
     rng = random.Random(3)
     a, b = ([(s := rng.randint(0, 500), s + rng.randint(1, 120)) for _ in range(60)] for _ in range(2))
     left, right = (spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(x)], "i int, start_s long, end_s long") for x in (a, b))
@@ -296,3 +295,12 @@ def test_receipts(spark):
     df = spark.createDataFrame([("a", "like", "create", "r", "v", "c", "uri", "at://x", 1)], "actor string, collection string, op string, rkey string, rev string, cid string, subject_kind string, subject_ref string, observed_us long")
     assert len(df.select(ingest.event_receipt(df).alias("x")).first().x) == 16
     assert one(spark, scalars.set_root(F.array(F.lit("b"), F.lit("a")), F.lit(2))) == one(spark, scalars.set_root(F.array(F.lit("a"), F.lit("b"), F.lit("b")), F.lit(2)))
+
+
+def test_texts_of_numbers_round_halves_of_the_binary_value(spark):
+    numbers = [0.25, 0.35, 0.15, 0.05, 2741.25, 8881.65, 100.5, 101.5, 0.125, 0.0, 599.995, 0.675]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    found = df.select(*[scalars.fixed(F.col("x"), d) for d in (0, 1, 2)]).collect()
+    assert [tuple(r) for r in found] == [tuple(f"{x:.{d}f}" for d in (0, 1, 2)) for x in numbers]
+    # The least key of the order texts whose rate lies on a half.
+    assert df.limit(1).select(scalars.compact_rate(F.lit(18275.0 * 18275.0) / 7.31)).first()[0] == "2741.2m"

@@ -158,9 +158,15 @@ def names_identity(text: Column) -> Column:
     return F.coalesce(text.rlike(IDENTITY), F.lit(False))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many digits behind the point, rounded from its binary value, halves to even (``format_string`` rounds
+    halves of the shortest decimal form up)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def lag_text(seconds: Column, most: float = 600.0) -> Column:
     """A clamped lag: at the clamp it can only be said to be at least that."""
-    return F.when(seconds >= most, F.lit(f">={most:.0f}s")).when(seconds.isNotNull(), F.format_string("%.2fs", seconds))
+    return F.when(seconds >= most, F.lit(f">={most:.0f}s")).when(seconds.isNotNull(), F.concat(fixed(seconds, 2), F.lit("s")))
 
 
 def age_text(seconds: Column) -> Column:
@@ -200,8 +206,8 @@ def compact_rate(per_second: Column) -> Column:
     n = per_second * 60
     size = F.abs(n)
     short = (
-        F.when(size >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("m"))).when(size >= 1_000, F.concat(F.format_string("%.1f", n / 1_000), F.lit("k")))
-        .when(size >= 100, F.format_string("%.0f", n)).otherwise(F.format_string("%.1f", n))
+        F.when(size >= 1_000_000, F.concat(fixed(n / 1_000_000, 1), F.lit("m"))).when(size >= 1_000, F.concat(fixed(n / 1_000, 1), F.lit("k")))
+        .when(size >= 100, fixed(n, 0)).otherwise(fixed(n, 1))
     )
     return F.when(n.isNull(), "-").otherwise(short)
 
