@@ -1,12 +1,14 @@
 """Functions and operators that the queries over the driver's tables do not reach, or only on tame data."""
 
 import json
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, stats
-from tidemark.operators import compose, edges, episodes, field, health, ingest, publish, reduce, runs, windows
+from tidemark.operators import compose, edges, episodes, field, health, ingest, publish, ranks, reduce, runs, windows
 from tidemark.sources import feed, store
 from tidemark.streaming import collector
 
@@ -170,7 +172,8 @@ def test_facts_are_checked(spark, bad, problem):
 
 
 def test_range_join_finds_each_pair_once(spark):
-    
+    import random
+
     rng = random.Random(3)
     a, b = ([(s := rng.randint(0, 500), s + rng.randint(1, 120)) for _ in range(60)] for _ in range(2))
     left, right = (spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(x)], "i int, start_s long, end_s long") for x in (a, b))
@@ -304,3 +307,16 @@ def test_texts_of_numbers_round_halves_of_the_binary_value(spark):
     assert [tuple(r) for r in found] == [tuple(f"{x:.{d}f}" for d in (0, 1, 2)) for x in numbers]
     # The least key of the order texts whose rate lies on a half.
     assert df.limit(1).select(scalars.compact_rate(F.lit(18275.0 * 18275.0) / 7.31)).first()[0] == "2741.2m"
+
+
+def test_interpolated_ranks_equal_the_other_engine_to_the_last_bit(spark):
+    draw = random.Random(9)
+    groups = {g: [draw.randint(1, 400) / 3600 for _ in range(draw.randint(2, 60))] for g in range(300)}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    wanted = {f"p{q}": q / 100 for q in (5, 25, 95)}
+    got = ranks.order_statistics(spark.createDataFrame(rows, "g long, v double"), ["g"], "v", {n: ranks.between(q) for n, q in wanted.items()}).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT g, {', '.join(f'quantile_cont(v, {q})' for q in wanted.values())} FROM t GROUP BY g ORDER BY g").fetchall()
+    assert sorted(tuple(r[c] for c in ("g", *wanted)) for r in got) == want

@@ -164,6 +164,17 @@ def fixed(x: Column, digits: int) -> Column:
     return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles as a fused operation gives it: what the product rounds off goes into the sum."""
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    product = a * b
+    total = product + c
+    off = (product - (total - (total - product))) + (c - (total - product))
+    found = total + (off + (((ah * bh - product) + ah * bl + al * bh) + al * bl))
+    return F.when(F.isnan(found), total).otherwise(found)  # halves of very great numbers are not finite
+
+
 def lag_text(seconds: Column, most: float = 600.0) -> Column:
     """A clamped lag: at the clamp it can only be said to be at least that."""
     return F.when(seconds >= most, F.lit(f">={most:.0f}s")).when(seconds.isNotNull(), F.concat(fixed(seconds, 2), F.lit("s")))

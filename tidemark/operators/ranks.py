@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..sources.store import held
 
 
@@ -37,7 +38,9 @@ class Rank:
         if self.kind != "between":
             return low
         place = F.lit(self.q) * (n - 1)
-        return F.when(low == high, low.cast("double")).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+        upper = place - F.floor(place)
+        low, high = low.cast("double"), high.cast("double")
+        return F.when(low == high, low).otherwise(scalars.fused(low, 1.0 - upper, high * upper))
 
 
 def nearest(q: float) -> Rank:
