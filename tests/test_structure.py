@@ -182,3 +182,20 @@ def test_similar_actors_are_all_pairs_at_the_threshold(spark, threshold):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
     want = {k: v for k, v in want.items() if v >= threshold}
     assert want and got.keys() == want.keys() and all(math.isclose(got[k], v) for k, v in want.items())
+
+
+def test_copies_of_a_set_do_not_multiply_candidates(spark):
+    """Forty actors for each of three sets: classes are compared, whatever their number of actors; pairs and cohorts tell of all."""
+    from tidemark.operators import edges
+
+    kinds = {0: "abcde", 1: "abcdx", 2: "vwz"}
+    rows = [("g", 1000 * k + i, t) for k, targets in kinds.items() for i in range(40) for t in targets]
+    df = spark.createDataFrame(rows, "g string, actor long, target string").withColumn("us", F.lit(0))
+    sets = edges.target_sets(df, ["g"])
+    classes, own, pairs = edges.similar_classes(sets, ["g"])
+    assert (classes.count(), own.count(), [tuple(r) for r in pairs.select("a", "b").collect()]) == (120, 13, [(0, 1000)])
+    got = {(r.a, r.b): r.jaccard for r in edges.similar_pairs(sets, ["g"]).collect()}
+    assert len(got) == 3 * (40 * 39 // 2) + 40 * 40 and got[(3, 5)] == 1.0 and abs(got[(3, 1005)] - 4 / 6) < 1e-12
+    assert {(r.actor, r.component) for r in edges.similar_components(sets, ["g"]).collect()} == {(1000 * k + i, 2000 if k == 2 else 0) for k in kinds for i in range(40)}
+    found = {r.component: (r.n_actors, round(r.mean_jaccard, 9), r.n_shared_targets) for r in edges.cohorts(df, ["g"]).collect()}
+    assert found == {0: (80, round((1560 + 1600 * 4 / 6) / 3160, 9), 4), 2000: (40, 1.0, 3)}

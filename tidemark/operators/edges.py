@@ -41,8 +41,38 @@ def target_sets(edges: DataFrame, by: list[str], least: int = MIN_TARGETS) -> Da
     return pairs.join(sizes, [*by, "actor"])
 
 
+def classes_of(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rep, actor, n): for each actor the least one that has the same targets, and how many have them.
+
+    Sets count as equal if their sizes and 128 bits of sums of their targets' hashes are.
+    """
+    parts = [F.sum(F.xxhash64(F.lit(k), F.col("target").cast("string")).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
+    content = held(sets.groupBy(*by, "actor").agg(F.count(F.lit(1)).alias("size"), *parts))
+    keys = [*by, "size", "h0", "h1"]
+    return content.join(content.groupBy(*keys).agg(F.min("actor").alias("rep"), F.count(F.lit(1)).alias("n")), keys).select(*by, "rep", "actor", "n")
+
+
+def similar_classes(sets: DataFrame, by: list[str], threshold: float = JACCARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes of equal sets, the sets of their representatives, similar pairs of representatives), each written once."""
+    classes = held(classes_of(sets, by))
+    own = held(sets.join(classes.where("actor = rep").select(*by, "actor"), [*by, "actor"]))
+    return classes, own, held(distinct_pairs(own, by, threshold))
+
+
 def similar_pairs(sets: DataFrame, by: list[str], threshold: float = JACCARD) -> DataFrame:
-    """(by, a, b, jaccard) of actors whose target sets are alike.
+    """(by, a, b, jaccard) of actors whose target sets are alike: found between classes of equal sets, then told of every actor."""
+    classes, _, pairs = similar_classes(sets, by, threshold)
+    # The rows of a join are many more than go into it, so its partitions are not to be drawn together by what they read.
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = lambda rep, name: classes.select(*by, F.col("rep").alias(rep), F.col("actor").alias(name)).repartition(n, *by, rep)
+    between = pairs.withColumnsRenamed({"a": "p", "b": "q"}).join(of("p", "x"), [*by, "p"]).repartition(n, *by, "q").join(of("q", "y"), [*by, "q"])
+    same = of("p", "x").join(of("p", "y"), [*by, "p"]).where("x < y").withColumn("jaccard", F.lit(1.0))
+    least, most = F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+    return between.select(*by, least, most, "jaccard").union(same.where(F.lit(1.0 >= threshold)).select(*by, least, most, "jaccard"))
+
+
+def distinct_pairs(sets: DataFrame, by: list[str], threshold: float = JACCARD) -> DataFrame:
+    """(by, a, b, jaccard) of actors whose target sets are alike, where few or no sets are equal.
 
     Only the rarest targets of an actor can be the ones that a similar actor shares first: with |A| targets, a partner at
     the threshold shares one of the ``|A| - ceil(threshold |A|) + 1`` rarest.  Candidates come from a join on those and on
@@ -77,6 +107,7 @@ def components(pairs: DataFrame, by: list[str]) -> DataFrame:
 
     Each round is written to the shared folder, so no lineage grows with the rounds.
     """
+    pairs = held(pairs.select(*by, "a", "b"))
     links = held(pairs.select(*by, F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(*by, F.col("b"), F.col("a"))).distinct())
     labels = held(links.select(*by, F.col("x").alias("actor")).distinct().withColumn("component", F.col("actor")))
     mark = None
@@ -91,16 +122,33 @@ def components(pairs: DataFrame, by: list[str]) -> DataFrame:
         mark = now
 
 
+def class_components(classes: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rep, n, component) of the classes that are linked, to others or, as more actors than one, in themselves."""
+    found = components(pairs, by).withColumnRenamed("actor", "rep")
+    own = classes.where("actor = rep").select(*by, "rep", "n").join(found, [*by, "rep"], "left")
+    return own.where("component IS NOT NULL OR n > 1").withColumn("component", F.coalesce("component", "rep"))
+
+
+def similar_components(sets: DataFrame, by: list[str], threshold: float = JACCARD) -> DataFrame:
+    """(by, actor, component) of the actors that have a similar one, as ``components`` of ``similar_pairs`` has them."""
+    classes, _, pairs = similar_classes(sets, by, threshold)
+    return classes.select(*by, "rep", "actor").join(class_components(classes, pairs, by), [*by, "rep"]).select(*by, "actor", "component")
+
+
 def cohorts(edges: DataFrame, by: list[str], *, threshold: float = JACCARD, least_targets: int = MIN_TARGETS, least_actors: int = MIN_COHORT) -> DataFrame:
     """(by, component, n_actors, mean_jaccard, n_shared_targets, target_prevalence, score): groups of similar actors."""
-    sets = target_sets(edges, by, least_targets)
-    pairs = similar_pairs(sets, by, threshold)
-    members = components(pairs, by)
-    sizes = members.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n_actors")).where(F.col("n_actors") >= least_actors)
-    means = pairs.join(members.withColumnRenamed("actor", "a"), [*by, "a"]).groupBy(*by, "component").agg(F.avg("jaccard").alias("mean_jaccard"))
-    in_scope = sets.select(*by, "actor").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_scope"))
+    sets = held(target_sets(edges, by, least_targets))
+    classes, own, pairs = similar_classes(sets, by, threshold)
+    members = held(class_components(classes, pairs, by))
+    sizes = members.groupBy(*by, "component").agg(F.sum("n").alias("n_actors")).where(F.col("n_actors") >= least_actors)
+    # Classes stand for all their actors: a pair of them for n m pairs, a class for those within it.
+    rep = members.select(*by, F.col("rep").alias("a"), F.col("n").alias("na"), "component")
+    between = pairs.join(rep, [*by, "a"]).join(members.select(*by, F.col("rep").alias("b"), F.col("n").alias("nb")), [*by, "b"]).select(*by, "component", "jaccard", (F.col("na") * F.col("nb")).alias("pairs"))
+    within = members.select(*by, "component", F.lit(1.0).alias("jaccard"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    means = between.union(within).groupBy(*by, "component").agg((F.sum(F.col("jaccard") * F.col("pairs")) / F.sum("pairs")).alias("mean_jaccard"))
+    in_scope = classes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_scope"))
     popular = sets.groupBy(*by, "target").agg(F.count(F.lit(1)).alias("tally"))
-    shared = sets.join(members, [*by, "actor"]).groupBy(*by, "component", "target").agg(F.count(F.lit(1)).alias("k"))
+    shared = own.join(members.withColumnRenamed("rep", "actor"), [*by, "actor"]).groupBy(*by, "component", "target").agg(F.sum("n").alias("k"))
     shared = shared.join(sizes, [*by, "component"]).where("k = n_actors").join(popular, [*by, "target"]).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n_shared_targets"), F.max("tally").alias("top"))
     out = sizes.join(means, [*by, "component"]).join(shared, [*by, "component"], "left").join(in_scope, by)
     return out.select(
@@ -109,29 +157,3 @@ def cohorts(edges: DataFrame, by: list[str], *, threshold: float = JACCARD, leas
     )
 
 
-def synchronisation(edges: DataFrame, by: list[str], span_s: float, *, within_s: float = 3600.0, least_compression: float = 10.0, least_actors: int = 5) -> DataFrame:
-    """Groups whose actors all first acted within a short part of the interval of ``span_s`` seconds."""
-    first = edges.groupBy(*by, "actor").agg(F.min("us").alias("t"))
-    out = first.groupBy(*by).agg(F.count(F.lit(1)).alias("n_actors"), F.min("t").alias("from_us"), F.max("t").alias("to_us"))
-    out = out.withColumn("first_act_span_s", (F.col("to_us") - F.col("from_us")) / F.lit(1e6))
-    compression = F.least(F.lit(1e6), F.when(F.col("first_act_span_s") > 0, F.lit(span_s) / F.col("first_act_span_s")).otherwise(F.lit(span_s * 1e6)))
-    out = out.withColumn("compression", compression)
-    return out.where((F.col("n_actors") >= least_actors) & (F.col("first_act_span_s") <= within_s) & (F.col("compression") >= least_compression)).withColumn("score", scalars.magnitude(F.col("compression")))
-
-
-def inbound(transitions: DataFrame, edges: DataFrame, *, lookback_s: int = 86_400, multiple: int = 4, least: int = 5, least_actors: int = 3, excess: float = 2.0) -> DataFrame:
-    """For each transition (actor, us, status): edges that point at the actor in the lookback before it, against the
-    ``multiple`` lookbacks before that.  A range join on (actor, cell of one lookback)."""
-    back = lookback_s * scalars.MICROS
-    cell = lambda c: F.floor(c / F.lit(back))
-    wanted = transitions.select(F.col("actor").alias("who"), F.col("us").alias("t"), "status", F.explode(F.sequence(cell(F.col("us") - back * (multiple + 1)), cell(F.col("us") - 1))).alias("cell"))
-    acts = edges.select(F.col("target").alias("who"), F.col("us").alias("at"), F.col("actor").alias("by_actor"), cell(F.col("us")).alias("cell"))
-    near = acts.join(wanted, ["who", "cell"]).where((F.col("at") < F.col("t")) & (F.col("at") >= F.col("t") - back * (multiple + 1)))
-    recent = F.col("at") >= F.col("t") - back
-    found = near.groupBy("who", "t").agg(F.count_if(recent).alias("n_inbound"), F.count_distinct(F.when(recent, F.col("by_actor"))).alias("n_distinct_actors"), F.count_if(~recent).alias("baseline_raw"))
-    out = transitions.select(F.col("actor").alias("who"), F.col("us").alias("t"), "status").join(found, ["who", "t"], "left").fillna(0, ["n_inbound", "n_distinct_actors", "baseline_raw"])
-    base = F.col("baseline_raw") / F.lit(multiple)
-    ratio = F.when(base > 0, F.col("n_inbound") / base).otherwise(F.col("n_inbound").cast("double"))
-    out = out.withColumns({"baseline_inbound": base, "excess_ratio": ratio, "undefined_baseline": base <= 0})
-    fits = (F.col("n_inbound") >= least) & (F.col("n_distinct_actors") >= least_actors) & (F.col("excess_ratio") >= excess)
-    return out.withColumns({"type": F.when(fits, "deactivation_after_inbound").otherwise("deactivation_quiet"), "score": F.when(fits, scalars.magnitude(F.col("excess_ratio"))).otherwise(0.0)})

@@ -289,8 +289,7 @@ def cohort_pairs(spark, sf_dir):
 def cohort_components(spark, sf_dir):
     """Of the collection ``view`` alone, as the query's SQL has it; ``collection_cohort_components`` has all."""
     rows = _edges(spark, sf_dir).where("collection = 'view'")
-    pairs = edges.similar_pairs(edges.target_sets(rows, ["collection"]), ["collection"], 0.2)
-    return edges.components(pairs, ["collection"]).select("actor", "component")
+    return edges.similar_components(edges.target_sets(rows, ["collection"]), ["collection"], 0.2).select("actor", "component")
 
 
 @query
@@ -300,18 +299,18 @@ def cohorts(spark, sf_dir):
     return rounded(edges.cohorts(rows, ["collection"], threshold=0.2))
 
 
-def _similar(spark, sf_dir):
-    return edges.similar_pairs(edges.target_sets(_edges(spark, sf_dir), ["collection"]), ["collection"], 0.2)
+def _target_sets(spark, sf_dir):
+    return edges.target_sets(_edges(spark, sf_dir), ["collection"])
 
 
 @query
 def collection_cohort_pairs(spark, sf_dir):
-    return rounded(_similar(spark, sf_dir).select("collection", "a", "b", "jaccard"))
+    return rounded(edges.similar_pairs(_target_sets(spark, sf_dir), ["collection"], 0.2).select("collection", "a", "b", "jaccard"))
 
 
 @query
 def collection_cohort_components(spark, sf_dir):
-    return edges.components(_similar(spark, sf_dir), ["collection"]).select("collection", "actor", "component")
+    return edges.similar_components(_target_sets(spark, sf_dir), ["collection"], 0.2).select("collection", "actor", "component")
 
 
 @query
