@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import episodes, health, recurrences
+from tidemark.operators import edges, episodes, health, recurrences
 from tidemark.streaming import windows as live
 
 
@@ -249,3 +249,21 @@ def test_segments_match_a_loop(spark):
                 if seg:
                     want.append((m, sign, seg[0], seg[-1]))
     assert found == sorted(want)
+
+
+def test_running_counts_of_inbound_edges_equal_comparing_all(spark):
+    draw, back = random.Random(4), 86_400_000_000
+    acts = [(draw.randrange(0, 12 * back, back // 8), draw.choice([None, 1, 2, 3, 4]), "x", draw.choice([None, 7, 8])) for _ in range(600)]
+    moves = [(draw.choice([7, 8, 9]), draw.randrange(0, 12 * back, back // 8), "error") for _ in range(60)]
+    found = edges.inbound(spark.createDataFrame(moves, "actor long, us long, status string"), spark.createDataFrame(acts, "us long, actor long, collection string, target long"))
+    times = {m[:2]: moves.count(m) for m in moves}
+
+    def want(who, t):
+        recent = [a for u, a, _, w in acts if w == who and t - back <= u < t]
+        base = sum(w == who and t - 5 * back <= u < t - back for u, _, _, w in acts)
+        return who, t, times[who, t] * len(recent), len({a for a in recent if a is not None}), times[who, t] * base
+
+    got = found.select("who", "t", "n_inbound", "n_distinct_actors", "baseline_raw")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want(who, t) for who, t, _ in moves)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "by_actor" not in plan and "target" not in plan  # edges are counted and written; none of them is joined with transitions

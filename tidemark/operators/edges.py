@@ -169,14 +169,32 @@ def synchronisation(edges: DataFrame, by: list[str], span_s: float, *, within_s:
 
 def inbound(transitions: DataFrame, edges: DataFrame, *, lookback_s: int = 86_400, multiple: int = 4, least: int = 5, least_actors: int = 3, excess: float = 2.0) -> DataFrame:
     """For each transition (actor, us, status): edges that point at the actor in the lookback before it, against the
-    ``multiple`` lookbacks before that.  A range join on (actor, cell of one lookback)."""
+    ``multiple`` lookbacks before that.
+
+    All are differences of running counts, so no edge meets a transition.  An actor is in the lookback from its act on until
+    its next one or the lookback's end, whichever comes first: the distinct ones are those that came less those that went.
+    Transitions of an actor that are at the same time find each edge once each, and each has what they find together.
+    Counts run within (actor, cell of one lookback), from what the cells before it sum up to.
+    """
     back = lookback_s * scalars.MICROS
-    cell = lambda c: F.floor(c / F.lit(back))
-    wanted = transitions.select(F.col("actor").alias("who"), F.col("us").alias("t"), "status", F.explode(F.sequence(cell(F.col("us") - back * (multiple + 1)), cell(F.col("us") - 1))).alias("cell"))
-    acts = edges.select(F.col("target").alias("who"), F.col("us").alias("at"), F.col("actor").alias("by_actor"), cell(F.col("us")).alias("cell"))
-    near = acts.join(wanted, ["who", "cell"]).where((F.col("at") < F.col("t")) & (F.col("at") >= F.col("t") - back * (multiple + 1)))
-    recent = F.col("at") >= F.col("t") - back
-    found = near.groupBy("who", "t").agg(F.count_if(recent).alias("n_inbound"), F.count_distinct(F.when(recent, F.col("by_actor"))).alias("n_distinct_actors"), F.count_if(~recent).alias("baseline_raw"))
+    acts = edges.select(F.col("target").alias("who"), F.col("us").cast("long").alias("at"), F.col("actor").alias("by_actor")).where("who IS NOT NULL AND at IS NOT NULL")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    goes = F.least(F.col("at") + back, F.lead("at").over(Window.partitionBy("who", "by_actor").orderBy("at")))
+    known = F.col("by_actor").isNotNull()
+    both = F.array(F.struct(F.col("at"), one.alias("acts"), F.when(known, one).otherwise(zero).alias("actors")), F.struct(F.when(known, F.col("goes")).alias("at"), zero.alias("acts"), (-one).alias("actors")))
+    steps = acts.withColumn("goes", goes).select("who", F.explode(both).alias("p")).select("who", "p.*").where("at IS NOT NULL").withColumns({"t": F.lit(None).cast("long"), "k": F.lit(None).cast("int"), "times": F.lit(None).cast("long")})
+    asked = transitions.select(F.col("actor").alias("who"), F.col("us").cast("long").alias("t")).where("who IS NOT NULL AND t IS NOT NULL").groupBy("who", "t").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked.select("who", "t", "times", F.explode(F.array(*[F.lit(k) for k in (0, 1, multiple + 1)])).alias("k")).select("who", (F.col("t") - F.col("k") * F.lit(back)).alias("at"), zero.alias("acts"), zero.alias("actors"), "t", "k", "times")
+    points = held(steps.unionByName(asked).withColumn("cell", F.floor(F.col("at") / F.lit(back))))
+    before = Window.partitionBy("who").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = points.groupBy("who", "cell").agg(F.sum("acts").alias("acts_in"), F.sum("actors").alias("actors_in"))
+    cells = cells.select("who", "cell", *[F.coalesce(F.sum(f"{c}_in").over(before), zero).alias(f"{c}_before") for c in ("acts", "actors")])
+    # What happens at the time of a transition is not before it.
+    within = Window.partitionBy("who", "cell").orderBy("at", F.col("t").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = points.select("who", "cell", "t", "k", "times", *[F.sum(c).over(within).alias(c) for c in ("acts", "actors")]).where("t IS NOT NULL").join(cells, ["who", "cell"])
+    upto = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c) + F.col(f"{c}_before")))
+    times = F.max("times")
+    found = counted.groupBy("who", "t").agg((times * (upto("acts", 0) - upto("acts", 1))).alias("n_inbound"), upto("actors", 0).alias("n_distinct_actors"), (times * (upto("acts", 1) - upto("acts", multiple + 1))).alias("baseline_raw"))
     out = transitions.select(F.col("actor").alias("who"), F.col("us").alias("t"), "status").join(found, ["who", "t"], "left").fillna(0, ["n_inbound", "n_distinct_actors", "baseline_raw"])
     base = F.col("baseline_raw") / F.lit(multiple)
     ratio = F.when(base > 0, F.col("n_inbound") / base).otherwise(F.col("n_inbound").cast("double"))
