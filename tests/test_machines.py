@@ -267,3 +267,13 @@ def test_running_counts_of_inbound_edges_equal_comparing_all(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want(who, t) for who, t, _ in moves)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "by_actor" not in plan and "target" not in plan  # edges are counted and written; none of them is joined with transitions
+
+
+def test_no_frame_of_the_lane_runs_from_each_row_to_the_end(spark, monkeypatch):
+    plans, hold = [], live.held
+    monkeypatch.setattr(live, "held", lambda df, *more: plans.append(df._jdf.queryExecution().analyzed().toString()) or hold(df, *more))
+    rows = [("s", i, None if i % 5 == 4 else 60_000_000 * i, None if i % 5 == 4 else ["a"], "dropped" if i % 5 == 4 else None) for i in range(20)]
+    found = live.window_batch(spark.createDataFrame(rows, "source string, arrival long, us long, metrics array<string>, signal string"), 60)
+    assert found.count() == 13 and any("epoch" in p for p in plans)
+    # Such a frame is walked anew for every row; the number of epochs grows with the rows.
+    assert not [p for p in plans if "specifiedwindowframe(RowFrame, 1, unboundedfollowing$())" in p]

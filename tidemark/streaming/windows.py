@@ -284,11 +284,12 @@ def window_batch(events: DataFrame, width: int, ended: bool = True) -> DataFrame
     opened = rows.where(record).select(F.col("source").alias("of"), F.col("epoch").alias("during"), "bucket").join(tops, same("epoch = during")).where("high IS NULL OR bucket > high")
     opened = opened.groupBy("of", "during").agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     known = tops.join(opened, same("epoch = during"), "left").drop("of", "during")
-    after = walk.rowsBetween(1, Window.unboundedFollowing)
+    # The nearest row after each, walked backwards: a frame from a row to the end would be walked anew for every row.
+    after = by_source.orderBy(F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
     stays = F.col("ends") | (F.col("first") < F.col("last"))
     known = known.withColumns({
-        "next": F.first(F.when(F.col("first").isNotNull(), F.struct("epoch", F.col("first").alias("bucket"))), ignorenulls=True).over(after),
-        "next_kept": F.first(F.when(F.col("first").isNotNull() & stays, F.struct("epoch", F.col("first").alias("bucket"))), ignorenulls=True).over(after),
+        "next": F.last(F.when(F.col("first").isNotNull(), F.struct("epoch", F.col("first").alias("bucket"))), ignorenulls=True).over(after),
+        "next_kept": F.last(F.when(F.col("first").isNotNull() & stays, F.struct("epoch", F.col("first").alias("bucket"))), ignorenulls=True).over(after),
     })
     known = held(known.withColumnRenamed("source", "of").withColumnRenamed("epoch", "during"))
 
