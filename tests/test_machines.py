@@ -251,6 +251,27 @@ def test_segments_match_a_loop(spark):
     assert found == sorted(want)
 
 
+def test_a_micro_batch_is_taken_in_order_whatever_order_its_chunks_come_in():
+    class Loose(live.LaneProcessor):
+        def _opened(self):
+            self.last = live.Lane(self.width)
+            return self.last
+
+        def _kept(self, lane):
+            pass
+
+    def run(chunks):
+        columns = ["source", "arrival", "us", "metrics", *live.OPTIONAL]
+        frames = [pd.DataFrame([("s", a, us, ["post.create"] if us else None, None if us else "parse_error", None, None, None, None, None, None) for a, us in rows], columns=columns) for rows in chunks]
+        processor = Loose(60)
+        return pd.concat(list(processor.handleInputRows(("s",), iter(frames), None))), processor.last
+
+    rows = [(i, None if i % 7 == 3 else 1_000_000 * 10 * i + 1) for i in range(60)]
+    (want, a), (got, b) = run([rows]), run([rows[40:], rows[:20], rows[20:40]])
+    assert want.equals(got) and len(want) == 9 and a.held() == b.held()
+    assert int(got.late_events.sum()) == 0 and int(got.parse_errors.sum()) == 8
+
+
 def test_running_counts_of_inbound_edges_equal_comparing_all(spark):
     draw, back = random.Random(4), 86_400_000_000
     acts = [(draw.randrange(0, 12 * back, back // 8), draw.choice([None, 1, 2, 3, 4]), "x", draw.choice([None, 7, 8])) for _ in range(600)]

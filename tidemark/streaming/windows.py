@@ -19,6 +19,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,6 +38,8 @@ OPTIONAL = {"outcome": "string", "wall_us": "long", "signal": "string", "gap_us"
 
 # The weight of a new lag, and the greatest lag in seconds.
 LAG_ALPHA, LAG_MOST = 0.2, 600.0
+#: Rows that are taken from Arrow's columns at a time.
+STRETCH = 10_000
 DROPPED, RESUMED = "dropped", "resumed"
 
 
@@ -169,7 +173,7 @@ class Lane:
 
 class LaneProcessor(StatefulProcessor):
     """A lane as keyed state: a value for the open window, a map of its counts by metric, and lists of the gaps that belong to
-    it or wait for the next one.  Rows are taken as they stream in, so a task's memory is one Arrow batch and one window."""
+    it or wait for the next one.  A task holds one micro-batch's rows of a source, as Arrow columns, and one window."""
 
     def __init__(self, width: int):
         self.width = width
@@ -202,11 +206,21 @@ class LaneProcessor(StatefulProcessor):
         if gaps := [(waits, a, b) for waits, f in both for a, b in f.gaps]:
             self.gaps.put(gaps)
 
+    def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A micro-batch's rows by arrival, a stretch after the other: they were shuffled, so those of several files come mixed."""
+        kinds = [("arrival", pa.int64()), ("us", pa.int64()), ("metrics", pa.list_(pa.string()))] + [(c, {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[t]) for c, t in OPTIONAL.items()]
+        parts = [pa.Table.from_pandas(part, pa.schema(kinds), preserve_index=False) for part in rows]
+        if parts:
+            whole = pa.concat_tables(parts)
+            order = pc.sort_indices(whole, [("arrival", "ascending")])
+            for at in range(0, len(order), STRETCH):
+                yield whole.take(order[at : at + STRETCH]).to_pandas()
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lane = self._opened()
-        for part in rows:
+        for part in self._ordered(rows):
             out = []
-            part = part.sort_values("arrival", kind="stable").astype(object)
+            part = part.astype(object)
             for us, metrics, outcome, wall, signal, gap, gap_end, seam, reconnect in part.where(part.notna(), None)[["us", "metrics", *OPTIONAL]].itertuples(index=False):
                 if signal is not None:
                     lane.signal(signal, int(gap or 0), None if gap_end is None else int(gap_end), bool(seam), bool(reconnect))
@@ -227,7 +241,8 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 def window_stream(events: DataFrame, width: int) -> DataFrame:
     """Closed windows of a stream (source, arrival, us, metrics and optional columns), by keyed state.
 
-    Rows of a source are taken as they come, a micro-batch after the other; a feed's micro-batch is one file, in its order.
+    Rows of a source are taken a micro-batch after the other, each in the order of arrival; a feed's micro-batch is one file,
+    that of recorded frames is all files up to where the run ends.
     Sets the session's state store, which must be RocksDB.
     """
     spark = events.sparkSession
