@@ -155,6 +155,16 @@ def test_most_frequent_names_are_exact_however_small_the_summaries(spark, size):
     assert got == sorted(want)
 
 
+def test_names_that_are_all_as_frequent_are_counted_in_one_more_pass(spark, monkeypatch):
+    """No summary of few counters can bound them, nor one of four times as many; what is bounded beside them stays right."""
+    made, summaries = [], heavy.summaries
+    monkeypatch.setattr(heavy, "summaries", lambda *a: made.append(a) or summaries(*a))
+    rows = [("even", f"n{i % 900}") for i in range(2700)] + [("one", "x")] * 500 + [("one", f"y{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x string").repartition(3)
+    got = sorted(map(tuple, heavy.most_frequent(df, "g", "x", 1, size=4).collect()))
+    assert got == [("even", "n0", 3), ("one", "x", 500)] and len(made) == 1
+
+
 def test_summaries_are_bounded_and_their_errors_known(spark):
     rng = random.Random(1)
     names = [f"n{rng.randrange(3000)}" for _ in range(20_000)] + ["often"] * 4000

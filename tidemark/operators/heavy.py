@@ -2,7 +2,8 @@
 
 A task holds ``size`` counters a group: when there are more, the least is taken off all of them, and what was taken off is kept
 as the summary's error.  A name's true count is at least its merged counter and at most that plus all errors, so the names
-that can be among the most frequent are few and known; they are counted exactly, and the count proves that none is missed.
+that can be among the most frequent are known, and few where some names stand out; they are counted exactly, and the count
+proves that none is missed.  Where none stands out (all names about as frequent), every name is counted.
 """
 
 from __future__ import annotations
@@ -45,22 +46,20 @@ def most_frequent(df: DataFrame, group: str, name: str, k: int, size: int = SIZE
     """(group, name, n): the k most frequent names of each group, by count and then by name, exactly; fewer where there are
     fewer.  Groups are few (each has its counters in every task); null ones count as the empty text.
 
-    Where a summary's error is not below the k-th count, there are no bounded candidates, and it is made again with four times
-    as many counters; with as many as there are names it has no error.
+    Where a summary's error is not below the k-th count, its group has no bounded candidates, and all of its names are counted:
+    one more pass over the rows, however many names there are.
     """
-    while True:
-        merged = held(summaries(df, group, name, size))
-        error = merged.where("x IS NULL").select(F.col("g").alias("eg"), F.col("n").alias("error"))
-        found = merged.where("x IS NOT NULL")
-        place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "x"))
-        least = found.withColumn("place", place).where(F.col("place") == k).select(F.col("g").alias("lg"), F.col("n").alias("least"))
-        bounds = found.join(error, F.col("g") == F.col("eg"), "left").join(least, F.col("g") == F.col("lg"), "left").select("g", "x", "n", F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("least", F.lit(0)).alias("least"))
-        # A name outside the summary has at most the error; that must be below what k names have at least.
-        if not bounds.where("error > 0 AND error >= least").limit(1).count():
-            break
-        size *= 4
-    asked = held(bounds.where("n + error >= least").select("g", "x"))
+    merged = held(summaries(df, group, name, size))
+    error = merged.where("x IS NULL").select(F.col("g").alias("eg"), F.col("n").alias("error"))
+    found = merged.where("x IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "x"))
+    least = found.withColumn("place", place).where(F.col("place") == k).select(F.col("g").alias("lg"), F.col("n").alias("least"))
+    groups = merged.select("g").distinct().join(error, F.col("g") == F.col("eg"), "left").join(least, F.col("g") == F.col("lg"), "left")
+    # A name outside the summary has at most the error; that must be below what k names have at least.
+    bounds = held(groups.select("g", F.coalesce("error", F.lit(0)).alias("error"), F.coalesce("least", F.lit(0)).alias("least")).withColumn("open", F.expr("error > 0 AND error >= least")))
+    asked = held(found.join(F.broadcast(bounds.where("NOT open")), "g").where("n + error >= least").select("g", "x"))  # a row a group
     rows = df.where(F.col(name).isNotNull()).select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(name).cast("string").alias("x"))
-    counted = rows.join(asked, ["g", "x"], "left_semi").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    whole = rows.join(F.broadcast(bounds.where("open").select("g")), "g", "left_semi")
+    counted = rows.join(asked, ["g", "x"], "left_semi").union(whole).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "x"))).where(F.col("place") <= k)
     return ranked.select(F.col("g").alias(group), F.col("x").alias(name), "n")
