@@ -61,3 +61,19 @@ def test_profile_and_shape(spark):
     lines = spark.createDataFrame([(json.dumps(commit(LIKE, record={"b": 1, "a": 2})),), ("x",)], "value string")
     assert {(r.what, r.name): r.n for r in ingest.profile(lines).collect()}[("collection", LIKE)] == 1
     assert lines.select(ingest.shape(F.col("value")).alias("s")).first().s.endswith("|create|a,b")
+
+
+@pytest.mark.parametrize("rows", [lambda d: ingest.extracted(d).where("lane = 'edge'"), lambda d: ingest.extracted(d).where("lane = 'status'"), lambda d: ingest.classified(d).where("outcome = 'classified'").select(F.explode("metrics"))])
+def test_a_line_is_parsed_once(spark, rows):
+    """A filter on what was read of a line must not carry the parsing along."""
+    lines = spark.createDataFrame([(json.dumps(e),) for e, _ in CASES], "value string").union(spark.createDataFrame([(None,)], "value string"))
+    plan = rows(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("ParseJson") + plan.count("parseJson") == 1
+
+
+def test_messages_are_dealt_over_the_tasks_of_a_shuffle(spark, sf):
+    """One file of one row group is read by one task; what its messages cost must not be."""
+    from tidemark.plans import messages
+
+    dealt = messages.lines(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == 4 and sum(r["count"] for r in dealt) == spark.read.parquet(f"{sf}/events.parquet").count()

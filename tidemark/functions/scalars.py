@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,16 @@ MIN_EFFECT = 0.15
 IDENTITY = r"did:(plc|web):|at://"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out a single time, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def set_down(value: Column, then: Callable[[Column], Column]) -> Column:
+    """As ``once``, as a column that a generator gives: a filter on it is not moved below it, so nothing is worked out again."""
+    return F.explode(F.transform(F.array(value), then))
+
+
 def bucket_start(us: Column, width: int) -> Column:
     """Start, in seconds, of the window of a time in microseconds (rounded down, also before 1970)."""
     return (F.floor(us / F.lit(MICROS)) - F.pmod(F.floor(us / F.lit(MICROS)), F.lit(width))).cast("long")

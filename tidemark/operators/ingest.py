@@ -21,6 +21,11 @@ def kind_of(v: Column, path: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
 
 
+def is_object(v: Column, path: str) -> Column:
+    """Whether there is an object at a path; its members' types are not looked at."""
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+
+
 def string_at(v: Column, path: str) -> Column:
     """A string at a path; null for any other type."""
     return F.when(kind_of(v, path) == "STRING", F.try_variant_get(v, path, "string"))
@@ -32,39 +37,46 @@ def _map(names: dict[str, str]) -> Column:
 
 def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
     """Adds v (VARIANT), parse_error, time_us (null unless a positive integer)."""
-    v = F.try_parse_json(F.col(raw))
-    out = lines.withColumn("v", v).withColumn("parse_error", F.col("v").isNull() & F.col(raw).isNotNull())
-    whole = (kind_of(F.col("v"), "$") == "OBJECT") & (kind_of(F.col("v"), "$.time_us") == "BIGINT")
-    time = F.when(whole, F.try_variant_get("v", "$.time_us", "long"))
-    return out.withColumn("time_us", F.when(time > 0, time))
+    time = lambda v: F.when(is_object(v, "$") & (kind_of(v, "$.time_us") == "BIGINT"), F.try_variant_get(v, "$.time_us", "long"))
+    read = scalars.set_down(F.try_parse_json(F.col(raw)), lambda v: F.struct(v.alias("v"), time(v).alias("t")))
+    kept = [c for c in lines.columns if c not in ("v", "parse_error", "time_us")]
+    return lines.select(*kept, read.alias("__read")).select(
+        *kept, F.col("__read.v").alias("v"), (F.col("__read.v").isNull() & F.col(raw).isNotNull()).alias("parse_error"), F.when(F.col("__read.t") > 0, F.col("__read.t")).alias("time_us")
+    )
 
 
 def metrics_of(v: Column) -> Column:
     """The metrics that an event counts for."""
-    text, kind = lambda p: string_at(v, p), lambda p: kind_of(v, p)
-    op, collection = text("$.commit.operation"), text("$.commit.collection")
-    alias = _map(vocab.COLLECTIONS)[collection]
-    shaped = (alias == "post") & op.isin(*vocab.SHAPED) & (kind("$.commit.record") == "OBJECT")
-    embed = kind("$.commit.record.embed") == "OBJECT"
-    etype = text("$.commit.record.embed['$type']")
+    text, of = lambda p: string_at(v, p), lambda p: is_object(v, p)
+    read = F.struct(
+        text("$.kind").alias("which"), of("$.commit").alias("commit"), text("$.commit.operation").alias("op"), text("$.commit.collection").alias("collection"), of("$.commit.record").alias("record"),
+        of("$.commit.record.reply").alias("reply"), of("$.commit.record.embed").alias("embed"), text("$.commit.record.embed['$type']").alias("etype"), of("$.account").alias("account"),
+        F.when(kind_of(v, "$.account.active") == "BOOLEAN", F.try_variant_get(v, "$.account.active", "string")).alias("active"), text("$.account.status").alias("status"),
+    )
+    return scalars.once(read, lambda f: scalars.once(_map(vocab.COLLECTIONS)[f["collection"]], lambda alias: _metrics(f, alias)))
+
+
+def _metrics(f: Column, alias: Column) -> Column:
+    """The metrics by what was read of an event, and by the alias of its collection."""
+    op, collection, etype, status = f["op"], f["collection"], f["etype"], f["status"]
+    shaped = (alias == "post") & op.isin(*vocab.SHAPED) & f["record"]
+    embed = f["embed"]
     post = F.concat(F.lit("post."), op)
-    commit = F.when(F.coalesce(kind("$.commit") != "OBJECT", F.lit(True)), F.array(F.lit("malformed.commit"))).when(
+    commit = F.when(~f["commit"], F.array(F.lit("malformed.commit"))).when(
         ~F.coalesce(op.isin(*vocab.OPERATIONS), F.lit(False)), F.array(F.lit("unclassified.operation"))
     ).when(F.coalesce(collection, F.lit("")) == "", F.array(F.lit("malformed.collection"))).when(alias.isNull(), F.array(F.lit("untracked.collection"))).otherwise(
         F.array_compact(F.array(
-            F.concat(alias, F.lit("."), op), F.when(shaped & (kind("$.commit.record.reply") == "OBJECT"), F.concat(post, F.lit(".reply"))),
+            F.concat(alias, F.lit("."), op), F.when(shaped & f["reply"], F.concat(post, F.lit(".reply"))),
             F.when(shaped & embed, F.concat(post, F.lit(".embed."), F.coalesce(_map(vocab.EMBEDS)[etype], F.lit(vocab.EMBED_OTHER)))),
             F.when(shaped & embed & etype.isin(*vocab.QUOTES), F.concat(post, F.lit(".quote"))),
         ))
     )
-    account_ok = kind("$.account") == "OBJECT"
-    active = F.when(kind("$.account.active") == "BOOLEAN", F.try_variant_get(v, "$.account.active", "string"))
-    status = text("$.account.status")
+    account_ok = f["account"]
     account = F.array_compact(F.array(
-        F.lit("account.event"), F.when(account_ok, F.concat(F.lit("account.active."), F.coalesce(active, F.lit("unknown")))),
+        F.lit("account.event"), F.when(account_ok, F.concat(F.lit("account.active."), F.coalesce(f["active"], F.lit("unknown")))),
         F.when(account_ok & (status != ""), F.concat(F.lit("account.status."), F.when(status.isin(*vocab.STATUSES), status).otherwise(vocab.STATUS_OTHER))),
     ))
-    which = text("$.kind")
+    which = f["which"]
     return F.when(which == "commit", commit).when(which == "account", account).when(which == "identity", F.array(F.lit("identity.event"))).otherwise(F.array(F.lit("unclassified.kind")))
 
 
@@ -72,7 +84,8 @@ def classified(lines: DataFrame, raw: str = "value") -> DataFrame:
     """(…, time_us, metrics, outcome): outcome is ``parse_error``, ``rejected_no_time_us`` or ``classified``."""
     out = parsed(lines, raw)
     outcome = F.when(F.col("parse_error"), "parse_error").when(F.col("time_us").isNull(), "rejected_no_time_us").otherwise("classified")
-    return out.withColumn("outcome", outcome).withColumn("metrics", F.when(F.col("outcome") == "classified", metrics_of(F.col("v")))).drop("v", "parse_error")
+    metrics = scalars.set_down(F.struct("v", outcome.alias("outcome")), lambda x: F.when(x["outcome"] == "classified", metrics_of(x["v"])))
+    return out.withColumn("outcome", outcome).withColumn("metrics", metrics).drop("v", "parse_error")
 
 
 def outside_alphabet(metrics: DataFrame) -> DataFrame:
@@ -85,32 +98,38 @@ def extracted(lines: DataFrame, raw: str = "value", collections: tuple[str, ...]
     """Every line as one of the lanes ``edge``, ``status`` or ``skipped`` (with its reason): (lane, reason, observed_us,
     actor, collection, op, subject_kind, subject_ref, rkey, rev, cid, record_created_at, active, status)."""
     rows = parsed(lines, raw)
-    v = F.col("v")
-    text, kind = lambda p: string_at(v, p), lambda p: kind_of(v, p)
-    alias, op, rkey = _map(vocab.COLLECTIONS)[text("$.commit.collection")], text("$.commit.operation"), text("$.commit.rkey")
-    named, uri = text("$.commit.record.subject"), text("$.commit.record.subject.uri")
+    strings = {
+        "which": "$.kind", "did": "$.did", "collection": "$.commit.collection", "op": "$.commit.operation", "rkey": "$.commit.rkey", "named": "$.commit.record.subject", "uri": "$.commit.record.subject.uri",
+        "rev": "$.commit.rev", "cid": "$.commit.cid", "created": "$.commit.record.createdAt", "status": "$.account.status",
+    }
+    read = scalars.set_down(F.col("v"), lambda v: F.struct(
+        *[string_at(v, p).alias(n) for n, p in strings.items()], *[is_object(v, p).alias(n) for n, p in (("whole", "$"), ("commit", "$.commit"), ("account", "$.account"))],
+        F.when(kind_of(v, "$.account.active") == "BOOLEAN", F.try_variant_get(v, "$.account.active", "boolean").cast("int")).alias("active"),
+    ))
+    rows = rows.select("time_us", read.alias("f"))
+    text = lambda n: F.col(f"f.{n}")
+    alias, op, rkey = _map(vocab.COLLECTIONS)[text("collection")], text("op"), text("rkey")
+    named, uri = text("named"), text("uri")
     by_name = alias.isin("follow", "block", "listitem")
     ref = F.when(op == "delete", "").when(by_name & named.startswith("did:"), named).when(~by_name & uri.startswith("at://"), uri)
-    account = kind("$.account") == "OBJECT"
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    is_object = F.coalesce(kind("$") == "OBJECT", F.lit(False))
-    which = F.coalesce(text("$.kind"), F.lit(""))
+    which = F.coalesce(text("which"), F.lit(""))
     reason = (
-        F.when(~is_object, "malformed").when(F.col("time_us").isNull(), "no_time_us").when(blank(text("$.did")), "malformed")
-        .when(which == "account", F.when(~F.coalesce(account, F.lit(False)), "malformed")).when(which != "commit", "not_commit")
-        .when(F.coalesce(kind("$.commit") != "OBJECT", F.lit(True)), "malformed").when(~F.coalesce(alias.isin(*collections), F.lit(False)), "untracked_collection")
+        F.when(~text("whole"), "malformed").when(F.col("time_us").isNull(), "no_time_us").when(blank(text("did")), "malformed")
+        .when(which == "account", F.when(~text("account"), "malformed")).when(which != "commit", "not_commit")
+        .when(~text("commit"), "malformed").when(~F.coalesce(alias.isin(*collections), F.lit(False)), "untracked_collection")
         .when(~F.coalesce(op.isin(*vocab.OPERATIONS), F.lit(False)) | blank(rkey), "malformed").when(ref.isNull(), "no_subject")
     )
     rows = rows.withColumn("reason", reason).withColumn("lane", F.when(F.col("reason").isNotNull(), "skipped").when(which == "account", "status").otherwise("edge"))
     edge, status = F.col("lane") == "edge", F.col("lane") == "status"
     made = edge & (op != "delete")
-    state = text("$.account.status")
+    state = text("status")
     return rows.select(
-        "lane", "reason", F.when(edge | status, F.col("time_us")).alias("observed_us"), F.when(edge | status, text("$.did")).alias("actor"), F.when(edge, alias).alias("collection"), F.when(edge, op).alias("op"),
+        "lane", "reason", F.when(edge | status, F.col("time_us")).alias("observed_us"), F.when(edge | status, text("did")).alias("actor"), F.when(edge, alias).alias("collection"), F.when(edge, op).alias("op"),
         F.when(edge, F.when(op == "delete", "unknown").when(by_name, "did").otherwise("uri")).alias("subject_kind"), F.when(edge, ref).alias("subject_ref"), F.when(edge, rkey).alias("rkey"),
-        F.when(edge, F.coalesce(text("$.commit.rev"), F.lit(""))).alias("rev"), F.when(edge, F.when(made, F.coalesce(text("$.commit.cid"), F.lit(""))).otherwise("")).alias("cid"),
-        F.when(edge, F.when(made, F.coalesce(text("$.commit.record.createdAt"), F.lit(""))).otherwise("")).alias("record_created_at"),
-        F.when(status, F.when(kind("$.account.active") == "BOOLEAN", F.try_variant_get(v, "$.account.active", "boolean").cast("int")).otherwise(-1)).alias("active"),
+        F.when(edge, F.coalesce(text("rev"), F.lit(""))).alias("rev"), F.when(edge, F.when(made, F.coalesce(text("cid"), F.lit(""))).otherwise("")).alias("cid"),
+        F.when(edge, F.when(made, F.coalesce(text("created"), F.lit(""))).otherwise("")).alias("record_created_at"),
+        F.when(status, F.coalesce(text("active"), F.lit(-1))).alias("active"),
         F.when(status, F.when(blank(state), "").when(state.isin(*vocab.STATUSES), state).otherwise(vocab.STATUS_OTHER)).alias("status"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import custody, ingest, ranks
+from ..sources.store import held
 from .telemetry import HOUR, events, query, rounded, table
 
 POST, LIKE, FOLLOW = "app.bsky.feed.post", "app.bsky.feed.like", "app.bsky.graph.follow"
@@ -56,7 +57,7 @@ def _text(number: int) -> str:
 
 def lines(spark, sf_dir) -> DataFrame:
     """(event_id, us, value)."""
-    rows = events(spark, sf_dir)
+    rows = events(spark, sf_dir, spread=True)
     template = F.element_at(F.array(*[F.lit(_text(i)) for i in range(len(SHAPES))]), (F.col("event_id") % len(SHAPES) + 1).cast("int"))
     text = template
     for name, column in (("@actor", "actor"), ("@us", "us"), ("@target", "target"), ("@number", "event_id")):
@@ -81,8 +82,9 @@ def message_metrics(spark, sf_dir):
 def message_alphabet(spark, sf_dir):
     """The metrics that occur, and whether the closed alphabet has them."""
     found = ingest.classified(lines(spark, sf_dir)).select(F.explode("metrics").alias("metric"))
-    outside = ingest.outside_alphabet(found).withColumn("outside", F.lit(True))
-    return found.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).join(outside, "metric", "left").select("metric", "n", F.coalesce("outside", F.lit(False)).alias("outside"))
+    counted = held(found.groupBy("metric").agg(F.count(F.lit(1)).alias("n")))
+    outside = ingest.outside_alphabet(counted).withColumn("outside", F.lit(True))
+    return counted.join(outside, "metric", "left").select("metric", "n", F.coalesce("outside", F.lit(False)).alias("outside"))
 
 
 @query

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import compose, derive, edges, episodes, field, health, publish, reduce, runs, windows
-from ..sources.store import held, shared_folder
+from ..sources.store import dealt, held, shared_folder
 from ..streaming import windows as live
 
 METRICS = ["click", "error", "purchase", "signup", "view"]
@@ -40,9 +40,10 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, us, metric, actor, target)."""
+def events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(run_id, us, metric, actor, target); spread: dealt over the tasks, for work that costs much a row."""
     raw = table(spark, sf_dir, "events")
+    raw = dealt(raw, "event_id") if spread else raw
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     week = scalars.week_start(F.floor(us / F.lit(scalars.MICROS)))
     return raw.select(F.concat(F.lit("w"), week.cast("string")).alias("run_id"), us.alias("us"), F.col("event_type").alias("metric"), F.col("user_id").alias("actor"), F.get_json_object("props", "$.k").cast("long").alias("target"), "event_id")

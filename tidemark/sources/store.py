@@ -48,6 +48,12 @@ def held(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows over as many tasks as a shuffle has, by hashes of columns: a small file is read by one task, whatever its
+    rows then cost."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
