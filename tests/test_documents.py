@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import scalars
+from tidemark.functions import scalars, trees
 from tidemark.operators import documents, privacy, publish, runs, visibility, windows
 from tidemark.plans import messages
 from tidemark.sources import store
@@ -189,3 +189,20 @@ def test_only_changed_days_are_written(spark, tmp_path):
     after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "archive").rglob("*.json")}
     assert len(set(before.items()) & set(after.items())) == 2 and spark.read.json(path).where("events_seen = 99").count() == 1
     assert publish.days_to_write(publish.day_index(first), index).count() == 0
+
+
+def test_a_message_is_scrubbed_and_checked_in_one_pass(spark):
+    """Neither a filter nor a second branch may scrub it again."""
+    df = spark.createDataFrame([(0, '{"kind":"commit"}'), (1, None), (2, "{")], "event_id long, value string")
+    parses = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson")
+    scrubbed = privacy.scrub(df, "s")
+    assert parses(scrubbed.where("value IS NOT NULL")) == 1 and parses(privacy.findings(df)) == 1 and parses(privacy.leaks(scrubbed)) == 1 and parses(privacy.findings(scrubbed.where("value IS NOT NULL"))) == 2
+    assert [(r.event_id, r.path, r.problem) for r in privacy.findings(df).collect()] == [(2, "$", privacy.UNREAD)]
+
+
+def test_the_type_of_a_container_and_of_a_scalar(spark):
+    given = ['{"a":[1,{}]}', "{}", "[]", "[[]]", '"x"', "null", "1", "1.5", "1e300", "true"]
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(given)] + [(99, None)], "i int, g string").select("i", trees.kind(F.parse_json("g")).alias("k"), trees.shape(F.parse_json("g")).alias("s"))
+    got = {r.i: (r.k, r.s) for r in rows.collect()}
+    assert [got[i][0] for i in range(len(given))] == ["OBJECT", "OBJECT", "ARRAY", "ARRAY", "STRING", "VOID", "BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"] and got[99] == (None, "scalar")
+    assert [got[i][1] for i in range(5)] == ["object", "object", "array", "array", "scalar"]

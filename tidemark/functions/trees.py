@@ -12,18 +12,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scalars
+
 #: Levels of containers that are entered.
 DEPTH = 8
+#: The type of a walk.
+NODES = "array<struct<path:string,key:string,shape:string,kind:string,text:string>>"
 
 
 def kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, VOID, …"""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, VOID, …; of a container without looking at what is in it."""
+    scalar = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "OBJECT").when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "ARRAY").otherwise(scalar)
 
 
 def shape(v: Column) -> Column:
     """object, array or scalar."""
-    return F.when(kind(v) == "OBJECT", "object").when(kind(v) == "ARRAY", "array").otherwise("scalar")
+    return _shape(kind(v))
+
+
+def _shape(what: Column) -> Column:
+    return scalars.once(what, lambda w: F.when(w == "OBJECT", "object").when(w == "ARRAY", "array").otherwise("scalar"))
 
 
 def children(v: Column) -> Column:
@@ -32,7 +41,7 @@ def children(v: Column) -> Column:
     fields = F.array_sort(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), by_key)
     of_object = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("label"), e["key"].alias("key"), e["value"].alias("value")))
     of_list = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("label"), F.lit(None).cast("string").alias("key"), x.alias("value")))
-    return F.when(kind(v) == "OBJECT", of_object).when(kind(v) == "ARRAY", of_list)
+    return F.coalesce(of_object, of_list)  # each is null of anything else
 
 
 def walk(v: Column, depth: int = DEPTH, path: Column | None = None, key: Column | None = None) -> Column:
@@ -41,18 +50,23 @@ def walk(v: Column, depth: int = DEPTH, path: Column | None = None, key: Column
     ``text`` is the value of a string, null for all else.  A container that is not entered has the kind DEEP.
     """
     path, key = F.lit("$") if path is None else path, F.lit(None).cast("string") if key is None else key
-    what = kind(v)
-    deep = F.when((what == "OBJECT") | (what == "ARRAY"), "DEEP").otherwise(what) if depth == 0 else what
-    own = F.array(F.struct(path.alias("path"), key.alias("key"), shape(v).alias("shape"), deep.alias("kind"), F.when(what == "STRING", F.try_variant_get(v, "$", "string")).alias("text")))
+    deep = lambda what: F.when((what == "OBJECT") | (what == "ARRAY"), "DEEP").otherwise(what) if depth == 0 else what
+    node = lambda what: F.struct(path.alias("path"), key.alias("key"), _shape(what).alias("shape"), deep(what).alias("kind"), F.when(what == "STRING", F.try_variant_get(v, "$", "string")).alias("text"))
+    own = F.transform(F.array(kind(v)), node)
     if depth == 0:
         return own
     below = F.transform(children(v), lambda c: walk(c["value"], depth - 1, F.concat(path, c["label"]), F.coalesce(c["key"], key)))
-    return F.concat(own, F.coalesce(F.flatten(below), F.array().cast("array<struct<path:string,key:string,shape:string,kind:string,text:string>>")))
+    return F.concat(own, F.coalesce(F.flatten(below), F.array().cast(NODES)))
 
 
 def quoted(text: Column) -> Column:
     """A text as JSON."""
-    inner = F.to_json(F.struct(text.alias("x")))
+    return scalars.once(F.to_json(F.struct(text.alias("x"))), lambda inner: F.substring(inner, F.lit(6), F.length(inner) - 6))
+
+
+def _name(name: str) -> Column:
+    """A fixed name as JSON: an expression without a lambda, which is worked out when the query is planned."""
+    inner = F.to_json(F.struct(F.lit(name).alias("x")))
     return F.substring(inner, F.lit(6), F.length(inner) - 6)
 
 
@@ -71,8 +85,8 @@ DIGITS, ITEMS, CHARACTERS = 6, 10, 200
 
 def _number(x: Column) -> Column:
     """A double to six digits; NaN and infinity fail, as no hash must cover them."""
-    bad = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, F.raise_error(F.lit("NaN and infinity have no canonical form")).cast("double")).otherwise(F.round(x, DIGITS) + F.lit(0.0))
+    bad = lambda y: F.isnan(y) | (F.abs(y) == float("inf"))
+    return scalars.once(x, lambda y: F.when(bad(y), F.raise_error(F.lit("NaN and infinity have no canonical form")).cast("double")).otherwise(F.round(y, DIGITS) + F.lit(0.0)))
 
 
 def canonical(value: Column, kind_: T.DataType, bounded: bool = False, depth: int = DEPTH) -> Column:
@@ -82,10 +96,11 @@ def canonical(value: Column, kind_: T.DataType, bounded: bool = False, depth: in
     first items and texts their first characters.  Variants are walked to ``depth``; a deeper one fails.  (Planning a query takes
     longer with every level.)
     """
-    null = lambda text: F.when(value.isNull(), F.lit("null")).otherwise(text)
+    null = lambda text: F.coalesce(text, F.lit("null"))
     joined = lambda parts, a, b: F.concat(F.lit(a), F.array_join(parts, ","), F.lit(b))
     if isinstance(kind_, T.StructType):
-        parts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType, bounded, depth)) for f in sorted(kind_.fields, key=lambda f: f.name.encode())]
+        null = lambda text: F.when(value.isNull(), F.lit("null")).otherwise(text)
+        parts = [F.concat(_name(f.name), F.lit(":"), canonical(value[f.name], f.dataType, bounded, depth)) for f in sorted(kind_.fields, key=lambda f: f.name.encode())]
         return null(joined(F.array(*parts) if parts else F.array().cast("array<string>"), "{", "}"))
     if isinstance(kind_, T.ArrayType):
         held = F.slice(value, 1, ITEMS) if bounded else value
@@ -93,13 +108,14 @@ def canonical(value: Column, kind_: T.DataType, bounded: bool = False, depth: in
     if isinstance(kind_, T.MapType):
         if not isinstance(kind_.keyType, T.StringType):
             raise TypeError("keys of a map must be strings")
-        return null(joined(F.transform(F.array_sort(F.map_keys(value)), lambda k: F.concat(quoted(k), F.lit(":"), canonical(F.element_at(value, k), kind_.valueType, bounded, depth))), "{", "}"))
+        written = lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(quoted(k), F.lit(":"), canonical(F.element_at(m, k), kind_.valueType, bounded, depth)))
+        return null(scalars.once(value, lambda m: joined(written(m), "{", "}")))
     if isinstance(kind_, T.VariantType):
-        return null(_canonical_variant(value, bounded, depth))
+        return null(scalars.once(value, lambda v: _canonical_variant(v, bounded, depth)))
     if isinstance(kind_, (T.DoubleType, T.FloatType)):
         return null(_written(_number(value.cast("double"))))
     if isinstance(kind_, T.StringType):
-        return null(quoted(F.substring(value, 1, CHARACTERS) if bounded else value))
+        return F.when(value.isNull(), F.lit("null")).otherwise(quoted(F.substring(value, 1, CHARACTERS) if bounded else value))
     if isinstance(kind_, (T.BooleanType, T.IntegralType)):
         return null(value.cast("string"))
     if isinstance(kind_, T.DecimalType):
@@ -109,12 +125,15 @@ def canonical(value: Column, kind_: T.DataType, bounded: bool = False, depth: in
 
 def _written(x: Column) -> Column:
     """A double as JSON writes it: 1.5, 2.0, 1.0E10 as plain digits where it has few."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, F.concat(x.cast("bigint").cast("string"), F.lit(".0"))).when(F.abs(x) < 1e15, F.regexp_replace(x.cast("decimal(38,6)").cast("string"), "0+$", "")).otherwise(x.cast("string"))
+    whole = lambda y: (y == F.floor(y)) & (F.abs(y) < 1e15)
+    return scalars.once(x, lambda y: F.when(whole(y), F.concat(y.cast("bigint").cast("string"), F.lit(".0"))).when(F.abs(y) < 1e15, F.rtrim(y.cast("decimal(38,6)").cast("string"), F.lit("0"))).otherwise(y.cast("string")))
 
 
 def _canonical_variant(v: Column, bounded: bool, depth: int) -> Column:
-    what = kind(v)
+    return scalars.once(kind(v), lambda what: _variant_of(v, what, bounded, depth))
+
+
+def _variant_of(v: Column, what: Column, bounded: bool, depth: int) -> Column:
     text = F.try_variant_get(v, "$", "string")
     scalar = F.when(what == "VOID", F.lit("null")).when(what == "STRING", quoted(F.substring(text, 1, CHARACTERS) if bounded else text)).when(what.isin("DOUBLE", "FLOAT", "DECIMAL"), _written(_number(F.try_variant_get(v, "$", "double")))).otherwise(F.to_json(v))
     if depth == 0:
