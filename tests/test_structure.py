@@ -50,6 +50,21 @@ def test_canonical_form_of_structs(spark, documents):
     assert sorted(r[0] for r in shuffled.select(trees.canonical(F.col("d"), shuffled.schema["d"].dataType)).collect()) == sorted(got)
 
 
+def test_documents_are_dealt_over_the_tasks_of_a_shuffle(spark, sf):
+    """One file of one row group is read by one task; what the documents in it cost must not be."""
+    from tidemark.plans import structure
+
+    found = structure.order_documents(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) == 4 and sum(r["count"] for r in found) == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_a_variant_is_parsed_once_for_its_form(spark):
+    df = spark.createDataFrame([('{"a":[1,{"b":null}]}',)], "t string").select(F.parse_json("t").alias("v"))
+    form = trees.canonical(F.col("v"), df.schema["v"].dataType, depth=3)
+    plan = df.select(form.alias("x")).where("x <> ''")._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert plan.count("parsejson") <= 2  # in the filter and in the column
+
+
 def test_bounded_form_and_what_it_cuts(spark, documents):
     def bounded(v):
         return {k: bounded(x) for k, x in v.items()} if isinstance(v, dict) else [bounded(x) for x in v[:10]] if isinstance(v, list) else v[:200] if isinstance(v, str) else v

@@ -44,6 +44,12 @@ def children(v: Column) -> Column:
     return F.coalesce(of_object, of_list)  # each is null of anything else
 
 
+def _kind(v: Column, below: Column) -> Column:
+    """As ``kind``, by the children where there are any: taking a container apart again writes all of it anew."""
+    first = F.get(below, F.lit(0))["key"]
+    return F.when(below.isNull(), F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)).when(F.size(below) == 0, kind(v)).when(first.isNull(), "ARRAY").otherwise("OBJECT")
+
+
 def walk(v: Column, depth: int = DEPTH, path: Column | None = None, key: Column | None = None) -> Column:
     """Every node of a tree as (path, key, shape, kind, text), the root first; ``key`` is the nearest one above for items.
 
@@ -52,11 +58,10 @@ def walk(v: Column, depth: int = DEPTH, path: Column | None = None, key: Column
     path, key = F.lit("$") if path is None else path, F.lit(None).cast("string") if key is None else key
     deep = lambda what: F.when((what == "OBJECT") | (what == "ARRAY"), "DEEP").otherwise(what) if depth == 0 else what
     node = lambda what: F.struct(path.alias("path"), key.alias("key"), _shape(what).alias("shape"), deep(what).alias("kind"), F.when(what == "STRING", F.try_variant_get(v, "$", "string")).alias("text"))
-    own = F.transform(F.array(kind(v)), node)
     if depth == 0:
-        return own
-    below = F.transform(children(v), lambda c: walk(c["value"], depth - 1, F.concat(path, c["label"]), F.coalesce(c["key"], key)))
-    return F.concat(own, F.coalesce(F.flatten(below), F.array().cast(NODES)))
+        return F.transform(F.array(kind(v)), node)
+    below = lambda cs: F.flatten(F.transform(cs, lambda c: walk(c["value"], depth - 1, F.concat(path, c["label"]), F.coalesce(c["key"], key))))
+    return scalars.once(children(v), lambda cs: F.concat(F.transform(F.array(_kind(v, cs)), node), F.coalesce(below(cs), F.array().cast(NODES))))
 
 
 def quoted(text: Column) -> Column:
@@ -130,15 +135,14 @@ def _written(x: Column) -> Column:
 
 
 def _canonical_variant(v: Column, bounded: bool, depth: int) -> Column:
-    return scalars.once(kind(v), lambda what: _variant_of(v, what, bounded, depth))
+    return scalars.once(children(v), lambda below: scalars.once(_kind(v, below), lambda what: _variant_of(v, what, below, bounded, depth)))
 
 
-def _variant_of(v: Column, what: Column, bounded: bool, depth: int) -> Column:
+def _variant_of(v: Column, what: Column, members_: Column, bounded: bool, depth: int) -> Column:
     text = F.try_variant_get(v, "$", "string")
     scalar = F.when(what == "VOID", F.lit("null")).when(what == "STRING", quoted(F.substring(text, 1, CHARACTERS) if bounded else text)).when(what.isin("DOUBLE", "FLOAT", "DECIMAL"), _written(_number(F.try_variant_get(v, "$", "double")))).otherwise(F.to_json(v))
     if depth == 0:
         return F.when(what.isin("OBJECT", "ARRAY"), F.raise_error(F.lit("a document is deeper than its canonical form goes")).cast("string")).otherwise(scalar)
-    members_ = children(v)
     members_ = F.slice(members_, 1, F.when(what == "ARRAY", ITEMS).otherwise((1 << 31) - 1)) if bounded else members_
     parts = F.transform(members_, lambda c: F.concat(F.when(c["key"].isNotNull(), F.concat(quoted(c["key"]), F.lit(":"))).otherwise(F.lit("")), _canonical_variant(c["value"], bounded, depth - 1)))
     # The parts stand once in the expression: it would double with every level otherwise.

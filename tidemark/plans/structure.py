@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, trees
 from ..operators import commitments, heavy, ingest, privacy
+from ..sources.store import dealt
 from . import messages
 from .telemetry import events, query, table
 
 
 def order_documents(spark, sf_dir):
     """(o_orderkey, document): an order as a nested document: structs, a list, a map, a long text, a parsed tree, nulls."""
-    rows = table(spark, sf_dir, "orders")
+    rows = dealt(table(spark, sf_dir, "orders"), "o_orderkey")
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     tree = F.concat(F.lit('{"z":[1,2.5,null,"'), F.col("o_orderstatus"), F.lit('"],"a":{"q":"\\"x","n":'), key.cast("string"), F.lit("}}"))
     document = F.struct(
