@@ -170,6 +170,14 @@ def test_most_frequent_names_are_exact_however_small_the_summaries(spark, size):
     assert got == sorted(want)
 
 
+def test_no_level_of_a_tree_goes_through_one_task_a_group(spark):
+    df = spark.createDataFrame([("a", f"m{i}") for i in range(40)] + [("b", "m")], "g string, r string")
+    levels = commitments.tree(df, ["g"], "r")
+    ways = commitments.paths(levels, ["g"], spark.createDataFrame([("a", "m7"), ("b", "m")], "g string, member string"))
+    assert "Window" not in ways._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.g: len(r.path) for r in ways.collect()} == {"a": 2, "b": 0}
+
+
 def test_names_that_are_all_as_frequent_are_counted_in_one_more_pass(spark, monkeypatch):
     """No summary of few counters can bound them, nor one of four times as many; what is bounded beside them stays right."""
     made, summaries = [], heavy.summaries

@@ -49,9 +49,9 @@ def tree(df: DataFrame, by: list[str], member: str) -> list[DataFrame]:
     found = [level]
     while level.where("node > 0").limit(1).count():
         children = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"])  # FAN at most
-        grouped = level.withColumn("single", F.max("node").over(Window.partitionBy(*by)) == 0) if by else level.withColumn("single", F.lit(False))
-        up = grouped.groupBy(*by, F.floor(F.col("node") / FAN).cast("long").alias("up"), "single").agg(children.alias("c"))
-        level = held(up.select(*by, F.col("up").alias("node"), F.when(F.col("single"), F.element_at("c", 1)).otherwise(_hash("node:", F.array_join("c", ""))).alias("hash")))
+        up = level.groupBy(*by, F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(children.alias("c"))
+        single = (F.col("up") == 0) & (F.size("c") == 1)  # nodes are numbered from 0 without gaps
+        level = held(up.select(*by, F.col("up").alias("node"), F.when(single, F.element_at("c", 1)).otherwise(_hash("node:", F.array_join("c", ""))).alias("hash")))
         found.append(level)
     return found
 
@@ -73,11 +73,10 @@ def paths(levels: list[DataFrame], by: list[str], asked: DataFrame) -> DataFrame
     names = [F.col(f"a.{b}") for b in by]
     rows = asked.alias("a").join(levels[0].alias("l"), [*on("a", "l"), F.col("a.member") == F.col("l.member")]).select(*names, "a.member", "l.node", F.array().cast("array<struct<at:long,hashes:array<string>>>").alias("path"))
     for level in levels[:-1]:
-        many = F.max("node").over(Window.partitionBy(*by)) > 0
-        siblings = level.withColumns({"up": F.floor(F.col("node") / FAN).cast("long"), "many": many}).groupBy(*by, "up", "many").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"]).alias("hashes"))
+        siblings = level.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).groupBy(*by, "up").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda c: c["hash"]).alias("hashes"))
         rows = rows.withColumn("up", F.floor(F.col("node") / FAN).cast("long")).alias("a").join(siblings.alias("s"), [*on("a", "s"), F.col("a.up") == F.col("s.up")])
         step = F.struct((F.col("a.node") % FAN).alias("at"), F.col("s.hashes").alias("hashes"))
-        rows = rows.select(*names, "a.member", F.col("a.up").alias("node"), F.when(F.col("s.many"), F.concat("a.path", F.array(step))).otherwise(F.col("a.path")).alias("path"))
+        rows = rows.select(*names, "a.member", F.col("a.up").alias("node"), F.when((F.col("s.up") > 0) | (F.size("s.hashes") > 1), F.concat("a.path", F.array(step))).otherwise(F.col("a.path")).alias("path"))
     return rows.select(*by, "member", "path")
 
 
