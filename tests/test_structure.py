@@ -232,3 +232,31 @@ def test_copies_of_a_set_do_not_multiply_candidates(spark):
     assert {(r.actor, r.component) for r in edges.similar_components(sets, ["g"]).collect()} == {(1000 * k + i, 2000 if k == 2 else 0) for k in kinds for i in range(40)}
     found = {r.component: (r.n_actors, round(r.mean_jaccard, 9), r.n_shared_targets) for r in edges.cohorts(df, ["g"]).collect()}
     assert found == {0: (80, round((1560 + 1600 * 4 / 6) / 3160, 9), 4), 2000: (40, 1.0, 3)}
+
+
+@pytest.mark.parametrize(("universe", "threshold"), [(40, 0.2), (90, 0.2), (20, 0.5)])
+def test_similar_actors_meet_in_blocks_and_cells(spark, monkeypatch, universe, threshold):
+    """Sets that all differ, of few targets (each with a bit of its own) or more than there are bits, some too large to travel:
+    whatever the blocks and cells, pairs and components are those of comparing all, and no pair is shuffled."""
+    from itertools import combinations
+
+    from tidemark.operators import edges
+
+    for name, value in (("WHOLE", 12), ("OUTLINE", ["o0"]), ("BLOCK", 8), ("CELLS", (2,))):
+        assert hasattr(edges, name)
+        monkeypatch.setattr(edges, name, value)
+    rng = random.Random(universe)
+    sets = {i: frozenset(rng.sample(range(universe), rng.choice([3, 4, 6, 9, 12, 20]))) for i in range(60)}
+    rows = [("g", a, str(t), len(v)) for a, v in sets.items() for t in v]
+    df = spark.createDataFrame(rows, "g string, actor long, target string, size long")
+    found = edges.similar_pairs(df, ["g"], threshold)
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12}
+    got = [(r.a, r.b) for r in found.collect()]
+    assert len(got) == len(want) > 5 and set(got) == want
+    least = {a: a for p in want for a in p}
+    for _ in sets:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r.actor: r.component for r in edges.similar_components(df, ["g"], threshold).collect()} == least
+    small = edges.similar_pairs(df.where("size <= 12"), ["g"], threshold)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in small and not any("jaccard" in line for line in small.split("\n") if "Exchange" in line)
