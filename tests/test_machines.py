@@ -272,6 +272,49 @@ def test_a_micro_batch_is_taken_in_order_whatever_order_its_chunks_come_in():
     assert int(got.late_events.sum()) == 0 and int(got.parse_errors.sum()) == 8
 
 
+def test_stretches_of_rows_are_what_the_lane_makes_of_each_row():
+    """Late rows, rows without a time, windows that are closed already: cut anywhere, a few stretches stand for all rows."""
+    import pyarrow as pa
+
+    class Loose(live.StretchProcessor):
+        def _opened(self):
+            return self.kept
+
+        def _kept(self, lane):
+            self.kept = lane
+
+    draw = random.Random(6)
+    kinds = pa.schema([("source", pa.string()), ("arrival", pa.int64()), ("us", pa.int64()), ("metrics", pa.list_(pa.string())), ("outcome", pa.string())])
+    for _ in range(60):
+        at, rows = 5_000_000_000, []
+        for k in range(draw.choice([1, 20, 200])):
+            at += draw.choice([0, 1, 2_000_000, 40_000_000])
+            us = draw.choice([at, at, at, at - draw.randrange(200_000_000), None])
+            odd = draw.choice(["parse_error", "rejected_no_time_us"])
+            rows.append(("s", k // 2, us, None if us is None else draw.choice([[], ["post.create"], ["like.create", "like.create", "unknown.kind"]]), odd if us is None else "classified"))
+        lane, each = live.Lane(60), []
+        for _, _, us, metrics, outcome in rows:
+            each += lane.take("s", us, metrics or [], outcome)
+        # Two micro-batches of two tasks; a cut is where the arrival changes.
+        cuts = sorted(draw.randrange(0, len(rows) + 1) // 2 * 2 for _ in range(3))
+        processor, got, n = Loose(60), [], 0
+        processor.kept = live.Lane(60)
+        for tasks in ([rows[: cuts[0]], rows[cuts[0] : cuts[1]]], [rows[cuts[1] : cuts[2]], rows[cuts[2] :]]):
+            parts = []
+            for task in tasks:
+                found = []
+                for i in range(0, len(task), 64):
+                    batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*task[i : i + 64], strict=True), kinds, strict=True)], schema=kinds)
+                    found += live.folded(batch, 60, len(found))
+                parts, n = [pd.DataFrame(found), *parts] if found else parts, n + len(found)
+            if parts:
+                got += list(processor.handleInputRows(("s",), iter(parts), None))
+        assert live.frame(each).equals(pd.concat(got, ignore_index=True) if got else live.frame([]))
+        assert processor.kept.held() == lane.held() and processor.kept.counts == lane.counts and n <= len(rows)
+    with pytest.raises(ValueError, match="order of arrival"):
+        live.folded(pa.RecordBatch.from_pylist([{"source": "s", "arrival": a} for a in (2, 1)], kinds), 60, 0)
+
+
 def test_running_counts_of_inbound_edges_equal_comparing_all(spark):
     draw, back = random.Random(4), 86_400_000_000
     acts = [(draw.randrange(0, 12 * back, back // 8), draw.choice([None, 1, 2, 3, 4]), "x", draw.choice([None, 7, 8])) for _ in range(600)]

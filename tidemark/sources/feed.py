@@ -84,12 +84,12 @@ def write_frames(lines: DataFrame, folder: str, *, order: list[str], value: str
 
         out = None
         for batch in batches:
-            for position, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None:
-                    store, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
-                    store.create_dir(path, recursive=True)
-                    out = store.open_output_stream(f"{path}/{position:020d}.jsonl")
-                out.write(line.encode() + b"\n")
+            if out is None and batch.num_rows:
+                store, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+                store.create_dir(path, recursive=True)
+                out = store.open_output_stream(f"{path}/{batch.column(0)[0].as_py():020d}.jsonl")
+            if batch.num_rows:
+                out.write(("\n".join(batch.column(1).to_pylist()) + "\n").encode())
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([1])], ["files"])
@@ -108,8 +108,8 @@ class Stretch(InputPartition):
     end: int
 
 
-#: Lines of one position that keep their order.
-TIES = 4096
+#: Lines of one position that keep their order, and lines that are handed over together.
+TIES, BATCH = 4096, 10_000
 
 
 class FrameReader(DataSourceStreamReader):
@@ -181,14 +181,24 @@ class FrameReader(DataSourceStreamReader):
         return [Stretch(path, first, lo, hi) for (first, path), after in zip(files, nexts, strict=True) if first <= hi and (after is None or after > lo)]
 
     def read(self, partition: Stretch):
-        ties, at = 0, None
+        ties, at, rows = 0, None, []
         for position, line in self._lines(partition.path, partition.first):
             ties = ties + 1 if position == at else 0
             at = position
             if position > partition.end:
-                return
+                break
             if position > partition.start:
-                yield line, position, position * TIES + min(ties, TIES - 1)
+                rows.append((line, position, position * TIES + min(ties, TIES - 1)))
+                if len(rows) == BATCH:
+                    yield self._batch(rows)
+                    rows = []
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        value, position, arrival = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(value, pa.string()), pa.array(position, pa.int64()), pa.array(arrival, pa.int64())], ["value", "position_us", "arrival"])
 
     def commit(self, end: dict) -> None:
         pass

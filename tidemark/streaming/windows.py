@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -153,21 +154,28 @@ class Lane:
         return self.observe(source, int(us), metrics)
 
     def observe(self, source: str, us: int, metrics: list[str]) -> list[tuple]:
-        bucket, out = us // scalars.MICROS // self.width * self.width, []
+        counts: dict[str, int] = {}
+        for m in metrics:
+            counts[m] = counts.get(m, 0) + 1
+        return self.several(source, us // scalars.MICROS // self.width * self.width, 1, 0, us, us, counts)
+
+    def several(self, source: str, bucket: int, events: int, late: int, first: int, last: int, counts: dict[str, int]) -> list[tuple]:
+        """``events`` of one window, the first of all at ``first``, and after it ``late`` ones of windows before that."""
+        out: list[tuple] = []
         if (self.high is not None and bucket <= self.high) or (self.bucket is not None and bucket < self.bucket):
             if self.bucket is not None:
-                self.late += 1
+                self.late += events + late
             else:
-                self.pending += 1
+                self.pending += events + late
             return out
         if self.bucket is not None and bucket != self.bucket:
             out = self.close(source)
         if self.bucket is None:
-            self.bucket, self.late, self.pending, self.first = bucket, self.pending, 0, us
+            self.bucket, self.late, self.pending, self.first = bucket, self.pending, 0, first
             self.facts, self.waiting = self.waiting, Facts()
-        self.events, self.last = self.events + 1, us
-        for m in metrics:
-            self.counts[m] = self.counts.get(m, 0) + 1
+        self.events, self.last, self.late = self.events + events, last, self.late + late
+        for m, n in counts.items():
+            self.counts[m] = self.counts.get(m, 0) + n
         return out
 
 
@@ -234,20 +242,102 @@ class LaneProcessor(StatefulProcessor):
         pass
 
 
+#: What rows are folded into: those from one that no earlier row of its batch has reached in time up to the next such one.
+STRETCHES = "source string, arrival long, until long, at long, bucket long, events long, late long, parse_errors long, rejected long, first_us long, last_us long, metrics array<string>, counts array<long>"
+
+
+def folded(batch: pa.RecordBatch, width: int, at: int) -> list[dict]:
+    """Stretches of a batch (source, arrival, us, metrics, outcome), which is in the order of arrival; they are numbered from ``at`` on.
+
+    An event of a window before the highest one of the batch so far is late, whatever came before the batch; those of that
+    window are late or on time all together.
+    """
+    out: list[dict] = []
+    table = pa.Table.from_batches([batch])
+    for source in table["source"].unique().to_pylist():
+        rows = table if source is not None and len(table["source"].unique()) == 1 else table.filter(pc.is_null(table["source"]) if source is None else pc.equal(table["source"], source))
+        arrival = rows["arrival"].to_numpy()
+        if (np.diff(arrival) < 0).any():
+            raise ValueError("rows of a task are not in the order of arrival")
+        timed, us = rows["us"].is_valid().to_numpy(), pc.fill_null(rows["us"], 0).to_numpy()
+        bucket = np.where(timed, us // scalars.MICROS // width * width, np.iinfo(np.int64).min)
+        highest = np.maximum.accumulate(bucket)
+        opens = np.r_[timed[0], highest[1:] > highest[:-1]]
+        starts = np.flatnonzero(opens | (np.arange(len(us)) == 0))
+        stretch = np.cumsum(np.isin(np.arange(len(us)), starts)) - 1
+        on, unread = timed & (bucket == highest), pc.fill_null(pc.equal(rows["outcome"], "parse_error"), False).to_numpy()
+        number = lambda which: np.bincount(stretch[which], minlength=len(starts)).tolist()  # noqa: B023, E731
+        # Metrics of the events on time, counted by stretch.
+        lists = rows["metrics"].combine_chunks()
+        parent, names = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
+        kept = on[parent]
+        words, codes = names.dictionary.to_pylist(), names.indices.to_numpy()[kept]
+        pairs, n = np.unique(stretch[parent[kept]] * max(1, len(words)) + codes, return_counts=True)
+        counts: list[dict] = [{} for _ in starts]
+        for pair, k in zip(pairs.tolist(), n.tolist(), strict=True):
+            counts[pair // len(words)][words[pair % len(words)]] = k
+        last = dict(zip(stretch[on].tolist(), us[on].tolist(), strict=True))
+        ends = np.r_[starts[1:], len(us)] - 1
+        for k, (start, end, events, late, wrong, lost) in enumerate(zip(starts.tolist(), ends.tolist(), number(on), number(timed & ~on), number(~timed & unread), number(~timed & ~unread), strict=True)):
+            where = (int(bucket[start]), int(us[start]), last[k]) if events else (None, None, None)
+            out.append({"source": source, "arrival": int(arrival[start]), "until": int(arrival[end]), "at": at + len(out), "bucket": where[0], "events": events, "late": late, "parse_errors": wrong, "rejected": lost, "first_us": where[1], "last_us": where[2], "metrics": list(counts[k]), "counts": list(counts[k].values())})
+    return out
+
+
+def stretches(events: DataFrame, width: int) -> DataFrame:
+    """The rows of each task, which come in the order of arrival, as ``STRETCHES``."""
+    names = [c.split()[0] for c in STRETCHES.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(names, STRETCHES.split(", "), strict=True)])
+
+    def fold(batches):
+        at = 0
+        for batch in batches:
+            if batch.num_rows:
+                found = folded(batch, width, at)
+                at += len(found)
+                yield pa.RecordBatch.from_pylist(found, schema)
+
+    return events.select("source", "arrival", "us", "metrics", "outcome").mapInArrow(fold, STRETCHES)
+
+
+class StretchProcessor(LaneProcessor):
+    """The same lane over ``STRETCHES``: a task holds a row for each window and batch, not for each event."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lane, out, before = self._opened(), [], None
+        whole = pd.concat([part.astype(object) for part in rows]).sort_values(["arrival", "at"])
+        for r in whole.where(whole.notna(), None).itertuples(index=False):
+            if before is not None and r.arrival < before:
+                raise ValueError("rows of several tasks arrive among one another")
+            before = r.until
+            if r.events:
+                counts = {m: int(n) for m, n in zip(r.metrics, r.counts, strict=True)}
+                out += lane.several(key[0], int(r.bucket), int(r.events), int(r.late), int(r.first_us), int(r.last_us), counts)
+            lane.parse_errors, lane.rejected = lane.parse_errors + int(r.parse_errors), lane.rejected + int(r.rejected)
+        if out:
+            yield frame(out)
+        self._kept(lane)
+
+
 #: The state store that keyed state needs.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def window_stream(events: DataFrame, width: int) -> DataFrame:
+def window_stream(events: DataFrame, width: int, ordered: bool = False) -> DataFrame:
     """Closed windows of a stream (source, arrival, us, metrics and optional columns), by keyed state.
 
     Rows of a source are taken a micro-batch after the other, each in the order of arrival; a feed's micro-batch is one file,
     that of recorded frames is all files up to where the run ends.
+    ordered: each task's rows come in the order of arrival, and none of another task's between them, as recorded frames do; without
+    signals and lags they are then folded by window where they are read, and only that goes to the state.  Else it is refused.
     Sets the session's state store, which must be RocksDB.
     """
     spark = events.sparkSession
     if spark.conf.get(STORE[0], None) != STORE[1]:
         spark.conf.set(*STORE)
+    if ordered and not {"signal", "wall_us"} & set(events.columns):
+        return stretches(completed(events), width).groupBy("source").transformWithStateInPandas(StretchProcessor(width), CLOSED, "append", "none")
     return completed(events).groupBy("source").transformWithStateInPandas(LaneProcessor(width), CLOSED, "append", "none")
 
 
